@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobspectra.schema import MONEY, RATE, TAX_RATE
+from jobspectra.schema import MONEY, TAX_RATE
 
 # --- fixed values: rate of each currency to the base currency; others count as 1 ------
 RATES_TO_BASE = {
@@ -13,47 +13,48 @@ RATES_TO_BASE = {
     "UAH": "2.5", "BYR": "28", "GEL": "34", "UZS": "0.007",
 }
 DEFAULT_CURRENCY = "RUR"
+RAW_COLUMNS = ("salary_from", "salary_to", "salary_currency", "salary_gross")
 # -------------------------------------------------------------------------------------
 
 
-def money(value) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast(MONEY)
+_MONEY, _RATE = "decimal(14,2)", "decimal(14,6)"
 
 
-def currency_code(currency: Column) -> Column:
-    return F.upper(F.coalesce(F.nullif(currency, F.lit("")), F.lit(DEFAULT_CURRENCY)))
+def rate_to_base(code: str) -> str:
+    """SQL of the rate of a currency code; an unknown code counts as the base."""
+    pairs = ", ".join(f"'{c}', CAST({r} AS {_RATE})" for c, r in RATES_TO_BASE.items())
+    return f"coalesce(try_element_at(map({pairs}), {code}), CAST(1 AS {_RATE}))"
 
 
-def rate_to_base(code: Column) -> Column:
-    table = F.create_map(*[x for pair in RATES_TO_BASE.items()
-                           for x in (F.lit(pair[0]), F.lit(pair[1]).cast(RATE))])
-    return F.coalesce(F.try_element_at(table, code), F.lit("1").cast(RATE))
+def net_in_base(amount: str, rate: str, gross: str, tax: str = TAX_RATE) -> str:
+    """SQL of one bound in the base currency after tax; unknown ``gross`` counts as gross.
+    A zero amount is a missing amount."""
+    kept = f"CAST(if(coalesce({gross}, true), 1 - {tax}, 1) AS decimal(5,4))"
+    return f"CAST(nullif({amount}, CAST(0 AS {_MONEY})) * {rate} * {kept} AS {_MONEY})"
 
 
-def net_in_base(amount: Column, rate: Column, gross: Column, tax: str = TAX_RATE) -> Column:
-    """One bound in the base currency after tax; unknown ``gross`` counts as gross."""
-    keep = F.lit(1).cast("decimal(5,4)") - F.lit(tax).cast("decimal(5,4)")
-    kept_share = F.when(F.coalesce(gross, F.lit(True)), keep).otherwise(F.lit(1)).cast("decimal(5,4)")
-    return (F.nullif(amount, F.lit(0).cast(MONEY)) * rate * kept_share).cast(MONEY)
+def point_estimate(low: str, high: str) -> str:
+    return f"coalesce(CAST(({low} + {high}) * 0.5 AS {_MONEY}), {low}, {high})"
 
 
-def point_estimate(low: Column, high: Column) -> Column:
-    middle = ((low + high) * F.lit("0.5").cast("decimal(2,1)")).cast(MONEY)
-    return F.coalesce(middle, low, high)
+def with_salary(df: DataFrame, tax: str = TAX_RATE) -> DataFrame:
+    """Replaces the four raw salary columns by the seven normalized ones, all NULL when
+    neither bound is given.
 
-
-def normalized_salary(amount_from: Column, amount_to: Column, currency: Column,
-                      gross: Column, tax: str = TAX_RATE) -> Column:
-    """Struct of the seven salary fields, NULL when neither bound is given."""
-    low, high = amount_from.cast(MONEY), amount_to.cast(MONEY)
-    code = currency_code(currency)
-    low_net = net_in_base(low, rate_to_base(code), gross, tax)
-    high_net = net_in_base(high, rate_to_base(code), gross, tax)
-    record = F.struct(
-        low.alias("amount_from"), high.alias("amount_to"), code.alias("currency"),
-        gross.alias("gross"), low_net.alias("from_net"), high_net.alias("to_net"),
-        point_estimate(low_net, high_net).alias("estimate"))
-    return F.when(low.isNotNull() | high.isNotNull(), record)
+    One projection per step, so later steps refer to a column instead of repeating its
+    expression.
+    """
+    kept = [c for c in df.columns if c not in RAW_COLUMNS]
+    code = f"upper(coalesce(nullif(salary_currency, ''), '{DEFAULT_CURRENCY}'))"
+    typed = df.selectExpr(
+        *kept, f"CAST(salary_from AS {_MONEY}) AS amount_from", f"CAST(salary_to AS {_MONEY}) AS amount_to",
+        f"{code} AS _code", f"{rate_to_base(code)} AS _rate", "salary_gross AS _gross")
+    has = "amount_from IS NOT NULL OR amount_to IS NOT NULL"
+    net = typed.selectExpr(
+        *kept, "amount_from", "amount_to", f"if({has}, _code, NULL) AS currency", f"if({has}, _gross, NULL) AS gross",
+        f"{net_in_base('amount_from', '_rate', '_gross', tax)} AS from_net",
+        f"{net_in_base('amount_to', '_rate', '_gross', tax)} AS to_net")
+    return net.selectExpr("*", f"{point_estimate('from_net', 'to_net')} AS estimate")
 
 
 def salary_from_text(text: Column) -> Column:

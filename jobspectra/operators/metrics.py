@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobspectra.functions import timebuckets as tb
-from jobspectra.operators.quantiles import exact_percentiles, merge_by_group
+from jobspectra.operators.quantiles import exact_percentiles, merge_by_group, percentiles, value_counts
 from jobspectra.schema import (
     CONCENTRATION_TOP, GRADE_IDS, GRADES, LOW_CONFIDENCE_BELOW, MAX_TOP_N, PERCENTILES, TOP_N)
 
@@ -85,7 +85,7 @@ def salary_summary(postings: DataFrame, where: Slice = ALL, by: Sequence[str] =
         F.sum("estimate").alias("_sum"),
         F.sum(bound("from_net")).alias("_from"), F.count(bound("from_net")).alias("_n_from"),
         F.sum(bound("to_net")).alias("_to"), F.count(bound("to_net")).alias("_n_to"))
-    ranks = exact_percentiles(rows, by, F.col("estimate"), PERCENTILES)
+    ranks = exact_percentiles(rows, by, "estimate", PERCENTILES)
     both = merge_by_group([base, ranks], by)
     c = F.col
     return both.select(
@@ -109,10 +109,10 @@ def _bucketed(postings: DataFrame, where: Slice, period: str) -> DataFrame:
 def salary_series(postings: DataFrame, period: str = "month", where: Slice = ALL, *,
                   digits: int = 2) -> DataFrame:
     """Median and quartiles per bucket; buckets without a salary are absent."""
-    rows = _bucketed(postings, where, period).where(F.col("estimate").isNotNull())
-    counts = rows.groupBy("period_start").agg(F.count("*").alias("count"))
-    ranks = exact_percentiles(rows, ["period_start"], F.col("estimate"), (50, 25, 75),
-                              ("median", "p25", "p75"))
+    rows = _bucketed(postings, where, period)
+    values = value_counts(rows, ["period_start"], "estimate")
+    counts = values.groupBy("period_start").agg(F.sum("_count").alias("count"))
+    ranks = percentiles(values, ["period_start"], (50, 25, 75), ("median", "p25", "p75"))
     merged = merge_by_group([counts, ranks], ["period_start"])
     return merged.select("period_start",
                          *[F.round(c, digits).alias(c) for c in ("median", "p25", "p75")],

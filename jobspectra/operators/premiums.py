@@ -11,7 +11,7 @@ from jobspectra.functions import salary as pay
 from jobspectra.functions import timebuckets as tb
 from jobspectra.operators.metrics import ALL, Slice, skill_rows
 from jobspectra.operators.quantiles import (
-    exact_percentiles, merge_by_group, percentiles, value_counts)
+    BOUNDED_GROUPS, exact_percentiles, merge_by_group, percentiles, value_counts)
 from jobspectra.schema import GRADE_IDS, MAX_TOP_N
 
 
@@ -27,30 +27,30 @@ def salary_histogram(postings: DataFrame, width: int, where: Slice = ALL) -> Dat
 def trimmed_extremes(postings: DataFrame, by: str, method: str = "percentile",
                      where: Slice = ALL) -> DataFrame:
     """Smallest and largest estimate inside [p1, p99] or the 1.5 IQR fences, per group."""
-    rows = where.apply(postings).where(F.col("estimate").isNotNull())
+    counts = value_counts(where.apply(postings), [by], "estimate")
     if method == "percentile":
-        ranks = exact_percentiles(rows, [by], F.col("estimate"), (1, 99), ("low", "high"))
+        ranks = percentiles(counts, [by], (1, 99), ("low", "high"))
     elif method == "iqr":
-        quartiles = exact_percentiles(rows, [by], F.col("estimate"), (25, 75), ("q1", "q3"))
-        spread = (F.col("q3") - F.col("q1")) * 1.5
-        ranks = quartiles.select(by, (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+        quartiles = percentiles(counts, [by], (25, 75), ("q1", "q3"))
+        ranks = quartiles.selectExpr(by, "q1 - (q3 - q1) * 1.5D AS low", "q3 + (q3 - q1) * 1.5D AS high")
     else:
         raise ValueError("method must be 'percentile' or 'iqr'")
     fences = ranks.select(F.col(by).alias("_by"), "low", "high")
-    value = F.col("estimate").cast("double")
-    inside = rows.join(fences, F.col(by).eqNullSafe(F.col("_by"))).where(value.between(F.col("low"), F.col("high")))
-    kept = inside.groupBy(by).agg(F.min(value).alias("trimmed_min"), F.max(value).alias("trimmed_max"),
-                                  F.count("*").alias("kept_count"))
-    raw = rows.groupBy(by).agg(F.min(value).alias("raw_min"), F.max(value).alias("raw_max"),
-                               F.count("*").alias("count"))
-    return merge_by_group([raw, kept], [by])
+    if by in BOUNDED_GROUPS:
+        fences = F.broadcast(fences)
+    amount = F.col("_cents").cast("double") / 100
+    inside = amount.between(F.col("low"), F.col("high"))
+    joined = counts.join(fences, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.groupBy(by).agg(
+        F.min(amount).alias("raw_min"), F.max(amount).alias("raw_max"), F.sum("_count").alias("count"),
+        F.min(F.when(inside, amount)).alias("trimmed_min"), F.max(F.when(inside, amount)).alias("trimmed_max"),
+        F.sum(F.when(inside, F.col("_count")).otherwise(0)).alias("kept_count"))
 
 
 def _medians(postings: DataFrame, key: Column, wanted: Sequence, where: Slice) -> DataFrame:
     """Medians of the wanted key values side by side as ``m0``, ``m1``, ..."""
-    rows = (where.apply(postings).withColumn("_key", key)
-            .where(F.col("_key").isin(*wanted) & F.col("estimate").isNotNull()))
-    medians = exact_percentiles(rows, ["_key"], F.col("estimate"), (50,), ("median",))
+    rows = where.apply(postings).withColumn("_key", key).where(F.col("_key").isin(*wanted))
+    medians = exact_percentiles(rows, ["_key"], "estimate", (50,), ("median",))
     return medians.agg(*[F.max(F.when(F.col("_key") == k, F.col("median"))).alias(f"m{i}")
                          for i, k in enumerate(wanted)])
 
@@ -76,9 +76,9 @@ def skill_premium(postings: DataFrame, where: Slice = ALL, n: int = MAX_TOP_N) -
     "Without" is never formed row by row: per skill it is the value counts of all
     postings minus those of the postings with the skill, both already aggregated.
     """
-    rows = where.apply(postings).where(F.col("estimate").isNotNull())
-    having = value_counts(skill_rows(rows, "estimate"), ["skill"], F.col("estimate"))
-    everyone = value_counts(rows, [], F.col("estimate"))
+    rows = where.apply(postings)
+    having = value_counts(skill_rows(rows, "estimate"), ["skill"], "estimate")
+    everyone = value_counts(rows, [], "estimate")
     best = (having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
             .orderBy(F.desc("sample_size"), "skill").limit(n))
     names = best.agg(F.collect_list("skill").alias("s")).scalar()
@@ -99,6 +99,12 @@ def skill_premium(postings: DataFrame, where: Slice = ALL, n: int = MAX_TOP_N) -
         F.round(F.col("median_with") - F.col("median_without"), 4).alias("premium"))
 
 
+def _code(currency: str) -> str:
+    if not currency.isalpha():
+        raise ValueError(f"not a currency code: {currency!r}")
+    return currency.upper()
+
+
 def salary_in_currency(postings: DataFrame, currency: str = "RUB", basis: str = "net",
                        where: Slice = ALL) -> DataFrame:
     """Estimate percentiles shown in another currency and tax basis.
@@ -106,10 +112,10 @@ def salary_in_currency(postings: DataFrame, currency: str = "RUB", basis: str =
     Both conversions are one positive factor, so the percentiles are taken once in the
     stored base and scaled.
     """
-    rows = where.apply(postings).where(F.col("estimate").isNotNull())
-    ranks = exact_percentiles(rows, [], F.col("estimate"), (25, 50, 75))
-    rate = pay.rate_to_base(F.lit(currency.upper()))
-    return ranks.select(F.lit(currency.upper()).alias("currency"), F.lit(basis).alias("basis"),
+    rows = where.apply(postings)
+    ranks = exact_percentiles(rows, [], "estimate", (25, 50, 75))
+    rate = F.expr(pay.rate_to_base(f"'{_code(currency)}'"))
+    return ranks.select(F.lit(_code(currency)).alias("currency"), F.lit(basis).alias("basis"),
                         *[pay.convert_estimate(F.col(f"p{p}"), rate, basis).alias(f"p{p}") for p in (25, 50, 75)])
 
 
@@ -150,10 +156,13 @@ def convert_at_publication(postings: DataFrame, rates: DataFrame, base: Sequence
     calendar = rate_calendar(rates, days).withColumnRenamed("currency", "_currency")
     # At most one row per currency code and calendar day, so it always fits a broadcast.
     joined = paid.join(F.broadcast(calendar), (F.col("currency") == F.col("_currency")) & (F.col("_day") == F.col("day")), "left")
-    one = F.lit(1).cast("decimal(14,6)")
-    used = F.when(F.col("currency").isin(*base), one).otherwise(F.coalesce("rate", one))
-    low = pay.net_in_base(F.col("amount_from"), used, F.col("gross"))
-    high = pay.net_in_base(F.col("amount_to"), used, F.col("gross"))
-    return joined.select("posting_id", "currency", F.col("_day").alias("published_day"), used.alias("rate"),
-                         F.when(~F.col("currency").isin(*base), F.col("distance_days")).alias("distance_days"),
-                         pay.point_estimate(low, high).alias("estimate"))
+    codes = ", ".join(f"'{_code(c)}'" for c in base)
+    used = joined.selectExpr(
+        "posting_id", "currency", "_day AS published_day", "amount_from", "amount_to", "gross",
+        f"CASE WHEN currency IN ({codes}) THEN CAST(1 AS decimal(14,6)) ELSE coalesce(rate, CAST(1 AS decimal(14,6))) END AS rate",
+        f"CASE WHEN currency NOT IN ({codes}) THEN distance_days END AS distance_days")
+    net = used.selectExpr("posting_id", "currency", "published_day", "rate", "distance_days",
+                          f"{pay.net_in_base('amount_from', 'rate', 'gross')} AS low",
+                          f"{pay.net_in_base('amount_to', 'rate', 'gross')} AS high")
+    return net.selectExpr("posting_id", "currency", "published_day", "rate", "distance_days",
+                          f"{pay.point_estimate('low', 'high')} AS estimate")

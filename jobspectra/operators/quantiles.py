@@ -12,25 +12,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW_BITS = 23
 _CENTS, _COUNT, _BIN = "_cents", "_count", "_bin"
 
 
-def cents(value: Column) -> Column:
-    """A decimal(14,2) amount as whole cents."""
-    return (value * 100).cast("long")
+def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, cents, count) of the non-NULL amounts in a decimal(14,2) column.
+
+    NULLs collapse into one group per task and leave after the count, which spares
+    computed amounts a second evaluation in a filter.
+    """
+    counted = df.groupBy(*groups, value).agg(F.count(value).alias(_COUNT)).where(F.col(_COUNT) > 0)
+    return counted.select(*groups, (F.col(value) * 100).cast("long").alias(_CENTS), _COUNT)
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: Column,
-                 weight: Column | None = None) -> DataFrame:
-    """(groups, cents, count) of the non-NULL values."""
-    one = F.lit(1).cast("long") if weight is None else weight
-    return (df.select(*groups, cents(value).alias(_CENTS), one.alias("_w"))
-            .where(F.col(_CENTS).isNotNull())
-            .groupBy(*groups, _CENTS).agg(F.sum("_w").alias(_COUNT)))
+# Group columns whose number of values is bounded by the calendar, by a fixed list or by
+# a top-N limit. Only for these the chosen bins may be broadcast.
+BOUNDED_GROUPS = {"grade_id", "employment_format", "slice", "period_start", "period_type", "point",
+                  "day", "skill", "has", "_key"}
 
 
 def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int],
@@ -47,50 +49,44 @@ def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int
 
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy(_BIN).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = bins.select(*groups, _BIN, F.sum(_COUNT).over(whole).alias("_total"), _COUNT,
+    placed = bins.select(*groups, _BIN, _COUNT, F.sum(_COUNT).over(whole).alias("_total"),
                          F.sum(_COUNT).over(upto).alias("_end"))
-    wanted = placed.select(
-        *groups, _BIN, "_total",
-        _ranks_in(percents, F.col("_end") - F.col(_COUNT), F.col("_end")).alias("_ranks"))
-    chosen = wanted.where(F.size("_ranks") > 0).select(
-        *[F.col(g).alias(f"_k_{g}") for g in groups], F.col(_BIN).alias("_k_bin"), "_total", "_ranks")
-
-    same = F.col(_BIN).eqNullSafe(F.col("_k_bin"))
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    keys = [f"{g} AS _k_{g}" for g in groups]
+    wanted = placed.selectExpr(*keys, f"{_BIN} AS _k_bin", "_total", f"{_ranks_inside(percents)} AS _ranks")
+    chosen = wanted.where("size(_ranks) > 0")
+    if BOUNDED_GROUPS.issuperset(groups):
+        chosen = F.broadcast(chosen)
+
+    same = " AND ".join([f"{_BIN} <=> _k_bin", *[f"{g} <=> _k_{g}" for g in groups]])
     inside = Window.partitionBy(*groups, _BIN).orderBy(_CENTS).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    values = (binned.join(chosen, same)
-              .select(*groups, _BIN, _CENTS, _COUNT, "_total", "_ranks",
-                      F.sum(_COUNT).over(inside).alias("_end")))
-    hits = values.select(
+    values = (binned.join(chosen, F.expr(same))
+              .select(*groups, _CENTS, _COUNT, "_total", "_ranks", F.sum(_COUNT).over(inside).alias("_end")))
+    hits = values.selectExpr(
         *groups, _CENTS, "_total",
-        F.explode(F.filter("_ranks", lambda r: (r["at"] >= F.col("_end") - F.col(_COUNT))
-                           & (r["at"] < F.col("_end")))).alias("_r"))
-
+        f"explode(transform(filter(_ranks, r -> r.at >= _end - {_COUNT} AND r.at < _end), r -> r.key)) AS _key_at")
     picked = []
     for p, name in zip(percents, names):
-        low = F.max(F.when(F.col("_r.p").eqNullSafe(F.lit(p)) & (F.col("_r.side") == 0), F.col(_CENTS)))
-        high = F.max(F.when(F.col("_r.p").eqNullSafe(F.lit(p)) & (F.col("_r.side") == 1), F.col(_CENTS)))
-        step = (F.max("_total") - 1) * p % 100
-        picked.append(((low * 100 + (high - low) * step).cast("double") / 10000).alias(name))
+        low, high = (f"max(CASE WHEN _key_at = {2 * p + side} THEN {_CENTS} END)" for side in (0, 1))
+        step = f"((max(_total) - 1) * {p} % 100)"
+        picked.append(F.expr(f"CAST({low} * 100 + ({high} - {low}) * {step} AS DOUBLE) / 10000").alias(name))
     return hits.groupBy(*groups).agg(*picked)
 
 
-def _ranks_in(percents: Sequence[int], start: Column, end: Column) -> Column:
-    """Wanted ranks that fall into [start, end), relative to ``start``."""
-    last = F.col("_total") - 1
+def _ranks_inside(percents: Sequence[int]) -> str:
+    """Wanted ranks (floor and ceiling of each percentile) that fall into the current
+    bin, relative to its start; ``key`` tells percentile and side apart."""
     entries = []
     for p in percents:
-        low = F.expr(f"(_total - 1) * {p} div 100")
-        for side, rank in ((0, low), (1, F.least(low + 1, last))):
-            entries.append(F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), rank.alias("rank")))
-    kept = F.filter(F.array(*entries), lambda r: (r["rank"] >= start) & (r["rank"] < end))
-    return F.transform(kept, lambda r: F.struct(r["p"].alias("p"), r["side"].alias("side"),
-                                                (r["rank"] - start).alias("at")))
+        low = f"((_total - 1) * {p} div 100)"
+        entries.append(f"named_struct('key', {2 * p}, 'rank', {low})")
+        entries.append(f"named_struct('key', {2 * p + 1}, 'rank', least({low} + 1, _total - 1))")
+    start = f"(_end - {_COUNT})"
+    return (f"transform(filter(array({', '.join(entries)}), r -> r.rank >= {start} AND r.rank < _end), "
+            f"r -> named_struct('key', r.key, 'at', r.rank - {start}))")
 
 
-def exact_percentiles(df: DataFrame, groups: Sequence[str], value: Column,
+def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,
                       percents: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
     return percentiles(value_counts(df, groups, value), groups, percents, names)
 

@@ -108,7 +108,7 @@ def _demand(postings: DataFrame, period_types: Sequence[str]) -> DataFrame:
 
 
 def _salary_series(postings: DataFrame, period_types: Sequence[str]) -> DataFrame:
-    daily = value_counts(_days(postings), ["slice", "day"], F.col("estimate"))
+    daily = value_counts(_days(postings), ["slice", "day"], "estimate")
     keys = ["slice", "period_type", "point"]
     counts = (_per_period(daily, period_types).groupBy(*keys, "_cents").agg(F.sum("_count").alias("_count")))
     ranks = percentiles(counts, keys, (50, 25, 75), ("median", "p25", "p75"))

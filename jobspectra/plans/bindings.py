@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.functions.salary import normalized_salary
-from jobspectra.schema import MONEY
+from jobspectra.functions.salary import with_salary
 
 GRADE_OF_PRIORITY = {"1-URGENT": 3, "2-HIGH": 3, "3-MEDIUM": 2, "5-LOW": 1}
 FORMAT_OF_STATUS = {"O": "office", "F": "remote", "P": "hybrid"}
@@ -32,30 +31,23 @@ def choose(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
 
 
-def _mapped(values: dict, column: str) -> Column:
-    chain = None
-    for key, value in values.items():
-        hit = F.col(column) == key
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+def _case(values: dict, column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + " END"
 
 
-def raw_salary() -> dict[str, Column]:
-    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
-    share = lambda s: (price * F.lit(s).cast("decimal(2,1)")).cast(MONEY)
-    none = key % 5 == 0
-    return {
-        "salary_from": F.when(~none & (key % 7 != 1), share("0.9")),
-        "salary_to": F.when(~none & (key % 7 != 2), share("1.1")),
-        "salary_currency": F.when(key % 4 == 0, "RUR").when(key % 4 == 1, "USD").when(key % 4 == 2, "EUR"),
-        "salary_gross": F.when(key % 3 == 0, True).when(key % 3 == 1, False),
-    }
+RAW_SALARY = {
+    "salary_from": ("CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 1 THEN "
+                    "CAST(CAST(o_totalprice AS decimal(14,2)) * 0.9 AS decimal(14,2)) END"),
+    "salary_to": ("CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 2 THEN "
+                  "CAST(CAST(o_totalprice AS decimal(14,2)) * 1.1 AS decimal(14,2)) END"),
+    "salary_currency": "CASE o_orderkey % 4 WHEN 0 THEN 'RUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' END",
+    "salary_gross": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
+}
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw posting rows with texts, one per order, with ``seq`` as the sighting order."""
     key, employer = F.col("o_orderkey"), F.col("o_custkey")
-    pay = raw_salary()
     null = F.lit(None).cast("string")
     skills = F.array(*[choose(SKILLS_RAW, key + i * employer) for i in range(4)])
     return load(spark, sf_dir, "orders").select(
@@ -63,9 +55,9 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://jobs.example.com/vacancy/"), key, F.lit("?from=search")).alias("url"),
         F.concat(F.lit("Employer "), employer).alias("employer_name"), employer.alias("employer_id"),
         F.concat(F.lit("/employer/"), employer).alias("employer_url"),
-        *[c.alias(n) for n, c in pay.items()],
+        *[F.expr(e).alias(n) for n, e in RAW_SALARY.items()],
         choose(EXPERIENCES, key + 3 * employer).alias("experience_raw"),
-        _mapped(FORMAT_OF_STATUS, "o_orderstatus").alias("employment_format"), null.alias("area_name"),
+        F.expr(_case(FORMAT_OF_STATUS, "o_orderstatus")).alias("employment_format"), null.alias("area_name"),
         F.col("o_orderdate").alias("published_at"), choose(DESCRIPTIONS, employer).alias("description"),
         F.when(key % 9 == 0, F.array().cast("array<string>")).otherwise(skills).alias("skills"),
         F.lit("api").alias("source_type"), null.alias("raw_html"), null.alias("raw_payload"), key.alias("seq"))
@@ -73,23 +65,20 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str, skills: str | None = None) -> DataFrame:
     """Stored postings; ``skills`` names the part column that plays the skill."""
-    key = F.col("o_orderkey")
-    pay = raw_salary()
-    base = load(spark, sf_dir, "orders").select(
-        key.alias("posting_id"), F.concat(F.lit("Posting "), key).alias("title"),
-        F.concat(F.lit("https://jobs.example.com/vacancy/"), key).alias("url"),
-        F.col("o_custkey").alias("employer_id"),
-        _mapped(GRADE_OF_PRIORITY, "o_orderpriority").alias("grade_id"),
-        choose(EXPERIENCES, key + 3 * F.col("o_custkey")).alias("experience_raw"),
-        _mapped(FORMAT_OF_STATUS, "o_orderstatus").alias("employment_format"),
-        F.col("o_orderdate").alias("published_at"),
-        normalized_salary(pay["salary_from"], pay["salary_to"], pay["salary_currency"], pay["salary_gross"])
-        .alias("_pay")).select("*", "_pay.*").drop("_pay")
+    experience = ", ".join(f"'{e}'" for e in EXPERIENCES)
+    raw = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS posting_id", "concat('Posting ', o_orderkey) AS title",
+        "concat('https://jobs.example.com/vacancy/', o_orderkey) AS url", "o_custkey AS employer_id",
+        f"{_case(GRADE_OF_PRIORITY, 'o_orderpriority')} AS grade_id",
+        f"get(array({experience}), CAST((o_orderkey + 3 * o_custkey) % {len(EXPERIENCES)} AS int)) AS experience_raw",
+        f"{_case(FORMAT_OF_STATUS, 'o_orderstatus')} AS employment_format", "o_orderdate AS published_at",
+        *[f"{e} AS {n}" for n, e in RAW_SALARY.items()])
+    base = with_salary(raw)
     if skills is None:
         return base
     per_posting = links(spark, sf_dir, skills).groupBy("posting_id").agg(F.collect_set("skill").alias("_skills"))
-    joined = base.join(per_posting.withColumnRenamed("posting_id", "_id"), F.col("posting_id") == F.col("_id"), "left")
-    return joined.withColumn("skills", F.coalesce("_skills", F.array().cast("array<string>"))).drop("_id", "_skills")
+    joined = base.join(per_posting.withColumnRenamed("posting_id", "_id"), F.expr("posting_id = _id"), "left")
+    return joined.selectExpr(*base.columns, "coalesce(_skills, CAST(array() AS array<string>)) AS skills")
 
 
 def links(spark: SparkSession, sf_dir: str, skills: str = "p_brand") -> DataFrame:

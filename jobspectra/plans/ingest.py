@@ -12,7 +12,7 @@ from jobspectra.functions import fields, salary
 from jobspectra.functions.relevance import score_postings
 from jobspectra.operators import journal, upsert
 from jobspectra.operators.snapshots import build_snapshots, replace_snapshots
-from jobspectra.schema import RUN
+from jobspectra.schema import RUN, SALARY_COLUMNS
 from jobspectra.session import materialize
 from jobspectra.sources.tables import Store
 from jobspectra.sources.terms import default_terms, seed
@@ -20,16 +20,14 @@ from jobspectra.sources.terms import default_terms, seed
 
 def normalize(raw: DataFrame, batch_ts: Column, *extra: str) -> DataFrame:
     """Raw to posting columns; missing dates take the batch time, never the clock."""
-    pay = salary.normalized_salary(F.col("salary_from"), F.col("salary_to"),
-                                   F.col("salary_currency"), F.col("salary_gross"))
     grade = fields.grade_code(F.col("title"), F.col("description"), F.col("experience_raw"))
-    rows = raw.select("*", pay.alias("_pay"), grade.alias("grade_code"))
+    rows = salary.with_salary(raw.select("*", grade.alias("grade_code")))
     return rows.select(
         "posting_id", "title", "url", "employer_id", "employer_name", "employer_url", "grade_code",
         fields.grade_id(F.col("grade_code")).alias("grade_id"), "experience_raw",
         F.coalesce(F.nullif("employment_format", F.lit("")), F.lit(fields.UNKNOWN)).alias("employment_format"),
         "area_name", F.coalesce("published_at", batch_ts).alias("published_at"), "source_type", "raw_html",
-        "raw_payload", "_pay.*", fields.canonical_skills(F.col("skills")).alias("skills"), *extra)
+        "raw_payload", *SALARY_COLUMNS, fields.canonical_skills(F.col("skills")).alias("skills"), *extra)
 
 
 def tag_batch(raw: DataFrame, terms: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None) -> Sp
         SparkSession.builder.master(f"local[{cores}]")
         .appName("jobspectra")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("JOBSPECTRA_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", shuffle_partitions or cores)
         .config("spark.sql.session.timeZone", "UTC")
