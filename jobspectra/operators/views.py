@@ -147,7 +147,7 @@ def employer_dictionary(postings: DataFrame, employers: DataFrame) -> DataFrame:
 
 def resolve_aliases(postings: DataFrame) -> DataFrame:
     """Skill arrays with aliases replaced by their canonical names, duplicates merged."""
-    return postings.withColumn("skills", F.array_distinct(F.transform("skills", resolve_alias)))
+    return postings.withColumn("skills", F.array_distinct(F.transform("skills", lambda s: resolve_alias(s))))
 
 
 def latest_day(postings: DataFrame) -> Column:

@@ -46,11 +46,15 @@ RAW_SALARY = {
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_from_orders(load(spark, sf_dir, "orders"))
+
+
+def raw_from_orders(orders: DataFrame) -> DataFrame:
     """Raw posting rows with texts, one per order, with ``seq`` as the sighting order."""
     key, employer = F.col("o_orderkey"), F.col("o_custkey")
     null = F.lit(None).cast("string")
     skills = F.array(*[choose(SKILLS_RAW, key + i * employer) for i in range(4)])
-    return load(spark, sf_dir, "orders").select(
+    return orders.select(
         key.alias("posting_id"), choose(TITLES, key + employer).alias("title"),
         F.concat(F.lit("https://jobs.example.com/vacancy/"), key, F.lit("?from=search")).alias("url"),
         F.concat(F.lit("Employer "), employer).alias("employer_name"), employer.alias("employer_id"),
@@ -143,3 +147,23 @@ base AS (SELECT o_orderkey AS posting_id, o_custkey AS employer_id, {SQL_GRADE}
 p AS (SELECT * FROM s4),
 sk AS (SELECT DISTINCT l_orderkey AS posting_id, p_brand AS skill FROM lineitem JOIN part ON l_partkey = p_partkey),
 ps AS (SELECT p.*, sk.skill FROM p JOIN sk USING (posting_id))"""
+
+SQL_SKILLS = "[" + ", ".join(sql_choose(SKILLS_RAW, f"o_orderkey + {i} * o_custkey") for i in range(4)) + "]"
+SQL_CANONICAL = (r"list_filter(list_transform({0}, lambda x: trim(lower(regexp_replace(x, '\s+', ' ', 'g')))), "
+                 "lambda x: x <> '')")
+SQL_RAW = f"""
+rw AS (SELECT o_orderkey AS posting_id, {sql_choose(TITLES, 'o_orderkey + o_custkey')} AS title,
+  'https://jobs.example.com/vacancy/' || o_orderkey || '?from=search' AS url, 'Employer ' || o_custkey AS employer_name,
+  o_custkey AS employer_id, {SQL_RAW_SALARY}, {sql_choose(EXPERIENCES, 'o_orderkey + 3 * o_custkey')} AS experience_raw,
+  {SQL_FORMAT} AS employment_format, o_orderdate AS published_at, {sql_choose(DESCRIPTIONS, 'o_custkey')} AS description,
+  CASE WHEN o_orderkey % 9 = 0 THEN [] ELSE {SQL_SKILLS} END AS skills FROM orders)"""
+
+
+def sql_bounded(words: str) -> str:
+    """A pattern for whole words that treats all letters and digits as word characters."""
+    return r"(^|[^\p{L}\p{N}_])(" + words + r")([^\p{L}\p{N}_]|$)"
+
+
+def sql_distinct_in_order(items: str) -> str:
+    """A list without repeats, first occurrences kept in order."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"

@@ -104,10 +104,12 @@ def search_links(pages: DataFrame, base_url: str, marker: str = SEARCH_LINK,
         fields.id_after(href, id_segment).alias("posting_id"), i.alias("position"),
         F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base_url), href)).alias("url")))
     valid = F.filter(located, lambda x: x["posting_id"].isNotNull())
-    links = pages.select("page_id", F.explode(valid).alias("x"))
-    return (links.groupBy("page_id", F.col("x.posting_id").alias("posting_id"))
-            .agg(F.min(F.struct("x.position", "x.url")).alias("first"))
-            .select("page_id", "first.position", "posting_id", "first.url"))
+    listed = pages.select("page_id", valid.alias("l")).select(
+        "page_id", "l", F.transform("l", lambda x: x["posting_id"]).alias("ids"))
+    # A page is one row, so repeats are dropped inside its array; nothing is shuffled.
+    first = F.filter("l", lambda x, i: F.array_position("ids", x["posting_id"]) == i + 1)
+    return (listed.select("page_id", F.explode(first).alias("x"))
+            .select("page_id", "x.position", "x.posting_id", "x.url"))
 
 
 def result_counts(pages: DataFrame) -> DataFrame:
