@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from jobspectra.functions.lexicon import MAX_TERMS, occurring, sql_text
+
 # --- fixed values: scoring rules ------------------------------------------------------
 THRESHOLD = 0.0
 TITLE_MULTIPLIER = 3.0
@@ -14,53 +16,56 @@ LOW_SCORE_REASON = "low_score"
 # -------------------------------------------------------------------------------------
 
 
-def term_array(terms: DataFrame) -> Column:
-    """The active dictionary as one array value (a scalar subquery, read once).
-
-    The dictionary is curated by hand; it is configuration, not data, and does not grow
-    with the postings.
-    """
-    entry = F.struct("ord", F.lower("term").alias("term"), "kind", "field_scope",
-                     F.col("weight").cast("double").alias("weight"))
-    packed = terms.where("active").agg(F.array_sort(F.collect_list(entry)).alias("terms"))
-    return packed.scalar()
+def active_terms(terms: DataFrame) -> list[Row]:
+    """The active dictionary in order. It is curated configuration and is read to the
+    driver once per job, within the size limit of a lexicon."""
+    rows = (terms.where("active").select("ord", F.lower("term").alias("term"), "kind", "field_scope",
+                                         F.col("weight").cast("double").alias("weight"))
+            .orderBy("ord", "term").limit(MAX_TERMS + 1).collect())
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a dictionary is limited to {MAX_TERMS} terms")
+    return rows
 
 
 def score_postings(postings: DataFrame, terms: DataFrame, *, threshold: float = THRESHOLD,
                    title_multiplier: float = TITLE_MULTIPLIER,
                    hard_stop_on_title: bool = True) -> DataFrame:
-    """Adds ``relevant``, ``score``, ``reason`` and ``matched_stopword``."""
+    """Adds ``relevant``, ``score``, ``reason`` and ``matched_stopword``. No shuffle."""
+    rows = active_terms(terms)
+    words = [r["term"] for r in rows]
     kept = [F.col(c) for c in postings.columns]
-    words = F.concat_ws(" ", F.coalesce("skills", F.array().cast("array<string>")))
-    texts = postings.select(
-        *kept, term_array(terms).alias("_terms"),
-        F.lower(F.coalesce("title", F.lit(""))).alias("_title"),
-        F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "), words)).alias("_body"))
+    skills = F.concat_ws(" ", F.coalesce("skills", F.array().cast("array<string>")))
+    body = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), skills)
+    marked = postings.select(
+        *kept, occurring(F.lower(F.coalesce("title", F.lit(""))), words, whole_words=False).alias("_title"),
+        occurring(F.lower(body), words, whole_words=False).alias("_body"))
+
+    def per_term(value) -> Column:
+        return F.expr(f"array({', '.join(str(value(r)) for r in rows)})" if rows else "CAST(array() AS array<double>)")
 
-    def hits(field: str, text: str, kind: str) -> Column:
-        return F.filter("_terms", lambda t: (t["kind"] == kind)
-                        & t["field_scope"].isin(field, "any") & F.col(text).contains(t["term"]))
+    def weight(row: Row, field: str, factor: float) -> str:
+        sign = 1 if row["kind"] == "positive" else -1
+        return f"{sign * row['weight'] * factor if row['field_scope'] in (field, 'any') else 0.0}D"
 
-    marked = texts.select(
-        *kept,
-        hits("title", "_title", "positive").alias("_pt"),
-        hits("description", "_body", "positive").alias("_pb"),
-        hits("title", "_title", "stop").alias("_st"),
-        hits("description", "_body", "stop").alias("_sb"))
+    def total(hits: str, field: str, factor: float) -> Column:
+        weights = per_term(lambda r: weight(r, field, factor))
+        return F.aggregate(hits, F.lit(0.0), lambda acc, i: acc + F.get(weights, i))
 
-    def total(name: str) -> Column:
-        return F.aggregate(F.transform(name, lambda t: t["weight"]), F.lit(0.0), lambda a, w: a + w)
+    def stops(hits: str, field: str) -> Column:
+        flags = per_term(lambda r: "true" if r["kind"] == "stop" and r["field_scope"] in (field, "any") else "false")
+        return F.filter(hits, lambda i: F.get(flags, i))
 
+    summed = marked.select(
+        *kept, (total("_title", "title", title_multiplier) + total("_body", "description", 1.0)).alias("_soft"),
+        stops("_title", "title").alias("_st"), stops("_body", "description").alias("_sb"))
+    names = F.expr(f"array({', '.join(sql_text(w) for w in words)})" if words else "CAST(array() AS array<string>)")
     stopped = (F.size("_st") > 0) if hard_stop_on_title else F.lit(False)
-    soft = (total("_pt") * title_multiplier + total("_pb")
-            - total("_st") * title_multiplier - total("_sb"))
-    first_title = F.get("_st", F.lit(0))["term"]
-    last_title = F.get("_st", F.size("_st") - 1)["term"]
-    first_body = F.get("_sb", F.lit(0))["term"]
-    scored = marked.select(
+    at = lambda c, i: F.get(names, F.get(c, i))
+    scored = summed.select(
         *kept, stopped.alias("_stopped"),
-        F.when(stopped, F.lit(HARD_STOP_SCORE)).otherwise(soft).alias("score"),
-        F.when(stopped, first_title).otherwise(F.coalesce(last_title, first_body)).alias("_stop"))
+        F.when(stopped, F.lit(HARD_STOP_SCORE)).otherwise(F.col("_soft")).alias("score"),
+        F.when(stopped, at("_st", F.lit(0)))
+        .otherwise(F.coalesce(at("_st", F.size("_st") - 1), at("_sb", F.lit(0)))).alias("_stop"))
     relevant = ~F.col("_stopped") & (F.col("score") >= threshold)
     return scored.select(
         *kept, relevant.alias("relevant"), "score",

@@ -1,12 +1,12 @@
-"""Skill extraction by alias dictionary, one regex pass per text."""
+"""Skill extraction and resolution by an alias dictionary."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobspectra.functions.lexicon import occurring
+
 # --- fixed values: alias -> canonical skill name --------------------------------------
 ALIASES = {
     "html": "HTML", "html5": "HTML",
@@ -70,36 +70,11 @@ def by_priority(aliases: dict[str, str] = ALIASES) -> list[str]:
     return sorted(aliases, key=len, reverse=True)
 
 
-def _alternation(ordered: list[str]) -> str:
-    """Alternatives grouped by first character, so a failed position costs one test per
-    letter instead of one per alias; inside a group longer aliases come first."""
-    groups: dict[str, list[str]] = {}
-    for alias in ordered:
-        groups.setdefault(alias[0], []).append(re.sub(r"([.\-/+])", r"\\\1", alias[1:]))
-    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in groups.items())
-
-
-def _implied(longest: str, ordered: list[str]) -> list[int]:
-    """Ranks of all aliases that stand where ``longest`` stands: itself and every
-    alias that is a prefix of it ending at a word boundary."""
-    return [rank for rank, alias in enumerate(ordered)
-            if longest == alias or re.match(re.escape(alias) + r"\b", longest)]
-
-
 def extract_skills(text: Column, aliases: dict[str, str] = ALIASES) -> Column:
-    """Canonical skills named in a text as whole words, in order of alias priority.
-
-    A lookahead finds the longest alias at every word start without consuming it, so
-    overlapping aliases are all seen; shorter ones at the same place follow from a
-    fixed table.
-    """
+    """Canonical skills named in a text as whole words, in order of alias priority."""
     ordered = by_priority(aliases)
-    pattern = rf"(?U)\b(?=({_alternation(ordered)})\b)"
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1))
-    implied = F.create_map(*[x for alias in ordered for x in (
-        F.lit(alias), F.array(*[F.lit(r) for r in _implied(alias, ordered)]))])
-    ranks = F.array_sort(F.flatten(F.transform(found, lambda a: F.try_element_at(implied, a))))
     names = F.array(*[F.lit(aliases[a]) for a in ordered])
+    ranks = occurring(F.lower(text), ordered, whole_words=True)
     return F.array_distinct(F.transform(ranks, lambda r: F.get(names, r)))
 
 
