@@ -47,10 +47,10 @@ def period_sequence(first_day: Column, last_day: Column, period: str) -> Column:
 def period_spine(spark: SparkSession, first_day: dt.date, last_day: dt.date,
                  period: str) -> DataFrame:
     """All bucket starts between two days, one row each; empty when the days are swapped."""
-    days = spark.range(1).select(F.lit(first_day).alias("a"), F.lit(last_day).alias("b"))
-    return (days.where("a <= b")
-            .select(F.explode(period_sequence(F.col("a"), F.col("b"), period))
-                    .alias("period_start")))
+    if first_day > last_day:
+        return spark.createDataFrame([], "period_start date")
+    days = period_sequence(F.lit(first_day), F.lit(last_day), period)
+    return spark.range(1).select(F.explode(days).alias("period_start"))
 
 
 def _utc_midnight(day: dt.date) -> Column:
