@@ -66,6 +66,29 @@ def _likely_name(match: Column) -> Column:
     return ~excluded & (patronymic | plain_pair)
 
 
+# What a text must hold for a category to match at all. These signs cost a plain search
+# each and spare most texts the case-insensitive patterns; they never exclude a match.
+_SIGNS = ("_cyrillic", "_digits", "_web", "_network", "_born", "_passport", "_inn")
+_POSSIBLE = {
+    "email": "contains(_t, '@')", "url": "_web", "social": "_network OR contains(_t, '@')", "phone": "_digits",
+    "dob": "_digits AND (_cyrillic OR _born)", "passport": "_digits AND (_cyrillic OR _passport)",
+    "inn": "_digits AND (_cyrillic OR _inn)", "snils": "_digits", "address": "_cyrillic",
+}
+
+
+def _with_signs(df: DataFrame, kept: list[Column]) -> DataFrame:
+    # Upper then lower case maps every letter the case-insensitive match treats as equal
+    # to the same one (the long s and the dotless i included).
+    folded = df.select(*kept, "_t", F.lower(F.upper("_t")).alias("_f"))
+    any_of = lambda *words: " OR ".join(f"contains(_f, '{w}')" for w in words)
+    signs = {
+        "_cyrillic": r"_t RLIKE '[\\u0400-\\u04FF]'", "_digits": r"_t RLIKE '(?U)\\d\\d'",
+        "_web": any_of("http", "www."), "_network": any_of(".me/", ".com/", "skype", "telegram", "whatsapp", "viber"),
+        "_born": any_of("born"), "_passport": any_of("passport"), "_inn": any_of("inn"),
+    }
+    return folded.select(*kept, "_t", *[F.expr(e).alias(n) for n, e in signs.items()])
+
+
 def redact(df: DataFrame, text: str, *, redacted: str = "redacted_text",
            categories: str = "pii_categories", total: str = "pii_total") -> DataFrame:
     """Replaces personal data category by category and counts every replacement.
@@ -74,19 +97,20 @@ def redact(df: DataFrame, text: str, *, redacted: str = "redacted_text",
     without overlap, and a declined name candidate is consumed like an accepted one.
     """
     kept = [F.col(c) for c in df.columns]
-    stage = df.select(*kept, F.col(text).alias("_t"))
+    stage = _with_signs(df.select(*kept, F.col(text).alias("_t")), kept)
     counted: list[str] = []
     for category, raw in PII_PATTERNS.items():
-        pattern = _unicode(raw)
+        pattern, possible = _unicode(raw), F.expr(_POSSIBLE[category])
         stage = stage.select(
-            *kept, *counted,
-            F.regexp_count("_t", F.lit(pattern)).alias(f"_n_{category}"),
-            F.regexp_replace("_t", pattern, PLACEHOLDER).alias("_t"))
+            *kept, *counted, *_SIGNS,
+            F.when(possible, F.regexp_count("_t", F.lit(pattern))).otherwise(0).alias(f"_n_{category}"),
+            F.when(possible, F.regexp_replace("_t", pattern, PLACEHOLDER)).otherwise(F.col("_t")).alias("_t"))
         counted.append(f"_n_{category}")
 
     name = _unicode(NAME_PATTERN)
     stage = stage.select(*kept, *counted, "_t",
-                         F.regexp_extract_all("_t", F.lit(name), 0).alias("_names"))
+                         F.when(F.col("_cyrillic"), F.regexp_extract_all("_t", F.lit(name), 0))
+                         .otherwise(F.array().cast("array<string>")).alias("_names"))
     stage = stage.select(*kept, *counted, "_t", "_names",
                          F.transform("_names", _likely_name).alias("_is_name"))
     rebuilt = F.array_join(

@@ -326,7 +326,7 @@ def distribution(postings: DataFrame, by: str, where: Slice = ALL) -> DataFrame:
         raise ValueError(f"by must be one of {DIMENSIONS}")
     rows = (where.any_grade() if by == "grade" else where).apply(postings)
     counts = rows.groupBy(dimension_key(by).alias("key")).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = counts.agg(F.sum("count").alias("n")).scalar()
     label = (F.initcap("key") if by == "grade"
              else F.when(F.col("key") == "unknown", F.lit("Unknown")).otherwise(F.col("key")))
     return (counts.select("key", label.alias("label"), "count",

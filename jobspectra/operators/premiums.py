@@ -11,7 +11,8 @@ from jobspectra.functions import salary as pay
 from jobspectra.functions import timebuckets as tb
 from jobspectra.operators.metrics import ALL, Slice, skill_rows
 from jobspectra.operators.quantiles import (
-    BOUNDED_GROUPS, exact_percentiles, merge_by_group, percentiles, value_counts)
+    BOUNDED_GROUPS, bin_counts, choose_bins, exact_percentiles, merge_by_group, percentiles,
+    pick_values, value_counts, with_bin)
 from jobspectra.schema import GRADE_IDS, MAX_TOP_N
 
 
@@ -73,30 +74,37 @@ def remote_premium(postings: DataFrame, where: Slice = ALL) -> DataFrame:
 def skill_premium(postings: DataFrame, where: Slice = ALL, n: int = MAX_TOP_N) -> DataFrame:
     """Median estimate with a skill minus the median without it, for the top ``n`` skills.
 
-    "Without" is never formed row by row: per skill it is the value counts of all
-    postings minus those of the postings with the skill, both already aggregated.
+    "Without" is never formed row by row: per skill it is the counts of all postings
+    minus those of the postings with the skill. That difference is taken over coarse
+    bins first and over single values only inside the one or two bins of the median.
     """
     rows = where.apply(postings)
     having = value_counts(skill_rows(rows, "estimate"), ["skill"], "estimate")
     everyone = value_counts(rows, [], "estimate")
-    best = (having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
-            .orderBy(F.desc("sample_size"), "skill").limit(n))
+    sizes = having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
+    best = sizes.orderBy(F.desc("sample_size"), "skill").limit(n)
     names = best.agg(F.collect_list("skill").alias("s")).scalar()
     having = having.where(F.array_contains(names, F.col("skill")))
-    lacking = (everyone.select(F.explode(names).alias("skill"), "_cents", "_count")
-               .unionByName(having.select("skill", "_cents", (-F.col("_count")).alias("_count")))
-               .groupBy("skill", "_cents").agg(F.sum("_count").alias("_count"))
-               .where("_count > 0"))
-    both = having.select("skill", F.lit(True).alias("has"), "_cents", "_count").unionByName(
-        lacking.select("skill", F.lit(False).alias("has"), "_cents", "_count"))
-    medians = percentiles(both, ["skill", "has"], (50,), ("median",))
-    sizes = having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
-    sides = medians.groupBy("skill").agg(
-        F.max(F.when(F.col("has"), F.col("median"))).alias("median_with"),
-        F.max(F.when(~F.col("has"), F.col("median"))).alias("median_without"))
-    return merge_by_group([sizes, sides], ["skill"]).select(
-        "skill", "sample_size", "median_with", "median_without",
-        F.round(F.col("median_with") - F.col("median_without"), 4).alias("premium"))
+
+    bins = _minus(bin_counts(everyone, []).select(F.explode(names).alias("skill"), "_bin", "_count"),
+                  bin_counts(having, ["skill"]), ["skill", "_bin"])
+    chosen = choose_bins(bins, ["skill"], (50,))
+    places = chosen.select(F.col("_k_skill").alias("skill"), F.col("_k_bin").alias("_bin"))
+    lacking = _minus(with_bin(everyone).join(F.broadcast(places), "_bin").select("skill", "_cents", "_count"),
+                     with_bin(having).join(F.broadcast(places), ["skill", "_bin"]).select("skill", "_cents", "_count"),
+                     ["skill", "_cents"])
+    without = pick_values(lacking, chosen, ["skill"], (50,), ["median_without"])
+    having_medians = percentiles(having, ["skill"], (50,), ["median_with"])
+    merged = merge_by_group([best, having_medians, without], ["skill"])
+    return merged.select("skill", "sample_size", "median_with", "median_without",
+                         F.round(F.col("median_with") - F.col("median_without"), 4).alias("premium"))
+
+
+def _minus(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of ``left`` less those of ``right``, keys without a remainder left out."""
+    negative = right.select(*keys, (-F.col("_count")).alias("_count"))
+    summed = left.select(*keys, "_count").unionByName(negative).groupBy(*keys).agg(F.sum("_count").alias("_count"))
+    return summed.where("_count > 0")
 
 
 def _code(currency: str) -> str:

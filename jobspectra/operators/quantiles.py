@@ -42,11 +42,19 @@ def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int
     Results are doubles exact to four decimals: amounts have two and an integer percent
     adds at most two more.
     """
-    groups = list(groups)
-    names = list(names or [f"p{p}" for p in percents])
-    binned = counts.withColumn(_BIN, F.shiftright(_CENTS, LOW_BITS))
-    bins = binned.groupBy(*groups, _BIN).agg(F.sum(_COUNT).alias(_COUNT))
+    return pick_values(counts, choose_bins(bin_counts(counts, groups), groups, percents), groups, percents, names)
+
+
+def with_bin(counts: DataFrame) -> DataFrame:
+    return counts.withColumn(_BIN, F.shiftright(_CENTS, LOW_BITS))
+
+
+def bin_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return with_bin(counts).groupBy(*groups, _BIN).agg(F.sum(_COUNT).alias(_COUNT))
 
+
+def choose_bins(bins: DataFrame, groups: Sequence[str], percents: Sequence[int]) -> DataFrame:
+    """The bins that hold a wanted rank: keys ``_k_*``, group total and ranks inside."""
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy(_BIN).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = bins.select(*groups, _BIN, _COUNT, F.sum(_COUNT).over(whole).alias("_total"),
@@ -54,13 +62,18 @@ def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int
     keys = [f"{g} AS _k_{g}" for g in groups]
     wanted = placed.selectExpr(*keys, f"{_BIN} AS _k_bin", "_total", f"{_ranks_inside(percents)} AS _ranks")
     chosen = wanted.where("size(_ranks) > 0")
-    if BOUNDED_GROUPS.issuperset(groups):
-        chosen = F.broadcast(chosen)
+    return F.broadcast(chosen) if BOUNDED_GROUPS.issuperset(groups) else chosen
+
 
+def pick_values(counts: DataFrame, chosen: DataFrame, groups: Sequence[str], percents: Sequence[int],
+                names: Sequence[str] | None = None) -> DataFrame:
+    """Percentiles from the value counts of (at least) the chosen bins."""
+    groups = list(groups)
+    names = list(names or [f"p{p}" for p in percents])
     same = " AND ".join([f"{_BIN} <=> _k_bin", *[f"{g} <=> _k_{g}" for g in groups]])
     inside = Window.partitionBy(*groups, _BIN).orderBy(_CENTS).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    values = (binned.join(chosen, F.expr(same))
+    values = (with_bin(counts).join(chosen, F.expr(same))
               .select(*groups, _CENTS, _COUNT, "_total", "_ranks", F.sum(_COUNT).over(inside).alias("_end")))
     hits = values.selectExpr(
         *groups, _CENTS, "_total",

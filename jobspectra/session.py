@@ -15,6 +15,8 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None) -> Sp
         .appName("jobspectra")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python call site of every Column costs more than short queries do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("JOBSPECTRA_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", shuffle_partitions or cores)
         .config("spark.sql.session.timeZone", "UTC")
