@@ -233,17 +233,21 @@ def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,
     counts = links.groupBy(*by, "skill").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "skill"))
     frequent = counts.withColumn("rank", rank).where(F.col("rank") <= SEED_SKILLS)
-    sampled = _pair_counts(links, frequent, by)
+    seeds = frequent.agg(F.collect_set("skill").alias("s")).scalar()
+    sampled = _pair_counts(rows.select(*by, F.array_intersect("skills", seeds).alias("s")), by)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "a", "b"))
     nth = sampled.withColumn("rank", place).where(F.col("rank") == _limit(n))
-    bounds = merge_by_group([counts.groupBy(*by).agg(F.lit(0).cast("long").alias("_zero")),
-                             nth.groupBy(*by).agg(F.max("count").alias("_nth"))], by)
-    bound = F.greatest("_zero", F.coalesce("_nth", F.lit(0)))
     if by:
-        kept = counts.join(bounds, by).where(F.col("count") >= bound)
+        bounds = nth.select(*by, F.col("count").alias("_bound"))
+        kept = counts.join(bounds, by, "left").where(F.col("count") >= F.coalesce("_bound", F.lit(0)))
     else:
-        kept = counts.where(F.col("count") >= bounds.select(bound).scalar())
-    exact = _pair_counts(links, kept, by)
+        bound = nth.agg(F.coalesce(F.max("count"), F.lit(0)).alias("b")).scalar()
+        kept = counts.where(F.col("count") >= bound)
+    # The links of a posting leave one task together, so regrouping them combines before
+    # its shuffle: one short array per posting travels.
+    arrays = (links.join(kept.select(*by, "skill"), [*by, "skill"], "left_semi")
+              .groupBy(*by, "posting_id").agg(F.collect_list("skill").alias("s")))
+    exact = _pair_counts(arrays, by)
     best = exact.withColumn("rank", place).where(F.col("rank") <= n)
     if by:
         totals = rows.groupBy(*by).agg(F.count("*").alias("sample_size"))
@@ -254,16 +258,10 @@ def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,
                        total.alias("sample_size"), low_confidence(total).alias("low_confidence"))
 
 
-def _pair_counts(links: DataFrame, kept: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pair counts over the kept skills.
-
-    The links of a posting leave one task together, so the regrouping below combines
-    them before its shuffle: one short array per posting travels.
-    """
-    arrays = (links.join(kept.select(*by, "skill"), [*by, "skill"], "left_semi")
-              .groupBy(*by, "posting_id").agg(F.array_sort(F.collect_list("skill")).alias("s"))
-              .where(F.size("s") > 1))
-    firsts = arrays.select(*by, F.posexplode("s").alias("i", "a"), "s")
+def _pair_counts(arrays: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pair counts of skill arrays ``s``; pairs are spread row by row, not built at once."""
+    several = arrays.where(F.size("s") > 1).select(*by, F.array_sort("s").alias("s"))
+    firsts = several.select(*by, F.posexplode("s").alias("i", "a"), "s")
     pairs = firsts.select(*by, "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
     return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count"))
 
