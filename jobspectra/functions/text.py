@@ -53,9 +53,14 @@ def clean_text(text: Column) -> Column:
     """Unix line ends, at most one blank line, single spaces, trimmed; blank gives NULL."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     lines = F.regexp_replace(unix, r"\n{3,}", "\n\n")
-    spaced = F.regexp_replace(lines, r"(?U)[^\S\n]+", " ")
-    trimmed = F.regexp_replace(spaced, r"(?U)^\s+|\s+\z", "")
-    return F.nullif(trimmed, F.lit(""))
+    # Runs of blanks and single odd blanks; a lone plain space stays as it is.
+    spaced = F.regexp_replace(lines, r"(?U)[^\S\n]{2,}|[\s&&[^\n ]]", " ")
+    return F.nullif(F.btrim(spaced, F.lit(" \n")), F.lit(""))
+
+
+def has_text(text: Column) -> Column:
+    """Whether ``clean_text`` would leave anything; stops at the first visible character."""
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def _likely_name(match: Column) -> Column:

@@ -91,8 +91,9 @@ def analyze(documents: DataFrame, postings: DataFrame, *, n: int = TOP_N) -> Dat
     ``documents`` is (doc_id, text, target_grade). The market side is at most one short
     row per grade, hence the broadcast.
     """
-    clean = documents.select("doc_id", F.coalesce("target_grade", F.lit("all")).alias("grade"),
-                             txt.clean_text(F.col("text")).alias("text")).where("text is not null")
+    filled = documents.where(txt.has_text(F.col("text")))
+    clean = filled.select("doc_id", F.coalesce("target_grade", F.lit("all")).alias("grade"),
+                          txt.clean_text(F.col("text")).alias("text"))
     found = clean.select("*", extract_skills(F.col("text")).alias("resume_skills"))
     safe = txt.redact(found, "text")
     joined = safe.join(F.broadcast(market_skills(postings, n)), "grade", "left").withColumn(
