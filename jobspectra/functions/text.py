@@ -43,6 +43,7 @@ MAX_BULLETS = 10
 # -------------------------------------------------------------------------------------
 
 NAME_CATEGORY = "fio"
+_MARK = "\ue000"
 
 
 def _unicode(pattern: str) -> str:
@@ -106,10 +107,20 @@ def redact(df: DataFrame, text: str, *, redacted: str = "redacted_text",
     counted: list[str] = []
     for category, raw in PII_PATTERNS.items():
         pattern, possible = _unicode(raw), F.expr(_POSSIBLE[category])
-        stage = stage.select(
+        # One pass marks the matches and the marks are counted. A text that holds the
+        # mark character itself is counted and replaced by the pattern directly.
+        marked = stage.select(
+            *kept, *counted, *_SIGNS, "_t",
+            F.when(~possible, F.lit(None)).when(F.col("_t").contains(_MARK), F.lit(None))
+            .otherwise(F.regexp_replace("_t", pattern, _MARK)).alias("_m"),
+            (possible & F.col("_t").contains(_MARK)).alias("_plain"))
+        marks = F.length("_m") - F.length(F.replace("_m", F.lit(_MARK), F.lit("")))
+        stage = marked.select(
             *kept, *counted, *_SIGNS,
-            F.when(possible, F.regexp_count("_t", F.lit(pattern))).otherwise(0).alias(f"_n_{category}"),
-            F.when(possible, F.regexp_replace("_t", pattern, PLACEHOLDER)).otherwise(F.col("_t")).alias("_t"))
+            F.when(F.col("_plain"), F.regexp_count("_t", F.lit(pattern))).otherwise(F.coalesce(marks, F.lit(0)))
+            .alias(f"_n_{category}"),
+            F.when(F.col("_plain"), F.regexp_replace("_t", pattern, PLACEHOLDER))
+            .otherwise(F.coalesce(F.replace("_m", F.lit(_MARK), F.lit(PLACEHOLDER)), "_t")).alias("_t"))
         counted.append(f"_n_{category}")
 
     name = _unicode(NAME_PATTERN)

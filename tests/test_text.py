@@ -58,7 +58,7 @@ def plain_redact(text):
 
 def test_redaction_agrees_with_the_plain_stages(spark):
     rng = random.Random(5)
-    bits = ["Иванов Иван", "Петрович", "Опыт Работы", "Ли На Ко", "Анна", "React", "a.b@c.io", "éa@b.com", "+7 999 123-45-67", "ул. Мира 5,", "@me_1",
+    bits = ["https://a.io/me@x.com", "\ue000 b@c.io", "http://x.y/\ue000z", "[УДАЛЕНО]", "Иванов Иван", "Петрович", "Опыт Работы", "Ли На Ко", "Анна", "React", "a.b@c.io", "éa@b.com", "+7 999 123-45-67", "ул. Мира 5,", "@me_1",
             "www.x.ru/y?z", "112-233-445 95", "ИНН: 7701234567", "д.р. 1.2.1990", "\n", "слово", "Сидорова Мария Ильинична", "Telegram bob", "8 800 555 35 35"]
     texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)]
     got = txt.redact(frame(spark, *texts), "text").orderBy("doc_id").collect()
