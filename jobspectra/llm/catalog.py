@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobspectra.llm import quality
+from jobspectra.llm import packing, quality
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -44,6 +46,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence and the checksum of its ids."""
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op3_packing": (op3_packing, None),
 }
