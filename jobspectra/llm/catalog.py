@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import packing, quality
+from jobspectra.llm import packing, pieces, quality
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -52,7 +52,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, end id included, and what they decode to, as digests."""
+    return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op3_packing": (op3_packing, None),
+    "op5_sentencepiece": (op5_sentencepiece, None),
 }
