@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import packing, pieces, quality
+from jobspectra.llm import packing, pieces, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -15,6 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(divisor: int, remainder: int):
+    """Whether the checksum of the id, written in decimal, leaves this remainder."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % divisor == remainder
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the cascade for every document."""
     return quality.judge(documents(spark, sf_dir).select("doc_id", "text"), counts=True).drop("text")
@@ -57,8 +62,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; learned from ids whose checksum leaves a remainder by 5."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(5, 0))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0))
+    model = toxicity.train(docs.where("NOT held_out"), labels)
+    return toxicity.score(docs, model).drop("text")
+
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op3_packing": (op3_packing, None),
     "op5_sentencepiece": (op5_sentencepiece, None),
+    "op8_toxicity": (op8_toxicity, None),
 }

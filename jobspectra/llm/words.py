@@ -34,13 +34,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Block:
     """Words of some texts. ``starts``/``lens`` in bytes of ``data``; ``doc`` per word."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, between: np.ndarray = _WHITE):
         joined = b"\n".join(texts) + b"\n"
         self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.doc_starts = np.concatenate(([0], np.cumsum(sizes)))
         self.n_docs = len(texts)
-        self.white = _WHITE[self.data]
+        self.white = between[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], self.white)).astype(np.int8)))
         self.starts, ends = edge[0::2], edge[1::2]
         self.lens = ends - self.starts
@@ -54,14 +54,19 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
+        return self.prefix_hashes(None)
+
+    def prefix_hashes(self, n: int | None) -> np.ndarray:
+        """64-bit hash of the first n bytes of each word, of the whole word if it is shorter."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        first = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
-        at = np.arange(int(self.lens.sum())) - np.repeat(first, self.lens)
-        powers = np.full(int(self.lens.max()), _P)
+        lens = self.lens if n is None else np.minimum(self.lens, n)
+        first = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        at = np.arange(int(lens.sum())) - np.repeat(first, lens)
+        powers = np.full(int(lens.max()), _P)
         np.multiply.accumulate(powers, out=powers)
-        letters = self.data[~self.white].astype(np.uint64) + np.uint64(1)
-        return mix(np.add.reduceat(letters * powers[at], first) + self.lens.astype(np.uint64))
+        letters = self.data[np.repeat(self.starts, lens) + at].astype(np.uint64) + np.uint64(1)
+        return mix(np.add.reduceat(letters * powers[at], first) + lens.astype(np.uint64))
 
     def ngrams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-word windows and the index of each one's first word."""
@@ -75,19 +80,20 @@ class Block:
         return total[at], at
 
 
-def blocks(texts: list[str | None], lower: bool) -> Iterator[tuple[int, int, Block]]:
-    """(from, to, block) over texts; a null text counts as empty."""
+def blocks(texts: list[str | None], lower: bool, between: np.ndarray = _WHITE) -> Iterator[tuple[int, int, Block]]:
+    """(from, to, block) over texts; a null text counts as empty. ``between`` marks the
+    bytes that are not part of words."""
     held: list[bytes] = []
     size = start = 0
     for i, text in enumerate(texts):
         raw = b"" if text is None else text.encode("utf-8", "replace")
         if held and size + len(raw) > BLOCK_BYTES:
-            yield start, i, Block(held, lower)
+            yield start, i, Block(held, lower, between)
             held, size, start = [], 0, i
         held.append(raw)
         size += len(raw)
     if held:
-        yield start, len(texts), Block(held, lower)
+        yield start, len(texts), Block(held, lower, between)
 
 
 def annotate(df: DataFrame, column: str, fields: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
