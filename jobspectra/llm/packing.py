@@ -18,6 +18,7 @@ ignored; an empty table gives no rows; repeated rows are packed each on its own.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 from collections.abc import Iterator
@@ -33,11 +34,11 @@ from jobspectra.llm.tokens import encoder, portions
 from jobspectra.llm.words import tabulate
 
 CAPACITY = 2048
-GROUP = 64
+GROUP = 128
 #: Pieces of ``GRAIN`` tokens cut for each window of a group, to even out its sums.
 CHANGE, GRAIN = 2, 24
 #: Share of a group's windows that its pieces fill; the rest lets the sums differ.
-FILL = 0.993
+FILL = 0.994
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -47,23 +48,39 @@ SCHEMA = T.StructType([
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Indices of ``sizes`` in k windows of near-equal sums (largest differencing method)."""
+    """Indices of ``sizes`` in at most k windows of near-equal sums (largest differencing method).
+
+    A partial partition is kept as its non-empty windows in the order of their sums,
+    counted from its emptiest window: only differences matter.
+    """
     tie = itertools.count()
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, next(tie), sums, [[i], *([] for _ in range(k - 1))]))
+    heap = [(-s, next(tie), [s], [[i]]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, windows_a = heapq.heappop(heap)
-        _, _, b, windows_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        merged = [x + y if x and y else x or y for x, y in zip(windows_a, reversed(windows_b))]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        sums -= sums[-1]  # only differences matter from here on
-        heapq.heappush(heap, (-int(sums[0]), next(tie), sums, [merged[j] for j in order]))
+        _, _, sums, parts = heapq.heappop(heap)
+        _, _, more, others = heapq.heappop(heap)
+        if len(sums) < len(more):
+            sums, parts, more, others = more, others, sums, parts
+        if len(more) == 1:
+            # One window: onto the emptiest of the other partition.
+            s, part = more[0], others[0]
+            if len(sums) == k:
+                s, part = s + sums.pop(0), parts.pop(0) + part
+            at = bisect.bisect(sums, s)
+            sums.insert(at, s)
+            parts.insert(at, part)
+        else:
+            # Fullest onto emptiest where both together have more than k windows.
+            shared = max(0, len(sums) + len(more) - k)
+            joined = [(x + y, a + b) for x, y, a, b in zip(sums[:shared], reversed(more[-shared:]), parts[:shared], reversed(others[-shared:]))] if shared else []
+            joined += zip(sums[shared:], parts[shared:])
+            joined += zip(more[:len(more) - shared], others[:len(more) - shared])
+            joined.sort(key=lambda w: w[0])
+            sums, parts = [w[0] for w in joined], [w[1] for w in joined]
+        if len(sums) == k and sums[0]:
+            low = sums[0]
+            sums = [s - low for s in sums]
+        heapq.heappush(heap, (-sums[-1], next(tie), sums, parts))
     return heap[0][3] if heap else []
 
 

@@ -17,9 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_UNITS = 500_000
+MAX_UNITS = 1_000_000
 MAX_UNIT_CHARS = 200
-MAX_CHARS = 16_000_000
+MAX_CHARS = 24_000_000
 _DOUBTFUL = re.compile(r"\s (?:\s|$)")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
