@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import packing, pieces, quality, toxicity
+from jobspectra.llm import packing, pieces, pii, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -62,6 +62,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), spans_col="found")
+    base = pii.base_only(F.col("found"))
+    return found.select("doc_id", *[pii.count(F.col("found"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+                        F.sha2(F.encode(pii.joined(base), "UTF-8"), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document; learned from ids whose checksum leaves a remainder by 5."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(5, 0))
@@ -74,5 +82,6 @@ ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op3_packing": (op3_packing, None),
     "op5_sentencepiece": (op5_sentencepiece, None),
+    "op6_pii": (op6_pii, None),
     "op8_toxicity": (op8_toxicity, None),
 }
