@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import packing, pieces, pii, quality, toxicity
+from jobspectra.llm import maintext, packing, pieces, pii, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -57,6 +57,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length in code points."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return maintext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, end id included, and what they decode to, as digests."""
     return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
@@ -81,6 +87,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op3_packing": (op3_packing, None),
+    "op4_main_text": (op4_main_text, None),
     "op5_sentencepiece": (op5_sentencepiece, None),
     "op6_pii": (op6_pii, None),
     "op8_toxicity": (op8_toxicity, None),
