@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags (inline tags and single line break
 white space or nothing). Each block has its word count and link density, those of its
 two neighbours, and whether it stands in a heading, in page furniture (menu, header,
 footer, sidebar, form), under a class or id that names such things, and in an article.
-A decision tree trained on ``LABELLED`` says which blocks are main text; they are joined
+A decision tree trained on ``LABELLED`` (in every place of a page) says which blocks are main text; they are joined
 in page order by line feeds.
 
 Null, empty and broken markup gives what can be read, at worst an empty text; repeated
@@ -42,50 +42,41 @@ _FURNITURE_HINT = re.compile(
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hint", "article", "heading", "article_on_page")
 
-# Labelled blocks: the features above in their order (link densities in percent), then 1 for main text.
+# Labelled blocks: words, link density in percent, the same of the block before and of the
+# block after, whether it is a heading; then 1 for main text if it stands in an article,
+# and if the page has no article.
 LABELLED = (
-    # Menus, footers, sidebars and forms by their element.
-    (1, 100, 0, 0, 1, 100, 1, 0, 0, 0, 1, 0), (1, 100, 1, 100, 1, 100, 1, 0, 0, 0, 1, 0), (2, 100, 1, 100, 8, 0, 1, 0, 0, 0, 1, 0),
-    (12, 0, 40, 0, 0, 0, 1, 0, 0, 0, 1, 0), (9, 20, 120, 0, 0, 0, 1, 0, 0, 0, 0, 0), (25, 0, 3, 0, 30, 0, 1, 0, 0, 0, 0, 0),
-    (40, 10, 4, 0, 60, 0, 1, 0, 0, 0, 1, 0), (3, 0, 0, 0, 5, 0, 1, 0, 0, 1, 1, 0), (6, 0, 60, 0, 4, 0, 1, 0, 1, 0, 1, 0),
-    (30, 5, 80, 0, 3, 100, 1, 0, 1, 0, 1, 0), (70, 0, 90, 0, 20, 0, 1, 0, 0, 0, 0, 0), (15, 60, 5, 100, 5, 100, 1, 0, 1, 0, 1, 0),
-    # The same, named by class or id.
-    (8, 0, 1, 100, 10, 0, 0, 1, 0, 0, 1, 0), (20, 0, 2, 100, 12, 0, 0, 1, 0, 0, 1, 0), (45, 0, 60, 0, 30, 0, 0, 1, 0, 0, 0, 0),
-    (5, 0, 0, 0, 20, 0, 0, 1, 0, 1, 0, 0), (60, 2, 55, 0, 35, 0, 0, 1, 0, 0, 1, 0), (10, 0, 90, 0, 80, 0, 0, 1, 1, 0, 1, 0),
-    (35, 0, 5, 0, 28, 0, 0, 1, 1, 0, 1, 0), (4, 100, 70, 0, 4, 100, 0, 1, 1, 0, 1, 0), (90, 0, 40, 0, 3, 0, 0, 1, 0, 0, 0, 0),
-    (14, 30, 3, 0, 14, 30, 1, 1, 0, 0, 0, 0), (3, 100, 3, 100, 3, 100, 1, 1, 0, 0, 1, 0), (28, 0, 28, 0, 28, 0, 1, 1, 0, 0, 1, 0),
-    (5, 0, 3, 0, 60, 0, 1, 0, 0, 0, 0, 0), (3, 100, 0, 0, 90, 0, 1, 0, 0, 0, 1, 0), (7, 0, 3, 0, 70, 0, 0, 1, 0, 0, 1, 0),
-    (9, 0, 60, 0, 70, 0, 0, 1, 1, 0, 1, 0), (6, 0, 30, 0, 40, 0, 1, 0, 1, 0, 1, 0),
-    # Outside of the article on a page that has one.
-    (6, 0, 1, 100, 10, 0, 0, 0, 0, 0, 1, 0), (14, 0, 2, 100, 9, 0, 0, 0, 0, 0, 1, 0), (30, 0, 1, 0, 12, 0, 0, 0, 0, 0, 1, 0),
-    (4, 0, 70, 0, 0, 0, 0, 0, 0, 0, 1, 0), (50, 0, 70, 0, 20, 0, 0, 0, 0, 0, 1, 0), (3, 0, 0, 0, 3, 100, 0, 0, 0, 1, 1, 0),
-    (2, 100, 0, 0, 2, 100, 0, 0, 0, 0, 1, 0), (80, 5, 4, 0, 6, 0, 0, 0, 0, 0, 1, 0),
-    (14, 0, 2, 100, 90, 0, 0, 0, 0, 0, 1, 0), (5, 0, 1, 100, 150, 0, 0, 0, 0, 0, 1, 0), (60, 0, 0, 0, 60, 0, 0, 0, 0, 0, 1, 0),
-    (8, 0, 100, 0, 70, 0, 0, 0, 0, 0, 1, 0), (40, 5, 60, 0, 50, 0, 0, 0, 0, 0, 1, 0), (10, 0, 0, 0, 45, 0, 0, 0, 0, 1, 1, 0),
-    # In the article: paragraphs of any length, headings, lists.
-    (10, 0, 8, 0, 12, 0, 0, 0, 1, 1, 1, 1), (3, 0, 20, 0, 60, 0, 0, 0, 1, 1, 1, 1), (60, 0, 10, 0, 80, 0, 0, 0, 1, 0, 1, 1),
-    (1, 0, 40, 0, 50, 0, 0, 0, 1, 0, 1, 1), (2, 0, 1, 0, 120, 0, 0, 0, 1, 0, 1, 1), (200, 0, 2, 0, 9, 0, 0, 0, 1, 0, 1, 1),
-    (30, 20, 60, 0, 40, 0, 0, 0, 1, 0, 1, 1), (15, 40, 30, 0, 30, 5, 0, 0, 1, 0, 1, 1), (7, 0, 7, 0, 7, 0, 0, 0, 1, 0, 1, 1),
-    (4, 0, 100, 0, 12, 20, 0, 0, 1, 0, 1, 1), (1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1), (90, 3, 90, 3, 0, 0, 0, 0, 1, 0, 1, 1),
-    (5, 0, 1, 100, 6, 0, 0, 0, 1, 0, 1, 1), (400, 0, 300, 0, 200, 0, 0, 0, 1, 0, 1, 1), (12, 50, 40, 0, 40, 0, 0, 0, 1, 0, 1, 1),
-    # Runs of links in the article.
-    (3, 100, 50, 0, 4, 100, 0, 0, 1, 0, 1, 0), (4, 100, 3, 100, 4, 100, 0, 0, 1, 0, 1, 0), (6, 100, 5, 100, 0, 0, 0, 0, 1, 0, 1, 0),
-    (8, 90, 80, 0, 8, 90, 0, 0, 1, 0, 1, 0),
-    # No article on the page: length, links and neighbours decide.
-    (60, 0, 8, 0, 80, 0, 0, 0, 0, 0, 0, 1), (25, 0, 30, 0, 30, 0, 0, 0, 0, 0, 0, 1), (120, 5, 3, 100, 60, 0, 0, 0, 0, 0, 0, 1),
-    (15, 0, 60, 0, 50, 0, 0, 0, 0, 0, 0, 1), (12, 10, 80, 0, 5, 0, 0, 0, 0, 0, 0, 1), (8, 0, 70, 0, 90, 0, 0, 0, 0, 0, 0, 1),
-    (3, 0, 50, 0, 60, 0, 0, 0, 0, 0, 0, 1), (6, 0, 2, 100, 70, 0, 0, 0, 0, 1, 0, 1), (4, 0, 40, 0, 45, 0, 0, 0, 0, 1, 0, 1),
-    (30, 0, 2, 100, 2, 100, 0, 0, 0, 0, 0, 1), (22, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (45, 25, 30, 0, 4, 0, 0, 0, 0, 0, 0, 1),
-    (9, 0, 0, 0, 40, 0, 0, 0, 0, 1, 0, 1), (2, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1), (11, 0, 25, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (3, 0, 2, 100, 20, 0, 0, 0, 0, 1, 0, 1), (5, 0, 15, 0, 15, 0, 0, 0, 0, 1, 0, 1), (4, 0, 3, 0, 12, 0, 0, 0, 0, 1, 0, 1),
-    (5, 0, 30, 0, 25, 0, 0, 0, 0, 0, 0, 1), (3, 0, 22, 0, 30, 0, 0, 0, 0, 0, 0, 1), (7, 0, 40, 0, 22, 0, 0, 0, 0, 0, 0, 1),
-    (7, 0, 1, 100, 1, 100, 0, 0, 0, 0, 0, 0), (3, 0, 1, 100, 6, 0, 0, 0, 0, 0, 0, 0),
-    (2, 100, 0, 0, 2, 100, 0, 0, 0, 0, 0, 0), (5, 100, 60, 0, 4, 100, 0, 0, 0, 0, 0, 0), (30, 90, 4, 100, 30, 90, 0, 0, 0, 0, 0, 0),
-    (3, 0, 2, 100, 2, 100, 0, 0, 0, 0, 0, 0), (4, 0, 1, 100, 0, 0, 0, 0, 0, 0, 0, 0), (6, 50, 3, 100, 5, 100, 0, 0, 0, 0, 0, 0),
-    (18, 70, 60, 0, 18, 70, 0, 0, 0, 0, 0, 0), (2, 0, 3, 0, 2, 0, 0, 0, 0, 0, 0, 0), (5, 0, 2, 100, 3, 0, 0, 0, 0, 0, 0, 0),
+    (60, 0, 8, 0, 80, 0, 0, 1, 1), (25, 0, 30, 0, 30, 0, 0, 1, 1), (120, 5, 3, 100, 60, 0, 0, 1, 1), (200, 0, 2, 0, 9, 0, 0, 1, 1),
+    (15, 0, 60, 0, 50, 0, 0, 1, 1), (12, 10, 80, 0, 5, 0, 0, 1, 1), (45, 25, 30, 0, 4, 0, 0, 1, 1), (90, 3, 90, 3, 0, 0, 0, 1, 1),
+    (30, 0, 2, 100, 2, 100, 0, 1, 1), (22, 0, 0, 0, 0, 0, 0, 1, 1), (35, 0, 1, 100, 40, 0, 0, 1, 1), (18, 0, 7, 0, 25, 0, 0, 1, 1),
+    (11, 0, 25, 0, 0, 0, 0, 1, 1), (400, 0, 300, 0, 200, 0, 0, 1, 1), (14, 0, 14, 0, 14, 0, 0, 1, 1), (50, 8, 6, 0, 6, 0, 0, 1, 1),
+    (8, 0, 70, 0, 90, 0, 0, 1, 1), (5, 0, 30, 0, 25, 0, 0, 1, 1), (3, 0, 50, 0, 60, 0, 0, 1, 1), (7, 0, 40, 0, 22, 0, 0, 1, 1),
+    (1, 0, 28, 0, 35, 0, 0, 1, 1), (6, 20, 45, 0, 55, 0, 0, 1, 1),
+    (6, 0, 2, 100, 70, 0, 1, 1, 1), (4, 0, 40, 0, 45, 0, 1, 1, 1), (3, 0, 2, 100, 20, 0, 1, 1, 1), (5, 0, 15, 0, 15, 0, 1, 1, 1),
+    (9, 0, 0, 0, 40, 0, 1, 1, 1), (4, 0, 3, 0, 12, 0, 1, 1, 1), (2, 0, 90, 0, 3, 0, 1, 1, 1), (12, 0, 6, 0, 130, 0, 1, 1, 1),
+    (4, 0, 1, 100, 25, 0, 1, 1, 1), (3, 0, 0, 0, 35, 0, 1, 1, 1), (6, 0, 1, 100, 18, 0, 1, 1, 1), (5, 0, 1, 100, 60, 0, 1, 1, 1),
+    (2, 0, 3, 0, 2, 0, 0, 1, 0), (5, 0, 2, 100, 3, 0, 0, 1, 0), (3, 0, 2, 100, 2, 100, 0, 1, 0), (4, 0, 1, 100, 0, 0, 0, 1, 0),
+    (6, 0, 3, 100, 5, 100, 0, 1, 0), (1, 0, 4, 0, 6, 0, 0, 1, 0), (7, 0, 60, 0, 0, 0, 0, 1, 0), (4, 0, 40, 0, 2, 0, 0, 1, 0),
+    (5, 0, 1, 100, 45, 0, 0, 1, 0), (2, 0, 0, 0, 30, 0, 0, 1, 0), (8, 0, 8, 0, 8, 0, 0, 1, 0),
+    (2, 100, 0, 0, 2, 100, 0, 0, 0), (5, 100, 60, 0, 4, 100, 0, 0, 0), (3, 100, 3, 100, 3, 100, 0, 0, 0), (8, 90, 80, 0, 8, 90, 0, 0, 0),
+    (4, 100, 6, 100, 70, 0, 0, 0, 0), (30, 90, 4, 100, 30, 90, 0, 0, 0), (18, 75, 60, 0, 18, 75, 0, 0, 0), (6, 100, 50, 0, 60, 0, 0, 0, 0),
+    (1, 100, 1, 100, 120, 0, 0, 0, 0), (10, 80, 25, 0, 30, 0, 0, 0, 0), (2, 100, 40, 0, 0, 0, 1, 0, 0),
 )
 
 
+def examples() -> tuple[np.ndarray, np.ndarray]:
+    """The labelled blocks in every place: in furniture or under its names they are never
+    main text, nor outside of the article of a page that has one."""
+    rows = []
+    for *numbers, heading, in_article, alone in LABELLED:
+        for furniture, hint, article, page, label in (
+                (1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (0, 1, 0, 0, 0), (0, 1, 0, 1, 0), (0, 1, 1, 1, 0), (1, 1, 0, 0, 0),
+                (0, 0, 0, 1, 0), (0, 0, 1, 1, in_article), (0, 0, 0, 0, alone)):
+            rows.append((*numbers, furniture, hint, article, heading, page, label))
+    table_ = np.array(rows, float)
+    return table_[:, :-1], table_[:, -1]
+
+
 class Block:
     __slots__ = ("text", "words", "links", "furniture", "hint", "article", "heading")
 
@@ -175,7 +166,7 @@ def table(found: list[Block]) -> np.ndarray:
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), rest, page]) if len(found) else np.zeros((0, 11))
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> tuple | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple | float:
     """Decision tree by Gini impurity: (feature, limit, at most, above) or a share of main text."""
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
@@ -196,8 +187,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> tuple | float:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(*examples())
 
 
 def classify(rows: np.ndarray, node: tuple | float) -> np.ndarray:
