@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import maintext, packing, pieces, pii, quality, toxicity
+from jobspectra.llm import maintext, neardup, packing, pieces, pii, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -51,6 +51,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and survivor flag of every document, on four-word shingles."""
+    return neardup.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence and the checksum of its ids."""
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -86,6 +91,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op2_near_duplicates": (op2_near_duplicates, None),
     "op3_packing": (op3_packing, None),
     "op4_main_text": (op4_main_text, None),
     "op5_sentencepiece": (op5_sentencepiece, None),
