@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import maintext, neardup, packing, pieces, pii, quality, toxicity
+from jobspectra.llm import maintext, neardup, ngramlm, packing, pieces, pii, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -89,6 +89,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram and base scores of every text, learned from ids whose checksum does not leave 2 by 7."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(7, 2))
+    return ngramlm.score(docs, ngramlm.fit(docs.where("NOT held_out"))).drop("text")
+
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_near_duplicates": (op2_near_duplicates, None),
@@ -97,4 +103,5 @@ ENTRIES: dict[str, tuple] = {
     "op5_sentencepiece": (op5_sentencepiece, None),
     "op6_pii": (op6_pii, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_lm_scoring": (op9_lm_scoring, None),
 }
