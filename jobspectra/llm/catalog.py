@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import maintext, neardup, ngramlm, packing, pieces, pii, quality, toxicity
+from jobspectra.llm import ann, maintext, neardup, ngramlm, packing, pieces, pii, quality, toxicity
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -81,6 +81,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode(pii.joined(base), "UTF-8"), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for each vector whose id is divisible by 100."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(table, F.col("vec_id") % 100 == 0, ann.fit(table))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document; learned from ids whose checksum leaves a remainder by 5."""
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(5, 0))
@@ -102,6 +108,7 @@ ENTRIES: dict[str, tuple] = {
     "op4_main_text": (op4_main_text, None),
     "op5_sentencepiece": (op5_sentencepiece, None),
     "op6_pii": (op6_pii, None),
+    "op7_nearest": (op7_nearest, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_lm_scoring": (op9_lm_scoring, None),
 }
