@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import ann, maintext, neardup, ngramlm, packing, pieces, pii, quality, toxicity
+from jobspectra.llm import ann, maintext, neardup, ngramlm, packing, pieces, pii, quality, tokenfile, toxicity
+from jobspectra.session import shared_dir
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -101,6 +104,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.score(docs, ngramlm.fit(docs.where("NOT held_out"))).drop("text")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids to coded files, read them back, and give place, length and checksum."""
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}/tokens"
+    tokenfile.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_near_duplicates": (op2_near_duplicates, None),
@@ -111,4 +121,5 @@ ENTRIES: dict[str, tuple] = {
     "op7_nearest": (op7_nearest, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_lm_scoring": (op9_lm_scoring, None),
+    "op10_token_files": (op10_token_files, None),
 }
