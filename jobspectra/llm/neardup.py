@@ -13,7 +13,8 @@ Groups of any size stay cheap and are never expanded into all pairs:
 * documents with equal sets are one node from the start;
 * first each node is compared only with the smallest node of each of its buckets, and
   joined to the one that looks most similar;
-* after that only nodes of different components that still share a bucket are compared.
+* after that only nodes that still share a bucket with another component are looked at,
+  and of those only pairs that share a shingle early in a common order, rare ones first.
 
 Components come from pointer jumping on tables; links and labels never leave the
 executors. Texts of one id count as one node, repeated rows give repeated result rows;
@@ -22,7 +23,10 @@ null texts and texts without words have an empty set and link with nothing.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +37,7 @@ from jobspectra.llm.words import blocks, mix, tabulate
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+COUNTERS = 1 << 18
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 SKETCH = T.StructType([
@@ -145,6 +150,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
+def _counters(placed: DataFrame) -> np.ndarray:
+    """How many sets hold shingles of each of ``COUNTERS`` hash values."""
+    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    width = COUNTERS // 16
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = [k for k in range(16) if total[k * width:(k + 1) * width].any()]
+        yield {"slice": used, "counts": [zlib.compress(total[k * width:(k + 1) * width].tobytes(), 1) for k in used]}
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in table.column("counts").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())}, schema=table.schema)
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in tabulate(placed.select("shingles"), schema, count).groupBy("slice").applyInArrow(add, schema).collect():
+        out[r.slice * width:(r.slice + 1) * width] = np.frombuffer(bytes(r.counts), np.int64)
+    return out
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that can reach the similarity.
+
+    Shingles are put in one order for all sets, rare ones first. If two sets are similar,
+    the first shingle they share stands early in both: at most so many can stand before
+    it that what is left allows the overlap. Only those positions are joined, so edited
+    copies of one text, each with rare shingles of its own, do not meet at all.
+    """
+    held = placed.sparkSession.sparkContext.broadcast(_counters(placed))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "label", "n", "shingle", "left")])
+
+    def early(batches):
+        counts = held.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out: dict[str, list] = {f.name: [] for f in schema.fields}
+                for node, label, shingles in zip(part.column("id").to_pylist(), part.column("label").to_pylist(), part.column("shingles")):
+                    own = shingles.values.to_numpy().view(np.uint64)
+                    n = len(own)
+                    first = n - -(-percent * n // 100) + 1
+                    rare = np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))[:first]
+                    out["id"].append(np.full(first, node))
+                    out["label"].append(np.full(first, label))
+                    out["n"].append(np.full(first, n))
+                    out["shingle"].append(own[rare].view(np.int64))
+                    out["left"].append(n - np.arange(first))
+                yield {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+
+    rows = tabulate(placed.select("id", "label", "shingles"), schema, early)
+    side = lambda x: rows.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "left")])
+    possible = f"label_a < label_b AND {100 + percent} * least(left_a, left_b) >= {percent} * (n_a + n_b)"
+    return side("a").join(side("b"), "shingle").where(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node reachable from each node: (id, label).
 
@@ -194,12 +257,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = stored(_confirmed(best, sets, percent), "links")
     labels = components(nodes.select("id"), links)
 
-    # Whatever still shares a bucket across components: every such pair is looked at.
+    # Nodes that still share a bucket with another component: candidates among them.
     placed = members.select("key", "id").join(labels, "id")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    placed = stored(placed.join(mixed, "key"), "placed")
-    cross = placed.select("key", F.col("id").alias("a"), F.col("label").alias("x")) \
-        .join(placed.select("key", F.col("id").alias("b"), F.col("label").alias("y")), "key").where("x < y").select("a", "b").distinct()
+    placed = placed.join(mixed, "key").select("id", "label").distinct()
+    cross = stored(_across(stored(placed.join(sets, "id"), "placed"), percent), "cross")
     more = stored(_confirmed(_estimated(cross, nodes, least), sets, percent), "more")
     labels = components(nodes.select("id"), links.unionByName(more))
 
