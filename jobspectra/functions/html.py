@@ -83,6 +83,7 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rules, self.own_prefix = rules, own_prefix
         self.found: dict[str, list[str]] = {r.field: [] for r in rules}
+        self.inner: dict[int, list[str]] = {}
         self.prefixed: list[str] = []
         self._open: list[list] = []
 
@@ -92,11 +93,13 @@ class PageReader(HTMLParser):
         for rule in self.rules:
             if not rule.matches(tag, attributes):
                 continue
-            if rule.inside and not any(name == rule.inside for _, caps, _ in self._open
-                                       for name, _ in caps):
+            outer = [held for _, caps, _ in self._open for name, held in caps if name == rule.inside]
+            if rule.inside and not outer:
                 continue
             entry: list[str] = [attributes.get(rule.take[5:], "")] if rule.take.startswith("attr:") else []
             self.found[rule.field].append(entry)
+            if outer:
+                self.inner.setdefault(id(outer[-1]), entry)
             captures.append((rule.field, None if rule.take.startswith("attr:") else entry))
         own = ([], []) if self.own_prefix and tag == "div" else None
         if tag not in VOID_TAGS:
@@ -132,3 +135,7 @@ class PageReader(HTMLParser):
         for _, _, own in reversed(self._open):
             self._close(own)
         return {field: ["".join(e) for e in entries] for field, entries in self.found.items()}
+
+    def innermost(self, field: str) -> list[str]:
+        """Per element of the field the text of the first element found inside it, else its own."""
+        return ["".join(self.inner.get(id(e), e)) for e in self.found[field]]

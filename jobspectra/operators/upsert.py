@@ -22,13 +22,14 @@ def last_per_key(batch: DataFrame, key: str, seq: str, first: Sequence[str] = ()
     """One row per key: values of the last sighting, except ``first`` of the earliest.
 
     Uses aggregates, not a window, so a key repeated millions of times is combined
-    before the shuffle. Skills come from the last sighting that had any.
+    before the shuffle. Skills come from the last sighting that had any, and are empty without one.
     """
     others = [c for c in batch.columns if c not in (key, seq, *first, "skills")]
     aggregates = [F.max_by(F.struct(*others), seq).alias("_last")]
     aggregates += [F.min_by(c, seq).alias(c) for c in first]
     if "skills" in batch.columns:
-        aggregates.append(F.max_by("skills", F.when(F.size("skills") > 0, F.col(seq))).alias("skills"))
+        latest = F.max_by("skills", F.when(F.size("skills") > 0, F.col(seq)))
+        aggregates.append(F.coalesce(latest, F.array().cast("array<string>")).alias("skills"))
     merged = batch.groupBy(key).agg(*aggregates)
     return merged.select(key, "_last.*", *first, *(["skills"] if "skills" in batch.columns else []))
 

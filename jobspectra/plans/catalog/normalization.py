@@ -325,4 +325,4 @@ add("html_postings",
     CAST(floor(o_totalprice) AS DECIMAL(14,2)) AS salary_from, CAST(NULL AS DECIMAL(14,2)) AS salary_to, 'RUR' AS salary_currency,
     false AS salary_gross, {b.sql_choose(b.EXPERIENCES, 'o_orderkey')} AS experience_raw,
     {b.sql_choose(list(FORMAT_TEXTS.values()), 'o_orderkey')} AS employment_format, o_orderdate AS published_at,
-    {b.sql_choose(b.DESCRIPTIONS, 'o_custkey')} || 'ab' AS description, 'React' AS skills FROM orders WHERE o_orderkey % 13 <> 0""")
+    {b.sql_choose(b.DESCRIPTIONS, 'o_custkey')} || 'ab' AS description, 'React|Git' AS skills FROM orders WHERE o_orderkey % 13 <> 0""")

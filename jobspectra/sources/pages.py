@@ -44,7 +44,7 @@ def split_blocked(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def page_texts(pages: DataFrame, rules: list[Rule] = POSTING_RULES,
-               phrase: str | None = PUBLISHED_PHRASE) -> DataFrame:
+               phrase: str | None = PUBLISHED_PHRASE, keep_html: bool = False) -> DataFrame:
     """Text of every configured element; first hit for single fields, all for lists.
 
     Nested markup needs a tree, so this one step runs in Python over Arrow batches; all
@@ -58,28 +58,29 @@ def page_texts(pages: DataFrame, rules: list[Rule] = POSTING_RULES,
                 reader.feed(markup or "")
                 found = reader.finish()
                 first = [(found.get(name) or [None])[0] for name in _TEXTS]
-                skills = found.get("skill_tag") or found.get("skill") or []
+                skills = reader.innermost("skill") if "skill" in found else []
                 dates = (found.get("published", [])[:1] + found.get("published_alt", [])[:1]
                          + reader.prefixed)
-                rows.append([page_id, url, *first, [s for s in skills if s], dates])
-            yield pd.DataFrame(rows, columns=["page_id", "url", *_TEXTS, "skill", "published"])
+                rows.append([page_id, url, *first, [s for s in skills if s], dates, *[markup] * keep_html])
+            yield pd.DataFrame(rows, columns=["page_id", "url", *_TEXTS, "skill", "published", *["html"] * keep_html])
 
     return pages.select("page_id", "url", "html").mapInPandas(
-        read, schema=f"page_id long, url string, {_SCHEMA}")
+        read, schema=f"page_id long, url string, {_SCHEMA}" + ", html string" * keep_html)
 
 
 def raw_postings(pages: DataFrame, current_year: Column | int,
                  rules: list[Rule] = POSTING_RULES, id_segment: str = "vacancy",
-                 keep_html: bool = False) -> DataFrame:
-    """Raw posting rows; a page without a title yields no row."""
+                 keep_html: bool = True) -> DataFrame:
+    """Raw posting rows; a page without a title yields no row. The markup comes along
+    unless ``keep_html`` is off."""
     year = F.lit(current_year) if isinstance(current_year, int) else current_year
-    texts = page_texts(pages, rules).where("title is not null and title <> ''")
+    texts = page_texts(pages, rules, keep_html=keep_html).where("title is not null and title <> ''")
     pay = salary.salary_from_text(F.col("salary"))
     dates = F.filter(F.transform("published", lambda d: fields.russian_date(d, year)),
                      lambda d: d.isNotNull())
     rows = texts.select(
         F.coalesce(fields.id_after(F.col("url"), id_segment), F.col("page_id")).alias("posting_id"),
-        "page_id", "title", "url", "employer_name",
+        "title", "url", "employer_name",
         fields.id_after(F.col("employer_url"), "employer").alias("employer_id"), "employer_url",
         pay["amount_from"].alias("salary_from"), pay["amount_to"].alias("salary_to"),
         pay["currency"].alias("salary_currency"), pay["gross"].alias("salary_gross"),
@@ -88,11 +89,9 @@ def raw_postings(pages: DataFrame, current_year: Column | int,
         F.lit(None).cast("string").alias("area_name"),
         F.get(dates, F.lit(0)).alias("published_at"), "description",
         F.col("skill").alias("skills"), F.lit("html").alias("source_type"),
-        F.lit(None).cast("string").alias("raw_payload"))
-    if not keep_html:
-        return rows.withColumn("raw_html", F.lit(None).cast("string")).drop("page_id")
-    stored = pages.select("page_id", F.col("html").alias("raw_html"))
-    return rows.join(stored, "page_id").drop("page_id")
+        F.lit(None).cast("string").alias("raw_payload"),
+        (F.col("html") if keep_html else F.lit(None).cast("string")).alias("raw_html"))
+    return rows
 
 
 def search_links(pages: DataFrame, base_url: str, marker: str = SEARCH_LINK,

@@ -20,10 +20,18 @@ def test_posting_page(spark):
     assert (got.posting_id, got.title, got.employer_name, got.employer_id) == (55, "SeniorFrontend", "Big & Co", 67890)
     assert (got.salary_from, got.salary_to, got.salary_currency, got.salary_gross) == (D(300000), D(450000), "RUR", True)
     assert (got.experience_raw, got.employment_format) == ("От 3 до 6 лет", "hybrid")
-    assert got.description == "Одиндватри" and got.skills == ["React"] and got.raw_html == PAGE
+    assert got.description == "Одиндватри" and got.skills == ["React", "Git"] and got.raw_html == PAGE
     assert got.published_at == dt.datetime(2026, 6, 3)
 
 
+def test_skills_are_taken_node_by_node(spark):
+    node = '<li data-qa="skills-element">%s</li>'
+    inner = '<div class="x-tag__label">%s</div>'
+    page = '<h1 data-qa="vacancy-title">t</h1>' + node % "Vue" + node % (inner % "React" + inner % "Redux") + node % (inner % "CSS")
+    df = spark.createDataFrame([(1, "/vacancy/1", page)], "page_id long, url string, html string")
+    assert one(pages.raw_postings(df, 2026, keep_html=False)).skills == ["Vue", "React", "CSS"]
+
+
 def test_search_page_links(spark):
     html = ('<h1 data-qa="title">Найдено 1 426 вакансий</h1><a class="serp-item__title" href="/vacancy/111?from=x">a</a>'
             '<a class="serp-item__title" href="https://x.example/vacancy/222">b</a><a class="serp-item__title" href="/vacancy/111?dup">c</a>')
