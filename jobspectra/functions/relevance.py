@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from jobspectra.functions.lexicon import MAX_TERMS, occurring, sql_text
+from jobspectra.functions.lexicon import occurring, sql_text
 
 # --- fixed values: scoring rules ------------------------------------------------------
 THRESHOLD = 0.0
@@ -18,13 +18,10 @@ LOW_SCORE_REASON = "low_score"
 
 def active_terms(terms: DataFrame) -> list[Row]:
     """The active dictionary in order. It is curated configuration and is read to the
-    driver once per job, within the size limit of a lexicon."""
-    rows = (terms.where("active").select("ord", F.lower("term").alias("term"), "kind", "field_scope",
+    driver once per job."""
+    return (terms.where("active").select("ord", F.lower("term").alias("term"), "kind", "field_scope",
                                          F.col("weight").cast("double").alias("weight"))
-            .orderBy("ord", "term").limit(MAX_TERMS + 1).collect())
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"a dictionary is limited to {MAX_TERMS} terms")
-    return rows
+            .orderBy("ord", "term").collect())
 
 
 def score_postings(postings: DataFrame, terms: DataFrame, *, threshold: float = THRESHOLD,

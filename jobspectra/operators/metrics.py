@@ -232,21 +232,31 @@ def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,
     links = skill_rows(rows, *by, "posting_id")
     counts = links.groupBy(*by, "skill").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "skill"))
-    frequent = counts.withColumn("rank", rank).where(F.col("rank") <= SEED_SKILLS)
-    seeds = frequent.agg(F.collect_set("skill").alias("s")).scalar()
-    sampled = _pair_counts(rows.select(*by, F.array_intersect("skills", seeds).alias("s")), by)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "a", "b"))
-    nth = sampled.withColumn("rank", place).where(F.col("rank") == _limit(n))
+    ranked = counts.withColumn("rank", rank)
+    size = SEED_SKILLS
+    while True:
+        seeds = ranked.where(F.col("rank") <= size).agg(F.collect_set("skill").alias("s")).scalar()
+        sampled = _pair_counts(rows.select(*by, F.array_intersect("skills", seeds).alias("s")), by)
+        nth = sampled.withColumn("rank", place).where(F.col("rank") == _limit(n))
+        bounds = [] if by else nth.select(F.col("count").alias("_bound")).collect()  # one row at most
+        # Without a bound nothing would be pruned: look among more skills, as long as there are.
+        if by or bounds or ranked.where(F.col("rank") > size).isEmpty():
+            break
+        size *= 8
     if by:
         bounds = nth.select(*by, F.col("count").alias("_bound"))
         kept = counts.join(bounds, by, "left").where(F.col("count") >= F.coalesce("_bound", F.lit(0)))
+        # The links of a posting leave one task together, so regrouping them combines before
+        # its shuffle: one short array per posting travels.
+        arrays = (links.join(kept.select(*by, "skill"), [*by, "skill"], "left_semi")
+                  .groupBy(*by, "posting_id").agg(F.collect_list("skill").alias("s")))
+    elif bounds:
+        # No more than links / bound skills reach the bound; arrays are pruned in place.
+        names = counts.where(F.col("count") >= bounds[0]["_bound"]).agg(F.collect_set("skill").alias("s")).scalar()
+        arrays = rows.select(F.array_intersect("skills", names).alias("s"))
     else:
-        bound = nth.agg(F.coalesce(F.max("count"), F.lit(0)).alias("b")).scalar()
-        kept = counts.where(F.col("count") >= bound)
-    # The links of a posting leave one task together, so regrouping them combines before
-    # its shuffle: one short array per posting travels.
-    arrays = (links.join(kept.select(*by, "skill"), [*by, "skill"], "left_semi")
-              .groupBy(*by, "posting_id").agg(F.collect_list("skill").alias("s")))
+        arrays = rows.select(F.array_distinct("skills").alias("s"))
     exact = _pair_counts(arrays, by)
     best = exact.withColumn("rank", place).where(F.col("rank") <= n)
     if by:

@@ -13,7 +13,7 @@ from jobspectra.operators.metrics import ALL, Slice, skill_rows
 from jobspectra.operators.quantiles import (
     BOUNDED_GROUPS, bin_counts, choose_bins, exact_percentiles, merge_by_group, percentiles,
     pick_values, value_counts, with_bin)
-from jobspectra.schema import GRADE_IDS, MAX_TOP_N
+from jobspectra.schema import GRADE_IDS
 
 
 def salary_histogram(postings: DataFrame, width: int, where: Slice = ALL) -> DataFrame:
@@ -71,27 +71,45 @@ def remote_premium(postings: DataFrame, where: Slice = ALL) -> DataFrame:
                        F.round(F.col("m0") - F.col("m1"), 4).alias("premium"))
 
 
-def skill_premium(postings: DataFrame, where: Slice = ALL, n: int = MAX_TOP_N) -> DataFrame:
-    """Median estimate with a skill minus the median without it, for the top ``n`` skills.
+def skill_premium(postings: DataFrame, where: Slice = ALL, n: int | None = None) -> DataFrame:
+    """Median estimate with a skill minus the median without it, for all skills or the top ``n``.
 
     "Without" is never formed row by row: per skill it is the counts of all postings
-    minus those of the postings with the skill. That difference is taken over coarse
-    bins first and over single values only inside the one or two bins of the median.
+    minus those of the postings with the skill. Taking away k postings moves the median
+    by at most k ranks, so only the coarse bins in that reach are set against the skill's
+    own; the bins below and above are summed up. Single values are looked at only inside
+    the one or two bins of the median.
     """
     rows = where.apply(postings)
     having = value_counts(skill_rows(rows, "estimate"), ["skill"], "estimate")
     everyone = value_counts(rows, [], "estimate")
-    sizes = having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
-    best = sizes.orderBy(F.desc("sample_size"), "skill").limit(n)
-    names = best.agg(F.collect_list("skill").alias("s")).scalar()
-    having = having.where(F.array_contains(names, F.col("skill")))
-
-    bins = _minus(bin_counts(everyone, []).select(F.explode(names).alias("skill"), "_bin", "_count"),
-                  bin_counts(having, ["skill"]), ["skill", "_bin"])
-    chosen = choose_bins(bins, ["skill"], (50,))
+    best = having.groupBy("skill").agg(F.sum("_count").alias("sample_size"))
+    if n is not None:
+        best = best.orderBy(F.desc("sample_size"), "skill").limit(n)
+        having = having.join(best.select("skill"), "skill", "left_semi")
+
+    # Bins of all postings with the number of postings up to each: one short array.
+    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = bin_counts(everyone, []).select("_bin", "_count", F.sum("_count").over(upto).alias("_upto"))
+    every = summed.agg(F.array_sort(F.collect_list(F.struct("_bin", "_count", "_upto"))).alias("b")).scalar()
+    known = best.select("skill", "sample_size", every.alias("_every"))
+    known = known.select("*", F.col("_every")[F.size("_every") - 1]["_upto"].alias("_all")) \
+        .withColumn("_rest", F.col("_all") - F.col("sample_size")).where("_rest > 0")
+    low, high = F.expr("(_rest - 1) div 2 + 1"), F.expr("_rest div 2 + sample_size")
+    reach = known.select("skill", "_all", F.filter("_every", lambda x: (x["_upto"] >= low) & (
+        x["_upto"] - x["_count"] <= high)).alias("_near"))
+    reach = reach.select("skill", "_near", F.col("_near")[0].alias("_a"), F.col("_near")[F.size("_near") - 1].alias("_z"), "_all")
+    ends = F.array(F.struct((F.col("_a._bin") - 1).alias("_bin"), (F.col("_a._upto") - F.col("_a._count")).alias("_count")),
+                   F.struct((F.col("_z._bin") + 1).alias("_bin"), (F.col("_all") - F.col("_z._upto")).alias("_count")))
+    inside = F.transform("_near", lambda x: F.struct(x["_bin"].alias("_bin"), x["_count"].alias("_count")))
+    left = reach.select("skill", F.explode(F.concat(ends, inside)).alias("x")).select("skill", "x._bin", "x._count")
+    limits = reach.select("skill", (F.col("_a._bin") - 1).alias("_low"), (F.col("_z._bin") + 1).alias("_high"))
+    own = bin_counts(having, ["skill"]).join(limits, "skill").select(
+        "skill", F.greatest("_low", F.least("_high", "_bin")).alias("_bin"), "_count")
+    chosen = choose_bins(_minus(left, own, ["skill", "_bin"]), ["skill"], (50,))
     places = chosen.select(F.col("_k_skill").alias("skill"), F.col("_k_bin").alias("_bin"))
-    lacking = _minus(with_bin(everyone).join(F.broadcast(places), "_bin").select("skill", "_cents", "_count"),
-                     with_bin(having).join(F.broadcast(places), ["skill", "_bin"]).select("skill", "_cents", "_count"),
+    lacking = _minus(with_bin(everyone).join(places, "_bin").select("skill", "_cents", "_count"),
+                     with_bin(having).join(places, ["skill", "_bin"]).select("skill", "_cents", "_count"),
                      ["skill", "_cents"])
     without = pick_values(lacking, chosen, ["skill"], (50,), ["median_without"])
     having_medians = percentiles(having, ["skill"], (50,), ["median_with"])

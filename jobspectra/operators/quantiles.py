@@ -29,10 +29,9 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return counted.select(*groups, (F.col(value) * 100).cast("long").alias(_CENTS), _COUNT)
 
 
-# Group columns whose number of values is bounded by the calendar, by a fixed list or by
-# a top-N limit. Only for these the chosen bins may be broadcast.
-BOUNDED_GROUPS = {"grade_id", "employment_format", "slice", "period_start", "period_type", "point",
-                  "day", "skill", "has", "_key"}
+# Group columns whose values come from a fixed list. Only for these the chosen bins may be
+# broadcast by hint; otherwise AQE decides by the measured size.
+BOUNDED_GROUPS = {"grade_id", "employment_format", "period_type", "has"}
 
 
 def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int],

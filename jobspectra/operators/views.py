@@ -124,9 +124,11 @@ def posting_listing(postings: DataFrame, employers: DataFrame, where: Slice = AL
     chosen = (rows.select("posting_id", "title", "employer_id", "grade_id", "amount_from", "amount_to",
                           "currency", "gross", "estimate", "employment_format", "published_at", "url")
               .orderBy(F.desc("published_at"), "posting_id").offset((page - 1) * page_size).limit(page_size))
-    # Only one page of rows reaches this join, so the page is the side to broadcast.
-    named = F.broadcast(chosen).join(employers.select("employer_id", F.col("name").alias("employer_name")),
-                                     "employer_id", "left")
+    # A page has at most MAX_PAGE_SIZE rows: broadcast, it picks the employers, which are
+    # then as few themselves. Neither side is shuffled.
+    ids = F.broadcast(chosen.select("employer_id").distinct())
+    firms = employers.select("employer_id", F.col("name").alias("employer_name")).join(ids, "employer_id", "left_semi")
+    named = chosen.join(F.broadcast(firms), "employer_id", "left")
     return named.select(
         "posting_id", "title", "employer_id", "employer_name",
         m.grade_label(F.col("grade_id"), 1).alias("grade"), "amount_from", "amount_to", "currency", "gross",

@@ -68,7 +68,7 @@ def raw_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str, skills: str | None = None) -> DataFrame:
-    """Stored postings; ``skills`` names the part column that plays the skill."""
+    """Stored postings; ``skills`` is the part column, or SQL over part columns, that plays the skill."""
     experience = ", ".join(f"'{e}'" for e in EXPERIENCES)
     raw = load(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS posting_id", "concat('Posting ', o_orderkey) AS title",
@@ -88,7 +88,7 @@ def postings(spark: SparkSession, sf_dir: str, skills: str | None = None) -> Dat
 def links(spark: SparkSession, sf_dir: str, skills: str = "p_brand") -> DataFrame:
     """(posting_id, skill) sightings, repeats included."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    parts = load(spark, sf_dir, "part").select("p_partkey", F.col(skills).alias("skill"))
+    parts = load(spark, sf_dir, "part").select("p_partkey", F.expr(skills).alias("skill"))
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.col("l_orderkey").alias("posting_id"), "skill")
 

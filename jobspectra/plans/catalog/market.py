@@ -216,13 +216,16 @@ add("remote_premium", lambda s, d: premiums.remote_premium(postings(s, d)),
     f"""{WITH}, x AS (SELECT {MEDIAN.format("employment_format = 'remote'")} AS a,
     {MEDIAN.format("employment_format = 'office'")} AS b FROM p WHERE estimate IS NOT NULL)
     SELECT a AS remote_median, b AS office_median, round(a - b, 4) AS premium FROM x""")
-add("skill_premium", lambda s, d: premiums.skill_premium(postings(s, d, "p_brand")),
-    f"""{WITH}, e AS (SELECT * FROM p WHERE estimate IS NOT NULL), s AS (SELECT DISTINCT skill FROM sk),
+SKILL_PREMIUM = f"""{WITH}, e AS (SELECT * FROM p WHERE estimate IS NOT NULL), s AS (SELECT DISTINCT skill FROM sk),
     x AS (SELECT s.skill, e.estimate, sk.posting_id IS NOT NULL AS has FROM s CROSS JOIN e
           LEFT JOIN sk ON sk.skill = s.skill AND sk.posting_id = e.posting_id),
     y AS (SELECT skill, count(*) FILTER (has) AS n, {MEDIAN.format('has')} AS a, {MEDIAN.format('NOT has')} AS b
           FROM x GROUP BY 1)
-    SELECT skill, n AS sample_size, a AS median_with, b AS median_without, round(a - b, 4) AS premium FROM y""")
+    SELECT skill, n AS sample_size, a AS median_with, b AS median_without, round(a - b, 4) AS premium FROM y"""
+add("skill_premium", lambda s, d: premiums.skill_premium(postings(s, d, "p_brand")), SKILL_PREMIUM)
+# More skills than any top list holds.
+add("skill_premium_names", lambda s, d: premiums.skill_premium(postings(s, d, "concat(p_name, ' ', p_brand)")),
+    SKILL_PREMIUM.replace("p_brand AS skill", "p_name || ' ' || p_brand AS skill"))
 add("salary_in_currency", lambda s, d: premiums.salary_in_currency(postings(s, d), "USD", "gross"),
     f"""{WITH} SELECT 'USD' AS currency, 'gross' AS basis,
     round(round(quantile_cont(CAST(estimate AS DOUBLE), 0.25), 4) / 90 / (1.0::DOUBLE - 0.13::DOUBLE), 4) AS p25,
