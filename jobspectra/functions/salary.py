@@ -28,9 +28,9 @@ def rate_to_base(code: str) -> str:
 
 def net_in_base(amount: str, rate: str, gross: str, tax: str = TAX_RATE) -> str:
     """SQL of one bound in the base currency after tax; unknown ``gross`` counts as gross.
-    A zero amount is a missing amount."""
+    A zero amount is a missing amount; one that overflows the money type gives NULL."""
     kept = f"CAST(if(coalesce({gross}, true), 1 - {tax}, 1) AS decimal(5,4))"
-    return f"CAST(nullif({amount}, CAST(0 AS {_MONEY})) * {rate} * {kept} AS {_MONEY})"
+    return f"try_cast(nullif({amount}, CAST(0 AS {_MONEY})) * {rate} * {kept} AS {_MONEY})"
 
 
 def point_estimate(low: str, high: str) -> str:
@@ -47,7 +47,7 @@ def with_salary(df: DataFrame, tax: str = TAX_RATE) -> DataFrame:
     kept = [c for c in df.columns if c not in RAW_COLUMNS]
     code = f"upper(coalesce(nullif(salary_currency, ''), '{DEFAULT_CURRENCY}'))"
     typed = df.selectExpr(
-        *kept, f"CAST(salary_from AS {_MONEY}) AS amount_from", f"CAST(salary_to AS {_MONEY}) AS amount_to",
+        *kept, f"try_cast(salary_from AS {_MONEY}) AS amount_from", f"try_cast(salary_to AS {_MONEY}) AS amount_to",
         f"{code} AS _code", f"{rate_to_base(code)} AS _rate", "salary_gross AS _gross")
     has = "amount_from IS NOT NULL OR amount_to IS NOT NULL"
     net = typed.selectExpr(
@@ -57,6 +57,13 @@ def with_salary(df: DataFrame, tax: str = TAX_RATE) -> DataFrame:
     return net.selectExpr("*", f"{point_estimate('from_net', 'to_net')} AS estimate")
 
 
+def overflows() -> str:
+    """SQL: a bound of the raw salary columns does not fit the money type, as given or in the base currency."""
+    code = f"upper(coalesce(nullif(salary_currency, ''), '{DEFAULT_CURRENCY}'))"
+    bound = lambda c: f"({c} <> 0 AND {net_in_base(f'try_cast({c} AS {_MONEY})', rate_to_base(code), 'salary_gross')} IS NULL)"
+    return f"(coalesce({bound('salary_from')}, false) OR coalesce({bound('salary_to')}, false))"
+
+
 def salary_from_text(text: Column) -> Column:
     """Struct (amount_from, amount_to, currency, gross) read from a salary phrase."""
     clean = F.lower(text)

@@ -9,10 +9,13 @@ OUTCOMES = ("created", "updated", "filtered", "error", "blocked")
 
 
 def run_counters(outcomes: DataFrame, *by: str) -> DataFrame:
-    """Counters of tagged rows (column ``outcome``), one row per run."""
-    hit = lambda o: F.count_if(F.col("outcome") == o)
+    """Counters of tagged rows (column ``outcome``), one row per run. A column ``times``
+    says how many sightings a row stands for."""
+    times = F.col("times") if "times" in outcomes.columns else F.lit(1).cast("long")
+    total = lambda which: F.coalesce(F.sum(F.when(which, times)), F.lit(0))
+    hit = lambda o: total(F.col("outcome") == o)
     counted = outcomes.groupBy(*by).agg(
-        F.count_if(F.col("outcome") != "blocked").alias("found_total"), hit("created").alias("created_count"),
+        total(F.col("outcome") != "blocked").alias("found_total"), hit("created").alias("created_count"),
         hit("updated").alias("updated_count"), hit("filtered").alias("filtered_count"),
         hit("error").alias("error_count"), hit("blocked").alias("captcha_count"))
     return counted.withColumn("status", F.when(F.col("error_count") == 0, "success").otherwise("partial"))

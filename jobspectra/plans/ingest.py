@@ -32,9 +32,9 @@ def normalize(raw: DataFrame, batch_ts: Column, *extra: str) -> DataFrame:
 
 def tag_batch(raw: DataFrame, terms: DataFrame) -> DataFrame:
     """Scored rows with ``outcome``: error, filtered or accepted. A row without id or
-    title is an error and is counted, not fatal."""
+    title, or with a salary beyond the money type, is an error and is counted, not fatal."""
     scored = score_postings(raw, terms)
-    broken = F.col("posting_id").isNull() | F.col("title").isNull()
+    broken = F.col("posting_id").isNull() | F.col("title").isNull() | F.expr(salary.overflows())
     return scored.withColumn("outcome", F.when(broken, "error").when(~F.col("relevant"), "filtered")
                              .otherwise("accepted"))
 
@@ -43,8 +43,26 @@ def ingest_batch(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetim
                  blocked: int = 0, meta: dict | None = None, snapshots: bool = True) -> None:
     """One idempotent run over a batch; repeating it with the same run id changes nothing.
 
-    ``raw`` carries ``seq``, the order of sightings.
+    ``raw`` carries ``seq``, the order of sightings. The journal shows the run as
+    ``running`` from its start, and as ``failed`` if it breaks off.
     """
+    store.replace_partitions("ingestion_runs", _unfinished(store, run_id, batch_ts, "running", blocked, meta))
+    try:
+        _ingest(store, raw, run_id, batch_ts, blocked, meta, snapshots)
+    except Exception:
+        store.replace_partitions("ingestion_runs", _unfinished(store, run_id, batch_ts, "failed", blocked, meta))
+        raise
+
+
+def _unfinished(store: Store, run_id: str, batch_ts: dt.datetime, status: str, blocked: int, meta: dict | None) -> DataFrame:
+    """Journal row of a run that has no counters."""
+    none = store.spark.range(0).select(F.lit("error").alias("outcome"), F.lit(0).cast("long").alias("times"))
+    row = _journal_row(store, none, run_id, batch_ts, blocked, meta)
+    ended = F.col("finished_at") if status == "failed" else F.lit(None).cast("timestamp_ntz")
+    return row.withColumns({"status": F.lit(status), "finished_at": ended}).select(*RUN.names)
+
+
+def _ingest(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetime, blocked: int, meta: dict | None, snapshots: bool) -> None:
     stamp = F.lit(batch_ts.isoformat(sep=" ")).cast("timestamp_ntz")
     defaults = default_terms(store.spark)
     terms = store.read("relevance_terms")
@@ -59,6 +77,7 @@ def ingest_batch(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetim
 
     rejected = tagged.where("outcome = 'filtered'").select(
         "posting_id", "title", "reason", "matched_stopword", F.lit(run_id).alias("run_id"))
+    store.drop_partition("filtered_postings", run_id)  # of an earlier attempt that rejected more
     store.replace_partitions("filtered_postings", rejected)
     store.replace_partitions("employers", _touched(
         store, "employers", upsert.employers_of(accepted, "seq"), "employer_id"))
@@ -73,8 +92,12 @@ def ingest_batch(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetim
     store.replace_partitions("postings", upsert.apply_batch(touched, merged))
     store.replace_partitions("ingestion_runs", journal_row)
     if snapshots:
-        fresh = build_snapshots(store.read("postings"), store.read("employers"))
-        store.replace_partitions("snapshots", replace_snapshots(store.read("snapshots"), fresh))
+        refresh_snapshots(store)
+
+
+def refresh_snapshots(store: Store) -> None:
+    fresh = build_snapshots(store.read("postings"), store.read("employers"))
+    store.replace_partitions("snapshots", replace_snapshots(store.read("snapshots"), fresh))
 
 
 def _touched(store: Store, table: str, batch: DataFrame, key: str) -> DataFrame:
@@ -86,10 +109,13 @@ def _touched(store: Store, table: str, batch: DataFrame, key: str) -> DataFrame:
 
 
 def _outcomes(tagged: DataFrame, merged: DataFrame) -> DataFrame:
-    """One outcome per rejected or broken row and per stored posting."""
-    plain = tagged.where("outcome <> 'accepted'").select("outcome")
-    stored = merged.select(F.when(F.col("is_created"), "created").otherwise("updated").alias("outcome"))
-    return plain.unionByName(stored)
+    """(outcome, times) by sighting: a posting is created once, its further sightings update it."""
+    counted = tagged.groupBy("outcome").agg(F.count("*").alias("times"))
+    created = merged.agg(F.count_if("is_created").alias("times"))
+    known = counted.where("outcome <> 'accepted'").unionByName(created.select(F.lit("created").alias("outcome"), "times"))
+    again = (counted.where("outcome = 'accepted'").select("times")
+             .unionByName(created.select((-F.col("times")).alias("times"))).agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times")))
+    return known.unionByName(again.select(F.lit("updated").alias("outcome"), "times"))
 
 
 def _journal_row(store: Store, outcomes: DataFrame, run_id: str, batch_ts: dt.datetime, blocked: int,

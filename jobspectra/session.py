@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         active = spark.sparkContext.getCheckpointDir()
         if active:
             return active
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="jobspectra-")
         spark.sparkContext.setCheckpointDir(configured)
         return configured

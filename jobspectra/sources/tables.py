@@ -75,6 +75,13 @@ class Store:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(key).parquet(self.path(table)))
 
+    def drop_partition(self, table: str, value: str) -> None:
+        """Removes one partition, if it is there."""
+        jvm = self.spark._jvm
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{LAYOUT[table][1]}={escaped}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def _keyed(self, table: str, rows: DataFrame) -> DataFrame:
         schema, key, rule = LAYOUT[table]
         plain = rows.select(*schema.names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from jobspectra.plans.ingest import ingest_batch
+from jobspectra.plans.ingest import ingest_batch, refresh_snapshots
 from jobspectra.sources.tables import Store
 
 
@@ -16,13 +16,16 @@ def run_available(store: Store, landed: DataFrame, to_raw: Callable[[DataFrame],
     """Processes everything landed since the last call and stops.
 
     The batch number is the run id, so a batch repeated after a failure replaces its own
-    audit and journal rows and merges to the same postings.
+    audit and journal rows and merges to the same postings. Snapshots are built once, after
+    the last batch.
     """
     def one_batch(batch: DataFrame, number: int) -> None:
         ingest_batch(store, to_raw(batch), f"{name}-{number:06d}", batch_ts,
-                     meta={"type": "incremental", "source": name}, snapshots=snapshots)
+                     meta={"type": "incremental", "source": name}, snapshots=False)
 
     query = (landed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
              .foreachBatch(one_batch).start())
     query.awaitTermination()
+    if snapshots:
+        refresh_snapshots(store)
     return len(query.recentProgress)

@@ -118,3 +118,27 @@ def test_segments_agree_with_recursion(spark, limit):
     assert got == by_recursion(stamps, start, end, limit, dt.timedelta(hours=24))
     stats = one(segments.segment_stats(leaves))
     assert (stats.segments_processed, stats.segments_split, stats.found_total) == (len(got), len(got) - 1, 300)
+
+
+def test_sightings_are_counted_and_bad_rows_are_not_fatal(spark):
+    store = store_for(spark)
+    again = [{"posting_id": i % 10, "skills": []} for i in range(40)]
+    huge = {"posting_id": 77, "salary_from": 999_999_999_999.99, "salary_currency": "EUR"}
+    batch = raw(spark, *again, huge, {"posting_id": 3, "title": "DevOps Engineer"})
+    ingest_batch(store, batch, "r1", NOW, blocked=2, snapshots=False)
+    run = one(store.read("ingestion_runs"))
+    assert (run.found_total, run.created_count, run.updated_count, run.filtered_count, run.error_count, run.captcha_count, run.status) == \
+        (42, 10, 30, 1, 1, 2, "partial")
+    assert store.read("filtered_postings").count() == 1
+    ingest_batch(store, raw(spark, *again), "r1", NOW, snapshots=False)
+    assert store.read("filtered_postings").count() == 0 and one(store.read("ingestion_runs")).updated_count == 40
+
+
+def test_failed_run_is_in_the_journal(spark):
+    store = store_for(spark)
+    broken = raw(spark, {"posting_id": 1}).withColumn("title", F.expr("raise_error('unreadable')").cast("string"))
+    with pytest.raises(Exception):
+        ingest_batch(store, broken, "r1", NOW, snapshots=False)
+    run = one(store.read("ingestion_runs"))
+    assert run.status == "failed" and run.finished_at is not None
+    assert one(journal.freshness(store.read("ingestion_runs"), F.lit(LATER).cast("timestamp_ntz"))).freshness_hours is None

@@ -113,3 +113,11 @@ def test_bullets(spark):
     lines = ["- one", "• two", "* three", "1. four", "2) five", "plain", "10. six", "-", "- "] + ["- more"] * 9
     got = one(frame(spark, "\n".join(lines)).select(txt.bullets(F.col("text"))))[0]
     assert got[:5] == ["one", "two", "three", "four", "five"] and len(got) == 10 and "six" not in got
+
+
+def test_dictionary_of_any_size(spark):
+    from jobspectra.functions.lexicon import TERMS_PER_PASS, occurring
+    terms = [f"term{i}x" for i in range(TERMS_PER_PASS + 40)] + ["term1x and more"]
+    text = f"term1x and more, term{TERMS_PER_PASS + 30}x, noterm7x"
+    df = spark.createDataFrame([(text,)], "t string").select(occurring(F.col("t"), terms, True).alias("hits"))
+    assert df.first().hits == [1, TERMS_PER_PASS + 30, len(terms) - 1]
