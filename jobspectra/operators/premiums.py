@@ -177,16 +177,18 @@ def convert_at_publication(postings: DataFrame, rates: DataFrame, base: Sequence
     """Salary bounds and estimate converted with the rate nearest to the publication day."""
     paid = postings.where(F.col("currency").isNotNull()).withColumn(
         "_day", tb.local_date(F.col("published_at")))
-    days = postings.agg(F.min("published_at").alias("a"), F.max("published_at").alias("b")).select(
-        tb.local_date(F.col("a")).alias("first_day"), tb.local_date(F.col("b")).alias("last_day"))
+    # The calendar spans the rate dates only, whatever the publication days are: outside of
+    # it the nearest rate is that of its first or last day, and the distance grows.
+    days = rates.agg(F.min("rate_date").alias("first_day"), F.max("rate_date").alias("last_day"))
     calendar = rate_calendar(rates, days).withColumnRenamed("currency", "_currency")
-    # At most one row per currency code and calendar day, so it always fits a broadcast.
-    joined = paid.join(F.broadcast(calendar), (F.col("currency") == F.col("_currency")) & (F.col("_day") == F.col("day")), "left")
+    first, last = days.select("first_day").scalar(), days.select("last_day").scalar()
+    paid = paid.withColumn("_near", F.least(F.greatest("_day", first), last))
+    joined = paid.join(calendar, (F.col("currency") == F.col("_currency")) & (F.col("_near") == F.col("day")), "left")
     codes = ", ".join(f"'{_code(c)}'" for c in base)
     used = joined.selectExpr(
         "posting_id", "currency", "_day AS published_day", "amount_from", "amount_to", "gross",
         f"CASE WHEN currency IN ({codes}) THEN CAST(1 AS decimal(14,6)) ELSE coalesce(rate, CAST(1 AS decimal(14,6))) END AS rate",
-        f"CASE WHEN currency NOT IN ({codes}) THEN distance_days END AS distance_days")
+        f"CASE WHEN currency NOT IN ({codes}) THEN distance_days + abs(datediff(_day, _near)) END AS distance_days")
     net = used.selectExpr("posting_id", "currency", "published_day", "rate", "distance_days",
                           f"{pay.net_in_base('amount_from', 'rate', 'gross')} AS low",
                           f"{pay.net_in_base('amount_to', 'rate', 'gross')} AS high")
