@@ -34,57 +34,75 @@ BLOCK_TOKENS = 1 << 21
 MAGIC = 0x314B4254
 
 _CHOICE, _ZERO = 12, 17  # bits of the choice among predictions and of the frequencies
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _BITS = np.uint64(_CHOICE + _ZERO)
+_WORD = np.uint64(32)
+_LOW = np.uint64(1 << 32)
 _HASH = 20
 
 
 class _Predictor:
-    """What both directions know before a step; ``learn`` after it."""
+    """What both directions know before a step; ``learn`` after it.
+
+    A table entry is the predicted id and its confidence in the three low bits.
+    """
 
     def __init__(self, lanes: int):
         self.one, self.two = np.zeros(IDS, np.int32), np.zeros(1 << _HASH, np.int32)
-        self.sure_one, self.sure_two = np.zeros(IDS, np.int8), np.zeros(1 << _HASH, np.int8)
         self.outcomes = np.tile(np.array([0.1, 0.1, 1.0]), (64, 1))
         self.counts = np.zeros(IDS, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.before_two = np.zeros(lanes, np.int64)
         self.step = 0
         self.new: list[np.ndarray] = []
+        self.tally = np.zeros(192, np.int64)
         self._frequencies()
         self._shares()
 
     def _frequencies(self) -> None:
         """Every id has at least one slot of 2^17."""
-        total = max(1, int(self.counts.sum()))
-        cum = np.concatenate(([0], np.cumsum(self.counts))) * ((1 << _ZERO) - IDS) // total
-        self.start = cum + np.arange(IDS + 1)
-        if not self.counts.any():
+        if self.counts.any():
+            cum = np.concatenate(([0], np.cumsum(self.counts))) * ((1 << _ZERO) - IDS) // int(self.counts.sum())
+            self.start = cum + np.arange(IDS + 1)
+        else:
             self.start = np.arange(IDS + 1) * 2
+        self.width = np.diff(self.start)
         self.slots = None
 
     def _shares(self) -> None:
+        self.outcomes += self.tally.reshape(64, 3)
+        self.tally[:] = 0
         rate = self.outcomes / self.outcomes.sum(axis=1, keepdims=True)
         size = 1 << _CHOICE
-        first = np.clip((rate[:, 0] * size).astype(np.int64), 1, size - 66)
-        second = np.clip((rate[:, 1] * size).astype(np.int64), 1, size - 64 - first)
-        self.first, self.second = first, second
+        self.first = np.clip((rate[:, 0] * size).astype(np.int64), 1, size - 66)
+        self.second = np.clip((rate[:, 1] * size).astype(np.int64), 1, size - 64 - self.first)
 
     def predict(self) -> None:
         self.at = ((self.before_two * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 7) & ((1 << _HASH) - 1)
-        self.p2, self.p1 = self.two[self.at], self.one[self.before]
-        self.c2, self.c1 = self.sure_two[self.at], self.sure_one[self.before]
-        self.mixed = (self.c2.astype(np.int64) << 3) | self.c1
-        self.f2 = self.first[self.mixed]
-        self.f1 = np.where(self.p1 == self.p2, 0, self.second[self.mixed])
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for table, sure, at, predicted, c in ((self.two, self.sure_two, self.at, self.p2, self.c2), (self.one, self.sure_one, self.before, self.p1, self.c1)):
-            right = predicted == ids
-            c = np.where(right, np.minimum(c + 1, 7), c >> 1).astype(np.int8)
-            table[at] = np.where(c == 0, ids, predicted)
-            sure[at] = c
-        self.outcomes += np.bincount(self.mixed * 3 + outcome, minlength=192).reshape(64, 3)
+        self.v2, self.v1 = self.two[self.at], self.one[self.before]
+        self.p2, self.p1 = self.v2 >> 3, self.v1 >> 3
+        self.mixed = ((self.v2 & 7) << 3) | (self.v1 & 7)
+        self.f2, self.f1 = self.first[self.mixed], self.second[self.mixed]
+        self.f1 *= self.p1 != self.p2
+        self.both = self.f2 + self.f1
+
+    def interval(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids within 2^29, given which prediction holds."""
+        rest = (1 << _CHOICE) - self.both
+        start = (self.both << _ZERO) + self.start[ids] * rest
+        size = self.width[ids] * rest
+        np.copyto(start, self.f2 << _ZERO, where=one)
+        np.copyto(size, self.f1 << _ZERO, where=one)
+        np.copyto(start, 0, where=two)
+        np.copyto(size, self.f2 << _ZERO, where=two)
+        return start.view(np.uint64), size.view(np.uint64)
+
+    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        small = ids.astype(np.int32)
+        fresh = small << 3
+        for table, at, v, right in ((self.two, self.at, self.v2, two), (self.one, self.before, self.v1, self.p1 == small)):
+            c = v & 7
+            table[at] = np.where(right, v + (c < 7), np.where(c < 2, fresh, v - c + (c >> 1)))
+        self.tally += np.bincount(self.mixed * 3 + 2 - 2 * two - one, minlength=192)
         self.before_two, self.before = self.before, ids
         self.new.append(ids)
         self.step += 1
@@ -96,6 +114,20 @@ class _Predictor:
             self._shares()
 
 
+def _settled(low: np.ndarray, span: np.ndarray, shift) -> None:
+    """Move lanes on by 32 bits whose upper bits are settled, or whose range has become
+    narrow (it is cut at the border it lies across); ``shift`` sees them first."""
+    rows = np.flatnonzero(((low ^ (low + span)) < _LOW) | (span < _LOW))
+    if len(rows):
+        a, b = low[rows], span[rows]
+        across = (a ^ (a + b)) >= _LOW
+        if across.any():
+            b[across] = (~a[across] + np.uint64(1)) & (_LOW - np.uint64(1))
+        shift(rows, a)
+        low[rows] = a << _WORD
+        span[rows] = b << _WORD
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
     """Code ids (below 65536) as the payload of a block."""
     lanes = max(1, -(-len(ids) // STEPS))
@@ -105,48 +137,29 @@ def encode_ids(ids: np.ndarray) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
     model = _Predictor(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    words, used = np.zeros((lanes, 2 * STEPS + 8), np.uint16), np.zeros(lanes, np.int64)
+    words, used = np.zeros((lanes, STEPS + 8), np.uint32), np.zeros(lanes, np.int64)
+
+    def emit(rows: np.ndarray, lows: np.ndarray) -> None:
+        words[rows, used[rows]] = lows >> _WORD
+        used[rows] += 1
+
     for t in range(steps):
         now = grid[t]
         model.predict()
-        f2, f1 = model.f2, model.f1
-        hit2 = now == model.p2
-        hit1 = (now == model.p1) & ~hit2
-        rest = (1 << _CHOICE) - f2 - f1
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
-        begin = model.start[now]
-        start = np.where(hit2, 0, np.where(hit1, f2 << _ZERO, ((f2 + f1) << _ZERO) + begin * rest))
-        size = np.where(hit2, f2 << _ZERO, np.where(hit1, f1 << _ZERO, (model.start[now + 1] - begin) * rest))
-        unit = span >> _BITS
-        low += unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
-        _shift(low, span, lambda rows: _emit(words, used, rows, low))
-        model.learn(now, outcome)
-    for _ in range(4):
-        _emit(words, used, np.arange(lanes), low)
-        low <<= np.uint64(16)
+        two = model.p2 == now
+        one = (model.p1 == now) & ~two
+        start, size = model.interval(now, two, one)
+        span >>= _BITS
+        low += span * start
+        span *= size
+        _settled(low, span, emit)
+        model.learn(now, two, one)
+    every = np.arange(lanes)
+    for _ in range(2):
+        emit(every, low)
+        low <<= _WORD
     mask = np.arange(words.shape[1])[None, :] < used[:, None]
-    return used.astype("<u2").tobytes() + words[mask].astype("<u2").tobytes()
-
-
-def _emit(words: np.ndarray, used: np.ndarray, rows: np.ndarray, low: np.ndarray) -> None:
-    words[rows, used[rows]] = low[rows] >> np.uint64(48)
-    used[rows] += 1
-
-
-def _shift(low: np.ndarray, span: np.ndarray, moved) -> None:
-    """Move settled or too narrow lanes on by 16 bits; ``moved`` sees them first."""
-    same = (low ^ (low + span)) < _TOP
-    rows = np.flatnonzero(same | (span < _LOW))
-    while len(rows):
-        narrow = rows[(low[rows] ^ (low[rows] + span[rows])) >= _TOP]
-        if len(narrow):
-            span[narrow] = (~low[narrow] + np.uint64(1)) & (_LOW - np.uint64(1))
-        moved(rows)
-        low[rows] <<= np.uint64(16)
-        span[rows] <<= np.uint64(16)
-        a, b = low[rows], span[rows]
-        rows = rows[((a ^ (a + b)) < _TOP) | (b < _LOW)]
+    return used.astype("<u2").tobytes() + words[mask].astype("<u4").tobytes()
 
 
 def decode_ids(data: bytes, n: int) -> np.ndarray:
@@ -154,16 +167,14 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
     lanes = max(1, -(-n // STEPS))
     steps = min(STEPS, n) if lanes == 1 else STEPS
     used = np.frombuffer(data, "<u2", lanes).astype(np.int64)
-    stream = np.concatenate((np.frombuffer(data, "<u2", offset=2 * lanes), np.zeros(4, np.uint16))).astype(np.uint64)
+    stream = np.concatenate((np.frombuffer(data[2 * lanes:], "<u4"), np.zeros(2, np.uint32))).astype(np.uint64)
     at = np.concatenate(([0], np.cumsum(used)[:-1]))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << np.uint64(16)) | stream[at]
-        at += 1
+    code = (stream[at] << _WORD) | stream[at + 1]
+    at += 2
 
-    def refill(rows: np.ndarray) -> None:
-        code[rows] = (code[rows] << np.uint64(16)) | stream[np.minimum(at[rows], len(stream) - 1)]
+    def refill(rows: np.ndarray, lows: np.ndarray) -> None:
+        code[rows] = (code[rows] << _WORD) | stream[np.minimum(at[rows], len(stream) - 1)]
         at[rows] += 1
 
     model = _Predictor(lanes)
@@ -171,26 +182,35 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
     for t in range(steps):
         model.predict()
         if model.slots is None:
-            model.slots = np.repeat(np.arange(IDS), np.diff(model.start))
-        f2, f1 = model.f2, model.f1
-        unit = span >> _BITS
-        value = np.minimum(((code - low) // unit).astype(np.int64), (1 << (_CHOICE + _ZERO)) - 1)
+            model.slots = np.repeat(np.arange(IDS), model.width)
+        span >>= _BITS
+        value = np.minimum(_quotient(code - low, span), (1 << (_CHOICE + _ZERO)) - 1)
         choice = value >> _ZERO
-        rest = (1 << _CHOICE) - f2 - f1
-        outcome = np.where(choice < f2, 0, np.where(choice < f2 + f1, 1, 2))
-        inner = value - ((f2 + f1) << _ZERO)
-        now = np.where(outcome == 0, model.p2, np.where(outcome == 1, model.p1, model.slots[np.where(outcome == 2, inner // rest, 0)]))
-        begin = model.start[now]
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, f2 << _ZERO, ((f2 + f1) << _ZERO) + begin * rest))
-        size = np.where(outcome == 0, f2 << _ZERO, np.where(outcome == 1, f1 << _ZERO, (model.start[now + 1] - begin) * rest))
-        low += unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
-        _shift(low, span, refill)
+        two = choice < model.f2
+        one = (choice < model.both) & ~two
+        # Exact: both numbers are far below 2^53.
+        slot = ((value - (model.both << _ZERO)) / ((1 << _CHOICE) - model.both)).astype(np.int64)
+        now = model.slots[np.maximum(slot, 0)]
+        np.copyto(now, model.p1, where=one)
+        np.copyto(now, model.p2, where=two)
+        start, size = model.interval(now, two, one)
+        low += span * start
+        span *= size
+        _settled(low, span, refill)
         grid[t] = now
-        model.learn(now, outcome)
+        model.learn(now, two, one)
     return grid.T.ravel()[:n].astype(np.uint32)
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b for quotients below 2^30, by way of doubles."""
+    q = (a.astype(np.float64) / b.astype(np.float64)).astype(np.int64)
+    product = q.view(np.uint64) * b
+    q -= product > a
+    q += (a - q.view(np.uint64) * b) >= b
+    return q
+
+
 def write_block(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     """A self-contained block: header, documents, coded ids."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
