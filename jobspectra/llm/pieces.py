@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from jobspectra.llm.tokens import portions
-from jobspectra.llm.words import annotate
+from jobspectra.llm.words import annotate, held_by_worker
 
 MARK = "▁"
 MAX_KEPT = 300_000
@@ -169,6 +169,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+held_by_worker(codec.cache_clear)
+
+
 def encode(docs: DataFrame, model_path: str, end_id: int | None = 2, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the ids of each whole text, the end id last."""
 

@@ -17,7 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_UNITS = 1_000_000
+from jobspectra.llm.words import held_by_worker
+
+MAX_UNITS = 700_000
 MAX_UNIT_CHARS = 200
 MAX_CHARS = 24_000_000
 _DOUBTFUL = re.compile(r"\s (?:\s|$)")
@@ -87,6 +89,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+held_by_worker(encoder.cache_clear)
+
+
 def portions(texts: list[str], limit: int = 1 << 21):
     """(from, to) of runs of texts with about ``limit`` characters at most."""
     start = size = 0

@@ -1,13 +1,13 @@
 """Toxicity scores from confirmed toxic examples and unlabelled text (non-negative PU learning).
 
 Features are the distinct letter runs of a text, whole and as prefixes of 4 to 7 bytes,
-hashed to ``DIM`` buckets. A linear model is trained in numpy on the class-prior-corrected
+hashed to 32 bits. A linear model is trained in numpy on the class-prior-corrected
 risk  pi E_P[l(g)] + max(0, E_U[l(-g)] - pi E_P[l(-g)]):  toxic examples stand for P, any
 texts for U, and pi is the share of toxic rows among the labelled ones. Where the
 estimated negative part falls below zero, its gradient is turned round, which keeps the
 model from paying for examples it has merely memorized. A soft threshold drops weak weights.
 
-The fit takes at most ``MAX_TOXIC`` toxic and ``MAX_UNLABELLED`` other texts, chosen by a
+Copies among the examples are left out of the fit. It takes at most ``MAX_TOXIC`` toxic and ``MAX_UNLABELLED`` other texts, chosen by a
 hash of the id, so what comes to the driver is bounded. Scoring is one pass over whole
 texts without a shuffle. Null and empty texts have no features and get the score of the
 bias alone. Without any toxic example every score is 0.
@@ -22,20 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobspectra.llm.words import Block, annotate, blocks, tabulate
+from jobspectra.llm.words import Block, annotate, blocks, mix, tabulate
 
-DIM = 1 << 20
 MAX_TOXIC = 2_000
 MAX_UNLABELLED = 6_000
-#: Least standard errors between the two rates of a feature, and least toxic share of its texts.
-MIN_Z, MIN_SHARE = 5.0, 0.55
+#: Least standard errors between the two rates of a feature, least toxic share of its texts, least toxic examples.
+MIN_Z, MIN_SHARE, MIN_TEXTS = 5.0, 0.7, 4
 PREFIXES = (4, 5, 6, 7)
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = False
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of every word and prefix, repeats included."""
+    """(text index, feature) of every word and prefix, repeats included."""
     whole = block.hashes()
     found, where = [whole], [block.doc]
     for n in PREFIXES:
@@ -43,49 +42,77 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
         # A prefix is another feature than the word of the same letters.
         found.append(block.prefix_hashes(n)[longer] * np.uint64(2 * n + 1))
         where.append(block.doc[longer])
-    buckets = (np.concatenate(found) >> np.uint64(44)).astype(np.int64) % DIM
-    return np.concatenate(where), buckets
+    return np.concatenate(where), (np.concatenate(found) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Non-zero weights by bucket, and the bias."""
+    """Non-zero weights of features in ascending order, and the bias."""
 
-    buckets: np.ndarray
+    known: np.ndarray
     weights: np.ndarray
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        table = np.zeros(DIM, np.float32)
-        table[self.buckets] = self.weights
+        possible = np.zeros(1 << 20, bool)
+        possible[self.known >> 12] = True
         out = np.full(len(texts), self.bias)
         for lo, hi, block in blocks([None if t is None else t.lower() for t in texts], False, _BETWEEN):
-            doc, bucket = features(block)
-            weighty = table[bucket] != 0
-            once = np.unique(doc[weighty] * DIM + bucket[weighty])
-            out[lo:hi] += np.bincount(once // DIM, table[once % DIM], minlength=hi - lo)
+            doc, feature = features(block)
+            near = possible[feature >> 12]
+            once = np.unique((doc[near] << 32) | feature[near])
+            at = np.searchsorted(self.known, once & 0xFFFF_FFFF)
+            hit = at < len(self.known)
+            hit[hit] = self.known[at[hit]] == (once[hit] & 0xFFFF_FFFF)
+            out[lo:hi] += np.bincount(once[hit] >> 32, self.weights[at[hit]], minlength=hi - lo)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def originals(rows: list[np.ndarray]) -> np.ndarray:
+    """False for rows that look like copies of an earlier one: half or more of their eight
+    min-hash values were there before. Copies would make the words of one text look telling."""
+    seeds = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+    before: set[tuple[int, int]] = set()
+    out = np.ones(len(rows), bool)
+    for i, r in enumerate(rows):
+        if len(r):
+            least = (r.astype(np.uint64)[:, None] * seeds[None, :]).min(axis=0)
+            keys = set(enumerate(least.tolist()))
+            out[i] = 2 * len(keys & before) < len(keys)
+            before |= keys
+    return out
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, l1: float = 1e-4) -> Model:
-    """``rows``: distinct buckets of each text; ``toxic``: whether it is a toxic example."""
+    """``rows``: distinct features of each text; ``toxic``: whether it is a toxic example."""
     none = np.zeros(0, np.int64)
     if not toxic.any() or toxic.all():
         return Model(none, np.zeros(0, np.float32), -30.0 if not toxic.any() else 0.0)
-    lens = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lens)
-    bucket = np.concatenate(rows).astype(np.int64)
+    keep = np.empty(len(rows), bool)
+    for side in (toxic, ~toxic):
+        keep[side] = originals([rows[i] for i in np.flatnonzero(side)])
+    rows, toxic = [rows[i] for i in np.flatnonzero(keep)], toxic[keep]
+    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
+    # Features of several toxic examples; of these, the ones that tell.
+    seen, times = np.unique(np.concatenate([r for r, t in zip(rows, toxic) if t]), return_counts=True)
+    some = seen[times >= MIN_TEXTS].astype(np.int64)
+    row, column = [], []
+    for i, r in enumerate(rows):
+        at = np.searchsorted(some, r)
+        at = at[(at < len(some)) & (some[np.minimum(at, len(some) - 1)] == r)] if len(some) else none
+        row.append(np.full(len(at), i))
+        column.append(at)
+    row, column = np.concatenate(row), np.concatenate(column)
     # A feature counts if it is clearly more frequent in toxic examples, and if by the prior
     # most unlabelled texts that have it are toxic.
-    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
-    share_p = np.bincount(bucket[toxic[row]], minlength=DIM) / n_p
-    share_u = np.bincount(bucket[~toxic[row]], minlength=DIM) / n_u
+    share_p = np.bincount(column[toxic[row]], minlength=len(some)) / n_p
+    share_u = np.bincount(column[~toxic[row]], minlength=len(some)) / n_u
     both = (share_p * n_p + share_u * n_u) / (n_p + n_u)
     z = (share_p - share_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
     telling = (z >= MIN_Z) & (prior * share_p >= MIN_SHARE * share_u)
-    used = telling[bucket]
-    row, bucket = row[used], bucket[used]
-    known, column = np.unique(bucket, return_inverse=True)
+    used = telling[column]
+    known = some[telling]
+    row, column = row[used], (np.cumsum(telling) - 1)[column[used]]
     n, p, u = len(rows), toxic, ~toxic
     w, bias = np.zeros(len(known)), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m = v = np.zeros(len(known) + 1)
@@ -134,16 +161,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             sets = []
             for lo, hi, block in blocks([(t or "").lower() for t in batch.column(1).to_pylist()], False, _BETWEEN):
-                doc, bucket = features(block)
-                once = np.unique(doc * DIM + bucket)
-                cuts = np.searchsorted(once // DIM, np.arange(1, hi - lo))
-                sets += [x.astype("<i4").tobytes() for x in np.split(once % DIM, cuts)]
-            yield {"toxic": batch.column(0), "buckets": sets}
+                doc, feature = features(block)
+                once = np.unique((doc << 32) | feature)
+                cuts = np.searchsorted(once >> 32, np.arange(1, hi - lo))
+                sets += [x.astype("<u4").tobytes() for x in np.split(once & 0xFFFF_FFFF, cuts)]
+            yield {"toxic": batch.column(0), "features": sets}
 
-    schema = T.StructType([T.StructField("toxic", T.BooleanType()), T.StructField("buckets", T.BinaryType())])
+    schema = T.StructType([T.StructField("toxic", T.BooleanType()), T.StructField("features", T.BinaryType())])
     found = tabulate(texts.select("toxic", "text"), schema, extract).toArrow()
     flags = np.array(found.column("toxic").to_pylist(), bool)
-    return fit([np.frombuffer(b, "<i4") for b in found.column("buckets").to_pylist()], flags, prior)
+    return fit([np.frombuffer(b, "<u4").astype(np.int64) for b in found.column("features").to_pylist()], flags, prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

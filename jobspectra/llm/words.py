@@ -7,6 +7,7 @@ arrays of a task stay at a few hundred megabytes at most whatever the batch size
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,6 +97,33 @@ def blocks(texts: list[str | None], lower: bool, between: np.ndarray = _WHITE) -
         yield start, len(texts), Block(held, lower, between)
 
 
+_drops: list[Callable[[], None]] = []
+_owner = ""
+
+
+def held_by_worker(drop: Callable[[], None]) -> None:
+    """Register how to drop what a worker process keeps between tasks of one operator."""
+    _drops.append(drop)
+
+
+def _begin(owner: str) -> None:
+    """A worker that turns to another operator lets go of what the last one kept."""
+    global _owner
+    if owner != _owner:
+        for drop in _drops:
+            drop()
+        _owner = owner
+
+
+def _end() -> None:
+    """Hand freed memory back: workers stay alive between tasks, and there may be several a core."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def annotate(df: DataFrame, column: str, fields: list[T.StructField], fn: Callable[[list], list[list]]) -> DataFrame:
     """Append columns computed from one column, batch by batch, with no shuffle.
 
@@ -108,22 +136,29 @@ def annotate(df: DataFrame, column: str, fields: list[T.StructField], fn: Callab
     arrow = to_arrow_schema(T.StructType(fields))
     wanted = [f.name for f in kept]
 
+    owner = fn.__module__
+
     def run(batches):
+        _begin(owner)
         for batch in batches:
             values = fn(batch.column(column).to_pylist())
             columns = [batch.column(n) for n in wanted]
             columns += [pa.array(v, f.type) for v, f in zip(values, arrow)]
             yield pa.RecordBatch.from_arrays(columns, names=[*wanted, *arrow.names])
+            del values, columns
+        _end()
 
     return df.mapInArrow(run, schema)
 
 
 def tabulate(df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """Map partitions to new rows; ``fn`` yields one dict of equally long lists at a time."""
-    arrow = to_arrow_schema(schema)
+    arrow, owner = to_arrow_schema(schema), fn.__module__
 
     def run(batches):
+        _begin(owner)
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], names=arrow.names)
+        _end()
 
     return df.mapInArrow(run, schema)
