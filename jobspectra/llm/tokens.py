@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +25,22 @@ MAX_UNITS = 700_000
 MAX_UNIT_CHARS = 200
 MAX_CHARS = 24_000_000
 _DOUBTFUL = re.compile(r"\s (?:\s|$)")
+_MARKS = ".,!?;:"
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Characters below U+0250 as byte-level tokenizers write their bytes: printable bytes
+    stand for themselves, the others for the characters from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in own}
+    letter |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in letter)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """``encode`` returns one bytes object per text: its ids, little-endian uint32."""
 
@@ -36,7 +51,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
-            self.by_unit = _splits_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.by_unit = _splits_at_spaces(spec)
+        self.lower = '"type": "Lowercase"' in json.dumps(spec.get("normalizer"))
+        self.marks: dict[str, bytes] = {}
+        self.direct = self.by_unit and array("I").itemsize == 4 and sys.byteorder == "little"
+        if self.direct:
+            probes = ["a", "Word", "word,", "élan!!", "Straße.", "ÜBER", "ñandú"]
+            self.direct = all(self._word_ids(probes, x) == self._ids([x + p for p in probes]) for x in ("", " "))
         self.led: dict[str, bytes] = {}
         self.led_chars = 0
         self.bare: dict[str, bytes] = {}
@@ -44,11 +66,38 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, units: list[str], lead: str) -> list[bytes]:
+        """Ids of units. A run of common letters is one word to the tokenizer, so its ids are
+        asked of the merges alone; marks behind it are a word of their own."""
+        if not self.direct:
+            return self._ids([lead + u for u in units])
+        tokenize, front = self.tokenizer.model.tokenize, "" if self.lower else lead.translate(_BYTES)
+        out: list[bytes | None] = []
+        odd = []
+        for u in units:
+            body = u.rstrip(_MARKS)
+            if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:
+                word = front + (body.lower() if self.lower else body).translate(_BYTES)
+                ids = array("I", [t.id for t in tokenize(word)]).tobytes()
+                out.append(ids if len(body) == len(u) else ids + self._mark_ids(u[len(body):]))
+            else:
+                out.append(None)
+                odd.append(lead + u)
+        rest = iter(self._ids(odd))
+        return [next(rest) if x is None else x for x in out]
+
+    def _mark_ids(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 1000 or len(marks) > 20:
+                return self._ids([marks])[0]
+            self.marks[marks] = self._ids([marks])[0]
+        return self.marks[marks]
+
     def _learn(self, store: dict, units: set[str], lead: str) -> None:
         units.difference_update(store)
         if units:
             new = list(units)
-            store.update(zip(new, self._ids([lead + u for u in new])))
+            store.update(zip(new, self._word_ids(new, lead)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
