@@ -25,7 +25,7 @@ MAX_UNITS = 700_000
 MAX_UNIT_CHARS = 200
 MAX_CHARS = 24_000_000
 _DOUBTFUL = re.compile(r"\s (?:\s|$)")
-_MARKS = ".,!?;:"
+_MARKS = ".,!?;:#$%&*"
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -57,7 +57,7 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
         self.direct = self.by_unit and array("I").itemsize == 4 and sys.byteorder == "little"
         if self.direct:
-            probes = ["a", "Word", "word,", "élan!!", "Straße.", "ÜBER", "ñandú"]
+            probes = ["a", "Word", "word,", "élan!!", "Straße.\nÜBER", "ñandú,###", "a\nb"]
             self.direct = all(self._word_ids(probes, x) == self._ids([x + p for p in probes]) for x in ("", " "))
         self.led: dict[str, bytes] = {}
         self.led_chars = 0
@@ -68,24 +68,35 @@ class Encoder:
 
     def _word_ids(self, units: list[str], lead: str) -> list[bytes]:
         """Ids of units. A run of common letters is one word to the tokenizer, so its ids are
-        asked of the merges alone; marks behind it are a word of their own."""
+        asked of the merges alone; marks behind it, and a single line feed between two such
+        runs, are words of their own."""
         if not self.direct:
             return self._ids([lead + u for u in units])
-        tokenize, front = self.tokenizer.model.tokenize, "" if self.lower else lead.translate(_BYTES)
+        front = "" if self.lower else lead.translate(_BYTES)
         out: list[bytes | None] = []
         odd = []
         for u in units:
-            body = u.rstrip(_MARKS)
-            if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:
-                word = front + (body.lower() if self.lower else body).translate(_BYTES)
-                ids = array("I", [t.id for t in tokenize(word)]).tobytes()
-                out.append(ids if len(body) == len(u) else ids + self._mark_ids(u[len(body):]))
+            if "\n" in u:
+                head, *tail = u.split("\n")
+                lines = [self._simple(head, front), *[self._simple(x, "") for x in tail]]
+                ids = None if None in lines else self._mark_ids("\n").join(lines)
             else:
-                out.append(None)
+                ids = self._simple(u, front)
+            out.append(ids)
+            if ids is None:
                 odd.append(lead + u)
         rest = iter(self._ids(odd))
         return [next(rest) if x is None else x for x in out]
 
+    def _simple(self, unit: str, front: str) -> bytes | None:
+        """Ids of common letters and the marks behind them; None for anything else."""
+        body = unit.rstrip(_MARKS)
+        if not body.isalpha() or max(body) >= "\u0250" or "\u0130" in body:
+            return None
+        word = front + (body.lower() if self.lower else body).translate(_BYTES)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        return ids if len(body) == len(unit) else ids + self._mark_ids(unit[len(body):])
+
     def _mark_ids(self, marks: str) -> bytes:
         if marks not in self.marks:
             if len(self.marks) > 1000 or len(marks) > 20:
