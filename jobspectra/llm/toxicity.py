@@ -28,6 +28,8 @@ MAX_TOXIC = 2_000
 MAX_UNLABELLED = 6_000
 #: Least standard errors between the two rates of a feature, least toxic share of its texts, least toxic examples.
 MIN_Z, MIN_SHARE, MIN_TEXTS = 5.0, 0.7, 4
+#: Least share of the toxic examples that have a feature.
+MIN_TOXIC_SHARE = 0.01
 PREFIXES = (4, 5, 6, 7)
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = False
@@ -69,17 +71,19 @@ class Model:
 
 
 def originals(rows: list[np.ndarray]) -> np.ndarray:
-    """False for rows that look like copies of an earlier one: half or more of their eight
-    min-hash values were there before. Copies would make the words of one text look telling."""
-    seeds = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
-    before: set[tuple[int, int]] = set()
+    """False for rows that look like copies of an earlier one: one of six bands of six
+    min-hash values was there before. Copies would make the words of one text look telling."""
+    seeds = mix(np.arange(1, 37, dtype=np.uint64)) | np.uint64(1)
+    before: set[tuple[int, bytes]] = set()
     out = np.ones(len(rows), bool)
     for i, r in enumerate(rows):
         if len(r):
-            least = (r.astype(np.uint64)[:, None] * seeds[None, :]).min(axis=0)
-            keys = set(enumerate(least.tolist()))
-            out[i] = 2 * len(keys & before) < len(keys)
-            before |= keys
+            least = np.full(36, np.iinfo(np.uint64).max, np.uint64)
+            for lo in range(0, len(r), 2048):
+                np.minimum(least, (r[lo:lo + 2048].astype(np.uint64)[:, None] * seeds[None, :]).min(axis=0), out=least)
+            bands = set(enumerate(x.tobytes() for x in least.reshape(6, 6)))
+            out[i] = not bands & before
+            before |= bands
     return out
 
 
@@ -95,7 +99,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 25
     n_p, n_u = int(toxic.sum()), int((~toxic).sum())
     # Features of several toxic examples; of these, the ones that tell.
     seen, times = np.unique(np.concatenate([r for r, t in zip(rows, toxic) if t]), return_counts=True)
-    some = seen[times >= MIN_TEXTS].astype(np.int64)
+    some = seen[times >= max(MIN_TEXTS, MIN_TOXIC_SHARE * n_p)].astype(np.int64)
     row, column = [], []
     for i, r in enumerate(rows):
         at = np.searchsorted(some, r)

@@ -136,7 +136,7 @@ def test_hot_words_are_dealt_out():
 
 def test_toxicity_learns_and_stays_calm(spark):
     rng = random.Random(8)
-    plain, rude = ["kind%d" % i for i in range(300)], ["vilewort", "nastyling", "grubber"]
+    plain, rude = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(3000)], ["vilewort", "nastyling", "grubber"]
     texts, toxic = [], []
     for i in range(1500):
         bad = rng.random() < 0.12
