@@ -113,6 +113,30 @@ def test_main_text_edges(spark):
     assert maintext.extract(docs.limit(0)).count() == 0
 
 
+WORDS = "%s paragraph of this page with words enough to be told apart from a menu, and then some more of them."
+ONE, TWO, THREE = (WORDS % w for w in ("First", "Second", "Third"))
+
+
+@pytest.mark.parametrize("before", [
+    '<p class="advert">Buy now</p>', '<p class="share">Tell others</p>', '<p class="notice">Mind this', '<p id="tags">Some tags<hr>',
+    "<nav><ul>" + "<li><a href=x>Go</a>" * 700 + "</ul></nav>", "<nav><ul>" + "<li><p class=x>Go" * 700 + "</ul></nav>",
+    '<div class="comments">' + '<p class="c">So it is</p>' * 700 + "</div>", '<dl class="x"><dt class="ad">A<dd>B</dl>', '<ul><li class="ad">Buy<li>B</ul>',
+    '<table><tr><td class="ad">Buy<td>B<tr><td>C</table>', '<div class="ad"><table><tr><td>Buy</div></table></div>', '<h2 class="x">Head</h3>',
+    "<nav>" + "<div>" * 900 + "</nav>"])
+def test_main_text_goes_on_after_elements_ended_by_rule(before):
+    found = maintext.main_text(f"<body><article><p>{ONE}</p>{before}<p>{TWO}</p><div>{THREE}</div></article></body>").split("\n")
+    assert [t for t in found if "paragraph" in t] == [ONE, TWO, THREE]
+
+
+def test_open_elements_end_by_the_rules_of_html():
+    held = lambda page: [(b.text, b.furniture, b.hint) for b in maintext.blocks(page)]
+    assert held('<p class="ad">a<p>b') == [("a", 0, 1), ("b", 0, 0)]
+    assert held('<p class="ad">a<button>b</p>c</button>d</p>e')[-1] == ("e", 0, 0)
+    assert held('<ul><li class="ad">a<ul><li>b</ul>c<li>d</ul>') == [("a", 0, 1), ("b", 0, 1), ("c", 0, 1), ("d", 0, 0)]
+    assert held('<nav>a<table><tr><td>b</nav>c</table>d</nav>e') == [("a", 1, 0), ("b", 1, 0), ("c", 1, 0), ("d", 1, 0), ("e", 0, 0)]
+    assert held('<ul><li class="ad"><div>a<li>b</ul>') == [("a", 0, 1), ("b", 0, 0)]
+
+
 @pytest.fixture(scope="module")
 def sp():
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
