@@ -24,12 +24,24 @@ from pyspark.sql import types as T
 from jobspectra.llm.words import annotate
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|iframe|object|textarea|select|button|math)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|</?[a-zA-Z](?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[a-zA-Z][^<>]*+>|<[!?/][^>]*+>", re.S | re.I)
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+    r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[a-zA-Z][^<>]*+>"
+    r"|<(?:script|style|title|textarea|iframe|button|math|noscript|object|select|svg|template)(?=[\s/>])[^>]*+>|<[!?/][^>]*+>", re.S | re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BREAKS = re.compile(r"(?:\s*\0){2,}\s*")
 
+# Of these everything up to the end tag is raw text, or to the end of the page without one.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in ("script", "style", "title", "textarea", "iframe")}
+# These are no text either, but elements: without an end tag of their own they end with the
+# element around them, and what they held is text of the page.
+_NO_TEXT = frozenset("button math noscript object select svg template".split())
+_NO_TEXT_END = re.compile(r"</(button|math|object|select|svg|template)(?=[\s/>])", re.I)
+_NOSCRIPT = re.compile(r"<(/?)noscript(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+_FOREIGN = frozenset(("svg", "math"))
+# Elements in svg and math that hold HTML again; elsewhere these start tags end svg and math.
+_HTML_INSIDE = frozenset("foreignobject desc annotation-xml".split())
+_ENDS_FOREIGN = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li listing menu ol p pre table ul".split())
+
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
                    "span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -94,7 +106,8 @@ def examples() -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=4096)
 def _kinds(tag: str) -> tuple[str, ...]:
     """The lists of open positions an element is held in."""
-    return (tag, *["*boundary"] * (tag in _BOUNDARY), *["*heading"] * (tag in _HEADINGS), *["*stop"] * (tag in _STOPS_ITEM))
+    return (tag, *["*boundary"] * (tag in _BOUNDARY), *["*heading"] * (tag in _HEADINGS), *["*stop"] * (tag in _STOPS_ITEM),
+            *["*foreign"] * (tag in _FOREIGN), *["*html"] * (tag in _HTML_INSIDE))
 
 
 class Open:
@@ -123,20 +136,27 @@ class Open:
     def state(self) -> tuple[int, int, int, int]:
         return self.stack[-1][1] if self.stack else self.page
 
-    def end(self, tag: str) -> None:
-        """An end tag ends the innermost element of its name, unless a boundary lies between."""
+    def foreign(self) -> bool:
+        """Whether this place is in svg or math, and not in HTML within them."""
+        return self.last("*foreign") > self.last("*html")
+
+    def ended(self, tag: str) -> int | None:
+        """Position of the element an end tag ends: the innermost of its name, unless a boundary lies between."""
         if tag in _HEADINGS:
             depth, limit = self.last("*heading"), self.last("*boundary")
         elif tag in _PART_OF_TABLE or tag == "table":
             depth, limit = self.last(tag), self.last("template") if tag in ("table", "template") else self.last("table", "template")
+        elif tag in _FOREIGN:
+            depth, limit = self.last(tag), -1
         else:
             depth = self.last(tag)
             limit = self.last("*boundary", *("ol", "ul") * (tag == "li"), *("button",) * (tag == "p"))
-        if depth >= 0 and depth >= limit:
-            self.cut(depth)
+        return depth if depth >= 0 and depth >= limit else None
 
     def make_room(self, tag: str) -> bool:
         """End what a start tag ends by itself; False if the element cannot stand here."""
+        while tag in _ENDS_FOREIGN and self.foreign():
+            self.cut(self.last("*foreign"))
         if tag in ("li", "dd", "dt"):
             depth = self.last("*stop")
             if depth >= 0 and (self.stack[depth][0] == tag or tag != "li" and self.stack[depth][0] in ("dd", "dt")):
@@ -185,8 +205,11 @@ def blocks(page: str | None) -> list[Block]:
     linked: list[str] = []
     state = elements.state()  # furniture, hint, article, heading
     anchors = 0
+    before: dict[int, tuple] = {}  # what there was before an element without text, by its position
+    last_ends: dict[str, int] | None = None
 
     def flush() -> None:
+        nonlocal pieces, linked
         if pieces:
             found = _space(pieces)
             in_links = len(html.unescape("".join(linked)).split())
@@ -197,8 +220,7 @@ def blocks(page: str | None) -> list[Block]:
                 b.links = min(1.0, in_links / total)
                 b.furniture, b.hint, b.article, b.heading = state
                 out.append(b)
-            pieces.clear()
-            linked.clear()
+            pieces, linked = [], []  # the old ones may come back
 
     def say(text: str) -> None:
         if text:
@@ -207,14 +229,48 @@ def blocks(page: str | None) -> list[Block]:
                 linked.append(text + " ")
 
     page, at = (page or "").replace("\0", ""), 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         say(page[at:m.start()])
         at = m.end()
         name = _NAME.match(page, m.start())
-        if not name or m.group(1):
+        if not name:
             continue
         tag = name.group(1).lower()
         closing = page[m.start() + 1] == "/"
+        if tag in _RAW or tag in _NO_TEXT or m.group().endswith("/>"):
+            empty = m.group().endswith("/>") and (tag in _FOREIGN or elements.foreign())
+            if empty:
+                continue
+            if tag in _RAW:
+                if not closing:
+                    end = _RAW[tag].search(page, at)
+                    at = end.end() if end else len(page)
+                continue
+            if tag == "noscript":
+                end = None if closing else _NOSCRIPT.search(page, at)
+                if end and end.group(1):
+                    at = end.end()
+                continue
+        if tag in _NO_TEXT:
+            if closing:
+                depth = elements.ended(tag)
+                if depth is not None:
+                    n_out, pieces, n_pieces, linked, n_linked, anchors = before[depth]
+                    del out[n_out:], pieces[n_pieces:], linked[n_linked:]
+                    elements.cut(depth)
+                    state = elements.state()
+                continue
+            if last_ends is None:
+                last_ends = {e.group(1).lower(): e.start() for e in _NO_TEXT_END.finditer(page, at)}
+            if last_ends.get(tag, -1) >= at:
+                depth = elements.ended(tag) if tag in ("button", "select") else None
+                if depth is not None:
+                    flush()
+                    elements.cut(depth)
+                before[len(elements.stack)] = len(out), pieces, len(pieces), linked, len(linked), anchors
+                elements.push(tag, elements.state())
+                state = elements.state()
+            continue
         if tag == "a":
             anchors = 0 if closing else 1
             continue
@@ -234,7 +290,9 @@ def blocks(page: str | None) -> list[Block]:
                 if _ARTICLE_HINT.search(_names(m.group())):
                     elements.page = (0, 0, 1, 0)
         elif closing:
-            elements.end(tag)
+            depth = elements.ended(tag)
+            if depth is not None:
+                elements.cut(depth)
         elif elements.make_room(tag):
             names = _names(m.group())
             furniture, hint, article, heading = elements.state()

@@ -128,6 +128,24 @@ def test_main_text_goes_on_after_elements_ended_by_rule(before):
     assert [t for t in found if "paragraph" in t] == [ONE, TWO, THREE]
 
 
+@pytest.mark.parametrize("between", [
+    '<svg class="i"/>', "<math/>", "<svg><path d='M0'/><g></g></svg>", "<svg><style/><title/><g/></svg>", "<svg><path>", "<button>Go", "<noscript>", "<object>",
+    "<select><option>Go", "<template>", "<svg-icon></svg-icon>", "<div><button>Go</div>", "<nav><object></nav>", "<noscript><b>Go</b></noscript>",
+    "<button>Go<button>Go</button>", "<select><option>Go<select><option>Go</select>", "<noscript><noscript>Go</noscript>", "<noscript></article></noscript>",
+    "<svg><foreignObject><p>Go</p></foreignObject></svg>", "<template></article><p>Go</template>", "<script>'<svg>'</script>", '<script data-a="<b>">Go</script>'])
+def test_main_text_goes_on_after_elements_without_text(between):
+    page = f"<body><article><p>{ONE}</p>{between}<p>{TWO}</p></article><div>{THREE}</div></body>"
+    assert [t for t in maintext.main_text(page).split("\n") if "paragraph" in t] == [ONE, TWO]
+    if "</" in between and "<button>Go</div>" not in between and between.count("Go") < 2:
+        assert "Go" not in [b.text for b in maintext.blocks(page)]
+    assert maintext.main_text(f"<article><p>{ONE}</p><p>{TWO}</p>{between}").split("\n")[:2] == [ONE, TWO]
+
+
+def test_elements_without_text_leave_the_block_around_them():
+    page = f"<article><p>{ONE} <svg><text>a</text></svg><button><div>b</div></button><select><option>c</select><object><p>d</object><noscript>e</noscript>{TWO}</p>"
+    assert [b.text for b in maintext.blocks(page)] == [f"{ONE} {TWO}"]
+
+
 def test_open_elements_end_by_the_rules_of_html():
     held = lambda page: [(b.text, b.furniture, b.hint) for b in maintext.blocks(page)]
     assert held('<p class="ad">a<p>b') == [("a", 0, 1), ("b", 0, 0)]
