@@ -3,9 +3,9 @@
 A page is cut into blocks at block-level tags (inline tags and single line breaks are
 white space or nothing). Each block has its word count and link density, those of its
 two neighbours, and whether it stands in a heading, in page furniture (menu, header,
-footer, sidebar, form), under a class or id that names such things, and in an article.
-A decision tree trained on ``LABELLED`` (in every place of a page) says which blocks are main text; they are joined
-in page order by line feeds.
+footer, sidebar, form), under a class, role or id that names such things (for sure or perhaps), and in an article.
+A decision tree trained on ``LABELLED`` (in every place of a page) says which blocks are main text, another one
+says so of blocks under names that only may mean furniture; they are joined in page order by line feeds.
 
 Null, empty and broken markup gives what can be read, at worst an empty text; repeated
 pages are read each on their own. Markup is scanned once, in time linear in its length.
@@ -27,7 +27,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[a-zA-Z][^<>]*+>"
     r"|<(?:script|style|title|textarea|iframe|button|math|noscript|object|select|svg|template)(?=[\s/>])[^>]*+>|<[!?/][^>]*+>", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BREAKS = re.compile(r"(?:\s*\0){2,}\s*")
 
 # Of these everything up to the end tag is raw text, or to the end of the page without one.
@@ -47,10 +47,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE = frozenset("nav aside form footer dialog menu fieldset".split())
 _ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|articlebody|post(?:-?body|-?content)?|entry(?:-content)?|main(?:-content)?|story|content)(?:$|[\s_-])", re.I)
-_FURNITURE_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|footer\w*|header|masthead|"
-    r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share\w*|sharing|social\w*|related|recommend\w*|"
-    r"comments?|comment-\w+|respon[ds]\w*|reply|replies|disqus|pagination|pager|widget\w*|tags?|toolbar|contentinfo|navigation|complementary|dialog|copyright|legal)(?:$|[\s_-])", re.I)
+# A whole class, role or id names page furniture if it is one of these words, or several of
+# them with words for places and shapes. WEAK words also name parts of articles, so the
+# tree weighs them against the block's words and links; the STRONG ones decide alone.
+_STRONG = re.compile(r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|sidebar\w*|nav(?:bar|igation|list|box|menu|links?)?|menu\w*|breadcrumbs?|footer\w*|masthead|cookies?|consent|gdpr|"
+           r"popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|comments?|respond|reply|replies|disqus|pagination|pager|toolbar|"
+           r"contentinfo|complementary")
+_WEAK = re.compile(r"banner\w*|side|header|notice|alert|search|related|recommend\w*|respon[ds]\w*|widget\w*|tags?|dialog|copyright|legal")
+_PLACE = re.compile(r"site|page|top|bottom|left|right|upper|lower|main|primary|secondary|global|mobile|sticky|fixed|box|bar|block|area|section|list|item|items|wrap|wrapper|"
+          r"container|inner|outer|holder|panel|links?|buttons?|icons?|form|row|col|group|posts?|articles?|stories|slot|unit|\d+")
 
 # By HTML's rules a start tag of these ends an open <p>, and an end tag reaches no further out than a boundary.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup "
@@ -90,14 +95,21 @@ LABELLED = (
 )
 
 
-def examples() -> tuple[np.ndarray, np.ndarray]:
-    """The labelled blocks in every place: in furniture or under its names they are never
-    main text, nor outside of the article of a page that has one."""
+def examples(weak: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled blocks in every place: in furniture or under its strong names they are
+    never main text, nor outside of the article of a page that has one. Under its weak names
+    they are if they are long enough, or a heading before a long block, and have few links."""
     rows = []
     for *numbers, heading, in_article, alone in LABELLED:
-        for furniture, hint, article, page, label in (
-                (1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (0, 1, 0, 0, 0), (0, 1, 0, 1, 0), (0, 1, 1, 1, 0), (1, 1, 0, 0, 0),
-                (0, 0, 0, 1, 0), (0, 0, 1, 1, in_article), (0, 0, 0, 0, alone)):
+        if weak:
+            words, links, _, _, words_after, links_after = numbers
+            size = (words_after if links_after < 50 else 0) if heading else words
+            main = in_article and links < 30 and size >= 12
+            places = (1, 0.5, 0, 0, 0), (1, 0.5, 0, 1, 0), (1, 0.5, 1, 1, 0), (0, 0.5, 0, 1, 0), (0, 0.5, 1, 1, main), (0, 0.5, 0, 0, main and alone and size >= 30)
+        else:
+            places = ((1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (0, 1, 0, 0, 0), (0, 1, 0, 1, 0), (0, 1, 1, 1, 0), (1, 1, 0, 0, 0),
+                      (0, 0, 0, 1, 0), (0, 0, 1, 1, in_article), (0, 0, 0, 0, alone))
+        for furniture, hint, article, page, label in places:
             rows.append((*numbers, furniture, hint, article, heading, page, label))
     table_ = np.array(rows, float)
     return table_[:, :-1], table_[:, -1]
@@ -115,7 +127,7 @@ class Open:
     opens or ends elements in constant time for every element opened, at any depth."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, tuple[int, int, int, int]]] = []
+        self.stack: list[tuple[str, tuple[int, float, int, int]]] = []
         self.at: dict[str, list[int]] = {}
         self.page = (0, 0, 0, 0)  # outside of all of them
 
@@ -128,12 +140,12 @@ class Open:
             for kind in _kinds(self.stack.pop()[0]):
                 self.at[kind].pop()
 
-    def push(self, tag: str, state: tuple[int, int, int, int]) -> None:
+    def push(self, tag: str, state: tuple[int, float, int, int]) -> None:
         for kind in _kinds(tag):
             self.at.setdefault(kind, []).append(len(self.stack))
         self.stack.append((tag, state))
 
-    def state(self) -> tuple[int, int, int, int]:
+    def state(self) -> tuple[int, float, int, int]:
         return self.stack[-1][1] if self.stack else self.page
 
     def foreign(self) -> bool:
@@ -193,8 +205,26 @@ def _space(pieces: list[str]) -> list[str]:
     return [p for p in found if p]
 
 
-def _names(tag: str) -> str:
-    return " ".join(v for a in _ATTR.findall(tag) for v in a if v) if "=" in tag else ""
+def _names(tag: str) -> list[str]:
+    """Values of class, role, id and itemprop."""
+    return [v for _, *a in _ATTR.findall(tag) for v in a if v] if "=" in tag else []
+
+
+def _article_hint(names: list[str]) -> bool:
+    return any(_ARTICLE_HINT.search(n) for n in names)
+
+
+@lru_cache(maxsize=4096)
+def _furniture_hint(names: str) -> float:
+    """1 under a strong name of page furniture, 0.5 under a weak one."""
+    hint = 0.0
+    for name in names.split():
+        parts = [p for p in re.split("[_-]+", name.lower()) if p]
+        strong = [bool(_STRONG.fullmatch(p)) for p in parts]
+        weak = [bool(_WEAK.fullmatch(p)) for p in parts]
+        if parts[:1] == ["comment"] or all(s or w or _PLACE.fullmatch(p) for p, s, w in zip(parts, strong, weak)):
+            hint = max(hint, 1.0 if any(strong) else 0.5 if any(weak) else 0.0)
+    return hint
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -287,19 +317,19 @@ def blocks(page: str | None) -> list[Block]:
             elif tag in ("html", "body") and not closing:
                 if tag == "body" and elements.stack and elements.stack[-1][0] == "head":
                     elements.cut(len(elements.stack) - 1)
-                if _ARTICLE_HINT.search(_names(m.group())):
+                if _article_hint(_names(m.group())):
                     elements.page = (0, 0, 1, 0)
         elif closing:
             depth = elements.ended(tag)
             if depth is not None:
                 elements.cut(depth)
         elif elements.make_room(tag):
-            names = _names(m.group())
+            names = _names(m.group()) if tag not in _HEADINGS else []
             furniture, hint, article, heading = elements.state()
-            article = int(article or tag in ("article", "main") or bool(names and _ARTICLE_HINT.search(names)))
+            article = int(article or tag in ("article", "main") or _article_hint(names))
             furniture = int(furniture or tag in FURNITURE or (tag == "header" and not article))
             if tag not in ("article", "main"):
-                hint = int(hint or bool(names and _FURNITURE_HINT.search(names)))
+                hint = max(hint, _furniture_hint(" ".join(names))) if names else hint
             elements.push(tag, (furniture, hint, article, int(heading or tag in _HEADINGS)))
         state = elements.state()
     say(page[at:] if not re.match(r"<[a-zA-Z/!?][^>]*\Z", page[at:]) else "")
@@ -335,9 +365,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple | float:
     return j, float(limit), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
-@lru_cache(maxsize=1)
-def tree() -> tuple:
-    return grow(*examples())
+@lru_cache(maxsize=2)
+def tree(weak: bool = False) -> tuple:
+    return grow(*examples(weak))
 
 
 def classify(rows: np.ndarray, node: tuple | float) -> np.ndarray:
@@ -352,7 +382,10 @@ def classify(rows: np.ndarray, node: tuple | float) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     found = blocks(page)
-    keep = classify(table(found), tree())
+    rows = table(found)
+    keep, weak = classify(rows, tree()), rows[:, FEATURES.index("hint")] == 0.5
+    if weak.any():
+        keep[weak] = classify(rows[weak], tree(True))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -146,6 +146,21 @@ def test_elements_without_text_leave_the_block_around_them():
     assert [b.text for b in maintext.blocks(page)] == [f"{ONE} {TWO}"]
 
 
+@pytest.mark.parametrize("opened, closed", [
+    ('<section id="search-methods">', "</section>"), ('<div id="legal-history">', "</div>"), ('<figure aria-label="Share of votes">', "</figure>"),
+    ('<div class="tag-theory">', "</div>"), ('<div class="notice">', "</div>"), ('<div data-id="share">', "</div>"), ('<section id="related">', "</section>")])
+def test_names_that_hold_a_word_of_furniture_lose_nothing(opened, closed):
+    page = f"<article><header class='entry-header'><h1>The title here</h1></header><p>{ONE}</p>{opened}<h2 id='related-work'>Related work</h2><p>{TWO}</p>{closed}<p>{THREE}</p></article>"
+    assert maintext.main_text(page).split("\n") == ["The title here", ONE, "Related work", TWO, THREE]
+
+
+@pytest.mark.parametrize("name", ["ad", "big advert", "cookie-notice", "social-share", "site-footer", "comments", "comment-list", "nav-links", "sidebar_left", "related-posts"])
+def test_names_of_furniture_still_count(name):
+    inside = "<p><a href=x>Read more of this</a></p><p>Short</p>" if name == "related-posts" else f"<p>{TWO}</p>"
+    for attribute in ("class", "id", "role"):
+        assert maintext.main_text(f'<article><p>{ONE}</p><div {attribute}="{name}">{inside}</div><p>{THREE}</p></article>') == f"{ONE}\n{THREE}"
+
+
 def test_open_elements_end_by_the_rules_of_html():
     held = lambda page: [(b.text, b.furniture, b.hint) for b in maintext.blocks(page)]
     assert held('<p class="ad">a<p>b') == [("a", 0, 1), ("b", 0, 0)]
