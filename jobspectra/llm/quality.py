@@ -28,6 +28,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = True
+_LETTER = re.compile(r"[^\W\d_]")
 _ENDS = re.compile(r"(?:\.\.\.|…)[ \t]*(?=\n|$)")
 
 
@@ -83,6 +84,15 @@ def _alpha_words(f: Features) -> np.ndarray:
     return np.bincount(block.doc[has], minlength=block.n_docs)
 
 
+def _capitals(f: Features) -> np.ndarray:
+    """More capitals than small letters, both of ASCII, in a text whose letters are mostly ASCII."""
+    upper, lower = f["n_upper"], f["n_lower"]
+    bad = upper > lower
+    for i in np.flatnonzero(bad):
+        bad[i] = 2 * (upper[i] + lower[i]) > len(_LETTER.findall(f.texts[i]))
+    return bad
+
+
 _FEATURES: dict[str, Callable[[Features], np.ndarray]] = {
     "n_words": lambda f: f.block.n_words,
     "word_chars": lambda f: f.block.per_doc(~f.block.white & ((f.block.data & 0xC0) != 0x80)),
@@ -115,7 +125,7 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda f: 10 * f["n_symbols"] > f["n_words"]),
     Rule("copied_lines", ("n_lines", "n_dup_lines"), lambda f: 10 * f["n_dup_lines"] > 4 * f["n_lines"]),
     Rule("word_length", ("n_words", "word_chars"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
-    Rule("capitals", ("n_upper", "n_lower"), lambda f: f["n_upper"] > f["n_lower"]),
+    Rule("capitals", ("n_upper", "n_lower"), _capitals),
     Rule("few_letters", ("n_words", "n_alpha_words"), lambda f: 10 * f["n_alpha_words"] < 7 * f["n_words"]),
     Rule("shouting", ("n_words", "n_shouts"), lambda f: 2 * f["n_shouts"] > f["n_words"]),
     Rule("cut_lines", ("n_lines", "n_cut_lines"), lambda f: 10 * f["n_cut_lines"] > 5 * np.maximum(f["n_lines"], 1)),

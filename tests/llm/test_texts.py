@@ -49,6 +49,17 @@ def test_quality_counts_and_verdict(spark):
         assert [r.kept for r in sorted(rows, key=lambda r: r.doc_id)] == (~alone.any(axis=0)).tolist()
 
 
+def test_capitals_are_judged_in_mostly_latin_texts_only(spark):
+    words = {"ru": "слово и ещё много разных слов об этом деле", "el": "λόγος και άλλα πολλά για αυτό το θέμα", "ar": "كلمة وكلمات أخرى كثيرة عن هذا الأمر"}
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choices(v.split(), k=60)) + " NATO SQL" for k, v in words.items()}
+    texts |= {"caps": " ".join(f"LOUD WORDS OF A TEXT {i} AND MORE OF {i * i}" for i in range(12)), "mixed": " ".join(f"NATO SQL HTTP {i} EU слово" for i in range(20))}
+    rule = next(r for r in quality.RULES if r.name == "capitals")
+    assert rule.rejects(quality.Features(list(texts.values()))).tolist() == [False, False, False, True, True]
+    kept = {r.kept_as: r.kept for r in quality.judge(spark.createDataFrame([*texts.items()], "kept_as string, text string")).collect()}
+    assert kept == {"ru": True, "el": True, "ar": True, "caps": False, "mixed": False}
+
+
 def test_quality_plan_prefers_rejections_per_cost(spark):
     order = quality.plan(table(spark, ["### *** " * 60] * 30 + ["plain words of a text " * 20] * 5))
     worth = [m["rate"] / max(m["cost"], 1e-9) for m in order]
