@@ -145,8 +145,9 @@ def _splits_at_spaces(spec: dict) -> bool:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+    """One encoder per worker process and file; special tokens in a text get their own ids,
+    as with the library."""
+    return Encoder(path, special_as_text=False)
 
 
 held_by_worker(encoder.cache_clear)

@@ -214,6 +214,16 @@ def test_cached_tokens_equal_the_library(name):
     assert own.encode(texts) == want and own.encode(texts[:50]) == want[:50]
 
 
+@pytest.mark.parametrize("name, special", [("byte_bpe_50k.json", {50256}), ("word_bpe_49k.json", {49406, 49407})])
+def test_special_tokens_in_texts_equal_the_unmodified_library(name, special):
+    path, rng = public_tokenizers.path(name), random.Random(6)
+    plain, own = Tokenizer.from_file(path), tokens.encoder(path)
+    parts = ["a", "B", "é", " ", " ", "\n", "'s", ".", "1", "!!", "\t", "Σ", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode(texts) == [np.array(ids, "<u4").tobytes() for ids in want] and special <= set().union(*want)
+
+
 def test_packing_covers_every_token(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [*ODD, *ODD, *("some words of text " * k for k in range(1, 300, 3))]
