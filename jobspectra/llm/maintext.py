@@ -110,7 +110,8 @@ def examples(weak: bool = False) -> tuple[np.ndarray, np.ndarray]:
             places = ((1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (0, 1, 0, 0, 0), (0, 1, 0, 1, 0), (0, 1, 1, 1, 0), (1, 1, 0, 0, 0),
                       (0, 0, 0, 1, 0), (0, 0, 1, 1, in_article), (0, 0, 0, 0, alone))
         for furniture, hint, article, page, label in places:
-            rows.append((*numbers, furniture, hint, article, heading, page, label))
+            for words in {numbers[0], 1, 20} if weak and heading else {numbers[0]}:  # a heading may be short or long
+                rows.append((words, *numbers[1:], furniture, hint, article, heading, page, label))
     table_ = np.array(rows, float)
     return table_[:, :-1], table_[:, -1]
 
