@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobspectra.llm import ann, maintext, neardup, ngramlm, packing, pieces, pii, quality, tokenfile, toxicity
+from jobspectra.llm import ann, maintext, neardup, negatives, ngramlm, packing, pieces, pii, quality, resample, slices, tokenfile, toxicity
 from jobspectra.session import shared_dir
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -111,6 +111,71 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every vector whose id is divisible by 100."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+_INTEGERS = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+WITH {_INTEGERS},
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark's word pairs; a quarter is drawn."""
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_FEATURE = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, text, 0 AS target FROM documents UNION ALL SELECT item_id, text, 1 FROM benchmark),
+w AS (SELECT row_number() OVER () AS line, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '{_FEATURE}') AS words FROM t),
+f AS (SELECT line, target, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w),
+c AS (SELECT feature, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(feature)) + 1), lambda i: CAST('0x' || hex(encode(feature))[2 * i - 1 : 2 * i] AS BIGINT))),
+        lambda s, x: xor({resample.TABLE.tolist()}[CAST(xor(s, x) & 255 AS BIGINT) + 1], s >> 8)) AS state FROM (SELECT DISTINCT feature FROM f)),
+b AS (SELECT feature, xor(state, 4294967295) % 10000 AS bucket FROM c),
+n AS (SELECT bucket, CAST(count(*) FILTER (target = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (target = 1) AS DOUBLE) AS t FROM f JOIN b USING (feature) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT line, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE target = 0 GROUP BY line),
+h AS (SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / CAST(n AS DOUBLE)), 0) AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (line) WHERE target = 0),
+d AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place,
+        count(*) FILTER (n_words >= 20) OVER () AS eligible FROM d)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 25 * eligible // 100 THEN place END AS rank FROM r
+"""
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of highest integer inner product with each vector whose id is divisible by 50."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return slices.search(table, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = f"""
+WITH {_INTEGERS},
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ENTRIES: dict[str, tuple] = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_near_duplicates": (op2_near_duplicates, None),
@@ -122,4 +187,7 @@ ENTRIES: dict[str, tuple] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_token_files": (op10_token_files, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_target_resampling": (op12_target_resampling, OP12_SQL),
+    "op13_exact_top_k": (op13_exact_top_k, OP13_SQL),
 }
