@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobspectra.functions import timebuckets as tb
+from jobspectra.operators.pairs import top_pairs
 from jobspectra.operators.quantiles import exact_percentiles, merge_by_group, percentiles, value_counts
 from jobspectra.schema import (
     CONCENTRATION_TOP, GRADE_IDS, GRADES, LOW_CONFIDENCE_BELOW, MAX_TOP_N, PERCENTILES, TOP_N)
@@ -215,50 +216,12 @@ def skill_delta(postings: DataFrame, period: str = "month", where: Slice = ALL)
         F.round(F.col("share") - F.lag("share").over(order), 4).alias("share_delta"))
 
 
-SEED_SKILLS = 64
-
-
 def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,
                 by: Sequence[str] = ()) -> DataFrame:
-    """Top unordered skill pairs (a < b) within postings, exactly, per ``by`` group.
-
-    A pair is at most as frequent as its rarer skill. The n-th best pair among the most
-    frequent skills therefore bounds from below what a skill must reach to take part,
-    and all rarer skills leave before any pair is formed. A posting with a very long
-    tail of rare skills then costs no more than its frequent ones.
-    """
+    """Top unordered skill pairs (a < b) within postings, exactly, per ``by`` group (see ``pairs``)."""
     by = list(by)
     rows = where.apply(postings)
-    links = skill_rows(rows, *by, "posting_id")
-    counts = links.groupBy(*by, "skill").agg(F.count("*").alias("count"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "skill"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "a", "b"))
-    ranked = counts.withColumn("rank", rank)
-    size = SEED_SKILLS
-    while True:
-        seeds = ranked.where(F.col("rank") <= size).agg(F.collect_set("skill").alias("s")).scalar()
-        sampled = _pair_counts(rows.select(*by, F.array_intersect("skills", seeds).alias("s")), by)
-        nth = sampled.withColumn("rank", place).where(F.col("rank") == _limit(n))
-        bounds = [] if by else nth.select(F.col("count").alias("_bound")).collect()  # one row at most
-        # Without a bound nothing would be pruned: look among more skills, as long as there are.
-        if by or bounds or ranked.where(F.col("rank") > size).isEmpty():
-            break
-        size *= 8
-    if by:
-        bounds = nth.select(*by, F.col("count").alias("_bound"))
-        kept = counts.join(bounds, by, "left").where(F.col("count") >= F.coalesce("_bound", F.lit(0)))
-        # The links of a posting leave one task together, so regrouping them combines before
-        # its shuffle: one short array per posting travels.
-        arrays = (links.join(kept.select(*by, "skill"), [*by, "skill"], "left_semi")
-                  .groupBy(*by, "posting_id").agg(F.collect_list("skill").alias("s")))
-    elif bounds:
-        # No more than links / bound skills reach the bound; arrays are pruned in place.
-        names = counts.where(F.col("count") >= bounds[0]["_bound"]).agg(F.collect_set("skill").alias("s")).scalar()
-        arrays = rows.select(F.array_intersect("skills", names).alias("s"))
-    else:
-        arrays = rows.select(F.array_distinct("skills").alias("s"))
-    exact = _pair_counts(arrays, by)
-    best = exact.withColumn("rank", place).where(F.col("rank") <= n)
+    best = top_pairs(rows.select(*by, F.col("skills").alias("items"), F.lit(1).cast("long").alias("weight")), _limit(n), by)
     if by:
         totals = rows.groupBy(*by).agg(F.count("*").alias("sample_size"))
         best, total = best.join(totals, by), F.col("sample_size")
@@ -268,14 +231,6 @@ def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,
                        total.alias("sample_size"), low_confidence(total).alias("low_confidence"))
 
 
-def _pair_counts(arrays: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pair counts of skill arrays ``s``; pairs are spread row by row, not built at once."""
-    several = arrays.where(F.size("s") > 1).select(*by, F.array_sort("s").alias("s"))
-    firsts = several.select(*by, F.posexplode("s").alias("i", "a"), "s")
-    pairs = firsts.select(*by, "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count"))
-
-
 # --- employers ------------------------------------------------------------------------
 
 def top_employers(postings: DataFrame, employers: DataFrame, where: Slice = ALL, n: int = TOP_N,

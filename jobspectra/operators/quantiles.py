@@ -35,13 +35,14 @@ BOUNDED_GROUPS = {"grade_id", "employment_format", "period_type", "has"}
 
 
 def percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int],
-                names: Sequence[str] | None = None) -> DataFrame:
-    """One row per group: linear-interpolation percentiles of ``value_counts`` output.
+                names: Sequence[str] | None = None, total: str | None = None) -> DataFrame:
+    """One row per group: linear-interpolation percentiles of ``value_counts`` output and,
+    if ``total`` gives it a name, the number of values.
 
     Results are doubles exact to four decimals: amounts have two and an integer percent
     adds at most two more.
     """
-    return pick_values(counts, choose_bins(bin_counts(counts, groups), groups, percents), groups, percents, names)
+    return pick_values(counts, choose_bins(bin_counts(counts, groups), groups, percents), groups, percents, names, total)
 
 
 def with_bin(counts: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def choose_bins(bins: DataFrame, groups: Sequence[str], percents: Sequence[int])
 
 
 def pick_values(counts: DataFrame, chosen: DataFrame, groups: Sequence[str], percents: Sequence[int],
-                names: Sequence[str] | None = None) -> DataFrame:
+                names: Sequence[str] | None = None, total: str | None = None) -> DataFrame:
     """Percentiles from the value counts of (at least) the chosen bins."""
     groups = list(groups)
     names = list(names or [f"p{p}" for p in percents])
@@ -82,6 +83,8 @@ def pick_values(counts: DataFrame, chosen: DataFrame, groups: Sequence[str], per
         low, high = (f"max(CASE WHEN _key_at = {2 * p + side} THEN {_CENTS} END)" for side in (0, 1))
         step = f"((max(_total) - 1) * {p} % 100)"
         picked.append(F.expr(f"CAST({low} * 100 + ({high} - {low}) * {step} AS DOUBLE) / 10000").alias(name))
+    if total:
+        picked.append(F.max("_total").alias(total))
     return hits.groupBy(*groups).agg(*picked)
 
 

@@ -1,243 +1,123 @@
 """The snapshot matrix: every metric for all grades and each grade, per period type.
 
-One pass over the fact per metric: each posting counts for its grade and for "all", and
-the periods are rolled up from day counts instead of scanning again.
+The fact is scanned once, into small count tables (see ``cube``); all payloads are put
+together from one row per slice and one row per slice and period type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobspectra.functions import timebuckets as tb
+from jobspectra.operators import cube as cb
 from jobspectra.operators import metrics as m
-from jobspectra.operators.quantiles import merge_by_group, percentiles, value_counts
-from jobspectra.schema import (
-    CONCENTRATION_TOP, GRADES, METRIC_TYPES, PERCENTILES, PERIOD_TYPES, SNAPSHOT, TOP_N)
+from jobspectra.operators.cube import ALL_GRADES
+from jobspectra.operators.quantiles import merge_by_group
+from jobspectra.operators.views import OVERVIEW_TOP
+from jobspectra.schema import CONCENTRATION_TOP, METRIC_TYPES, PERIOD_TYPES, SNAPSHOT, TOP_N
 
-ALL_GRADES = 0
 SLICE_KEY = ["metric_type", "period_type", "period_start", "grade_id", "currency", "gross_basis"]
 
 
-def _sliced(postings: DataFrame, *columns) -> DataFrame:
-    grades = F.array_compact(F.array(F.lit(ALL_GRADES), F.col("grade_id").cast("int")))
-    return postings.select(F.explode(grades).alias("slice"), *columns)
-
-
-def _slices(postings: DataFrame) -> DataFrame:
-    ids = F.array(*[F.lit(g) for g in (ALL_GRADES, *[row[0] for row in GRADES])])
-    return postings.sparkSession.range(1).select(F.explode(ids).alias("slice"))
-
-
-def _items(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, *columns) -> DataFrame:
-    """Rows of each key packed into one ordered array; lists are top-N or calendar-sized."""
-    entry = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("item"))
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
-    return packed.select(*keys, F.transform("_l", lambda x: x["item"]).alias(name))
-
-
-def _totals(postings: DataFrame) -> DataFrame:
-    counted = _sliced(postings).groupBy("slice").agg(F.count("*").alias("sample_size"))
-    every = _slices(postings).join(counted, "slice", "left")
-    return every.select("slice", F.coalesce("sample_size", F.lit(0)).alias("sample_size"))
-
-
-def _top(counts: DataFrame, tie: str, n: int = TOP_N) -> DataFrame:
-    order = Window.partitionBy("slice").orderBy(F.desc("count"), tie)
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-
-
-def _with_lists(totals: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-    joined = totals.join(lists, "slice", "left")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.array()))
-
-
 def _json(*columns) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def _sample(alias: str = "sample_size") -> list[Column]:
-    size = F.col("sample_size")
-    return [size.alias(alias), m.low_confidence(size).alias("low_confidence")]
-
-
-def _salary(postings: DataFrame) -> DataFrame:
-    rows = _sliced(postings, "estimate", "from_net", "to_net")
-    summary = m.salary_summary(rows, by=["slice"])
-    return (_slices(postings).join(summary, "slice", "left")
-            .withColumn("count", F.coalesce("count", F.lit(0)))
-            .withColumn("total_count", F.coalesce("total_count", F.lit(0)))
-            .withColumn("low_confidence", m.low_confidence(F.col("count"))))
-
-
-def _skills(postings: DataFrame) -> DataFrame:
-    counts = (_sliced(postings, "skills").select("slice", F.explode("skills").alias("skill"))
-              .groupBy("slice", "skill").agg(F.count("*").alias("count")))
-    return _top(counts, "skill").join(F.broadcast(_totals(postings)), "slice").withColumn(
-        "share", m.share(F.col("count"), F.col("sample_size")))
-
-
-def _employers(postings: DataFrame, employers: DataFrame) -> DataFrame:
-    counts = (_sliced(postings, "employer_id").where("employer_id is not null")
-              .groupBy("slice", "employer_id").agg(F.count("*").alias("count")))
-    named = counts.join(employers.select("employer_id", "name"), "employer_id")
-    return _top(named, "employer_id").join(F.broadcast(_totals(postings)), "slice").withColumn(
-        "share", m.share(F.col("count"), F.col("sample_size")))
-
-
-def _days(postings: DataFrame) -> DataFrame:
-    day = tb.local_date(F.col("published_at"))
-    return (_sliced(postings, day.alias("day"), "estimate").where("day is not null"))
-
-
-def _per_period(df: DataFrame, period_types: Sequence[str]) -> DataFrame:
-    """Each day row repeated for every period type with its bucket start."""
-    starts = F.array(*[F.struct(F.lit(p).alias("period_type"),
-                                tb.period_start(F.col("day"), p).alias("point")) for p in period_types])
-    return df.select("*", F.explode(starts).alias("_p")).select("*", "_p.*").drop("_p", "day")
-
-
-def _demand(postings: DataFrame, period_types: Sequence[str]) -> DataFrame:
-    daily = _days(postings).groupBy("slice", "day").agg(F.count("*").alias("count"))
-    counts = (_per_period(daily, period_types).groupBy("slice", "period_type", "point")
-              .agg(F.sum("count").alias("count")))
-    order = Window.partitionBy("slice", "period_type").orderBy("point")
-    return counts.withColumn("growth", m.growth(F.col("count"), F.lag("count").over(order)))
-
-
-def _salary_series(postings: DataFrame, period_types: Sequence[str]) -> DataFrame:
-    daily = value_counts(_days(postings), ["slice", "day"], "estimate")
-    keys = ["slice", "period_type", "point"]
-    counts = (_per_period(daily, period_types).groupBy(*keys, "_cents").agg(F.sum("_count").alias("_count")))
-    ranks = percentiles(counts, keys, (50, 25, 75), ("median", "p25", "p75"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_count").alias("count"))
-    merged = merge_by_group([sizes, ranks], keys)
-    return merged.select(*keys, *[F.round(c, 2).alias(c) for c in ("median", "p25", "p75")], "count")
-
-
-def _distribution(postings: DataFrame, by: str) -> DataFrame:
-    if by == "grade":
-        counts = postings.groupBy(m.dimension_key("grade").alias("key")).agg(F.count("*").alias("count"))
-        counts = counts.select("*", F.explode(F.array(*[F.lit(i) for i in (ALL_GRADES, 1, 2, 3, 4)])).alias("slice"))
-    else:
-        counts = (_sliced(postings, m.dimension_key(by).alias("key")).groupBy("slice", "key")
-                  .agg(F.count("*").alias("count")))
-    size = F.sum("count").over(Window.partitionBy("slice"))
-    label = F.initcap("key") if by == "grade" else F.when(F.col("key") == "unknown", "Unknown").otherwise(F.col("key"))
-    return counts.select("slice", "key", label.alias("label"), "count",
-                         m.share(F.col("count"), size).alias("share"), size.alias("sample_size"))
+def _size_of(items: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc + x["count"])
+
+
+def _sample(size: Column) -> list[Column]:
+    return [size.alias("sample_size"), m.low_confidence(size).alias("low_confidence")]
+
+
+def _payloads(row: DataFrame, metric_types: Sequence[str]) -> DataFrame:
+    """(slice, metric_type, payload) of the metrics that do not depend on the period type, from one row per slice."""
+    s, total = F.col("salary"), F.col("total")
+    picked = lambda items, *names: F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    rate = F.coalesce(m.share(F.aggregate(F.slice("employers", 1, CONCENTRATION_TOP), F.lit(0).cast("long"), lambda acc, e: acc + e["count"]), total), F.lit(0.0))
+    payloads = {
+        "salary": lambda: _json(*[s[c].alias(c) for c in ("count", "total_count", "median", "min", "max", "mean", "percentiles")],
+                                F.struct(s["range_from"].alias("from"), s["range_to"].alias("to")).alias("range_avg"),
+                                s["disclosure_rate"].alias("salary_disclosure_rate"), s["low_confidence"].alias("low_confidence")),
+        "skills": lambda: _json(F.transform("skills", lambda x: F.struct(x["skill"].alias("skill"), x["skill"].alias("canonical"), x["count"].alias("count"),
+                                                                          m.share(x["count"], total).alias("share"))).alias("skills"), *_sample(total)),
+        "employers": lambda: _json(cb.shared("employers", "employer_id", "name", "count", "share").alias("employers"), rate.alias("top10_concentration"),
+                                   *_sample(total)),
+        "skill_cooccurrence": lambda: _json(cb.shared("pairs", "a", "b", "count", "share").alias("pairs"), *_sample(total)),
+        "overview": lambda: _json(
+            F.struct(s["median"].alias("median"), s["percentiles"]["p25"].alias("p25"), s["percentiles"]["p75"].alias("p75")).alias("salary"),
+            total.alias("total_vacancies"), s["disclosure_rate"].alias("salary_disclosure_rate"),
+            F.slice(cb.shared("skills", "skill", "share"), 1, OVERVIEW_TOP).alias("top_skills"),
+            F.slice(picked("employers", "name", "count"), 1, OVERVIEW_TOP).alias("top_employers"),
+            F.col("grade").alias("grade_distribution"), F.try_element_at("months", F.lit(-1))["growth"].alias("demand_growth_mom"),
+            s["low_confidence"].alias("low_confidence")),
+    }
+    for by in m.DIMENSIONS:
+        payloads[f"{by}_distribution"] = lambda by=by: _json(F.col(by).alias("distribution"), *_sample(_size_of(by)))
+    entries = [F.struct(F.lit(n).alias("metric_type"), payloads[n]().alias("payload")) for n in metric_types if n in payloads]
+    return row.select("slice", F.explode(F.array(*entries)).alias("e")).select("slice", "e.*") if entries else None
 
 
-def _distribution_payload(postings: DataFrame, by: str) -> DataFrame:
-    rows = _distribution(postings, by)
-    lists = _items(rows, ["slice"], [-F.col("count"), F.col("key")], "distribution", "key", "label", "count", "share")
-    sizes = rows.groupBy("slice").agg(F.max("sample_size").alias("sample_size"))
-    every = _slices(postings).join(sizes, "slice", "left").withColumn(
-        "sample_size", F.coalesce("sample_size", F.lit(0)))
-    return _with_lists(every, lists, "distribution").select("slice", _json("distribution", *_sample()).alias("payload"))
+_SERIES = {"demand_trend": "demand", "salary_timeseries": "amounts"}
 
 
 def build_snapshots(postings: DataFrame, employers: DataFrame, period_types: Sequence[str] = PERIOD_TYPES,
-                    metric_types: Sequence[str] = METRIC_TYPES) -> DataFrame:
+                    metric_types: Sequence[str] = METRIC_TYPES, digits: int = 2, mean_digits: int | None = None) -> DataFrame:
     """All snapshot rows: metric x period type x (all grades and each grade).
 
     ``period_start`` is the bucket of the first publication day; the series follow the
-    period type, the other metrics cover the full span for every period type.
+    period type, the other metrics cover the full span for every period type. Without a
+    publication day there are no rows.
     """
-    period_types = list(period_types)
-    totals = _totals(postings)
-    by_rank = [F.col("rank")]
-
-    def skills_list(n: int, *columns) -> DataFrame:
-        return _items(_skills(postings).where(F.col("rank") <= n), ["slice"], by_rank, "skills", *columns)
-
-    def employers_list(n: int, *columns) -> DataFrame:
-        return _items(_employers(postings, employers).where(F.col("rank") <= n), ["slice"], by_rank,
-                      "employers", *columns)
-
-    def salary() -> DataFrame:
-        return _salary(postings).select("slice", _json(
-            "count", "total_count", "median", "min", "max", "mean",
-            F.struct(*[f"p{p}" for p in PERCENTILES]).alias("percentiles"),
-            F.struct(F.col("range_from").alias("from"), F.col("range_to").alias("to")).alias("range_avg"),
-            F.col("disclosure_rate").alias("salary_disclosure_rate"), "low_confidence").alias("payload"))
-
-    def skills() -> DataFrame:
-        lists = skills_list(TOP_N, "skill", F.col("skill").alias("canonical"), "count", "share")
-        return _with_lists(totals, lists, "skills").select("slice", _json("skills", *_sample()).alias("payload"))
-
-    def employer_ranking() -> DataFrame:
-        lists = employers_list(TOP_N, "employer_id", "name", "count", "share")
-        head = F.aggregate(F.slice("employers", 1, CONCENTRATION_TOP), F.lit(0).cast("long"),
-                           lambda acc, e: acc + e["count"])
-        joined = totals.join(lists, "slice", "left")
-        rate = F.coalesce(m.share(F.coalesce(head, F.lit(0)), F.col("sample_size")), F.lit(0.0))
-        return joined.select("slice", _json(F.coalesce("employers", F.array()).alias("employers"),
-                                            rate.alias("top10_concentration"), *_sample()).alias("payload"))
-
-    def series(rows: DataFrame, *columns) -> DataFrame:
-        keys = ["slice", "period_type"]
-        lists = _items(rows, keys, [F.col("point")], "points", F.col("point").alias("period_start"), *columns)
-        size = F.aggregate("points", F.lit(0).cast("long"), lambda acc, p: acc + p["count"])
-        types = F.array(*[F.lit(p) for p in period_types])
-        every = _slices(postings).select("slice", F.explode(types).alias("period_type")).join(lists, keys, "left")
-        return every.select(*keys, _json(F.coalesce("points", F.array()).alias("points"),
-                                         m.low_confidence(size).alias("low_confidence")).alias("payload"))
-
-    def pairs() -> DataFrame:
-        rows = m.skill_pairs(_sliced(postings, "posting_id", "skills"), n=TOP_N, by=["slice"])
-        lists = _items(rows, ["slice"], by_rank, "pairs", "a", "b", "count", "share")
-        return _with_lists(totals, lists, "pairs").select("slice", _json("pairs", *_sample()).alias("payload"))
-
-    def headline() -> DataFrame:
-        parts = _salary(postings).select("slice", "median", "p25", "p75", "total_count", "disclosure_rate",
-                                         "low_confidence")
-        months = _items(_demand(postings, ["month"]), ["slice"], [F.col("point")], "points", "growth")
-        grades = _items(_distribution(postings, "grade"), ["slice"], [-F.col("count"), F.col("key")],
-                        "grades", "key", "label", "count", "share")
-        joined = (parts.join(skills_list(5, "skill", "share"), "slice", "left")
-                  .join(employers_list(5, "name", "count"), "slice", "left")
-                  .join(months, "slice", "left").join(grades, "slice", "left"))
-        return joined.select("slice", _json(
-            F.struct("median", "p25", "p75").alias("salary"), F.col("total_count").alias("total_vacancies"),
-            F.col("disclosure_rate").alias("salary_disclosure_rate"),
-            F.coalesce("skills", F.array()).alias("top_skills"),
-            F.coalesce("employers", F.array()).alias("top_employers"),
-            F.coalesce("grades", F.array()).alias("grade_distribution"),
-            F.try_element_at("points", F.lit(-1))["growth"].alias("demand_growth_mom"),
-            "low_confidence").alias("payload"))
-
-    builders = {
-        "salary": salary, "skills": skills, "employers": employer_ranking,
-        "demand_trend": lambda: series(_demand(postings, period_types), "count", "growth"),
-        "salary_timeseries": lambda: series(_salary_series(postings, period_types), "median", "p25", "p75", "count"),
-        "grade_distribution": lambda: _distribution_payload(postings, "grade"),
-        "format_distribution": lambda: _distribution_payload(postings, "format"),
-        "experience_distribution": lambda: _distribution_payload(postings, "experience"),
-        "skill_cooccurrence": pairs, "overview": headline,
-    }
-    first_day = m.date_span(postings).select("first_day").scalar()
+    period_types, slices = list(period_types), list(cb.GRADE_SLICES)
+    cube = cb.build(postings)
+    demand = cb.demand(cube, slices, list(dict.fromkeys([*period_types, "month"])))
+    amounts = cb.amounts(cube, slices, period_types)
+    months = cb.ordered(demand.where("period_type = 'month'"), ["slice"], [F.col("point")], "months", "growth")
+    parts = [cb.skills(cube, slices, TOP_N), cb.employers(cube, employers, slices, TOP_N), months,
+             *[cb.distribution(cube, slices, by) for by in m.DIMENSIONS]]
+    if "skill_cooccurrence" in metric_types:
+        parts.append(cb.pairs(cube, slices, TOP_N))
     types = F.array(*[F.lit(p) for p in period_types])
-    stacked = None
-    for name in metric_types:
-        rows = builders[name]()
-        if "period_type" not in rows.columns:
-            rows = rows.select("slice", F.explode(types).alias("period_type"), "payload")
-        rows = rows.select(F.lit(name).alias("metric_type"), "period_type", "slice", "payload")
-        stacked = rows if stacked is None else stacked.unionByName(rows)
+    stacked = []
+    whole = _payloads(cb.headline(cube, slices, parts, digits, mean_digits, amounts), metric_types)
+    if whole is not None:
+        stacked.append(whole.select("metric_type", F.explode(types).alias("period_type"), "slice", "payload"))
+    if series := [n for n in metric_types if n in _SERIES]:
+        keys, point = ["slice", "period_type"], F.col("point").alias("period_start")
+        rates = [F.round(p, digits).alias(n) for p, n in (("p50", "median"), ("p25", "p25"), ("p75", "p75"))]
+        every = cb.slice_rows(cube, slices).select("slice", F.explode(types).alias("period_type"))
+        lists = merge_by_group([every, cb.ordered(demand, keys, [F.col("point")], "demand", point, "count", "growth"),
+                                cb.ordered(amounts, keys, [F.col("point")], "amounts", point, *rates, F.col("values").alias("count"))], keys)
+        entries = []
+        for n in series:
+            items = _SERIES[n]
+            filled = F.coalesce(items, F.array())
+            entries.append(F.struct(F.lit(n).alias("metric_type"), _json(filled.alias("points"), m.low_confidence(_size_of(items)).alias("low_confidence")).alias("payload")))
+        lists = lists.where(F.col("period_type").isin(period_types))
+        stacked.append(lists.select(*keys, F.explode(F.array(*entries)).alias("e")).select("e.metric_type", "period_type", "slice", "e.payload"))
+    rows = stacked[0] if len(stacked) == 1 else stacked[0].unionByName(stacked[1])
+    first_day = cube.where("kind = 'days'").agg(F.min("day").alias("d")).scalar()
     start = None
     for p in period_types:
         hit = F.col("period_type") == p
         value = tb.period_start(F.col("_first"), p)
         start = F.when(hit, value) if start is None else start.when(hit, value)
-    dated = stacked.withColumn("_first", first_day).where("_first is not null")
+    dated = rows.withColumn("_first", first_day).where("_first is not null")
     return dated.select("metric_type", "period_type", start.alias("period_start"),
                         F.nullif(F.col("slice"), F.lit(ALL_GRADES)).cast("int").alias("grade_id"),
                         F.lit("RUB").alias("currency"), F.lit(False).alias("gross_basis"), "payload")
 
 
+def _sliced(postings: DataFrame, *columns) -> DataFrame:
+    grades = F.array_compact(F.array(F.lit(ALL_GRADES), F.col("grade_id").cast("int")))
+    return postings.select(F.explode(grades).alias("slice"), *columns)
+
+
 def salary_per_bucket(postings: DataFrame, period: str, digits: int = 2) -> DataFrame:
     """A true per-bucket salary summary for all grades and each grade."""
     day = tb.local_date(F.col("published_at"))

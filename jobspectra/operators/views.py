@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobspectra.functions import timebuckets as tb
 from jobspectra.functions.skilldict import resolve_alias
+from jobspectra.operators import cube as cb
 from jobspectra.operators import metrics as m
 from jobspectra.operators.metrics import ALL, Slice
 
@@ -24,89 +25,74 @@ MAX_PAGE_SIZE = 200
 # -------------------------------------------------------------------------------------
 
 
-def one_row(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select()
-
-
-def record(df: DataFrame, *columns: str) -> Column:
-    """A one-row result as a struct value."""
-    return df.select(F.struct(*(columns or df.columns)).alias("r")).scalar()
+def last_items(items: Column, n: int) -> Column:
+    size = F.size(items)
+    return F.when(size > 0, F.slice(items, F.greatest(size - n + 1, F.lit(1)), n)).otherwise(items)
 
 
-def listing(df: DataFrame, order: Sequence[Column], *columns) -> Column:
-    """A short result (a top-N list, a series) as an array value in a fixed order."""
-    keyed = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)],
-                     F.struct(*columns).alias("item"))
-    packed = df.agg(F.array_sort(F.collect_list(keyed)).alias("l"))
-    return packed.select(F.transform("l", lambda x: x["item"]).alias("l")).scalar()
+def _headline(postings: DataFrame, where: Slice, slices: Sequence[int], digits: int, n_skills: int, employers: DataFrame | None = None,
+              n_employers: int = 0, dimensions: Sequence[str] = ()) -> DataFrame:
+    """Everything a composite result needs, one row per slice, from one scan of the fact."""
+    kinds = ["days", "amounts", "skills", *["employers"] * (employers is not None), *[d for d in dimensions if d != "grade"]]
+    cube = cb.build(where.any_grade().apply(postings), kinds, series=False)
+    parts = [cb.skills(cube, slices, n_skills), *[cb.distribution(cube, slices, d) for d in dimensions]]
+    if employers is not None:
+        months = cb.demand(cube, slices, ["month"])
+        parts += [cb.employers(cube, employers, slices, n_employers),
+                  cb.ordered(months, ["slice"], [F.col("point")], "months", F.col("point").alias("period"), "count", "growth")]
+    return cb.headline(cube, slices, parts, digits)
 
 
-def _ranked(df: DataFrame, key: str, *columns) -> Column:
-    return listing(df, [-F.col("count"), F.col(key)], *columns)
+def _grade_slice(where: Slice) -> list[int]:
+    return [m.GRADE_IDS.get(where.grade, cb.ALL_GRADES)]
 
 
-def last_items(items: Column, n: int) -> Column:
-    size = F.size(items)
-    return F.when(size > 0, F.slice(items, F.greatest(size - n + 1, F.lit(1)), n)).otherwise(items)
+def _picked(items: str, **names: str) -> Column:
+    return F.transform(items, lambda x: F.struct(*[x[c].alias(n) for n, c in names.items()]))
 
 
 def overview(postings: DataFrame, employers: DataFrame, where: Slice = ALL, digits: int = 2) -> DataFrame:
     """One row with the headline numbers of a slice."""
-    salary = record(m.salary_summary(postings, where, digits=digits))
-    demand = listing(m.demand_series(postings, "month", where), [F.col("period_start")], "count", "growth")
-    return one_row(postings.sparkSession).select(
-        salary["median"].alias("median"), salary["p25"].alias("p25"), salary["p75"].alias("p75"),
-        salary["total_count"].alias("total_vacancies"),
-        salary["disclosure_rate"].alias("disclosure_rate"),
-        _ranked(m.top_skills(postings, where, OVERVIEW_TOP), "skill", "skill", "share").alias("top_skills"),
-        _ranked(m.top_employers(postings, employers, where, OVERVIEW_TOP), "employer_id", "name", "count")
-        .alias("top_employers"),
-        _ranked(m.distribution(postings, "grade", where), "key", "key", "label", "count", "share")
-        .alias("grade_distribution"),
-        F.element_at(last_items(demand, 1), -1)["growth"].alias("demand_growth"),
+    row = _headline(postings, where, _grade_slice(where), digits, OVERVIEW_TOP, employers, OVERVIEW_TOP, ["grade"])
+    salary = F.col("salary")
+    return row.select(
+        salary["median"].alias("median"), salary["percentiles"]["p25"].alias("p25"), salary["percentiles"]["p75"].alias("p75"),
+        F.col("total").alias("total_vacancies"), salary["disclosure_rate"].alias("disclosure_rate"),
+        cb.shared("skills", "skill", "share").alias("top_skills"), _picked("employers", name="name", count="count").alias("top_employers"),
+        F.col("grade").alias("grade_distribution"), F.try_element_at("months", F.lit(-1))["growth"].alias("demand_growth"),
         salary["low_confidence"].alias("low_confidence"))
 
 
 def market_context(postings: DataFrame, employers: DataFrame, where: Slice = ALL, digits: int = 2) -> DataFrame:
     """Anonymous aggregates of a slice: no posting texts and no employer ids."""
-    salary = m.salary_summary(postings, where, digits=digits).select(
-        F.col("count").alias("sample_size"), F.col("total_count").alias("total_vacancies"),
-        "median", "mean", "min", "max",
-        F.struct(*[f"p{p}" for p in m.PERCENTILES]).alias("percentiles"), "disclosure_rate")
-    demand = listing(m.demand_series(postings, "month", where), [F.col("period_start")],
-                     F.col("period_start").alias("period"), "count", "growth")
-    return one_row(postings.sparkSession).select(
+    row = _headline(postings, where, _grade_slice(where), digits, CONTEXT_SKILLS, employers, CONTEXT_EMPLOYERS, ["grade", "format"])
+    s = F.col("salary")
+    salary = F.struct(s["count"].alias("sample_size"), F.col("total").alias("total_vacancies"),
+                      *[s[c].alias(c) for c in ("median", "mean", "min", "max", "percentiles", "disclosure_rate")])
+    skills = F.transform("skills", lambda x: F.struct(x["skill"].alias("name"), m.share(x["count"], F.col("total")).alias("share"), x["count"].alias("count")))
+    return row.select(
         F.lit(where.grade or "all").alias("grade_filter"),
         F.lit(where.date_from).cast("date").alias("date_from"), F.lit(where.date_to).cast("date").alias("date_to"),
-        record(salary).alias("salary"),
-        _ranked(m.top_skills(postings, where, CONTEXT_SKILLS), "skill",
-                F.col("skill").alias("name"), "share", "count").alias("top_skills"),
-        _ranked(m.top_employers(postings, employers, where, CONTEXT_EMPLOYERS), "employer_id",
-                "name", "count", "share").alias("top_employers"),
-        last_items(demand, CONTEXT_PERIODS).alias("demand_trend"),
-        _ranked(m.distribution(postings, "grade", where), "key",
-                F.col("key").alias("grade"), "share", "count").alias("grade_distribution"),
-        _ranked(m.distribution(postings, "format", where), "key",
-                F.col("key").alias("format"), "share", "count").alias("format_distribution"))
+        salary.alias("salary"), skills.alias("top_skills"), cb.shared("employers", "name", "count", "share").alias("top_employers"),
+        last_items(F.col("months"), CONTEXT_PERIODS).alias("demand_trend"),
+        _picked("grade", grade="key", share="share", count="count").alias("grade_distribution"),
+        _picked("format", format="key", share="share", count="count").alias("format_distribution"))
 
 
 def resume_market_context(postings: DataFrame, grade: str | None = None, digits: int = 2) -> DataFrame:
     """Overall salary and skills and, for a known grade, the same of that grade."""
-    def salary(where: Slice) -> Column:
-        summary = m.salary_summary(postings, where, digits=digits)
-        return record(summary.select("median", "p25", "p75", "min", "max",
-                                     F.col("count").alias("sample_size"),
-                                     F.col("total_count").alias("total_vacancies")))
-
-    def skills(where: Slice, n: int) -> Column:
-        return _ranked(m.top_skills(postings, where, n), "skill", F.col("skill").alias("name"), "share", "count")
-
-    columns = [F.lit(grade or "all").alias("grade_filter"), salary(ALL).alias("salary_all"),
-               skills(ALL, RESUME_SKILLS_ALL).alias("top_skills_all")]
-    if grade not in (None, "all"):
-        where = Slice(grade=grade)
-        columns += [salary(where).alias("salary_grade"), skills(where, RESUME_SKILLS_GRADE).alias("top_skills_grade")]
-    return one_row(postings.sparkSession).select(*columns)
+    own = grade not in (None, "all")
+    slices = [cb.ALL_GRADES, *_grade_slice(Slice(grade=grade))][:1 + own]
+    row = _headline(postings, ALL, slices, digits, max(RESUME_SKILLS_ALL, RESUME_SKILLS_GRADE))
+    s = F.col("salary")
+    salary = F.struct(s["median"].alias("median"), s["percentiles"]["p25"].alias("p25"), s["percentiles"]["p75"].alias("p75"), s["min"].alias("min"),
+                      s["max"].alias("max"), s["count"].alias("sample_size"), F.col("total").alias("total_vacancies"))
+    skills = F.transform("skills", lambda x: F.struct(x["skill"].alias("name"), m.share(x["count"], F.col("total")).alias("share"), x["count"].alias("count")))
+    columns = [F.lit(grade or "all").alias("grade_filter")]
+    for at, name, n in ((slices[0], "all", RESUME_SKILLS_ALL), (slices[-1], "grade", RESUME_SKILLS_GRADE))[:1 + own]:
+        here = lambda c, at=at: F.max(F.when(F.col("slice") == at, c))
+        columns += [here(salary).alias(f"salary_{name}"), here(F.slice(skills, 1, n)).alias(f"top_skills_{name}")]
+    return row.agg(*columns)
 
 
 def posting_listing(postings: DataFrame, employers: DataFrame, where: Slice = ALL, *,

@@ -145,6 +145,18 @@ add("skill_cooccurrence", lambda s, d: m.skill_pairs(postings(s, d, "p_brand")),
     r AS (SELECT *, CAST(row_number() OVER (ORDER BY c DESC, a, b) AS INTEGER) AS rank FROM c)
     SELECT rank, a, b, c AS "count", {SHARE.format('c', 'n')} AS share, n AS sample_size, n < 30 AS low_confidence
     FROM r, t WHERE rank <= 20""")
+# Every second posting number is a skill of its own, so rare skills are as many as postings.
+_TAIL = "concat('Tail ', {0})"
+add("skill_cooccurrence_long_tail",
+    lambda s, d: m.skill_pairs(postings(s, d, "p_brand").withColumn("skills", F.concat("skills", F.array(F.expr(_TAIL.format("posting_id div 2"))))),
+                               n=10, by=["grade_id"]),
+    f"""{WITH}, t AS (SELECT grade_id, count(*) AS n FROM p WHERE grade_id IS NOT NULL GROUP BY 1),
+    k AS (SELECT posting_id, skill FROM sk UNION SELECT posting_id, {_TAIL.format('posting_id // 2')} FROM p),
+    c AS (SELECT grade_id, x.skill AS a, y.skill AS b, count(*) AS c FROM p JOIN k x USING (posting_id) JOIN k y
+          ON x.posting_id = y.posting_id AND x.skill < y.skill WHERE grade_id IS NOT NULL GROUP BY 1, 2, 3),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grade_id ORDER BY c DESC, a, b) AS INTEGER) AS rank FROM c)
+    SELECT grade_id, rank, a, b, c AS "count", {SHARE.format('c', 'n')} AS share, n AS sample_size, n < 30 AS low_confidence
+    FROM r JOIN t USING (grade_id) WHERE rank <= 10""")
 add("skill_delta", lambda s, d: m.skill_delta(postings(s, d, "p_brand"), "year"),
     f"""{WITH}, t AS (SELECT {TRUNC['year']} AS y, count(*) AS n FROM p GROUP BY 1),
     k AS (SELECT skill, {TRUNC['year']} AS y, count(*) AS c FROM ps GROUP BY 1, 2),
@@ -336,59 +348,122 @@ add("posting_listing",
 
 
 # --- snapshots ------------------------------------------------------------------------
-def _matrix(s, d):
-    rows = snapshots.build_snapshots(postings(s, d, "p_brand"), employers(s, d))
-    number = lambda path: F.get_json_object("payload", path)
-    return rows.select(
-        "metric_type", "period_type", "period_start", "grade_id", "currency", "gross_basis",
-        F.coalesce(number("$.count"), number("$.total_vacancies"), number("$.sample_size")).try_cast("long").alias("size"),
-        F.coalesce(number("$.skills[0].skill"), number("$.employers[0].name"), number("$.pairs[0].a"),
-                   number("$.distribution[0].key"), number("$.top_skills[0].skill")).alias("first_item"),
-        F.coalesce(number("$.points[0].count"), number("$.skills[0].count"), number("$.employers[0].count"),
-                   number("$.pairs[0].count"), number("$.distribution[0].count"), number("$.top_employers[0].count"))
-        .try_cast("long").alias("first_count"))
+_SHARED = "count: bigint, share: double"
+_PAYLOAD = f"""count bigint, total_count bigint, median double, min double, max double, mean double,
+  percentiles struct<p10: double, p25: double, p50: double, p75: double, p90: double>, range_avg struct<from: double, to: double>,
+  salary_disclosure_rate double, low_confidence boolean, sample_size bigint, top10_concentration double,
+  skills array<struct<skill: string, canonical: string, {_SHARED}>>, employers array<struct<employer_id: bigint, name: string, {_SHARED}>>,
+  pairs array<struct<a: string, b: string, {_SHARED}>>, distribution array<struct<key: string, label: string, {_SHARED}>>,
+  points array<struct<period_start: string, count: bigint, growth: double, median: double, p25: double, p75: double>>,
+  salary struct<median: double, p25: double, p75: double>, total_vacancies bigint, top_skills array<struct<skill: string, share: double>>,
+  top_employers array<struct<name: string, count: bigint>>, grade_distribution array<struct<key: string, label: string, {_SHARED}>>, demand_growth_mom double"""
+
+
+def _flat(rows):
+    """Every value of every payload: one row per head, list item and group of figures."""
+    c = F.col
+
+    def part(name, n=None, item=None, other=None, v1=None, v2=None, v3=None):
+        text, number = (item, other), (v1, v2, v3)
+        null = F.lit(None)
+        return F.struct(F.lit(name).alias("part"), F.lit(0).alias("pos"), *[(null if x is None else x).cast("string").alias(k) for k, x in zip(("item", "other"), text)],
+                        (null if n is None else n).cast("long").alias("n"), *[(null if x is None else x).cast("double").alias(k) for k, x in zip(("v1", "v2", "v3"), number)])
+
+    def items(column, **fields):
+        return F.transform(c(column), lambda x, i: part(column, **{k: x[f] for k, f in fields.items()}).withField("pos", (i + 1).cast("int")))
+
+    shared = {"n": "count", "v1": "share"}
+    head = part("head", F.coalesce("count", "sample_size", "total_vacancies"), c("low_confidence"), None, F.coalesce("top10_concentration", "salary_disclosure_rate"),
+                c("demand_growth_mom"))
+    salary = [part("spread", c("total_count"), v1=c("median"), v2=c("min"), v3=c("max")), part("mean", v1=c("mean"), v2=c("range_avg.from"), v3=c("range_avg.to")),
+              part("low", v1=c("percentiles.p10"), v2=c("percentiles.p25"), v3=c("percentiles.p50")), part("high", v1=c("percentiles.p75"), v2=c("percentiles.p90"))]
+    lists = [items("skills", item="skill", other="canonical", **shared), items("employers", item="name", other="employer_id", **shared),
+             items("pairs", item="a", other="b", **shared), items("distribution", item="key", other="label", **shared),
+             items("grade_distribution", item="key", other="label", **shared), items("top_skills", item="skill", v1="share"), items("top_employers", item="name", n="count"),
+             F.when(c("metric_type") == "demand_trend", items("points", item="period_start", n="count", v1="growth"))
+             .otherwise(items("points", item="period_start", n="count", v1="median", v2="p25", v3="p75"))]
+    every = [F.array(head), F.when(c("metric_type") == "salary", F.array(*salary)),
+             F.when(c("metric_type") == "overview", F.array(part("salary", v1=c("salary.median"), v2=c("salary.p25"), v3=c("salary.p75")))), *lists]
+    keys = ["metric_type", "period_type", "period_start", "grade_id", "currency", "gross_basis"]
+    parsed = rows.select(*keys, F.from_json("payload", _PAYLOAD).alias("p")).select(*keys, "p.*")
+    return parsed.select(*keys, F.explode(F.concat(*[F.coalesce(x, F.array()) for x in every])).alias("e")).select(*keys, "e.*")
 
 
 _SLICES = "(SELECT * FROM (VALUES (0), (1), (2), (3), (4)) v(slice))"
-_BEST = """{name} AS (SELECT slice, arg_min(item, r) AS item, arg_min(c, r) AS c FROM (
-  SELECT *, row_number() OVER (PARTITION BY slice ORDER BY c DESC, {tie}) AS r FROM ({rows})) GROUP BY slice)"""
-add("snapshot_matrix", _matrix,
-    f"""{WITH}, x AS (SELECT unnest([0, grade_id]) AS slice, p.* FROM p), xs AS (SELECT slice, x.posting_id, skill, employer_id
-    FROM x JOIN sk USING (posting_id)),
-    z AS (SELECT v.slice, count(x.posting_id) AS n, count(x.estimate) AS paid FROM {_SLICES} v LEFT JOIN x ON x.slice = v.slice GROUP BY 1),
-    {_BEST.format(name='bs', tie='item', rows='SELECT slice, skill AS item, count(*) AS c FROM xs WHERE slice IS NOT NULL GROUP BY 1, 2')},
-    {_BEST.format(name='be', tie='employer_id', rows='SELECT slice, employer_id, c_name AS item, count(*) AS c FROM x JOIN customer ON c_custkey = employer_id WHERE slice IS NOT NULL GROUP BY 1, 2, 3')},
-    {_BEST.format(name='bp', tie='item, b', rows='SELECT l.slice, l.skill AS item, r.skill AS b, count(*) AS c FROM xs l JOIN xs r ON l.slice = r.slice AND l.posting_id = r.posting_id AND l.skill < r.skill GROUP BY 1, 2, 3')},
-    {_BEST.format(name='bf', tie='item', rows="SELECT slice, coalesce(nullif(employment_format, ''), 'unknown') AS item, count(*) AS c FROM x WHERE slice IS NOT NULL GROUP BY 1, 2")},
-    {_BEST.format(name='bx', tie='item', rows="SELECT slice, coalesce(nullif(experience_raw, ''), 'unknown') AS item, count(*) AS c FROM x WHERE slice IS NOT NULL GROUP BY 1, 2")},
-    gk AS (SELECT {_KEYS['grade']} AS item, count(*) AS c FROM p GROUP BY 1),
-    bg AS (SELECT slice, (SELECT item FROM gk ORDER BY c DESC, item LIMIT 1) AS item, (SELECT max(c) FROM gk) AS c FROM {_SLICES}),
-    pt AS (SELECT unnest(['day', 'week', 'month', 'year']) AS period_type),
-    fd AS (SELECT min(local_day) AS first_day FROM p),
-    st AS (SELECT period_type, CAST(CASE period_type WHEN 'day' THEN first_day ELSE date_trunc(period_type, first_day) END AS DATE)
-           AS period_start FROM pt, fd),
-    bk AS (SELECT x.slice, period_type, CAST(CASE period_type WHEN 'day' THEN local_day ELSE date_trunc(period_type, local_day) END AS DATE) AS b, estimate
-           FROM x, pt WHERE slice IS NOT NULL),
-    dm AS (SELECT slice, period_type, arg_min(c, b) AS c FROM (SELECT slice, period_type, b, count(*) AS c FROM bk GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    ds AS (SELECT slice, period_type, arg_min(c, b) AS c FROM (SELECT slice, period_type, b, count(*) AS c FROM bk
-           WHERE estimate IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    allm AS (
-      SELECT 'salary' AS metric_type, slice, paid AS size, NULL AS first_item, NULL AS first_count FROM z
-      UNION ALL SELECT 'skills', z.slice, n, item, c FROM z LEFT JOIN bs USING (slice)
-      UNION ALL SELECT 'employers', z.slice, n, item, c FROM z LEFT JOIN be USING (slice)
-      UNION ALL SELECT 'skill_cooccurrence', z.slice, n, item, c FROM z LEFT JOIN bp USING (slice)
-      UNION ALL SELECT 'format_distribution', z.slice, n, item, c FROM z LEFT JOIN bf USING (slice)
-      UNION ALL SELECT 'experience_distribution', z.slice, n, item, c FROM z LEFT JOIN bx USING (slice)
-      UNION ALL SELECT 'grade_distribution', slice, (SELECT count(*) FROM p), item, c FROM bg
-      UNION ALL SELECT 'overview', z.slice, n, bs.item, be.c FROM z LEFT JOIN bs USING (slice) LEFT JOIN be USING (slice)),
-    rows AS (
-      SELECT metric_type, period_type, period_start, slice, size, first_item, first_count FROM allm, st
-      UNION ALL SELECT 'demand_trend', st.period_type, period_start, v.slice, NULL, NULL, c FROM {_SLICES} v CROSS JOIN st
-        LEFT JOIN dm ON dm.slice = v.slice AND dm.period_type = st.period_type
-      UNION ALL SELECT 'salary_timeseries', st.period_type, period_start, v.slice, NULL, NULL, c FROM {_SLICES} v CROSS JOIN st
-        LEFT JOIN ds ON ds.slice = v.slice AND ds.period_type = st.period_type)
-    SELECT metric_type, period_type, period_start, nullif(slice, 0) AS grade_id, 'RUB' AS currency, false AS gross_basis,
-    size, first_item, first_count FROM rows""")
+_TOP_OF = """{name} AS (SELECT slice, CAST(row_number() OVER (PARTITION BY slice ORDER BY c DESC, {tie}) AS INTEGER) AS pos, item, other, c, c / CAST(z.n AS DOUBLE) AS raw
+  FROM ({rows}) JOIN z USING (slice) QUALIFY pos <= {n})"""
+_ROW = "'{0}', z.slice, CAST(NULL AS VARCHAR), '{1}', 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), {2}, {3}, {4}, {5}"
+_LISTED = "SELECT '{0}', slice, NULL, '{1}', pos, item, other, {2}, {3}, NULL, NULL FROM {4}"
+# A metric's rows: metric_type, slice, period_type (of the series), part, pos, item, other, n, v1, v2, v3
+SNAPSHOT_SQL = f"""{WITH}, x AS (SELECT s.slice, p.* FROM p JOIN {_SLICES} s ON s.slice = 0 OR s.slice = p.grade_id),
+  xs AS (SELECT slice, x.posting_id, skill FROM x JOIN sk USING (posting_id)),
+  z AS (SELECT v.slice, count(x.posting_id) AS n, count(x.estimate) AS paid, min(x.local_day) AS ignored FROM {_SLICES} v LEFT JOIN x ON x.slice = v.slice GROUP BY 1),
+  st AS (SELECT slice, {STATS} FROM x GROUP BY slice),
+  {_TOP_OF.format(name='ks', n=20, tie='item', rows='SELECT slice, skill AS item, skill AS other, count(*) AS c FROM xs GROUP BY 1, 2')},
+  {_TOP_OF.format(name='ke', n=20, tie='CAST(other AS BIGINT)', rows='SELECT slice, c_name AS item, CAST(employer_id AS VARCHAR) AS other, count(*) AS c FROM x JOIN customer ON c_custkey = employer_id GROUP BY 1, 2, 3')},
+  {_TOP_OF.format(name='kp', n=20, tie='item, other', rows='SELECT l.slice, l.skill AS item, r.skill AS other, count(*) AS c FROM xs l JOIN xs r ON l.slice = r.slice AND l.posting_id = r.posting_id AND l.skill < r.skill GROUP BY 1, 2, 3')},
+  {_TOP_OF.format(name='kf', n=99, tie='item', rows="SELECT slice, coalesce(nullif(employment_format, ''), 'unknown') AS item, CASE WHEN item = 'unknown' THEN 'Unknown' ELSE item END AS other, count(*) AS c FROM x GROUP BY 1, 2")},
+  {_TOP_OF.format(name='kx', n=99, tie='item', rows="SELECT slice, coalesce(nullif(experience_raw, ''), 'unknown') AS item, CASE WHEN item = 'unknown' THEN 'Unknown' ELSE item END AS other, count(*) AS c FROM x GROUP BY 1, 2")},
+  kg AS (SELECT slice, CAST(row_number() OVER (PARTITION BY slice ORDER BY c DESC, item) AS INTEGER) AS pos, item, upper(item[1:1]) || item[2:] AS other, c,
+         c / CAST((SELECT count(*) FROM p) AS DOUBLE) AS raw FROM (SELECT {_KEYS['grade']} AS item, count(*) AS c FROM p GROUP BY 1) CROSS JOIN {_SLICES}),
+  pt AS (SELECT unnest(['day', 'week', 'month', 'year']) AS period_type),
+  bk AS (SELECT x.slice, period_type, CAST(CASE period_type WHEN 'day' THEN local_day ELSE date_trunc(period_type, local_day) END AS DATE) AS b, estimate FROM x, pt),
+  dm AS (SELECT slice, period_type, b, count(*) AS c, lag(count(*)) OVER w AS was, CAST(row_number() OVER w AS INTEGER) AS pos,
+         round(CAST(c - was AS DOUBLE) / was, 4) AS growth FROM bk GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY slice, period_type ORDER BY b)),
+  ds AS (SELECT slice, period_type, b, count(*) AS c, CAST(row_number() OVER (PARTITION BY slice, period_type ORDER BY b) AS INTEGER) AS pos,
+         quantile_cont(CAST(estimate AS DOUBLE), [0.5, 0.25, 0.75]) AS q FROM bk WHERE estimate IS NOT NULL GROUP BY 1, 2, 3),
+  gm AS (SELECT slice, arg_max(growth, b) AS growth, arg_max(was IS NULL, b) AS none FROM dm WHERE period_type = 'month' GROUP BY 1),
+  facts(metric_type, slice, kind, part, pos, item, other, n, v1, v2, v3) AS (
+    SELECT 'salary', z.slice, CAST(NULL AS VARCHAR), 'head', 0, CAST(paid < 30 AS VARCHAR), CAST(NULL AS VARCHAR), paid, disclosure_rate, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+      FROM z LEFT JOIN st USING (slice)
+    UNION ALL SELECT {_ROW.format('salary', 'spread', 'z.n', 'median', '"min"', '"max"')} FROM z LEFT JOIN st USING (slice)
+    UNION ALL SELECT {_ROW.format('salary', 'mean', 'NULL', 'mean', 'range_from', 'range_to')} FROM z LEFT JOIN st USING (slice)
+    UNION ALL SELECT {_ROW.format('salary', 'low', 'NULL', 'p10', 'p25', 'p50')} FROM z LEFT JOIN st USING (slice)
+    UNION ALL SELECT {_ROW.format('salary', 'high', 'NULL', 'p75', 'p90', 'NULL')} FROM z LEFT JOIN st USING (slice)
+    UNION ALL SELECT m, z.slice, NULL, 'head', 0, CAST(n < 30 AS VARCHAR), NULL, n, NULL, NULL, NULL
+      FROM z, (SELECT unnest(['skills', 'skill_cooccurrence', 'format_distribution', 'experience_distribution']) AS m)
+    UNION ALL SELECT 'grade_distribution', slice, NULL, 'head', 0, CAST((SELECT count(*) FROM p) < 30 AS VARCHAR), NULL, (SELECT count(*) FROM p), NULL, NULL, NULL FROM z
+    UNION ALL SELECT 'employers', z.slice, NULL, 'head', 0, CAST(z.n < 30 AS VARCHAR), NULL, z.n,
+      coalesce(round(CAST((SELECT sum(c) FROM ke WHERE ke.slice = z.slice AND pos <= 10) AS DOUBLE) / nullif(z.n, 0), 4), 0), NULL, NULL FROM z
+    UNION ALL {_LISTED.format('skills', 'skills', 'c', 'round(raw, 4)', 'ks')} UNION ALL {_LISTED.format('employers', 'employers', 'c', 'round(raw, 4)', 'ke')}
+    UNION ALL {_LISTED.format('skill_cooccurrence', 'pairs', 'c', 'round(raw, 4)', 'kp')} UNION ALL {_LISTED.format('format_distribution', 'distribution', 'c', 'round(raw, 4)', 'kf')}
+    UNION ALL {_LISTED.format('experience_distribution', 'distribution', 'c', 'round(raw, 4)', 'kx')} UNION ALL {_LISTED.format('grade_distribution', 'distribution', 'c', 'round(raw, 4)', 'kg')}
+    UNION ALL SELECT 'overview', z.slice, NULL, 'head', 0, CAST(paid < 30 AS VARCHAR), NULL, z.n, disclosure_rate, growth, NULL FROM z LEFT JOIN st USING (slice) LEFT JOIN gm USING (slice)
+    UNION ALL SELECT {_ROW.format('overview', 'salary', 'NULL', 'median', 'p25', 'p75')} FROM z LEFT JOIN st USING (slice)
+    UNION ALL {_LISTED.format('overview', 'grade_distribution', 'c', 'round(raw, 4)', 'kg')}
+    UNION ALL SELECT 'overview', slice, NULL, 'top_skills', pos, item, NULL, NULL, round(raw, 4), NULL, NULL FROM ks WHERE pos <= 5
+    UNION ALL SELECT 'overview', slice, NULL, 'top_employers', pos, item, NULL, c, NULL, NULL, NULL FROM ke WHERE pos <= 5
+    UNION ALL SELECT m, z.slice, period_type, 'head', 0, CAST(coalesce(CASE m WHEN 'demand_trend' THEN z.n ELSE paid END, 0) < 30 AS VARCHAR), NULL, NULL, NULL, NULL, NULL
+      FROM z, pt, (SELECT unnest(['demand_trend', 'salary_timeseries']) AS m)
+    UNION ALL SELECT 'demand_trend', slice, period_type, 'points', pos, CAST(b AS VARCHAR), NULL, c, growth, NULL, NULL FROM dm
+    UNION ALL SELECT 'salary_timeseries', slice, period_type, 'points', pos, CAST(b AS VARCHAR), NULL, c, round(q[1], 4), round(q[2], 4), round(q[3], 4) FROM ds)
+  SELECT metric_type, pt.period_type, CAST(CASE pt.period_type WHEN 'day' THEN first_day ELSE date_trunc(pt.period_type, first_day) END AS DATE) AS period_start,
+  nullif(slice, 0) AS grade_id, 'RUB' AS currency, false AS gross_basis, part, pos, item, other, CAST(n AS BIGINT) AS n, v1, v2, v3
+  FROM facts JOIN pt ON kind IS NULL OR kind = pt.period_type CROSS JOIN (SELECT min(local_day) AS first_day FROM p)"""
+
+
+add("snapshot_matrix", lambda s, d: _flat(snapshots.build_snapshots(postings(s, d, "p_brand"), employers(s, d), digits=4, mean_digits=6)), SNAPSHOT_SQL)
+
+
+def _upserted(s, d):
+    """A first build over the postings before 1998, a second one of two metrics over all; the second replaces its own rows only."""
+    fact, firms = postings(s, d, "p_brand"), employers(s, d)
+    before = m.Slice(date_to=dt.date(1997, 12, 31)).apply(fact)
+    rows = snapshots.replace_snapshots(snapshots.build_snapshots(before, firms), snapshots.build_snapshots(fact, firms, metric_types=["salary", "grade_distribution"]))
+    size = F.coalesce(F.get_json_object("payload", "$.total_count"), F.get_json_object("payload", "$.sample_size"))
+    return rows.groupBy("metric_type", "period_type", "period_start", "grade_id", size.cast("long").alias("size")).agg(F.count("*").alias("rows"))
+
+
+add("snapshot_upsert", _upserted,
+    f"""{WITH}, c AS (SELECT v.slice, v.before, count(p.posting_id) AS n, v.first_day FROM (
+      SELECT * FROM {_SLICES}, (VALUES (true), (false)) b(before), (SELECT min(local_day) AS first_day FROM p)) v
+      LEFT JOIN p ON (v.slice = 0 OR v.slice = p.grade_id) AND (NOT v.before OR p.local_day <= DATE '1997-12-31') GROUP BY ALL),
+    mt AS (SELECT * FROM (VALUES ('salary', false), ('grade_distribution', false), ('skills', true), ('employers', true), ('demand_trend', NULL), ('salary_timeseries', NULL),
+      ('format_distribution', true), ('experience_distribution', true), ('skill_cooccurrence', true), ('overview', NULL)) v(metric_type, old)),
+    pt AS (SELECT unnest(['day', 'week', 'month', 'year']) AS period_type)
+    SELECT metric_type, period_type, CAST(CASE period_type WHEN 'day' THEN first_day ELSE date_trunc(period_type, first_day) END AS DATE) AS period_start,
+    nullif(slice, 0) AS grade_id, CASE WHEN metric_type = 'grade_distribution' THEN (SELECT max(n) FROM c WHERE NOT before) WHEN old IS NOT NULL THEN n END AS size, CAST(1 AS BIGINT) AS rows
+    FROM c JOIN mt ON before = coalesce(old, false) CROSS JOIN pt""")
 add("snapshot_salary",
     lambda s, d: (snapshots.salary_per_bucket(postings(s, d), "month", digits=4)
                   .select("grade_id", "period_start", "count", "total_count", "median", "p25", "p75", "disclosure_rate")),

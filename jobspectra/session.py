@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable cut of the lineage: survives the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SCRATCH = "scratch-"
+
+
+def scratch(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """An intermediate table in the shared folder, read back; ``by`` names its partition columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{_SCRATCH}{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; nothing read from them may be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_SCRATCH}{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

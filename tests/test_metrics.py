@@ -6,10 +6,11 @@ from decimal import Decimal as D
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import DAY, facts, one
 from jobspectra.operators import metrics as m
-from jobspectra.operators import premiums, snapshots, views
+from jobspectra.operators import cube, pairs, premiums, snapshots, views
 from jobspectra.operators.quantiles import exact_percentiles
 
 
@@ -91,6 +92,38 @@ def test_pairs_are_exact_with_skew(spark, n):
     assert m.skill_pairs(facts(spark, {"skills": ["React"]})).count() == 0
 
 
+@pytest.mark.parametrize("seeds", [3, 64])
+def test_pairs_by_group_with_rare_names(spark, monkeypatch, seeds):
+    monkeypatch.setattr(pairs, "SEEDS", seeds)
+    monkeypatch.setattr(pairs, "BITS", 256)  # so full that rare names pass by chance
+    rng = random.Random(seeds)
+    sets = [(g, rng.sample([f"s{i}" for i in range(30)], 4) + [f"rare {g} {i // 2}", None], rng.randint(1, 3)) for g in "abc" for i in range(150)]
+    sets += [("few", ["x", "y"], 2), ("few", ["y", "z", "z"], 1), ("none", [], 1), ("none", None, 1), (None, ["x", "y"], 1)]
+    frame = spark.createDataFrame(sets, "g string, items array<string>, weight long")
+    got = pairs.top_pairs(frame, 7, ["g"])
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+    rows = sorted((r.g, r["rank"], r.a, r.b, r["count"]) for r in got.where("g is not null").collect())
+    want = []
+    for g in ("a", "b", "c", "few"):
+        best = plain_pairs([[x for x in s if x] for k, s, w in sets if k == g for _ in range(w)], 7)
+        want += [(g, i, *pair, n) for i, (pair, n) in enumerate(best, 1)]
+    assert rows == sorted(want)
+    whole = pairs.top_pairs(frame.drop("g"), 7).orderBy("rank").collect()
+    assert [((r.a, r.b), r["count"]) for r in whole] == plain_pairs([[x for x in s or [] if x] for _, s, w in sets for _ in range(w)], 7)
+
+
+def test_cube_scans_the_fact_once(spark):
+    fact = facts(spark, {"estimate": 100, "grade_id": 1, "skills": ["a"], "employer_id": 1}, {"estimate": None, "grade_id": 9, "published_at": None}, {"grade_id": None})
+    cells = cube.build(fact)
+    assert {r["kind"]: r["n"] for r in cells.groupBy("kind").agg(F.sum("count").alias("n")).collect()} == {
+        "days": 3, "amounts": 1, "skills": 1, "employers": 1, "format": 3, "experience": 3}
+    totals = {r["slice"]: (r["total"], r["paid"]) for r in cube.totals(cells, cube.GRADE_SLICES).collect()}
+    assert totals == {0: (3, 1), 1: (1, 1)}  # an unknown grade and none count for all grades only
+    assert sorted(r["key"] for r in cube.distribution(cells, [0], "grade").selectExpr("inline(grade)").collect()) == ["junior", "unknown"]
+    rows = snapshots.build_snapshots(fact, employers(spark, "A"), ["month"], ["salary", "salary_timeseries"])
+    assert rows.count() == 10 and snapshots.build_snapshots(fact.where("false"), employers(spark, "A")).count() == 0
+
+
 def test_premiums(spark):
     fact = facts(spark, *[{"estimate": e, "grade_id": g, "employment_format": f, "skills": s} for e, g, f, s in [
         (100, 1, "office", ["a"]), (200, 3, "remote", ["a", "b"]), (400, 3, "remote", []), (300, 1, "office", ["b"]), (None, 3, "remote", ["a"])]])
