@@ -266,16 +266,17 @@ add("result_counts", lambda s, d: pages.result_counts(_search_pages(s, d)),
     """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey * 1000 + 7 ELSE 0 END AS results FROM orders""")
 
 
-def _suspect_pages(s, d):
+def suspect_pages(s, d):
     page = F.col("page_id")
     tail = (F.when(page % 5 == 0, '<form class="SomeCaptchaForm big">').when(page % 5 == 1, "<p>Captcha</p>")
             .when(page % 5 == 2, '<img src="a.png" class="captcha-picture">').otherwise(""))
-    return b.load(s, d, "pages").select("page_id", F.concat("html", tail).alias("html"))
+    return b.load(s, d, "pages").select("page_id", "url", F.concat("html", tail).alias("html"))
 
 
+SQL_BLOCKED = "SELECT page_id, page_id % 5 IN (0, 2) OR (page_id % 5 = 1 AND length(html) + 14 < 5000) AS blocked FROM pages"
 add("blocked_pages",
-    lambda s, d: _suspect_pages(s, d).select("page_id", html.is_blocked(F.col("html")).alias("blocked")),
-    """SELECT page_id, page_id % 5 IN (0, 2) OR (page_id % 5 = 1 AND length(html) + 14 < 5000) AS blocked FROM pages""")
+    lambda s, d: suspect_pages(s, d).select("page_id", html.is_blocked(F.col("html")).alias("blocked")),
+    SQL_BLOCKED)
 
 ARTICLE_RULES = [html.Rule("title", "h1"), html.Rule("description", "article"), html.Rule("skill", "a")]
 add("page_texts",

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from jobspectra.operators import journal, segments, upsert
 from jobspectra.plans import bindings as b
 from jobspectra.plans.backfill import backfill
-from jobspectra.plans.catalog.normalization import SQL_GRADE, SQL_NORMALIZED, SQL_SCORED
+from jobspectra.plans.catalog.normalization import SQL_BLOCKED, SQL_GRADE, SQL_NORMALIZED, SQL_SCORED, suspect_pages
 from jobspectra.plans.ingest import ingest_batch, normalize, tag_batch
 from jobspectra.session import shared_dir
+from jobspectra.sources.pages import split_blocked
 from jobspectra.sources.tables import Store
 from jobspectra.sources.terms import default_rows, default_terms, seed
 from jobspectra.streaming.incremental import run_available
@@ -229,7 +230,7 @@ add("dedup_ids", lambda s, d: segments.first_links(_sightings(s, d), ["day", "pa
 
 
 def _new_store(s) -> Store:
-    return Store(s, f"{shared_dir(s)}/store-{next(tempfile._get_candidate_names())}")
+    return Store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}")
 
 
 def _two_runs(s, d):
@@ -251,6 +252,29 @@ add("ingest_two_runs", _two_runs,
       count(*) FILTER (NOT relevant), 0 FROM x WHERE again""")
 
 
+def _repeats(s, d):
+    """One run with every third posting seen twice, salaries beyond the money type, postings without a title and blocked pages."""
+    rows, key = b.raw_postings(s, d), F.col("posting_id")
+    odd = rows.select(*[F.when(key % 11 == 0, F.lit(999_999_999_999.99).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "salary_from" else
+                        F.when(key % 11 == 0, F.lit("EUR")).otherwise(F.col(c)).alias(c) if c == "salary_currency" else
+                        F.when(key % 13 != 0, F.col(c)).alias(c) if c == "title" else c for c in rows.columns])
+    _, blocked = split_blocked(suspect_pages(s, d))
+    store = _new_store(s)
+    ingest_batch(store, odd.unionByName(odd.where(key % 3 == 0)), "run-1", SECOND_RUN, blocked=blocked, snapshots=False)
+    run = store.read("ingestion_runs").drop("started_at", "finished_at", "meta")
+    stored = store.read("blocked_pages").agg(F.count("*").alias("blocked_pages"), F.sum("page_id").alias("blocked_ids"))
+    return run.select("*", stored.select("blocked_pages").scalar().alias("blocked_pages"), stored.select("blocked_ids").scalar().alias("blocked_ids"))
+
+
+add("ingest_repeats", _repeats,
+    f"""WITH {SQL_SCORED}, x AS (SELECT posting_id, relevant, posting_id % 11 = 0 OR posting_id % 13 = 0 AS broken, posting_id % 3 = 0 AS twice FROM rw JOIN sc USING (posting_id)),
+    y AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE twice), k AS ({SQL_BLOCKED}),
+    e AS (SELECT count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids FROM k WHERE blocked)
+    SELECT 'run-1' AS run_id, 'partial' AS status, count(*) AS found_total, (SELECT count(*) FROM x WHERE relevant AND NOT broken) AS created_count,
+    (SELECT count(*) FROM x WHERE relevant AND NOT broken AND twice) AS updated_count, count(*) FILTER (NOT relevant AND NOT broken) AS filtered_count,
+    count(*) FILTER (broken) AS error_count, (SELECT n FROM e) AS captcha_count, (SELECT n FROM e) AS blocked_pages, (SELECT ids FROM e) AS blocked_ids FROM y""")
+
+
 def _stream(s, d):
     store = _new_store(s)
     schema = b.load(s, d, "orders").schema

@@ -5,16 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobspectra.functions import fields, salary
 from jobspectra.functions.relevance import score_postings
-from jobspectra.operators import journal, upsert
+from jobspectra.operators import upsert
 from jobspectra.operators.snapshots import build_snapshots, replace_snapshots
 from jobspectra.schema import RUN, SALARY_COLUMNS
 from jobspectra.session import materialize
-from jobspectra.sources.tables import Store
+from jobspectra.sources.pages import raw_postings, split_blocked
+from jobspectra.sources.tables import MONTH, Store
 from jobspectra.sources.terms import default_terms, seed
 
 
@@ -40,57 +41,73 @@ def tag_batch(raw: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def ingest_batch(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetime, *,
-                 blocked: int = 0, meta: dict | None = None, snapshots: bool = True) -> None:
+                 blocked: DataFrame | None = None, meta: dict | None = None, snapshots: bool = True) -> None:
     """One idempotent run over a batch; repeating it with the same run id changes nothing.
 
-    ``raw`` carries ``seq``, the order of sightings. The journal shows the run as
-    ``running`` from its start, and as ``failed`` if it breaks off.
+    ``raw`` carries ``seq``, the order of sightings; ``blocked`` (page_id, url) the pages
+    that could not be read. All tables of the run appear at once, with its counters; the
+    journal shows it as ``running`` from its start, and as ``failed`` if it breaks off.
     """
-    store.replace_partitions("ingestion_runs", _unfinished(store, run_id, batch_ts, "running", blocked, meta))
+    store.replace_partitions("ingestion_runs", _journal_row(store, {}, run_id, batch_ts, meta, "running"))
     try:
-        _ingest(store, raw, run_id, batch_ts, blocked, meta, snapshots)
+        with store.transaction():
+            _ingest(store, raw, run_id, batch_ts, blocked, meta, snapshots)
     except Exception:
-        store.replace_partitions("ingestion_runs", _unfinished(store, run_id, batch_ts, "failed", blocked, meta))
+        store.replace_partitions("ingestion_runs", _journal_row(store, {}, run_id, batch_ts, meta, "failed"))
         raise
 
 
-def _unfinished(store: Store, run_id: str, batch_ts: dt.datetime, status: str, blocked: int, meta: dict | None) -> DataFrame:
-    """Journal row of a run that has no counters."""
-    none = store.spark.range(0).select(F.lit("error").alias("outcome"), F.lit(0).cast("long").alias("times"))
-    row = _journal_row(store, none, run_id, batch_ts, blocked, meta)
-    ended = F.col("finished_at") if status == "failed" else F.lit(None).cast("timestamp_ntz")
-    return row.withColumns({"status": F.lit(status), "finished_at": ended}).select(*RUN.names)
+def ingest_pages(store: Store, pages: DataFrame, run_id: str, batch_ts: dt.datetime, *, meta: dict | None = None, snapshots: bool = True) -> None:
+    """A run over landed posting pages: blocked ones go to their own table, the others become raw postings."""
+    readable, blocked = split_blocked(pages)
+    raw = raw_postings(readable, batch_ts.year, extra=["page_id"]).withColumnRenamed("page_id", "seq")
+    ingest_batch(store, raw, run_id, batch_ts, blocked=blocked, meta=meta, snapshots=snapshots)
 
 
-def _ingest(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetime, blocked: int, meta: dict | None, snapshots: bool) -> None:
+def _counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """The rows stored once, and counts taken while they are written."""
+    seen = Observation()
+    held = materialize(df.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in counts.items()]))
+    return held, seen.get
+
+
+def _ingest(store: Store, raw: DataFrame, run_id: str, batch_ts: dt.datetime, blocked: DataFrame | None, meta: dict | None, snapshots: bool) -> None:
     stamp = F.lit(batch_ts.isoformat(sep=" ")).cast("timestamp_ntz")
-    defaults = default_terms(store.spark)
-    terms = store.read("relevance_terms")
-    if terms.isEmpty():
-        store.append("relevance_terms", seed(terms, defaults))
-    tagged = materialize(tag_batch(raw, store.read("relevance_terms")))
+    if store.read("relevance_terms").isEmpty():
+        store.append("relevance_terms", seed(store.read("relevance_terms"), default_terms(store.spark)))
+    one = F.lit(1)
+    tagged, counts = _counted(tag_batch(raw, store.read("relevance_terms")), found=one, filtered=F.col("outcome") == "filtered",
+                              error=F.col("outcome") == "error", accepted=F.col("outcome") == "accepted")
 
     accepted = tagged.where("outcome = 'accepted'")
     rows = upsert.last_per_key(normalize(accepted, stamp, "seq"), "posting_id", "seq", ["published_at"])
-    target = store.read("postings")
-    merged = materialize(upsert.merge_batch(target, rows, run_id, stamp))
+    # Only the months in which the index has an id of the batch are read.
+    places = store.lookup("posting_months", accepted.select("posting_id"))
+    stored_in = [r[0] for r in places.select("month").distinct().collect()]
+    known = store.scan("postings", stored_in).select(*upsert.POSTING.names)
+    merged, made = _counted(upsert.merge_batch(known, rows, run_id, stamp), created=F.col("is_created"))
 
     rejected = tagged.where("outcome = 'filtered'").select(
         "posting_id", "title", "reason", "matched_stopword", F.lit(run_id).alias("run_id"))
     store.drop_partition("filtered_postings", run_id)  # of an earlier attempt that rejected more
     store.replace_partitions("filtered_postings", rejected)
-    store.replace_partitions("employers", _touched(
-        store, "employers", upsert.employers_of(accepted, "seq"), "employer_id"))
+    store.drop_partition("blocked_pages", run_id)
+    seen = Observation()
+    if blocked is not None:
+        pages = blocked.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lit(run_id).alias("run_id"))
+        store.replace_partitions("blocked_pages", materialize(pages.observe(seen, F.count("*").alias("n"))))
+    store.upsert("employers", upsert.employers_of(accepted, "seq"))
     spelled = accepted.select("seq", F.col("skills").alias("raw_skills"))
     store.append("skills", upsert.new_skills(store.read("skills"), spelled, "seq"))
-    outcomes = _outcomes(tagged, merged)
-    journal_row = materialize(_journal_row(store, outcomes, run_id, batch_ts, blocked, meta))
 
-    months = [r[0] for r in merged.select(F.expr("coalesce(trunc(published_at, 'month'), date'1970-01-01')"))
-              .distinct().collect()]
-    touched = store.scan("postings").where(F.col("pub_month").isin(months)) if months else target.limit(0)
+    months = [r[0] for r in merged.select(F.expr(MONTH)).distinct().collect()]
+    touched = store.scan("postings", sorted({*months, *stored_in}))
     store.replace_partitions("postings", upsert.apply_batch(touched, merged))
-    store.replace_partitions("ingestion_runs", journal_row)
+    # Known postings keep their month, so the index gains the new ones only.
+    store.upsert("posting_months", merged.where("is_created").select("posting_id", F.expr(MONTH).alias("month")))
+    counters = {"found_total": counts["found"], "created_count": made["created"], "updated_count": counts["accepted"] - made["created"],
+                "filtered_count": counts["filtered"], "error_count": counts["error"], "captcha_count": seen.get["n"] if blocked is not None else 0}
+    store.replace_partitions("ingestion_runs", _journal_row(store, counters, run_id, batch_ts, meta, "success" if not counts["error"] else "partial"))
     if snapshots:
         refresh_snapshots(store)
 
@@ -100,31 +117,12 @@ def refresh_snapshots(store: Store) -> None:
     store.replace_partitions("snapshots", replace_snapshots(store.read("snapshots"), fresh))
 
 
-def _touched(store: Store, table: str, batch: DataFrame, key: str) -> DataFrame:
-    """Batch rows merged into the hash buckets they fall in; other buckets stay untouched."""
-    batch = materialize(batch)
-    buckets = [r[0] for r in batch.select(F.expr("pmod(hash(employer_id), 16)")).distinct().collect()]
-    stored = store.scan(table).where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
-    return upsert.upsert_rows(stored.select(*batch.columns), batch, key)
-
-
-def _outcomes(tagged: DataFrame, merged: DataFrame) -> DataFrame:
-    """(outcome, times) by sighting: a posting is created once, its further sightings update it."""
-    counted = tagged.groupBy("outcome").agg(F.count("*").alias("times"))
-    created = merged.agg(F.count_if("is_created").alias("times"))
-    known = counted.where("outcome <> 'accepted'").unionByName(created.select(F.lit("created").alias("outcome"), "times"))
-    again = (counted.where("outcome = 'accepted'").select("times")
-             .unionByName(created.select((-F.col("times")).alias("times"))).agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times")))
-    return known.unionByName(again.select(F.lit("updated").alias("outcome"), "times"))
-
-
-def _journal_row(store: Store, outcomes: DataFrame, run_id: str, batch_ts: dt.datetime, blocked: int,
-                 meta: dict | None) -> DataFrame:
-    moment = F.lit(batch_ts.isoformat(sep=" ")).cast("timestamp_ntz")
-    counted = journal.run_counters(outcomes)
-    return counted.select(
-        F.lit(run_id).alias("run_id"), moment.alias("started_at"),
-        F.to_timestamp_ntz(F.lit(dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))).alias("finished_at"),
-        "status", "found_total", "created_count", "updated_count", "filtered_count", "error_count",
-        F.lit(blocked).cast("long").alias("captcha_count"),
-        F.lit(json.dumps(meta) if meta else None).cast("string").alias("meta")).select(*RUN.names)
+_COUNTERS = ("found_total", "created_count", "updated_count", "filtered_count", "error_count", "captcha_count")
+
+
+def _journal_row(store: Store, counters: dict, run_id: str, batch_ts: dt.datetime, meta: dict | None, status: str) -> DataFrame:
+    """The run's line in the journal; a run that has not ended has no end and no counts."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    row = {"run_id": run_id, "started_at": batch_ts, "finished_at": None if status == "running" else now, "status": status,
+           **{c: counters.get(c, 0) for c in _COUNTERS}, "meta": json.dumps(meta) if meta else None}
+    return store.spark.createDataFrame([tuple(row[n] for n in RUN.names)], RUN)

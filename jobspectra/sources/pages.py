@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,9 +70,9 @@ def page_texts(pages: DataFrame, rules: list[Rule] = POSTING_RULES,
 
 def raw_postings(pages: DataFrame, current_year: Column | int,
                  rules: list[Rule] = POSTING_RULES, id_segment: str = "vacancy",
-                 keep_html: bool = True) -> DataFrame:
+                 keep_html: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """Raw posting rows; a page without a title yields no row. The markup comes along
-    unless ``keep_html`` is off."""
+    unless ``keep_html`` is off, and ``extra`` names columns of ``page_texts`` to keep."""
     year = F.lit(current_year) if isinstance(current_year, int) else current_year
     texts = page_texts(pages, rules, keep_html=keep_html).where("title is not null and title <> ''")
     pay = salary.salary_from_text(F.col("salary"))
@@ -90,7 +90,7 @@ def raw_postings(pages: DataFrame, current_year: Column | int,
         F.get(dates, F.lit(0)).alias("published_at"), "description",
         F.col("skill").alias("skills"), F.lit("html").alias("source_type"),
         F.lit(None).cast("string").alias("raw_payload"),
-        (F.col("html") if keep_html else F.lit(None).cast("string")).alias("raw_html"))
+        (F.col("html") if keep_html else F.lit(None).cast("string")).alias("raw_html"), *extra)
     return rows
 
 

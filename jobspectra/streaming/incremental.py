@@ -12,15 +12,18 @@ from jobspectra.sources.tables import Store
 
 
 def run_available(store: Store, landed: DataFrame, to_raw: Callable[[DataFrame], DataFrame], *,
-                  checkpoint: str, batch_ts: dt.datetime, name: str = "landed", snapshots: bool = True) -> int:
+                  checkpoint: str, batch_ts: dt.datetime, name: str = "landed", snapshots: bool = True,
+                  split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> int:
     """Processes everything landed since the last call and stops.
 
     The batch number is the run id, so a batch repeated after a failure replaces its own
     audit and journal rows and merges to the same postings. Snapshots are built once, after
-    the last batch.
+    the last batch. ``split`` (for example ``pages.split_blocked``) divides a batch into
+    readable and blocked pages; the latter go to their own table and counter.
     """
     def one_batch(batch: DataFrame, number: int) -> None:
-        ingest_batch(store, to_raw(batch), f"{name}-{number:06d}", batch_ts,
+        readable, blocked = split(batch) if split else (batch, None)
+        ingest_batch(store, to_raw(readable), f"{name}-{number:06d}", batch_ts, blocked=blocked,
                      meta={"type": "incremental", "source": name}, snapshots=False)
 
     query = (landed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)

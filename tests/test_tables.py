@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import tempfile
 
 import pytest
@@ -6,8 +7,10 @@ from pyspark.sql import functions as F
 
 from helpers import DAY, one, raw
 from jobspectra.operators import journal, segments, upsert
-from jobspectra.plans.ingest import ingest_batch, normalize
+from jobspectra.plans.ingest import ingest_batch, ingest_pages, normalize
 from jobspectra.session import shared_dir
+from jobspectra.sources import tables
+from jobspectra.sources.pages import raw_postings, split_blocked
 from jobspectra.sources.tables import Store
 from jobspectra.streaming.incremental import run_available
 
@@ -125,7 +128,8 @@ def test_sightings_are_counted_and_bad_rows_are_not_fatal(spark):
     again = [{"posting_id": i % 10, "skills": []} for i in range(40)]
     huge = {"posting_id": 77, "salary_from": 999_999_999_999.99, "salary_currency": "EUR"}
     batch = raw(spark, *again, huge, {"posting_id": 3, "title": "DevOps Engineer"})
-    ingest_batch(store, batch, "r1", NOW, blocked=2, snapshots=False)
+    blocked = spark.createDataFrame([(1, "u"), (2, None)], "page_id long, url string")
+    ingest_batch(store, batch, "r1", NOW, blocked=blocked, snapshots=False)
     run = one(store.read("ingestion_runs"))
     assert (run.found_total, run.created_count, run.updated_count, run.filtered_count, run.error_count, run.captcha_count, run.status) == \
         (42, 10, 30, 1, 1, 2, "partial")
@@ -134,6 +138,120 @@ def test_sightings_are_counted_and_bad_rows_are_not_fatal(spark):
     assert store.read("filtered_postings").count() == 0 and one(store.read("ingestion_runs")).updated_count == 40
 
 
+class Killed(Exception):
+    pass
+
+
+TABLES = ("postings", "posting_months", "employers", "skills", "relevance_terms", "filtered_postings", "blocked_pages", "snapshots")
+
+
+def contents(store):
+    return {t: sorted(map(str, store.read(t).collect())) for t in TABLES}
+
+
+def test_a_run_killed_between_two_tables_leaves_the_state_before_it(spark, monkeypatch):
+    store = store_for(spark)
+    ingest_batch(store, batch_one(spark).where("posting_id < 3"), "r1", NOW, snapshots=False)
+    before, write, writes = contents(Store(spark, store.root)), Store._write, []
+    for stop in itertools.count():
+        writes.clear()
+
+        def dying(self, table, rows, stop=stop):
+            if table != "ingestion_runs":
+                writes.append(table)
+            if len(writes) > stop:
+                raise Killed(table)
+            return write(self, table, rows)
+
+        monkeypatch.setattr(Store, "_write", dying)
+        try:
+            ingest_batch(store, batch_two(spark).unionByName(batch_one(spark)), "r2", LATER, blocked=spark.range(1).selectExpr("id AS page_id", "'u' AS url"), snapshots=False)
+            break
+        except Killed:
+            reader = Store(spark, store.root)
+            assert contents(reader) == before
+            assert {r.run_id: r.status for r in reader.read("ingestion_runs").collect()} == {"r1": "success", "r2": "running"}
+    assert stop == len(writes) >= 6
+    assert {r.run_id: r.status for r in Store(spark, store.root).read("ingestion_runs").collect()} == {"r1": "success", "r2": "partial"}
+    assert store.read("postings").count() == 3 and store.read("blocked_pages").count() == 1
+
+
+def test_two_writers_and_vacuum(spark):
+    store = store_for(spark)
+    ingest_batch(store, batch_one(spark), "r1", NOW, snapshots=False)
+    other = Store(spark, store.root)
+    with pytest.raises(RuntimeError):
+        with store.transaction():
+            store.drop_partition("filtered_postings", "r1")
+            other.append("skills", spark.createDataFrame([("x", "X")], "skill string, display_name string"))
+    assert store.read("filtered_postings").count() == 1 and store.read("skills").where("skill = 'x'").count() == 1
+    state = contents(store)
+    store.vacuum(keep=1)
+    assert contents(Store(spark, store.root)) == state
+    ingest_batch(store, batch_two(spark), "r2", LATER, snapshots=False)
+    assert store.read("postings").count() == 3
+
+
+def test_a_merge_reads_the_months_of_its_ids_only(spark):
+    store = store_for(spark)
+    days = [dt.datetime(2026, m, 5) for m in range(1, 13)]
+    ingest_batch(store, raw(spark, *[{"posting_id": i, "published_at": d} for i, d in enumerate(days)]), "r1", NOW, snapshots=False)
+    read, scan = [], Store.scan
+
+    def watched(self, table, values=None):
+        got = scan(self, table, values)
+        if table == "postings":
+            read.extend(got.inputFiles())
+        return got
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Store, "scan", watched)
+        # A later date in the batch does not move a known posting.
+        ingest_batch(store, raw(spark, {"posting_id": 3, "title": "Frontend v2", "published_at": days[8]}), "r2", LATER, snapshots=False)
+    assert read and all("pub_month=2026-04-01" in f for f in read)
+    assert {r.posting_id: r.title for r in store.read("postings").collect()}[3] == "Frontend v2" and store.read("postings").count() == 12
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setitem(tables.HASHED, "employers", ("employer_id", 1000))
+    store, want = store_for(spark), {}
+    firm = lambda ids, name: spark.createDataFrame([(i, f"{name}{i}", None) for i in ids], tables.EMPLOYER)
+    for name, ids in (("a", range(700)), ("b", range(500, 9000)), ("c", [3, 5]), ("d", range(8000, 50_000)), ("e", [7])):
+        store.upsert("employers", firm(ids, name))
+        want |= {i: f"{name}{i}" for i in ids}
+    assert {r.employer_id: r.name for r in store.read("employers").collect()} == want
+    state = store.manifest()
+    assert (state["buckets"]["employers"], state["rows"]["employers"]) == (51, 50_000)
+    misplaced = store.scan("employers").where(F.col("bucket") != tables.bucket_of("employer_id", 51))
+    assert misplaced.count() == 0
+    old = set(store.scan("employers").inputFiles())
+    store.upsert("employers", firm([1, 2], "z"))
+    fresh = spark.read.parquet(*set(store.scan("employers").inputFiles()) - old)
+    assert fresh.count() < 0.05 * 50_000
+    for n in range(1, 40):
+        assert [tables.fold(b, n) for b in range(n)] == list(range(n))
+    store.upsert("employers", firm([], "y"))
+    assert store.read("employers").count() == 50_000
+
+
+def test_blocked_pages_come_from_the_data(spark):
+    store = store_for(spark)
+    good = '<h1 data-qa="vacancy-title">Frontend developer</h1>'
+    pages = spark.createDataFrame([(1, "https://x/vacancy/1", good), (2, "https://x/vacancy/2", "<p>captcha</p>"), (3, None, '<img class="captcha">')],
+                                  "page_id long, url string, html string")
+    ingest_pages(store, pages, "r1", NOW, snapshots=False)
+    run = one(store.read("ingestion_runs"))
+    assert (run.found_total, run.captcha_count) == (1, 2)
+    assert sorted((r.page_id, r.url) for r in store.read("blocked_pages").collect()) == [(2, "https://x/vacancy/2"), (3, None)]
+    landed = tempfile.mkdtemp(prefix="landed-", dir=shared_dir(spark))
+    pages.coalesce(1).write.mode("append").parquet(landed)
+    source = spark.readStream.schema(pages.schema).parquet(landed)
+    run_available(store, source, lambda p: raw_postings(p, 2026, extra=["page_id"]).withColumnRenamed("page_id", "seq"), checkpoint=f"{store.root}/_progress",
+                  batch_ts=LATER, snapshots=False, split=split_blocked)
+    assert store.read("blocked_pages").count() == 4
+    assert store.read("ingestion_runs").where("captcha_count = 2").count() == 2
+
+
 def test_failed_run_is_in_the_journal(spark):
     store = store_for(spark)
     broken = raw(spark, {"posting_id": 1}).withColumn("title", F.expr("raise_error('unreadable')").cast("string"))
