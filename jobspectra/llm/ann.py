@@ -12,7 +12,9 @@ Partitions are dealt out in chunks of rows and of queries, by counts per partiti
 crowded partition (copies of one vector, say) spreads over tasks and memory is bounded.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part. Fewer candidates than wanted give fewer results.
+components take no part. Fewer candidates than wanted give fewer results. Equal query rows
+are one query; different vectors under one query id are queries of their own. Every row
+counts as a candidate, repeated ones too, but for those with the query's id.
 """
 
 from __future__ import annotations
@@ -134,7 +136,10 @@ def learn(x: np.ndarray, y: np.ndarray, parts: int, hidden: int = 128, epochs: i
 
 
 def fit(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, target: float = TARGET) -> Index:
-    """Learn partitions from a sample of the rows, chosen by a hash of the id."""
+    """Learn partitions from a sample of the usable rows, chosen by a hash of the id."""
+    x, none = F.col(vector_col), F.lit(False)
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    table = table.where(~F.coalesce(odd, ~none) & F.coalesce(F.exists(x, lambda v: v != 0), none))
     total = table.count()
     share = min(1.0, SAMPLE / max(total, 1))
     chosen = table.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) <= int(share * 1_000_000)).limit(SAMPLE)
@@ -171,7 +176,7 @@ def neighbours_of(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query id, row id, distance) of the k nearest rows of each query."""
+    """(query's place, row id, distance) of the k nearest rows of each query."""
     norms = (rows * rows).sum(axis=1)
     for lo in range(0, len(queries), 256):
         block = queries[lo:lo + 256]
@@ -185,7 +190,7 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_i
             if len(near):
                 exact = np.sqrt(((rows[near] - block[q]) ** 2).sum(axis=1))
                 best = np.lexsort((row_ids[near], exact))[:k]
-                yield np.full(len(best), query_ids[lo + q]), row_ids[near][best], exact[best]
+                yield np.full(len(best), lo + q), row_ids[near][best], exact[best]
 
 
 def search(table: DataFrame, queries: Column, index: Index, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -214,10 +219,12 @@ def search(table: DataFrame, queries: Column, index: Index, k: int = 10, id_col:
     own = lambda column, salt: F.pmod(F.xxhash64("id", F.lit(salt)), column).cast("int")
     rows = placed.select("id", "vector", home.alias("part")).withColumn("row_chunk", own(chunks[F.col("part")], 1)) \
         .withColumn("query_chunk", F.explode(F.sequence(F.lit(0), asked[F.col("part")] - 1)))
-    wanted = placed.where("is_query").select("id", "vector", F.explode("parts").alias("part")).withColumn("query_chunk", own(asked[F.col("part")], 2)) \
+    # Equal query rows are one query; different vectors under one id are told apart by their hash.
+    asked_once = placed.where("is_query").dropDuplicates(["id", "vector"]).withColumn("key", F.xxhash64("id", "vector"))
+    wanted = asked_once.select("id", "vector", "key", F.explode("parts").alias("part")).withColumn("query_chunk", own(asked[F.col("part")], 2)) \
         .withColumn("row_chunk", F.explode(F.sequence(F.lit(0), F.coalesce(chunks[F.col("part")], F.lit(1)) - 1)))
     key = ["part", "row_chunk", "query_chunk"]
-    found_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    found_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     dim = index.dim
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -227,9 +234,10 @@ def search(table: DataFrame, queries: Column, index: Index, k: int = 10, id_col:
             ids = lambda t: t.column("id").to_numpy()
             out = list(_nearest(matrix(right), ids(right), matrix(left), ids(left), k))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+        asked_by = right.select(["id", "key"]).take(pa.array(columns[0]))
+        return pa.table({"query_id": asked_by.column("id"), "key": asked_by.column("key"), "vec_id": columns[1], "score": columns[2]})
 
     found = rows.groupBy(key).cogroup(wanted.groupBy(key)).applyInArrow(rank, found_schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles. Its sketch has ``REGISTERS``
 registers; each keeps, for its own hash function, the leading-zero count of the smallest
 shingle hash and the ``MANTISSA`` bits after the leading one (16 bits instead of 64).
-Bands of ``ROWS`` registers propose candidates: a pair at the similarity limit of 0.8
-misses all 36 bands with probability 6e-7. The share of equal registers, corrected for
+Bands of registers propose candidates; they are as wide as a pair right at the similarity
+limit allows that is to miss all of them with a probability under ``MISSED`` (36 bands of 5
+and 6e-7 at the limit of 0.8). The share of equal registers, corrected for
 registers that agree by chance, estimates the similarity of a candidate; one within five
 standard errors of the limit is confirmed on the full shingle sets.
 
@@ -17,8 +18,12 @@ Groups of any size stay cheap and are never expanded into all pairs:
   and of those only pairs that share a shingle early in a common order, rare ones first.
 
 Components come from pointer jumping on tables; links and labels never leave the
-executors. Texts of one id count as one node, repeated rows give repeated result rows;
-null texts and texts without words have an empty set and link with nothing.
+executors. Null texts and texts without words have an empty set and link with nothing.
+
+Repeated rows give repeated result rows. An id with several different texts is linked
+through each of them, and its rows share one component: all its sets take part, and the
+nodes that stand for them are linked with one another. Other columns are not read, so
+clashing names do no harm. Equal sizes, counts and hashes are ordered by id.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from pyspark.sql import types as T
 from jobspectra.llm.shared import stored
 from jobspectra.llm.words import blocks, mix, tabulate
 
-BANDS, ROWS = 36, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 180
+MISSED = 1e-6
 MANTISSA = 10
 COUNTERS = 1 << 18
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -76,10 +81,19 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros << np.uint64(MANTISSA)) | rest).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    parts = regs.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Registers to a band: the most with which a pair at the limit is not missed."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** (REGISTERS // (rows + 1)) <= MISSED:
+        rows += 1
+    return rows
+
+
+def band_keys(regs: np.ndarray, rows: int = band_rows(80)) -> np.ndarray:
+    bands = REGISTERS // rows
+    parts = regs[:bands * rows].reshape(bands, rows).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + parts[:, r])
     return key
 
@@ -104,8 +118,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - _CHANCE) / (1 - _CHANCE)
 
 
-def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Per row: set size, digest of the set, registers and band keys."""
+    band = band_rows(percent)
 
     def run(batches):
         for batch in batches:
@@ -118,17 +133,17 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 out["d2"].append(int(mixed.sum().astype(np.int64)))
                 regs = registers(shingles) if len(shingles) else None
                 out["registers"].append(None if regs is None else regs.tobytes())
-                out["keys"].append(None if regs is None else band_keys(regs).astype(np.int64))
+                out["keys"].append(None if regs is None else band_keys(regs, band).astype(np.int64))
             yield out
 
     return tabulate(docs.select(F.col(id_col).cast("long"), text_col), SKETCH, run)
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, least: float, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes allow the similarity and whose registers suggest it."""
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b", "r_a", "r_b")
+    both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "r_a", "r_b")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similar", T.DoubleType())])
 
     def run(batches):
@@ -233,37 +248,51 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = stored(labels.join(roots, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def _repeated(sketches: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids that occur more than once, and links (a, b) between the nodes that one id's rows belong to."""
+    once = sketches.where("n > 0").groupBy("id").agg(F.count("*").alias("rows"), *[f(c).alias(f"{k}_{c}") for c in ("d1", "d2", "n") for k, f in (("low", F.min), ("high", F.max))])
+    once = stored(once.where("rows > 1"), "repeated")
+    differ = once.where("low_d1 <> high_d1 OR low_d2 <> high_d2 OR low_n <> high_n").select("id")
+    nodes = sketches.where("n > 0").join(differ, "id", "left_semi").select("id", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"])
+    first = nodes.groupBy("id").agg(F.min("node").alias("b"))
+    links = nodes.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return once.select("id"), stored(links, "several")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` (is that id)."""
     spread = 5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
     least = percent / 100 - spread
-    sketches = stored(sketch(docs, k, id_col, text_col), "sketches")
+    sketches = stored(sketch(docs, k, id_col, text_col, percent), "sketches")
     classes = stored(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
+    # A node has the id of the smallest row of its class; an id may stand for several classes.
     nodes = sketches.where("n > 0").join(classes.select("d1", "d2", "n", F.col("node").alias("id")), ["d1", "d2", "n", "id"]) \
-        .select("id", "n", "registers", "keys").dropDuplicates(["id"])
+        .select("id", "n", "registers", "keys", "d1", "d2").dropDuplicates(["id", "d1", "d2", "n"]).drop("d1", "d2")
     nodes = stored(nodes, "nodes")
+    ids = classes.select(F.col("node").alias("id")).distinct()
+    repeated, several = _repeated(sketches, classes)
 
     rows = nodes.select("id", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
     members = stored(rows.join(buckets, "key").select("key", "id", "first"), "members")
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    star = stored(_estimated(star, nodes, least), "star")
+    star = stored(_estimated(star, nodes, least, percent), "star")
 
-    labels = nodes.select("id", F.col("id").alias("label"))
     involved = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id")
-    sets = stored(_sets(texts, k), "sets")
+    again = texts.join(repeated, "id", "left_semi").dropDuplicates(["id", "text"])
+    sets = stored(_sets(texts.join(repeated, "id", "left_anti").unionByName(again), k), "sets")
     best = star.groupBy("a").agg(F.max_by("b", "similar").alias("b"))
-    links = stored(_confirmed(best, sets, percent), "links")
-    labels = components(nodes.select("id"), links)
+    links = stored(_confirmed(best, sets, percent).unionByName(several), "links")
+    labels = components(ids, links)
 
     # Nodes that still share a bucket with another component: candidates among them.
     placed = members.select("key", "id").join(labels, "id")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     placed = placed.join(mixed, "key").select("id", "label").distinct()
     cross = stored(_across(stored(placed.join(sets, "id"), "placed"), percent), "cross")
-    more = stored(_confirmed(_estimated(cross, nodes, least), sets, percent), "more")
-    labels = components(nodes.select("id"), links.unionByName(more))
+    more = stored(_confirmed(_estimated(cross, nodes, least, percent), sets, percent), "more")
+    labels = components(ids, links.unionByName(more))
 
     placed_classes = classes.join(labels.select(F.col("id").alias("node"), "label"), "node")
     out = sketches.select("id", "n", "d1", "d2").join(placed_classes.select("d1", "d2", "label"), ["d1", "d2"], "left")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from jobspectra.llm import ann, neardup, ngramlm, pii, quality, toxicity
 from jobspectra.llm.catalog import ENTRIES
@@ -67,6 +68,51 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(twice.union(twice)).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:90]), " ".join(words[100:190])
+    rows = [(5, a), (5, b), (6, a + " z"), (7, b + " z"), (3, "x y z u v w"), (9, "x y z u v w"), (9, a), (9, "q r s t u v"), (11, "q r s t u v"),
+            (2, "lone text of its own here"), (2, None), (4, None), *[(12, a)] * 20]
+    frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, kept string, component_id string, n long").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect()}
+    assert got == {(5, 86, 3, False), (6, 87, 3, False), (7, 87, 3, False), (3, 2, 3, True), (9, 2, 3, False), (9, 86, 3, False), (11, 2, 3, False),
+                   (12, 86, 3, False), (2, 2, 2, True), (2, 0, 2, True), (4, 0, 4, True)}
+
+
+def test_nearest_of_repeated_queries_and_poor_samples(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(300)]
+    rows += [(100, rows[100][1]), (100, rows[100][1]), (200, [9.0, 9.0, 9.0, 9.0])]  # one query repeated, one with two vectors
+    poor = [(1000 + i, v) for i, v in enumerate([None, [None] * 4, [float("nan")] * 4, [0.0] * 4, [float("inf"), 1.0, 1.0, 1.0]] * 400)]
+    frame = spark.createDataFrame([(*r, "a", "b") for r in poor + rows], "vec_id long, embedding array<double>, score string, rank string").repartition(4)
+    monkeypatch.setattr(ann, "SAMPLE", 40)
+    index = ann.fit(frame)
+    assert index.dim == 4
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame, F.col("vec_id") % 100 == 0, index).collect())
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in rows if i % 100 == 0}:
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i)[:10]
+        want += [(i, n, j, d) for n, (d, j) in enumerate(near, 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], rtol=1e-12)
+    nothing = frame.where("vec_id >= 1000")
+    assert ann.search(nothing, F.col("vec_id") % 100 == 0, ann.fit(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 70, 90])
+def test_near_duplicates_at_other_limits(spark, percent):
+    assert neardup.band_rows(80) == 5
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(120)]
+        for cut in (0, 2, 6, 12, 20, 30, 45, 60):  # shorter and shorter copies: sizes differ as much as the limit allows
+            texts.append(" ".join(base[:len(base) - cut]))
+    sizes, roots = plain_components(texts, 5, percent)
+    rows = neardup.near_duplicates(table(spark, texts), percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(i, s, c) for i, (s, c) in enumerate(zip(sizes, roots))]
+
+
 def test_register_estimate_is_corrected():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.5, 0.8, 1.0):
