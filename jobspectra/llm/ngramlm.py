@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,20 +48,20 @@ PAYLOAD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("
 
 
 def _pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted keys as differences, and unsigned values."""
+    """Sorted keys as differences, and values of 64 bits; bytes of one weight lie together, so unused ones shrink to nothing."""
     parts = [np.diff(keys, prepend=np.zeros(1, keys.dtype)).view(np.uint8).reshape(len(keys), -1).T.tobytes()]
-    parts += [np.minimum(v, np.iinfo(np.uint32).max).astype("<u4").view(np.uint8).reshape(len(keys), -1).T.tobytes() for v in values]
+    parts += [v.astype("<i8").view(np.uint8).reshape(len(keys), -1).T.tobytes() for v in values]
     return np.array([len(keys)], "<u8").tobytes() + zstandard.ZstdCompressor(1).compress(b"".join(parts))
 
 
 def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
     n = int(np.frombuffer(data[:8], "<u8")[0])
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=n * (8 + 4 * columns) + 64), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n * (1 + columns) + 64), np.uint8)
     keys = np.cumsum(np.ascontiguousarray(raw[:8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
     out = [keys]
     for c in range(columns):
-        at = 8 * n + 4 * n * c
-        out.append(np.ascontiguousarray(raw[at:at + 4 * n].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64))
+        at = 8 * n * (1 + c)
+        out.append(np.ascontiguousarray(raw[at:at + 8 * n].reshape(8, n).T).view(np.int64).ravel())
     return out
 
 
@@ -233,11 +233,17 @@ def _first_counts(vocabulary: Vocabulary, texts: int, first: np.ndarray) -> np.n
     return np.where(first == BEGIN, texts, count)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A path without a scheme lies where the cluster's default file system is, as Spark's own tables do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the texts and store the model in the shared folder."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}/ngrams"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = _qualified(spark, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}/ngrams")
     texts = docs.select(text_col)
     shards = max(1, texts.rdd.getNumPartitions())
     sizes = T.StructType([T.StructField("shard", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in "abcdefgh"]])
@@ -293,7 +299,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         shard = table.column("shard")[0].as_py()
         keys, counts = _summed(*(np.concatenate(x) for x in zip(*(_unpack(b, 1) for b in table.column("data").to_pylist()))))
         _save(f"{folder}/pairs-{shard}", keys.astype("<u8"))
-        _save(f"{folder}/pair_counts-{shard}", counts.astype("<u4"))
+        _save(f"{folder}/pair_counts-{shard}", counts.astype("<i8"))
         first = (keys >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         after = [np.add.reduceat((counts == k) if k < 3 else (counts >= 3), starts).astype(np.int64) for k in (1, 2, 3)]
@@ -397,7 +403,7 @@ def _pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
         if len(part) and len(have):
             place = np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)
             hit = have[place] == keys[part]
-            out[possible[part[hit]]] = vocabulary.column("pair_counts", "<u4", s)[place[hit]]
+            out[possible[part[hit]]] = vocabulary.column("pair_counts", "<i8", s)[place[hit]]
     return out
 
 

@@ -158,6 +158,15 @@ def plain_bigrams(train, texts):
     return out, p, uni
 
 
+def test_counts_beyond_32_bits_are_kept(spark):
+    keys = np.array([3, 2 ** 40, 2 ** 63 + 5], np.uint64)
+    counts = [np.array([1, 2 ** 32 + 5, 2 ** 50], np.int64), np.array([2 ** 33, 0, 7], np.int64)]
+    back = ngramlm._unpack(ngramlm._pack(keys, *counts), 2)
+    assert all((a == b).all() for a, b in zip(back, [keys, *counts]))
+    assert ngramlm._qualified(spark, "/tmp/x") == ngramlm._qualified(spark, "file:/tmp/x") == "file:///tmp/x"
+    assert ngramlm._qualified(spark, "file:///tmp/x") == "file:///tmp/x"
+
+
 def test_bigram_model(spark):
     rng = random.Random(6)
     texts = [None, "", "a", "new words only", "the THE the", *(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 60))) for _ in range(120))]
