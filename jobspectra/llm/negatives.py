@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobspectra.llm.shared import stored
 from jobspectra.llm.vectorgrid import Vectors, best, empty, meet
 
 ROWS_EACH = 16_384
@@ -127,6 +128,7 @@ def mine(table: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     # At most a few positives to an anchor, in one flat list: place, id, score, place, ...
     lists = first.groupBy("anchor_id", "key").agg(F.flatten(F.sort_array(F.collect_list(F.array("nth", "positive_id", "positive_score")))).alias("notes"))
     ready = asked.drop("notes").join(lists.withColumnRenamed("anchor_id", "id"), ["id", "key"]).select("id", "label", "key", "vector", "notes")
+    ready = stored(ready, "anchors")  # the grid counts them first: the first pass runs once
     found = meet(rows, ready, _NEGATIVES, _negatives(negatives, low, high), ROWS_EACH)
     order = Window.partitionBy("anchor_id", "key", "nth").orderBy(F.desc("negative_score"), "negative_id")
     best_of = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
