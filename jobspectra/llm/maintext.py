@@ -3,12 +3,17 @@
 A page is cut into blocks at block-level tags (inline tags and single line breaks are
 white space or nothing). Each block has its word count and link density, those of its
 two neighbours, and whether it stands in a heading, in page furniture (menu, header,
-footer, sidebar, form), under a class, role or id that names such things (for sure or perhaps), and in an article.
+footer, sidebar, form, hidden), under a class, role or id that names such things (for sure or perhaps), and in an article.
+A form, fieldset or dialog that wraps the page is no furniture: one with an article in it or, on a page
+without any, with more than half of the page's free text. Articles of a few words without an ``h1`` beside
+far more free text are teasers: such a page counts as one without an article.
 A decision tree trained on ``LABELLED`` (in every place of a page) says which blocks are main text, another one
 says so of blocks under names that only may mean furniture; they are joined in page order by line feeds.
 
 Null, empty and broken markup gives what can be read, at worst an empty text; repeated
-pages are read each on their own. Markup is scanned once, in time linear in its length.
+pages are read each on their own, an empty table gives an empty one, and an earlier column
+of the name of the result is replaced. Markup is scanned once, in time linear in its length.
+Inline elements with ``hidden`` are not tracked and stay text.
 """
 
 from __future__ import annotations
@@ -45,7 +50,16 @@ _ENDS_FOREIGN = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
                    "span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FURNITURE = frozenset("nav aside form footer dialog menu fieldset".split())
+FURNITURE = frozenset("nav aside footer menu".split())
+# Furniture too, unless they wrap the page.
+_WRAPPERS = frozenset("form dialog fieldset".split())
+_QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_HIDDEN = re.compile(r"\shidden(?=[\s/>]|=(?!\s*until-found))", re.I)
+_UNSEEN = re.compile(r"\sstyle\s*=\s*(?:\"[^\"]*?|'[^']*?)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+# Free text of a page is judged by blocks of at least this many words, fewer than half of them linked.
+_LONG = 11
+# Articles with fewer words than this, and a fifth of the free text beside them, are teasers.
+_TEASER = 40
 _ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|articlebody|post(?:-?body|-?content)?|entry(?:-content)?|main(?:-content)?|story|content)(?:$|[\s_-])", re.I)
 # A whole class, role or id names page furniture if it is one of these words, or several of
 # them with words for places and shapes. WEAK words also name parts of articles, so the
@@ -71,11 +85,11 @@ _STOPS_ITEM = frozenset("applet article aside blockquote body button caption cen
                         "h1 h2 h3 h4 h5 h6 head header hgroup html li listing main marquee menu nav noembed noframes object ol plaintext pre search section "
                         "select summary table tbody td template tfoot th thead tr ul xmp".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hint", "article", "heading", "article_on_page")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hint", "article", "heading", "article_on_page", "long_on_page")
 
 # Labelled blocks: words, link density in percent, the same of the block before and of the
 # block after, whether it is a heading; then 1 for main text if it stands in an article,
-# and if the page has no article.
+# and if the page has no article but long blocks.
 LABELLED = (
     (60, 0, 8, 0, 80, 0, 0, 1, 1), (25, 0, 30, 0, 30, 0, 0, 1, 1), (120, 5, 3, 100, 60, 0, 0, 1, 1), (200, 0, 2, 0, 9, 0, 0, 1, 1),
     (15, 0, 60, 0, 50, 0, 0, 1, 1), (12, 10, 80, 0, 5, 0, 0, 1, 1), (45, 25, 30, 0, 4, 0, 0, 1, 1), (90, 3, 90, 3, 0, 0, 0, 1, 1),
@@ -89,29 +103,33 @@ LABELLED = (
     (2, 0, 3, 0, 2, 0, 0, 1, 0), (5, 0, 2, 100, 3, 0, 0, 1, 0), (3, 0, 2, 100, 2, 100, 0, 1, 0), (4, 0, 1, 100, 0, 0, 0, 1, 0),
     (6, 0, 3, 100, 5, 100, 0, 1, 0), (1, 0, 4, 0, 6, 0, 0, 1, 0), (7, 0, 60, 0, 0, 0, 0, 1, 0), (4, 0, 40, 0, 2, 0, 0, 1, 0),
     (5, 0, 1, 100, 45, 0, 0, 1, 0), (2, 0, 0, 0, 30, 0, 0, 1, 0), (8, 0, 8, 0, 8, 0, 0, 1, 0),
-    (2, 100, 0, 0, 2, 100, 0, 0, 0), (5, 100, 60, 0, 4, 100, 0, 0, 0), (3, 100, 3, 100, 3, 100, 0, 0, 0), (8, 90, 80, 0, 8, 90, 0, 0, 0),
-    (4, 100, 6, 100, 70, 0, 0, 0, 0), (30, 90, 4, 100, 30, 90, 0, 0, 0), (18, 75, 60, 0, 18, 75, 0, 0, 0), (6, 100, 50, 0, 60, 0, 0, 0, 0),
-    (1, 100, 1, 100, 120, 0, 0, 0, 0), (10, 80, 25, 0, 30, 0, 0, 0, 0), (2, 100, 40, 0, 0, 0, 1, 0, 0),
+    (2, 100, 0, 0, 2, 100, 0, 0, 0), (5, 100, 60, 0, 4, 100, 0, 1, 0), (3, 100, 3, 100, 3, 100, 0, 0, 0), (8, 90, 80, 0, 8, 90, 0, 1, 0),
+    (4, 100, 6, 100, 70, 0, 0, 0, 0), (30, 90, 4, 100, 30, 90, 0, 1, 0), (18, 75, 60, 0, 18, 75, 0, 1, 0), (6, 100, 50, 0, 60, 0, 0, 1, 0),
+    (1, 100, 1, 100, 120, 0, 0, 0, 0), (10, 80, 25, 0, 30, 0, 0, 1, 0), (2, 100, 40, 0, 0, 0, 1, 0, 0),
+    (5, 100, 5, 100, 6, 100, 0, 1, 0), (9, 100, 7, 100, 8, 100, 0, 1, 0), (7, 100, 1, 0, 0, 0, 0, 1, 0), (15, 100, 12, 100, 20, 100, 0, 1, 0),
+    (1, 100, 2, 100, 1, 100, 0, 0, 0), (4, 100, 30, 0, 0, 0, 0, 0, 0), (4, 100, 4, 100, 4, 100, 0, 0, 0), (3, 100, 60, 0, 80, 0, 0, 0, 0),
+    (4, 100, 40, 0, 60, 0, 1, 1, 1), (7, 100, 20, 0, 35, 0, 1, 1, 1), (2, 100, 90, 0, 45, 0, 1, 1, 1),
 )
 
 
 def examples(weak: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The labelled blocks in every place: in furniture or under its strong names they are
-    never main text, nor outside of the article of a page that has one. Under its weak names
-    they are if they are long enough, or a heading before a long block, and have few links."""
+    never main text, nor outside of the article of a page that has one. On a page without
+    any long block all unlinked ones are. Under its weak names they are if they are long enough, or a heading before a long block, and have few links."""
     rows = []
     for *numbers, heading, in_article, alone in LABELLED:
         if weak:
             words, links, _, _, words_after, links_after = numbers
             size = (words_after if links_after < 50 else 0) if heading else words
             main = in_article and links < 30 and size >= 12
-            places = (1, 0.5, 0, 0, 0), (1, 0.5, 0, 1, 0), (1, 0.5, 1, 1, 0), (0, 0.5, 0, 1, 0), (0, 0.5, 1, 1, main), (0, 0.5, 0, 0, main and alone and size >= 30)
+            places = ((1, 0.5, 0, 0, 1, 0), (1, 0.5, 0, 1, 1, 0), (1, 0.5, 1, 1, 1, 0), (0, 0.5, 0, 1, 1, 0), (0, 0.5, 1, 1, 1, main),
+                      (0, 0.5, 0, 0, 1, main and alone and size >= 30))
         else:
-            places = ((1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (0, 1, 0, 0, 0), (0, 1, 0, 1, 0), (0, 1, 1, 1, 0), (1, 1, 0, 0, 0),
-                      (0, 0, 0, 1, 0), (0, 0, 1, 1, in_article), (0, 0, 0, 0, alone))
-        for furniture, hint, article, page, label in places:
+            places = ((1, 0, 0, 0, 1, 0), (1, 0, 0, 1, 1, 0), (1, 0, 1, 1, 1, 0), (0, 1, 0, 0, 1, 0), (0, 1, 0, 1, 1, 0), (0, 1, 1, 1, 1, 0), (1, 1, 0, 0, 1, 0),
+                      (1, 0, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0), (0, 0, 0, 1, 1, 0), (0, 0, 1, 1, 1, in_article), (0, 0, 0, 0, 1, alone), (0, 0, 0, 0, 0, numbers[1] < 50))
+        for furniture, hint, article, page, long, label in places:
             for words in {numbers[0], 1, 20} if weak and heading else {numbers[0]}:  # a heading may be short or long
-                rows.append((words, *numbers[1:], furniture, hint, article, heading, page, label))
+                rows.append((words, *numbers[1:], furniture, hint, article, heading, page, long, label))
     table_ = np.array(rows, float)
     return table_[:, :-1], table_[:, -1]
 
@@ -128,9 +146,9 @@ class Open:
     opens or ends elements in constant time for every element opened, at any depth."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, tuple[int, float, int, int]]] = []
+        self.stack: list[tuple[str, tuple[int, float, int, int, int]]] = []
         self.at: dict[str, list[int]] = {}
-        self.page = (0, 0, 0, 0)  # outside of all of them
+        self.page = (0, 0, 0, 0, 0)  # outside of all of them
 
     def last(self, *kinds: str) -> int:
         return max([self.at[k][-1] for k in kinds if self.at.get(k)], default=-1)
@@ -141,12 +159,12 @@ class Open:
             for kind in _kinds(self.stack.pop()[0]):
                 self.at[kind].pop()
 
-    def push(self, tag: str, state: tuple[int, float, int, int]) -> None:
+    def push(self, tag: str, state: tuple[int, float, int, int, int]) -> None:
         for kind in _kinds(tag):
             self.at.setdefault(kind, []).append(len(self.stack))
         self.stack.append((tag, state))
 
-    def state(self) -> tuple[int, float, int, int]:
+    def state(self) -> tuple[int, float, int, int, int]:
         return self.stack[-1][1] if self.stack else self.page
 
     def foreign(self) -> bool:
@@ -195,7 +213,7 @@ class Open:
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "furniture", "hint", "article", "heading")
+    __slots__ = ("text", "words", "links", "furniture", "hint", "article", "heading", "wrapper")
 
 
 def _space(pieces: list[str]) -> list[str]:
@@ -228,13 +246,51 @@ def _furniture_hint(names: str) -> float:
     return hint
 
 
+def _hidden(tag: str) -> bool:
+    """Whether a start tag hides its element, by the attribute or by its style."""
+    lower = tag.lower()
+    return "hidden" in lower and bool(_HIDDEN.search(_QUOTED.sub(lambda q: q.group()[1:-1] if q.group()[1:-1].lower() == "until-found" else "", tag))) \
+        or "style" in lower and bool(_UNSEEN.search(tag))
+
+
+def _free(b: Block) -> bool:
+    return not b.furniture and b.hint == 0 and b.links < 0.5
+
+
+def _settle(found: list[Block], wrappers: list[list[int]], titled: bool) -> None:
+    """Decide what needs the whole page: which forms are furniture, and whether its articles are teasers.
+
+    ``wrappers`` holds the wrapper around each one, and whether an article begins in it; number 0 is the page.
+    """
+    text = [0] * len(wrappers)
+    for b in found:
+        if _free(b) and b.words >= _LONG:
+            text[b.wrapper] += b.words
+    for k in range(len(wrappers) - 1, 0, -1):
+        text[wrappers[k][0]] += text[k]
+        wrappers[wrappers[k][0]][1] |= wrappers[k][1]
+    furniture = [False] * len(wrappers)
+    any_article = any(b.article for b in found)
+    for k, (around, holds) in enumerate(wrappers[1:], 1):
+        furniture[k] = furniture[around] or not (holds or not any_article and 2 * text[k] > text[0])
+    for b in found:
+        b.furniture = int(b.furniture or furniture[b.wrapper])
+    inside = sum(b.words for b in found if b.article and not b.furniture and b.hint < 1)
+    beside = sum(b.words for b in found if not b.article and not b.heading and b.words >= _LONG and _free(b))
+    if any_article and not titled and inside < _TEASER and 5 * inside < beside:
+        for b in found:
+            b.article = 0
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text blocks of a page in order."""
     out: list[Block] = []
     elements = Open()
     pieces: list[str] = []
     linked: list[str] = []
-    state = elements.state()  # furniture, hint, article, heading
+    state = elements.state()  # furniture, hint, article, heading, wrapper
+    wrappers = [[0, 0]]  # the one around it, and whether an article begins in it
+    titled = False  # an article has an h1
     anchors = 0
     before: dict[int, tuple] = {}  # what there was before an element without text, by its position
     last_ends: dict[str, int] | None = None
@@ -249,7 +305,7 @@ def blocks(page: str | None) -> list[Block]:
                 b = Block()
                 b.text, b.words = text, len(text.split())
                 b.links = min(1.0, in_links / total)
-                b.furniture, b.hint, b.article, b.heading = state
+                b.furniture, b.hint, b.article, b.heading, b.wrapper = state
                 out.append(b)
             pieces, linked = [], []  # the old ones may come back
 
@@ -319,22 +375,30 @@ def blocks(page: str | None) -> list[Block]:
                 if tag == "body" and elements.stack and elements.stack[-1][0] == "head":
                     elements.cut(len(elements.stack) - 1)
                 if _article_hint(_names(m.group())):
-                    elements.page = (0, 0, 1, 0)
+                    elements.page = (0, 0, 1, 0, 0)
         elif closing:
             depth = elements.ended(tag)
             if depth is not None:
                 elements.cut(depth)
         elif elements.make_room(tag):
             names = _names(m.group()) if tag not in _HEADINGS else []
-            furniture, hint, article, heading = elements.state()
-            article = int(article or tag in ("article", "main") or _article_hint(names))
-            furniture = int(furniture or tag in FURNITURE or (tag == "header" and not article))
+            furniture, hint, article, heading, wrapper = elements.state()
+            begins = not article and (tag in ("article", "main") or _article_hint(names))
+            article = int(article or begins)
+            titled = titled or bool(article and tag == "h1")
+            furniture = int(furniture or tag in FURNITURE or (tag == "header" and not article) or _hidden(m.group()))
+            if tag in _WRAPPERS:
+                wrappers.append([wrapper, 0])
+                wrapper = len(wrappers) - 1
+            elif begins and not furniture:
+                wrappers[wrapper][1] = 1
             if tag not in ("article", "main"):
                 hint = max(hint, _furniture_hint(" ".join(names))) if names else hint
-            elements.push(tag, (furniture, hint, article, int(heading or tag in _HEADINGS)))
+            elements.push(tag, (furniture, hint, article, int(heading or tag in _HEADINGS), wrapper))
         state = elements.state()
     say(page[at:] if not re.match(r"<[a-zA-Z/!?][^>]*\Z", page[at:]) else "")
     flush()
+    _settle(out, wrappers, titled)
     return out
 
 
@@ -343,8 +407,9 @@ def table(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, 100 * b.links) for b in found], float).reshape(-1, 2)
     none = np.zeros((1, 2))
     rest = np.array([(b.furniture, b.hint, b.article, b.heading) for b in found], float).reshape(-1, 4)
-    page = np.full((len(found), 1), float(bool(len(found)) and rest[:, 2].any()))
-    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), rest, page]) if len(found) else np.zeros((0, 11))
+    article = any(b.article for b in found)
+    page = np.tile((article, article or any(b.words >= _LONG and _free(b) for b in found)), (len(found), 1)).astype(float)
+    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), rest, page]) if len(found) else np.zeros((0, len(FEATURES)))
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> tuple | float:

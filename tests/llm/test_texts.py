@@ -172,6 +172,49 @@ def test_names_of_furniture_still_count(name):
         assert maintext.main_text(f'<article><p>{ONE}</p><div {attribute}="{name}">{inside}</div><p>{THREE}</p></article>') == f"{ONE}\n{THREE}"
 
 
+SHELLS = {
+    "bare": "%s", "article": "<article>%s</article>", "main": "<div><main>%s</main></div>", "form": "<form id=f>%s</form>",
+    "form and article": "<form id=f><article>%s</article></form>", "dialog in form": "<form><div><dialog open>%s</dialog></div></form>",
+    "teaser before": "<article class=teaser><p>Two words</p></article><div>%s</div>", "hidden beside": "<p hidden>Not to be seen by anyone who reads this page at all today</p><div>%s</div>",
+    "styled away": "<div style='color:red; display: none'><p>Not to be seen by anyone who reads this page at all today</p></div><section>%s</section>",
+    "form below": "<article>%s</article><form><p>Tell us what you think about this page in a few words of your own</p><label>Name</label></form>",
+}
+INSIDE = {
+    "long": (f"<h1>The title here</h1><p>{ONE}</p><p>{TWO}</p>", ["The title here", ONE, TWO]),
+    "short": ("<h1>Title words</h1><p>Short but it is the page.</p>", ["Title words", "Short but it is the page."]),
+    "menu": (f"<nav><a href=x>Go</a></nav><p>{ONE}</p><p>{TWO}</p><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>", [ONE, TWO]),
+    "fields": (f"<p>{ONE}</p><p>{TWO}</p><fieldset><p>Your name and the address that we may write to, please, in full</p></fieldset>", [ONE, TWO]),
+}
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+@pytest.mark.parametrize("inside", INSIDE)
+def test_page_shapes_lose_nothing(shell, inside):
+    body, want = INSIDE[inside]
+    if inside == "short" and shell in ("teaser before", "dialog in form", "form"):
+        want = None  # without long text nothing tells the page's form from a form, or an article from a teaser
+    found = maintext.main_text(f"<html><body><header><a href=x>Site</a></header>{SHELLS[shell] % body}<footer>All rights</footer></body></html>").split("\n")
+    assert want is None or found == want
+
+
+def test_linked_lines_of_an_article_stay():
+    page = f"<article><p>{ONE}</p><p><a href=x>See also the history of the old town</a></p><ul><li><a href=x>Smith, On rivers of Europe, 1990</a></ul><p><a href=x>Share</a></p></article>"
+    assert maintext.main_text(page).split("\n") == [ONE, "See also the history of the old town", "Smith, On rivers of Europe, 1990"]
+
+
+def test_hidden_elements_by_attribute_not_by_value():
+    shown = [f'<p class="hidden">{ONE}</p>', f'<p hidden="until-found">{ONE}</p>', f"<p data-hidden>{ONE}</p>", f'<p title="a hidden b">{ONE}</p>', f'<p style="display:inline">{ONE}</p>']
+    gone = [f"<p hidden>{ONE}</p>", f'<p class=a hidden="">{ONE}</p>', f"<p HIDDEN=hidden>{ONE}</p>", f'<p style="visibility:hidden">{ONE}</p>']
+    for tag in shown + gone:
+        assert maintext.main_text(f"<article><p>{TWO}</p>{tag}</article>") == (f"{TWO}\n{ONE}" if tag in shown else TWO)
+
+
+def test_long_and_nested_pages_take_linear_time():
+    deep = "<form><fieldset>" * 20000 + f"<p>{ONE}</p>"
+    assert maintext.main_text(deep) == ONE
+    assert maintext.main_text("<article>" + f"<p>{ONE}</p>" * 20000 + "</article>") == "\n".join([ONE] * 20000)
+
+
 def test_open_elements_end_by_the_rules_of_html():
     held = lambda page: [(b.text, b.furniture, b.hint) for b in maintext.blocks(page)]
     assert held('<p class="ad">a<p>b') == [("a", 0, 1), ("b", 0, 0)]
