@@ -41,7 +41,7 @@ f AS (SELECT d.doc_id, d.text, len(w.words) AS n_words,
         coalesce(list_sum(list_transform(w.words, lambda x: length(x))), 0) AS word_chars,
         len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols,
         coalesce(dups.n_dup, 0) AS n_dup_lines, coalesce(dups.n_lines, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
-        len(regexp_extract_all(d.text, '[A-Z]')) AS n_upper, len(regexp_extract_all(d.text, '[a-z]')) AS n_lower,
+        len(regexp_extract_all(d.text, '\\p{{L}}')) AS n_letters, len(regexp_extract_all(d.text, '[A-Z]')) AS n_upper, len(regexp_extract_all(d.text, '[a-z]')) AS n_lower,
         len(regexp_extract_all(d.text, '!')) AS n_shouts,
         len(list_filter(w.words, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]'))) AS n_alpha,
         len(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t]*$'))) AS n_cut
@@ -50,7 +50,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-    OR n_upper > n_lower OR 10 * n_alpha < 7 * n_words OR 2 * n_shouts > n_words OR 10 * n_cut > 5 * greatest(n_lines, 1)) AS kept
+    OR (n_upper > n_lower AND 2 * (n_upper + n_lower) > n_letters) OR 10 * n_alpha < 7 * n_words OR 2 * n_shouts > n_words OR 10 * n_cut > 5 * greatest(n_lines, 1)) AS kept
 FROM b
 """
 

@@ -172,6 +172,14 @@ def test_names_of_furniture_still_count(name):
         assert maintext.main_text(f'<article><p>{ONE}</p><div {attribute}="{name}">{inside}</div><p>{THREE}</p></article>') == f"{ONE}\n{THREE}"
 
 
+def test_personal_data_of_a_very_long_text():
+    unit = "phone 030 1234 5678 or +49 30 1234 5678, mail a@b.example" + " " * 60 + "tel 0171 555 0199 or 4111 1111 1111 1111" + "\n" * 60
+    once = pii.spans(unit)
+    assert {k for k, *_ in once} == {"email", "phone", "local_phone", "card"}
+    assert not any(k == "local_phone" and a < d and c < b for k, a, b, _ in once for o, c, d, _ in once if o != "local_phone")
+    assert pii.spans(unit * 12000) == [(k, a + i * len(unit), b + i * len(unit), s) for i in range(12000) for k, a, b, s in once]
+
+
 SHELLS = {
     "bare": "%s", "article": "<article>%s</article>", "main": "<div><main>%s</main></div>", "form": "<form id=f>%s</form>",
     "form and article": "<form id=f><article>%s</article></form>", "dialog in form": "<form><div><dialog open>%s</dialog></div></form>",
@@ -287,6 +295,14 @@ def test_packing_covers_every_token(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_pads_little(spark):
+    rng = random.Random(8)
+    texts = ["word " * min(60000, int(rng.paretovariate(0.9) * 120)) for _ in range(1500)]
+    rows = packing.pack(table(spark, texts).coalesce(1), public_tokenizers.path("byte_bpe_50k.json")).select("sequence_id", "length").collect()
+    total, n = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert n * 2048 <= 1.015 * total + 2 * 2048
+
+
 def test_differencing_is_near_equal_and_adds_windows():
     rng = random.Random(3)
     sizes = [rng.randint(1, 900) for _ in range(300)]
