@@ -190,30 +190,59 @@ def top_skills_by(postings: DataFrame, by: str, where: Slice = ALL, n: int = TOP
                          low_confidence(F.col("sample_size")).alias("low_confidence"))
 
 
-def skill_delta(postings: DataFrame, period: str = "month", where: Slice = ALL) -> DataFrame:
-    """Count and share of each skill per bucket, and their change from the bucket before.
-
-    Buckets run from the first to the last one with any posting; a bucket in which a
-    skill is absent counts as zero, so a disappearing skill shows its fall.
+def skill_changes(postings: DataFrame, period: str = "month", where: Slice = ALL) -> DataFrame:
+    """Buckets in which the count of a skill may differ from the bucket before: those with
+    a sighting, and the empty one right after each run of sightings.
+
+    ``covers_from`` and ``covers_to`` (exclusive) say for which buckets a row speaks: between
+    its own and ``covers_to`` the skill is absent, and before its first sighting from
+    ``covers_from`` on. At most two rows per skill and bucket with a sighting, none of them
+    made before the shuffle; a skill's window holds at most one row per bucket.
     """
     rows = _bucketed(postings, where, period)
     totals = rows.groupBy("period_start").agg(F.count("*").alias("total"))
     seen = (skill_rows(rows, "period_start").groupBy("skill", "period_start")
             .agg(F.count("*").alias("count")))
+    # One row per bucket of the calendar.
+    shared = (seen.join(F.broadcast(totals), "period_start")
+              .select("skill", "period_start", "count", share(F.col("count"), F.col("total")).alias("share")))
     ends = totals.agg(F.min("period_start").alias("a"), F.max("period_start").alias("b"))
-    buckets = ends.select(tb.period_sequence(F.col("a"), F.col("b"), period)).scalar()
-    grid = (seen.groupBy("skill").agg(F.lit(0).cast("long").alias("count"))
-            .select("skill", F.explode(buckets).alias("period_start"), "count"))
-    dense = (seen.unionByName(grid).groupBy("skill", "period_start")
-             .agg(F.sum("count").alias("count")))
-    shared = (dense.join(totals, "period_start", "left")
-              .select("skill", "period_start", "count",
-                      F.coalesce(share(F.col("count"), F.col("total")), F.lit(0.0)).alias("share")))
     order = Window.partitionBy("skill").orderBy("period_start")
-    return shared.select(
-        "skill", "period_start", "count", "share",
-        (F.col("count") - F.lag("count").over(order)).alias("count_delta"),
-        F.round(F.col("share") - F.lag("share").over(order), 4).alias("share_delta"))
+    here = F.col("period_start")
+    after = lambda day: tb.period_end(day, period)
+    marked = shared.select(
+        "*", F.lag(F.struct("period_start", "count", "share")).over(order).alias("_before"), F.lead(here).over(order).alias("_next"),
+        ends.select("a").scalar().alias("_a"), after(ends.select("b").scalar()).alias("_end"))
+    adjacent = after(F.col("_before.period_start")) == here
+    old = lambda c: F.when(adjacent, F.col(f"_before.{c}")).when(here > F.col("_a"), F.lit(0))
+    row = lambda start, count, part, d_count, d_share, lo, hi: F.struct(
+        start.alias("period_start"), count.cast("long").alias("count"), part.cast("double").alias("share"),
+        d_count.cast("long").alias("count_delta"), F.round(d_share, 4).alias("share_delta"), lo.alias("covers_from"), hi.alias("covers_to"))
+    until = F.coalesce("_next", "_end")
+    first = F.when(F.col("_before").isNull(), F.col("_a")).otherwise(here)
+    own = row(here, F.col("count"), F.col("share"), F.col("count") - old("count"), F.col("share") - old("share"), first, after(here))
+    gone = row(after(here), F.lit(0), F.lit(0.0), -F.col("count"), -F.col("share"), after(here), until)
+    both = F.when(after(here) < until, F.array(own, gone)).otherwise(F.array(own))
+    return marked.select("skill", F.explode(both).alias("r")).select("skill", "r.*")
+
+
+def skill_delta(postings: DataFrame, period: str = "month", where: Slice = ALL) -> DataFrame:
+    """Count and share of each skill per bucket, and their change from the bucket before.
+
+    Buckets run from the first to the last one with any posting; a bucket in which a
+    skill is absent counts as zero, so a disappearing skill shows its fall. The rows
+    without a change are spread out from ``skill_changes`` where they are read, with no shuffle.
+    """
+    changes = skill_changes(postings, period, where)
+    days = F.filter(tb.period_sequence(F.col("covers_from"), F.col("covers_to"), period), lambda d: d < F.col("covers_to"))
+    spread = changes.withColumn("_day", F.explode(days))
+    own = F.col("_day") == F.col("period_start")
+    value = lambda c, other: F.when(own, F.col(c)).otherwise(other).alias(c)
+    # Before its first sighting a skill is covered from the first bucket of all on, which has none before it.
+    unchanged = lambda zero: F.when(F.col("_day") > F.col("covers_from"), zero)
+    return spread.select(
+        "skill", F.col("_day").alias("period_start"), value("count", F.lit(0).cast("long")), value("share", F.lit(0.0)),
+        value("count_delta", unchanged(F.lit(0).cast("long"))), value("share_delta", unchanged(F.lit(0.0))))
 
 
 def skill_pairs(postings: DataFrame, where: Slice = ALL, n: int = TOP_N,

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from jobspectra.functions import salary as pay
 from jobspectra.functions import timebuckets as tb
-from jobspectra.operators.metrics import ALL, Slice, skill_rows
+from jobspectra.operators.metrics import ALL, Slice, salary_series, salary_summary, skill_rows
 from jobspectra.operators.quantiles import (
     BOUNDED_GROUPS, bin_counts, choose_bins, exact_percentiles, merge_by_group, percentiles,
     pick_values, value_counts, with_bin)
-from jobspectra.schema import GRADE_IDS
+from jobspectra.schema import GRADE_IDS, PERCENTILES
 
 
 def salary_histogram(postings: DataFrame, width: int, where: Slice = ALL) -> DataFrame:
@@ -145,6 +145,30 @@ def salary_in_currency(postings: DataFrame, currency: str = "RUB", basis: str =
                         *[pay.convert_estimate(F.col(f"p{p}"), rate, basis).alias(f"p{p}") for p in (25, 50, 75)])
 
 
+_MONEY = ("median", "min", "max", "mean", *(f"p{p}" for p in PERCENTILES), "range_from", "range_to")
+
+
+def _shown(stats: DataFrame, currency: str, basis: str) -> DataFrame:
+    """Money columns in another currency and basis, which are added in front; counts stay."""
+    code = _code(currency)
+    rate = F.expr(pay.rate_to_base(f"'{code}'"))
+    return stats.select(F.lit(code).alias("currency"), F.lit(basis).alias("basis"), *[
+        pay.convert_estimate(F.col(c), rate, basis).alias(c) if c in _MONEY else F.col(c) for c in stats.columns])
+
+
+def salary_summary_in_currency(postings: DataFrame, currency: str = "RUB", basis: str = "net", where: Slice = ALL,
+                               by: Sequence[str] = ()) -> DataFrame:
+    """The full summary shown in another currency and tax basis. Both are one positive factor,
+    so means and percentiles are taken in the stored base and scaled."""
+    return _shown(salary_summary(postings, where, by, digits=4, mean_digits=6), currency, basis)
+
+
+def salary_series_in_currency(postings: DataFrame, period: str = "month", currency: str = "RUB", basis: str = "net",
+                              where: Slice = ALL) -> DataFrame:
+    """Median and quartiles per bucket shown in another currency and tax basis, in order."""
+    return _shown(salary_series(postings, period, where, digits=4), currency, basis).orderBy("period_start")
+
+
 # --- dated exchange rates -------------------------------------------------------------
 
 def rate_calendar(rates: DataFrame, days: DataFrame) -> DataFrame:

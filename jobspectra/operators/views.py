@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobspectra.functions import timebuckets as tb
 from jobspectra.functions.skilldict import resolve_alias
@@ -142,8 +143,17 @@ def latest_day(postings: DataFrame) -> Column:
     return postings.agg(tb.local_date(F.max("published_at")).alias("d")).scalar()
 
 
+_CSV = {"header": True, "nullValue": "", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Tabular export with a header; one part file per partition."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+    """Tabular export with a header, one part file per partition. Quotes are doubled, so that
+    texts with quotes, separators, line breaks or outer spaces come back; an empty text is written as a null."""
+    df.write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """An export read back. A part file with texts of several lines is read by one task."""
+    return spark.read.schema(schema).options(**_CSV, multiLine=True, mode="FAILFAST").csv(path)
 
 

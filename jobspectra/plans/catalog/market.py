@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from jobspectra.functions import timebuckets as tb
 from jobspectra.operators import metrics as m
 from jobspectra.operators import premiums, snapshots, views
 from jobspectra.plans.bindings import SQL_POSTINGS, employers, load, postings
+from jobspectra.session import shared_dir
 
 ENTRIES: dict[str, tuple] = {}
 WITH = f"WITH {SQL_POSTINGS}"
@@ -157,14 +159,23 @@ add("skill_cooccurrence_long_tail",
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grade_id ORDER BY c DESC, a, b) AS INTEGER) AS rank FROM c)
     SELECT grade_id, rank, a, b, c AS "count", {SHARE.format('c', 'n')} AS share, n AS sample_size, n < 30 AS low_confidence
     FROM r JOIN t USING (grade_id) WHERE rank <= 10""")
-add("skill_delta", lambda s, d: m.skill_delta(postings(s, d, "p_brand"), "year"),
-    f"""{WITH}, t AS (SELECT {TRUNC['year']} AS y, count(*) AS n FROM p GROUP BY 1),
-    k AS (SELECT skill, {TRUNC['year']} AS y, count(*) AS c FROM ps GROUP BY 1, 2),
-    g AS (SELECT s.skill, t.y, t.n, coalesce(k.c, 0) AS c FROM (SELECT DISTINCT skill FROM k) s CROSS JOIN t
-          LEFT JOIN k ON k.skill = s.skill AND k.y = t.y),
-    h AS (SELECT skill, y, c, {SHARE.format('c', 'n')} AS share FROM g)
-    SELECT skill, y AS period_start, c AS "count", share, c - lag(c) OVER w AS count_delta,
-    round(share - lag(share) OVER w, 4) AS share_delta FROM h WINDOW w AS (PARTITION BY skill ORDER BY y)""")
+def _sql_delta(period):
+    return f"""{WITH}, t AS (SELECT {TRUNC[period]} AS y, count(*) AS n FROM p GROUP BY 1),
+    e AS (SELECT min(y) AS a, max(y) AS b FROM t),
+    k AS (SELECT skill, {TRUNC[period]} AS y, count(*) AS c FROM ps GROUP BY 1, 2),
+    z AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 {period})) AS DATE) AS y FROM e),
+    g AS (SELECT s.skill, z.y, t.n, coalesce(k.c, 0) AS c FROM (SELECT DISTINCT skill FROM k) s CROSS JOIN z
+          LEFT JOIN t ON t.y = z.y LEFT JOIN k ON k.skill = s.skill AND k.y = z.y),
+    h AS (SELECT skill, y, c, coalesce({SHARE.format('c', 'n')}, 0) AS share FROM g),
+    d AS (SELECT skill, y AS period_start, c AS "count", share, c - lag(c) OVER w AS count_delta,
+      round(share - lag(share) OVER w, 4) AS share_delta FROM h WINDOW w AS (PARTITION BY skill ORDER BY y))"""
+
+
+for period in ("year", "day"):
+    add("skill_delta" if period == "year" else f"skill_delta_{period}",
+        lambda s, d, period=period: m.skill_delta(postings(s, d, "p_brand"), period), f"{_sql_delta(period)} SELECT * FROM d")
+add("skill_changes", lambda s, d: m.skill_changes(postings(s, d, "p_brand"), "day").drop("covers_from", "covers_to"),
+    f"""{_sql_delta('day')} SELECT * FROM d WHERE "count" > 0 OR count_delta < 0""")
 add("skills_dictionary", lambda s, d: views.skill_dictionary(postings(s, d, "p_name")),
     f"""SELECT p_name AS skill, count(DISTINCT l_orderkey) AS postings FROM lineitem JOIN part ON l_partkey = p_partkey
     JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
@@ -246,6 +257,38 @@ add("salary_in_currency", lambda s, d: premiums.salary_in_currency(postings(s, d
     FROM p WHERE estimate IS NOT NULL""")
 
 
+def _sql_shown(columns):
+    return ", ".join(f'round("{c}" / 90 / (1.0::DOUBLE - 0.13::DOUBLE), 4) AS "{c}"' if c in premiums._MONEY else f'"{c}"' for c in columns)
+
+
+_SUMMARY = ("count", "total_count", *premiums._MONEY, "disclosure_rate", "low_confidence")
+add("salary_summary_in_currency", lambda s, d: premiums.salary_summary_in_currency(postings(s, d), "USD", "gross", by=["grade_id"]),
+    f"""{WITH}, st AS (SELECT grade_id, {STATS} FROM p GROUP BY grade_id)
+    SELECT 'USD' AS currency, 'gross' AS basis, grade_id, {_sql_shown(_SUMMARY)} FROM st""")
+add("salary_series_in_currency", lambda s, d: premiums.salary_series_in_currency(postings(s, d), "month", "USD", "gross"),
+    f"""{WITH}, st AS (SELECT {TRUNC['month']} AS period_start, {', '.join(
+        f'round(quantile_cont(CAST(estimate AS DOUBLE), {q}), 4) AS {n}' for n, q in (('median', 0.5), ('p25', 0.25), ('p75', 0.75)))},
+      count(*) AS "count" FROM p WHERE estimate IS NOT NULL GROUP BY 1)
+    SELECT 'USD' AS currency, 'gross' AS basis, period_start, {_sql_shown(('median', 'p25', 'p75', 'count'))} FROM st""")
+
+
+def _exported(s, d):
+    """Whole texts and the skill dictionary written as a table of text files and read back."""
+    texts = load(s, d, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("number"), "text", F.col("lang").alias("label"))
+    skills = views.skill_dictionary(postings(s, d, "p_name")).select(
+        F.lit("skill").alias("kind"), F.col("postings").alias("number"), F.lit(None).cast("string").alias("text"), F.col("skill").alias("label"))
+    rows = texts.unionByName(skills)
+    path = f"{shared_dir(s)}/export-{uuid.uuid4().hex}"
+    views.write_csv(rows, path)
+    return views.read_csv(s, path, rows.schema)
+
+
+add("csv_export", _exported,
+    """SELECT 'text' AS kind, doc_id AS number, nullif(text, '') AS text, nullif(lang, '') AS label FROM documents
+    UNION ALL SELECT 'skill', count(DISTINCT l_orderkey), NULL, p_name FROM lineitem JOIN part ON l_partkey = p_partkey
+    JOIN orders ON o_orderkey = l_orderkey GROUP BY p_name""")
+
+
 def _rates(s, d):
     """Dated rates derived from the order days: one per currency on some days only."""
     days = load(s, d, "orders").select(F.trunc("o_orderdate", "week").alias("rate_date")).distinct()

@@ -173,6 +173,35 @@ add("relevance_rejects",
     lambda s, d: (tag_batch(b.raw_postings(s, d), default_terms(s)).where("outcome = 'filtered'")
                   .groupBy("reason", "matched_stopword").agg(F.count("*").alias("count"))),
     f"""WITH {SQL_SCORED} SELECT reason, matched_stopword, count(*) AS "count" FROM sc WHERE NOT relevant GROUP BY 1, 2""")
+
+
+def benchmark_terms(s, d):
+    """A dictionary of thousands of terms: all word pairs of the benchmark texts."""
+    words = b.load(s, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"),
+                                                F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
+    size = F.length("term")
+    return pairs.select(F.concat_ws(" ", "p.a", "p.b").alias("term")).where("p.b is not null").distinct().select(
+        F.lit(0).alias("ord"), "term", F.when(size % 11 == 7, "stop").otherwise("positive").alias("kind"),
+        F.when(size % 5 == 0, "title").when(size % 5 == 1, "description").otherwise("any").alias("field_scope"),
+        (F.lit(0.5) * (1 + size % 3)).alias("weight"), F.lit(True).alias("active"))
+
+
+add("relevance_large_dictionary",
+    lambda s, d: score_postings(b.load(s, d, "documents").select(
+        "doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("description"),
+        F.array(F.col("source")).alias("skills")), benchmark_terms(s, d), hard_stop_on_title=False).select(
+        "doc_id", "relevant", "score", "reason", "matched_stopword"),
+    """WITH rb AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title, lower(text || ' ' || source) AS body FROM documents),
+    ws AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+    pr AS (SELECT DISTINCT term FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM ws)),
+    t AS (SELECT term, CASE WHEN length(term) % 11 = 7 THEN -1 ELSE 1 END AS sign, length(term) % 5 AS place, 0.5::DOUBLE * (1 + length(term) % 3) AS weight FROM pr),
+    h AS (SELECT doc_id, term, sign, weight, place <> 1 AND contains(title, term) AS in_title, place <> 0 AND contains(body, term) AS in_body
+      FROM rb JOIN t ON contains(body, term)),
+    g AS (SELECT doc_id, sum(sign * weight * (3.0::DOUBLE * in_title::INT + in_body::INT)) AS total,
+      max(term) FILTER (sign < 0 AND in_title) AS last_title, min(term) FILTER (sign < 0 AND in_body) AS first_body FROM h GROUP BY 1),
+    f AS (SELECT doc_id, coalesce(total, 0::DOUBLE) AS score, coalesce(last_title, first_body) AS stop FROM rb LEFT JOIN g USING (doc_id))
+    SELECT doc_id, score >= 0 AS relevant, score, CASE WHEN score < 0 THEN 'low_score' END AS reason, CASE WHEN score < 0 THEN stop END AS matched_stopword FROM f""")
 STAMP = "TIMESTAMP '2001-09-01 00:00:00'"
 SQL_NORMALIZED = f"""{SQL_SCORED}, {b.sql_normalize('rw')},
   nz AS (SELECT s4.posting_id, title, employer_id, {SQL_GRADE} AS grade_code, employment_format, published_at, estimate,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import one, raw
 from jobspectra.functions import fields, html, salary
 from jobspectra.functions import timebuckets as tb
+from jobspectra.functions import relevance
 from jobspectra.functions.relevance import score_postings
 from jobspectra.sources import payloads
 from jobspectra.sources.terms import default_rows, default_terms, seed
@@ -151,6 +152,33 @@ def test_relevance_matches_the_plain_rule(spark, hard):
             assert r.relevant == relevant
 
 
+@pytest.mark.parametrize("hard", [True, False])
+@pytest.mark.parametrize("portion", [1 << 24, 700_000])
+def test_relevance_of_a_large_dictionary(spark, monkeypatch, hard, portion):
+    """50 000 terms in one portion or several give what a plain loop gives, in a plan of the same size."""
+    monkeypatch.setattr(relevance, "PORTION_BYTES", portion)
+    kinds, scopes = ("positive", "positive", "stop"), ("title", "description", "any")
+    fixed = [("kt", "stop", "any"), ("KT", "positive", "title"), ("", "stop", "any"), ("é–x", "positive", "any")]
+    every = [(i, f"t{i:x}", kinds[i % 3], scopes[i % 7 % 3], 0.5 * (i % 4)) for i in range(50000)]
+    every += [(60000 + i, t, k, sc, 2.0) for i, (t, k, sc) in enumerate(fixed)]
+    terms = spark.createDataFrame(every, "ord int, term string, kind string, field_scope string, weight double").withColumn("active", F.lit(True))
+    texts = [("T1F kt", "say tabc and t7 é–X"), ("", ""), (None, None), ("no such", "word"), ("tc34f T2 t1", "kt" * 3000), ("tabc", "t1 t2 t3 t4 t5")]
+    rows = [{"posting_id": i, "title": t, "description": d, "skills": None} for i, (t, d) in enumerate(texts)]
+    scored = score_postings(raw(spark, *rows), terms, hard_stop_on_title=hard)
+    for r, (title, text) in zip(scored.orderBy("posting_id").collect(), texts):
+        title, text = (title or "").lower(), (text or "").lower() + " "
+        above = [t for t in every if t[1] and t[1].lower() in title and t[3] in ("title", "any")]
+        below = [t for t in every if t[1] and t[1].lower() in text and t[3] in ("description", "any")]
+        score = sum((1 if t[2] == "positive" else -1) * t[4] * f for part, f in ((above, 3), (below, 1)) for t in part)
+        st, sb = ([t[1].lower() for t in part if t[2] == "stop"] for part in (above, below))
+        if hard and st:
+            want = (False, -999.0, "hard_stop_title", st[0])
+        else:
+            want = (True, score, None, None) if score >= 0 else (False, score, "low_score", (st[-1:] or sb[:1] or [None])[0])
+        assert (r.relevant, r.score, r.reason, r.matched_stopword) == want
+    assert len(scored._jdf.queryExecution().toString()) < 40000
+
+
 def test_seed_adds_only_missing_terms(spark):
     defaults = default_terms(spark)
     once = seed(defaults.limit(0), defaults)

@@ -31,6 +31,38 @@ def test_salary_summary(spark):
         m.Slice(grade="guru")
 
 
+@pytest.mark.parametrize("period, days", [("week", 7), ("day", 1)])
+def test_skill_changes_skip_what_stays_zero(spark, period, days):
+    """Gaps, runs, a skill that ends early and one that begins late, against a plain count over every bucket."""
+    at = {"a": (0, 1, 1, 5, 9), "b": (3,), "c": (9, 9), "d": (0,), "e": (2, 3, 4, 8)}
+    rows = [{"skills": [s], "published_at": DAY + dt.timedelta(days=days * i)} for s, places in at.items() for i in places]
+    df = facts(spark, *rows)
+    start = tuple(r[0] for r in m.demand_series(df, period).select("period_start").collect())[0]
+    bucket = lambda i: start + dt.timedelta(days=days * i)
+    totals = Counter(i for places in at.values() for i in places)
+    want = {}
+    for s, places in at.items():
+        counts = [places.count(i) for i in range(10)]
+        shares = [round(c / totals[i], 4) if totals[i] else 0.0 for i, c in enumerate(counts)]
+        for i in range(10):
+            want[s, bucket(i)] = (counts[i], shares[i], counts[i] - counts[i - 1] if i else None, round(shares[i] - shares[i - 1], 4) if i else None)
+    got = {(r.skill, r.period_start): (r["count"], r.share, r.count_delta, r.share_delta) for r in m.skill_delta(df, period).collect()}
+    assert got == want
+    changes = {(r.skill, r.period_start) for r in m.skill_changes(df, period).collect()}
+    assert changes == {k for k, (n, _, change, _) in want.items() if n or (change or 0) < 0}
+    assert m.skill_delta(facts(spark).limit(0), period).count() == 0
+
+
+def test_csv_export_comes_back(spark, tmp_path):
+    rows = [(1, 'say "hi", you'), (2, " outer "), (3, "two\nlines\r\nand a \\ back\\\\"), (4, ""), (5, None), (6, '"'), (7, "a,b;c\td"), (8, '\\"'), (9, "x" * 300000)]
+    df = spark.createDataFrame(rows, "n long, t string")
+    views.write_csv(df, str(tmp_path / "x"))
+    back = {r.n: r.t for r in views.read_csv(spark, str(tmp_path / "x"), df.schema).collect()}
+    assert back == {n: t or None for n, t in rows}
+    views.write_csv(df.limit(0), str(tmp_path / "e"))
+    assert views.read_csv(spark, str(tmp_path / "e"), df.schema).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_percentiles_agree_with_numpy(spark, seed):
     rng = random.Random(seed)
