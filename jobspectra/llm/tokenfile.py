@@ -240,7 +240,11 @@ BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("be
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of whole texts, each closed by ``end_id``, in ascending order of document."""
+    """Write the ids of whole texts, each closed by ``end_id``, in ascending order of document.
+
+    Rows of equal id are ordered by a hash of their texts, so that their places are fixed and
+    many of them can lie in several parts; a null id comes first.
+    """
 
     def run(batches):
         encode, part, before = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0
@@ -261,7 +265,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
         if names:
             yield _row(part, before, names, held, size)
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tie = F.xxhash64("text")
+    ordered = ordered.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     tabulate(ordered, BLOCKS, run).write.parquet(path)
 
 

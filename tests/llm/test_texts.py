@@ -321,6 +321,17 @@ def test_token_blocks_round_trip(n):
         assert (tokenfile.decode_ids(tokenfile.encode_ids(ids), n) == ids).all()
 
 
+def test_token_files_fix_the_places_of_repeated_ids(spark, tmp_path):
+    rows = [(i % 3, f"text {i} of some words") for i in range(200)] + [(1, "the same")] * 300
+    places = []
+    for k, order in enumerate((rows, rows[::-1])):
+        tokenfile.write(spark.createDataFrame(order, "doc_id long, text string").repartition(3 + k), str(tmp_path / str(k)), public_tokenizers.path("word_bpe_49k.json"))
+        found = tokenfile.read(spark, str(tmp_path / str(k))).collect()
+        places.append(sorted((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in found))
+    assert len(places[0]) == 500 and places[0] == places[1]
+    assert [p[1] for p in places[0]] == [0, *np.cumsum([p[2] for p in places[0]])[:-1]]
+
+
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, [*ODD, *ODD]).union(spark.createDataFrame([(None, "no id", "", "", "", "")], "doc_id long, text string, kept string, n_words string, ids string, score string")).repartition(3)
