@@ -43,29 +43,48 @@ add("clean_text",
     SELECT doc_id, length(t) AS length, md5(t) AS digest FROM c""")
 
 # --- personal data --------------------------------------------------------------------
-_STAGES = ["email", "url", "social", "phone"]
+_CATEGORIES = [*txt.PII_PATTERNS, txt.NAME_CATEGORY]
 
 
 def _pii(s, d):
     redacted = txt.redact(b.load(s, d, "documents").select("doc_id", "text"), "text")
     count = lambda c: F.coalesce(F.try_element_at("pii_categories", F.lit(c)), F.lit(0)).cast("long")
-    return redacted.select("doc_id", *[count(c).alias(c) for c in _STAGES])
-
-
-def _sql_pii() -> str:
-    stages, source = [], "documents"
-    for i, name in enumerate(_STAGES):
-        # RE2 knows no verbose or Unicode word boundary; the documents hold none of the
-        # letters that would make a difference at these boundaries.
-        pattern = txt.PII_PATTERNS[name].replace("'", "''")
-        before = ", ".join(_STAGES[:i])
-        stages.append(f"x{i} AS (SELECT doc_id, {before + ', ' if before else ''}CAST(len(regexp_extract_all(text, '{pattern}')) AS BIGINT) "
-                      f"AS {name}, regexp_replace(text, '{pattern}', '{txt.PLACEHOLDER}', 'g') AS text FROM {source})")
-        source = f"x{i}"
-    return f"WITH {', '.join(stages)} SELECT doc_id, {', '.join(_STAGES)} FROM {source}"
-
-
-add("pii_counts", _pii, _sql_pii())
+    return redacted.select("doc_id", *[count(c).alias(c) for c in _CATEGORIES])
+
+
+# The check engine's word boundary knows ASCII only. Where a pattern starts with a Cyrillic
+# word, the character in front is matched and put back instead; the name pattern does without
+# boundaries, as the texts hold no capitals inside words.
+_LETTER = r"0-9A-Za-z_\x{00C0}-\x{024F}\x{0400}-\x{04FF}"
+_CYRILLIC_START = ("dob", "passport", "inn")
+_SQL_NAME = txt.NAME_PATTERN.replace(r"\b", "")
+_SQL_IS_NAME = f"""NOT list_has_any(w, {b.sql_list(list(txt.NOT_NAMES))}) AND (
+  len(list_filter(w, lambda v: regexp_matches(v, '(?:{'|'.join(txt.PATRONYMIC_ENDINGS)})$'))) > 0
+  OR len(w) = 2 AND list_min(list_transform(w, lambda v: length(v))) >= {txt.MIN_NAME_LENGTH})"""
+
+
+def _sql_redaction(source: str) -> str:
+    """Tables that redact ``source`` (doc_id, text) stage by stage; the last, ``redacted``, has text and all counts."""
+    stages, counted = [], []
+    for name, raw in txt.PII_PATTERNS.items():
+        pattern, kept = raw.replace("'", "''"), ""
+        if name in _CYRILLIC_START:
+            pattern, kept = f"(^|[^{_LETTER}])" + pattern.replace("(?i)\\b", "", 1), "\\1"
+            pattern = "(?i)" + pattern
+        stages.append(f"r_{name} AS (SELECT doc_id, {''.join(c + ', ' for c in counted)}coalesce(CAST(len(regexp_extract_all(text, '{pattern}')) "
+                      f"AS BIGINT), 0) AS {name}, regexp_replace(text, '{pattern}', '{kept}{txt.PLACEHOLDER}', 'g') AS text FROM {source})")
+        source = f"r_{name}"
+        counted.append(name)
+    columns = ", ".join(counted)
+    stages.append(f"""r_words AS (SELECT doc_id, {columns}, text, regexp_extract_all(text, '{_SQL_NAME}') AS m FROM {source}),
+    r_names AS (SELECT *, list_transform(m, lambda x: list_transform([string_split_regex(x, '\\s+')], lambda w: {_SQL_IS_NAME})[1]) AS hit FROM r_words),
+    redacted AS (SELECT doc_id, {columns}, coalesce(CAST(len(list_filter(hit, lambda x: x)) AS BIGINT), 0) AS {txt.NAME_CATEGORY},
+      array_to_string(list_transform(list_zip(string_split_regex(text, '{_SQL_NAME}'), m, hit),
+        lambda x: x[1] || CASE WHEN x[3] THEN '{txt.PLACEHOLDER}' ELSE coalesce(x[2], '') END), '') AS text FROM r_names)""")
+    return ",\n".join(stages)
+
+
+add("pii_counts", _pii, f"WITH {_sql_redaction('documents')} SELECT doc_id, {', '.join(_CATEGORIES)} FROM redacted")
 
 
 def _personal(s, d):
@@ -79,11 +98,19 @@ def _personal(s, d):
     return b.load(s, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
+SQL_PERSONAL = f"""nb AS (SELECT doc_id, text, lpad(CAST(doc_id AS VARCHAR), 7, '0') AS number FROM documents),
+  pe AS (SELECT doc_id, text || E'\\nИмя: ' || {b.sql_choose(NAMES, 'doc_id')} || '; Дата рождения: 15.03.1990; паспорт 4509 ' || substr(number, 2, 6)
+    || '; ИНН 77' || number || '1; СНИЛС 112-233-445 95; г. Москва, ул. Ленина, д. 15, кв. 42; Telegram: @user_' || number
+    || '; https://site.example.com/u/' || number || '; +7 (999) 123-45-67; mail' || number || '@example.com' AS text FROM nb)"""
+_SQL_TOTAL = f"CAST({' + '.join(_CATEGORIES)} AS INTEGER)"
 add("pii_redaction",
     lambda s, d: txt.redact(_personal(s, d), "text").select(
         "doc_id", F.length("redacted_text").alias("length"), F.md5(F.col("redacted_text").cast("binary")).alias("digest"), "pii_total",
         F.array_join(F.transform(F.map_entries("pii_categories"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-        .alias("categories")))
+        .alias("categories")),
+    f"""WITH {SQL_PERSONAL}, {_sql_redaction('pe')}
+    SELECT doc_id, CAST(length(text) AS INTEGER) AS length, md5(text) AS digest, {_SQL_TOTAL} AS pii_total,
+    concat_ws(',', {', '.join(f"CASE WHEN {c} > 0 THEN '{c}=' || {c} END" for c in _CATEGORIES)}) AS categories FROM redacted""")
 
 
 def _names(s, d):
@@ -107,9 +134,10 @@ def _escape(alias: str) -> str:
 
 
 _FOUND = ", ".join(f"CASE WHEN regexp_matches(t, '{b.sql_bounded(_escape(a))}') THEN '{ALIASES[a]}' END" for a in _ORDERED)
-SQL_SKILLS = f"""{SQL_RESUMES}, lw AS (SELECT doc_id, grade, lower(text) AS t FROM rs),
+SQL_FOUND = f"""lw AS (SELECT doc_id, grade, lower(text) AS t FROM rs),
   hs AS (SELECT doc_id, grade, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS l FROM lw),
   sks AS (SELECT doc_id, grade, {b.sql_distinct_in_order('l')} AS own FROM hs)"""
+SQL_SKILLS = f"{SQL_RESUMES}, {SQL_FOUND}"
 add("skill_extract",
     lambda s, d: _resumes(s, d).select("doc_id", F.array_join(extract_skills(F.col("text")), "|").alias("skills")),
     f"WITH {SQL_SKILLS} SELECT doc_id, array_to_string(own, '|') AS skills FROM sks")
@@ -153,9 +181,19 @@ add("resume_match",
       CASE WHEN ratio < 0.3 THEN 'low_coverage' WHEN ratio < 0.5 THEN 'moderate_coverage' END,
       CASE WHEN len(own) = 0 THEN 'no_skills' END, CASE WHEN len(own) < 5 THEN 'few_skills' END) END AS advice_codes,
     (SELECT count(*) FROM orders) AS market_sample_size FROM fs""")
+_advice = lambda code: "'" + resume.ADVICE[code].replace("'", "''") + "'"
 add("resume_analysis",
     lambda s, d: resume.analyze(_personal(s, d).withColumn("target_grade", F.lit("middle")), _market(s, d)).select(
-        "doc_id", F.length("redacted_text").alias("length"), "pii_total", "market_fit_score", _JOINED("recommendations")))
+        "doc_id", F.length("redacted_text").alias("length"), "pii_total", "market_fit_score", _JOINED("recommendations")),
+    f"""WITH {SQL_PERSONAL}, rs AS (SELECT doc_id, text, 'middle' AS grade FROM pe), {SQL_FOUND}, {SQL_MARKET},
+    cl AS (SELECT doc_id, {SQL_CLEAN.format('text')} AS text FROM pe WHERE text IS NOT NULL),
+    {_sql_redaction('cl')}
+    SELECT doc_id, CAST(length(text) AS INTEGER) AS length, {_SQL_TOTAL} AS pii_total, CAST(round_even(raw, 0) AS INTEGER) AS market_fit_score,
+    CASE WHEN len(missing) = 0 AND ratio >= 0.5 AND len(own) >= 5 THEN {_advice('good_match')} ELSE concat_ws('|',
+      CASE WHEN len(missing) > 0 THEN replace({_advice('add_missing')}, '{{skills}}', array_to_string(missing[1:5], ', ')) END,
+      CASE WHEN ratio < 0.3 THEN {_advice('low_coverage')} WHEN ratio < 0.5 THEN {_advice('moderate_coverage')} END,
+      CASE WHEN len(own) = 0 THEN {_advice('no_skills')} END, CASE WHEN len(own) < 5 THEN {_advice('few_skills')} END) END AS recommendations
+    FROM redacted JOIN fs USING (doc_id)""")
 
 # --- bullets and answers --------------------------------------------------------------
 MARKERS = ["- ", "• ", "* ", "1. ", "2) ", "", "-- ", "10. "]
