@@ -167,6 +167,22 @@ def test_premiums(spark):
     assert view.p50 == round(250 / 90 / (1.0 - 0.13), 4)
 
 
+def test_skill_premium_reads_postings_once_and_agrees_with_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = [{"estimate": rng.choice([rng.randrange(1, 400), rng.randrange(10**5, 10**6), 10**11 + rng.randrange(9)]) / 4,
+             "skills": rng.sample([f"s{i}" for i in range(12)], rng.randrange(5))} for _ in range(300)]
+    rows += [{"estimate": 7, "skills": ["twin"]}] * 40 + [{"estimate": None, "skills": ["unpaid"]}]
+    paid = [r for r in rows if r["estimate"] is not None]
+    money = lambda x: float(D(str(x)).quantize(D("0.01")))
+    want = {}
+    for skill in {x for r in paid for x in r["skills"]}:
+        own, rest = ([money(r["estimate"]) for r in paid if (skill in r["skills"]) == has] for has in (True, False))
+        want[skill] = (len(own), round(float(np.percentile(own, 50)), 4), round(float(np.percentile(rest, 50)), 4))
+    found = premiums.skill_premium(facts(spark, *[{**r, "estimate": None if r["estimate"] is None else D(str(r["estimate"])).quantize(D("0.01"))} for r in rows]))
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.skill: (r.sample_size, r.median_with, r.median_without) for r in found.collect()} == want
+
+
 def test_nearest_rate_wins_and_ties_go_back(spark):
     rates = spark.createDataFrame([("USD", dt.date(2026, 5, 1), D(80)), ("USD", dt.date(2026, 5, 5), D(90))],
                                   "currency string, rate_date date, rate decimal(14,6)")
