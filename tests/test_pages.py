@@ -40,3 +40,13 @@ def test_search_page_links(spark):
     assert [(r.posting_id, r.url) for r in got] == [(111, "https://base.example/vacancy/111?from=x"),
                                                     (222, "https://x.example/vacancy/222"), (9, "https://base.example/vacancy/9")]
     assert [r.results for r in pages.result_counts(df).orderBy("page_id").collect()] == [1426, 0]
+
+
+def test_pages_of_one_file_are_read_by_all_cores(spark, tmp_path):
+    from jobspectra.plans.catalog.normalization import _posting_pages
+
+    orders = spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 1000.0D AS o_totalprice, timestamp_ntz'2001-01-01' AS o_orderdate FROM range(0, 400, 1, 1)")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = _posting_pages(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.page_id for r in found.select("page_id").collect()) == list(range(400))
