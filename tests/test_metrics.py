@@ -12,6 +12,7 @@ from helpers import DAY, facts, one
 from jobspectra.operators import metrics as m
 from jobspectra.operators import cube, pairs, premiums, snapshots, views
 from jobspectra.operators.quantiles import exact_percentiles
+from jobspectra.plans import bindings
 
 
 def employers(spark, *names):
@@ -183,6 +184,18 @@ def test_skill_premium_reads_postings_once_and_agrees_with_a_plain_count(spark):
     assert {r.skill: (r.sample_size, r.median_with, r.median_without) for r in found.collect()} == want
 
 
+def test_parts_firms_and_amounts_are_not_gathered_for_a_broadcast(spark, tmp_path):
+    """They grow with the postings, and their files are far smaller than their rows."""
+    spark.sql("SELECT id AS l_orderkey, id AS l_partkey FROM range(40)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, 'a' AS p_brand FROM range(40)").write.parquet(f"{tmp_path}/part.parquet")
+    counts = cube.build(facts(spark, {"employer_id": 7, "skills": ["a"]}))
+    firms = spark.createDataFrame([(7, "A")], "employer_id long, name string")
+    ranks = exact_percentiles(facts(spark, {"employer_id": 7, "estimate": 5}), ["employer_id"], "estimate", (50,))
+    for found, rows in ((bindings.links(spark, str(tmp_path)), 40), (cube.employers(counts, firms, [0], 5), 1), (ranks, 1)):
+        assert len(found.collect()) == rows
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_rate_wins_and_ties_go_back(spark):
     rates = spark.createDataFrame([("USD", dt.date(2026, 5, 1), D(80)), ("USD", dt.date(2026, 5, 5), D(90))],
                                   "currency string, rate_date date, rate decimal(14,6)")
