@@ -46,8 +46,14 @@ NAME_CATEGORY = "fio"
 _MARK = "\ue000"
 
 
-def _unicode(pattern: str) -> str:
-    return "(?iU)" + pattern[4:] if pattern.startswith("(?i)") else "(?U)" + pattern
+# What every match starts with, for patterns of many alternatives: one character class
+# refuses most places at once. Others are no faster with it.
+_STARTS = {"social": "[@tvflgiws]", "phone": r"[+\d]"}
+
+
+def _unicode(pattern: str, category: str | None = None) -> str:
+    flags, rest = ("(?iU)", pattern[4:]) if pattern.startswith("(?i)") else ("(?U)", pattern)
+    return f"{flags}(?={_STARTS[category]})(?:{rest})" if category in _STARTS else flags + rest
 
 
 def clean_text(text: Column) -> Column:
@@ -106,7 +112,7 @@ def redact(df: DataFrame, text: str, *, redacted: str = "redacted_text",
     stage = _with_signs(df.select(*kept, F.col(text).alias("_t")), kept)
     counted: list[str] = []
     for category, raw in PII_PATTERNS.items():
-        pattern, possible = _unicode(raw), F.expr(_POSSIBLE[category])
+        pattern, possible = _unicode(raw, category), F.expr(_POSSIBLE[category])
         # One pass marks the matches and the marks are counted. A text that holds the
         # mark character itself is counted and replaced by the pattern directly.
         marked = stage.select(

@@ -95,7 +95,7 @@ def _personal(s, d):
         F.lit("\nИмя: "), b.choose(NAMES, doc), F.lit("; Дата рождения: 15.03.1990; паспорт 4509 "), F.substring(number, 2, 6),
         F.lit("; ИНН 77"), number, F.lit("1; СНИЛС 112-233-445 95; г. Москва, ул. Ленина, д. 15, кв. 42; Telegram: @user_"), number,
         F.lit("; https://site.example.com/u/"), number, F.lit("; +7 (999) 123-45-67; mail"), number, F.lit("@example.com"))
-    return b.load(s, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return b.spread(b.load(s, d, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 SQL_PERSONAL = f"""nb AS (SELECT doc_id, text, lpad(CAST(doc_id AS VARCHAR), 7, '0') AS number FROM documents),

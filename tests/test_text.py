@@ -121,3 +121,20 @@ def test_dictionary_of_any_size(spark):
     text = f"term1x and more, term{TERMS_PER_PASS + 30}x, noterm7x"
     df = spark.createDataFrame([(text,)], "t string").select(occurring(F.col("t"), terms, True).alias("hits"))
     assert df.first().hits == [1, TERMS_PER_PASS + 30, len(terms) - 1]
+
+
+def test_documents_of_one_file_are_redacted_by_all_cores(spark, tmp_path):
+    from jobspectra.plans.catalog.texts import _personal
+
+    spark.sql("SELECT id AS doc_id, 'a' AS text FROM range(0, 50, 1, 1)").write.parquet(f"{tmp_path}/documents.parquet")
+    found = _personal(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 50
+
+
+def test_patterns_with_a_first_character_find_the_same(spark):
+    pieces = ["@ab", "t.me/x", "TELEGRAM: ", "\u017fkype: ab", "vK.com/", "wa.me/z", "+7", "8", "999", "-12", "-34", " ", "(", "1", "\u0663", "é", "_", "İnstagram.com/q"]
+    texts = [("".join(pieces[(i * k * k + 7 * k) % len(pieces)] for k in range(1, 14)),) for i in range(120)]
+    df = spark.createDataFrame(texts, "t string")
+    for name in ("social", "phone"):
+        plain, quick = (F.regexp_extract_all("t", F.lit(x), F.lit(0)) for x in (txt._unicode(txt.PII_PATTERNS[name]), txt._unicode(txt.PII_PATTERNS[name], name)))
+        assert all(r.a == r.b for r in df.select(plain.alias("a"), quick.alias("b")).collect())
