@@ -6,6 +6,10 @@ follows a character other than white space or precedes one. So a text is the
 concatenation of its space-led units, and a worker keeps the ids of the units it has
 seen. Beyond ``MAX_UNITS`` only the units of the last portion stay, so memory is bounded.
 A file with another pre-tokenizer is used on whole texts.
+
+A lower-case file that drops white space joins nothing across it or between a letter and
+a mark behind it either. So texts of Latin-1 characters are split at all common white
+space, and a word is asked for once, in either case and with any marks behind it.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ MAX_CHARS = 24_000_000
 _DOUBTFUL = re.compile(r"\s (?:\s|$)")
 _MARKS = ".,!?;:#$%&*"
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
+_LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +46,27 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+class _Words(dict):
+    """Ids of lower-case words, asked for when a word is first met."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merges, self.chars = tokenizer, tokenizer.model, 0
+
+    def __missing__(self, word: str) -> bytes:
+        self.chars += len(word)
+        body = word.rstrip(_MARKS)
+        if body != word and body[-1:].isalpha():
+            ids = self[body] + self[word[len(body):]]
+        elif word.isalpha():
+            tokens = self.merges.tokenize(word if word.isascii() else word.translate(_BYTES))
+            ids = array("I", [t.id for t in tokens]).tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """``encode`` returns one bytes object per text: its ids, little-endian uint32."""
 
@@ -62,6 +88,9 @@ class Encoder:
         self.led: dict[str, bytes] = {}
         self.led_chars = 0
         self.bare: dict[str, bytes] = {}
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
+        self.apart = self.direct and self.lower and _drops_white_space(spec) and not any(re.search(r"\s", a) for a in self.added)
+        self.words = _Words(self.tokenizer)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,15 +133,46 @@ class Encoder:
             self.marks[marks] = self._ids([marks])[0]
         return self.marks[marks]
 
-    def _learn(self, store: dict, units: set[str], lead: str) -> None:
-        units.difference_update(store)
-        if units:
-            new = list(units)
+    def _learn(self, store: dict, units: set[str], lead: str) -> list[str]:
+        """Adds the units that the store lacks, and returns them."""
+        # Not difference_update: that walks through the whole store.
+        new = list(units.difference(store))
+        if new:
             store.update(zip(new, self._word_ids(new, lead)))
+        return new
+
+    def _lower_words(self, text: str) -> list[str] | None:
+        """What lies between white space; None if there are other than Latin-1 characters or
+        what may be an added token."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        text = text.lower()
+        if any(a in text for a in self.added):
+            return None
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return self._ids(texts)
+        if not self.apart:
+            return self._by_unit(texts)
+        parts = [self._lower_words(t) for t in texts]
+        others = iter(self._by_unit([t for t, p in zip(texts, parts) if p is None]))
+        ids = self.words.__getitem__
+        out = [next(others) if p is None else b"".join(map(ids, p)) for p in parts]
+        if len(self.words) > MAX_UNITS or self.words.chars > MAX_CHARS:
+            # Words with marks are soon put together again, so they go first.
+            kept = {w: i for w, i in self.words.items() if w.isalpha() and len(w) <= MAX_UNIT_CHARS}
+            if len(kept) > MAX_UNITS * 3 // 4 or sum(map(len, kept)) > MAX_CHARS * 3 // 4:
+                kept = {w: ids(w) for p in parts if p for w in p if len(w) <= MAX_UNIT_CHARS}
+            self.words.clear()
+            self.words.update(kept)
+            self.words.chars = sum(map(len, kept))
+        return out
+
+    def _by_unit(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
         for text in texts:
             if _DOUBTFUL.search(text):
@@ -124,11 +184,11 @@ class Encoder:
                 heads.append(head)
                 tails.append(rest)
         self._learn(self.bare, set(heads), "")
-        self._learn(self.led, units := set().union(*tails), " ")
+        new = self._learn(self.led, set().union(*tails), " ")
         led, bare = self.led.__getitem__, self.bare.__getitem__
         out = [b"".join([bare(h), *map(led, t)]) for h, t in zip(heads, tails)]
-        # ``units`` holds what was new; very long units are not kept.
-        self.led_chars += sum(map(len, units))
+        # Very long units are not kept.
+        self.led_chars += sum(map(len, new))
         if len(self.led) + len(self.bare) > MAX_UNITS or self.led_chars > MAX_CHARS:
             self.bare.clear()
             self.led = {u: self.led[u] for t in tails for u in t if len(u) <= MAX_UNIT_CHARS}
@@ -143,6 +203,14 @@ def _splits_at_spaces(spec: dict) -> bool:
     return not prefix and "ByteLevel" in kinds and kinds <= {"ByteLevel", "Sequence", "Split", "NFC", "Replace", "Lowercase"}
 
 
+def _drops_white_space(spec: dict) -> bool:
+    """Words of letters, single digits and runs of marks, with nothing of the white space between."""
+    split = {"type": "Split", "pattern": {"Regex": _LOWER_WORDS}, "behavior": "Removed", "invert": True}
+    replaced = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    normal, pre = ((spec.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return normal == [{"type": "NFC"}, replaced, {"type": "Lowercase"}] and len(pre) == 2 and pre[0] == split
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file; special tokens in a text get their own ids,

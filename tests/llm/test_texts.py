@@ -275,6 +275,22 @@ def test_special_tokens_in_texts_equal_the_unmodified_library(name, special):
     assert own.encode(texts) == [np.array(ids, "<u4").tobytes() for ids in want] and special <= set().union(*want)
 
 
+def test_words_are_encoded_once_in_either_case_and_with_marks(monkeypatch):
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    plain, own = Tokenizer.from_file(path), tokens.Encoder(path, special_as_text=False)
+    wanted = lambda texts: [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts = ["Straße. straße,\nSTRAßE!! straße\tÉté\r\nété... (été) straße"]
+    assert own.encode(texts) == wanted(texts)
+    assert {w for w in own.words if w.isalpha()} == {"straße", "été"} and not own.led and not own.bare
+
+    monkeypatch.setattr(tokens, "MAX_UNITS", 300)
+    parts = ["a", "Z", "É", "ß", "ª", "µ", "Ÿ", "İ", "œ", "ﬁ", "\u0301", "'", "'S", "’", ".", "!?", " ", "\n", "\r\n", "\x1c", "\x85", "\xa0", "#", "-", "7", "²",
+             "<|", "<|EndOfText|>", "<|endoftext|>", "\xad", "end", "word"]
+    texts = ["".join(rng.choice(parts[:k]) for _ in range(rng.randint(0, 14))) for k in (5, 18, len(parts)) for _ in range(1500)]
+    assert [ids for lo in range(0, len(texts), 100) for ids in own.encode(texts[lo:lo + 100])] == wanted(texts)
+    assert len(own.words) <= 1000
+
+
 def test_packing_covers_every_token(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [*ODD, *ODD, *("some words of text " * k for k in range(1, 300, 3))]
