@@ -62,9 +62,11 @@ class _Predictor:
         """Every id has at least one slot of 2^17."""
         if self.counts.any():
             cum = np.concatenate(([0], np.cumsum(self.counts))) * ((1 << _ZERO) - IDS) // int(self.counts.sum())
-            self.start = cum + np.arange(IDS + 1)
+            start = cum + np.arange(IDS + 1)
         else:
-            self.start = np.arange(IDS + 1) * 2
+            start = np.arange(IDS + 1) * 2
+        # Nothing made of these exceeds 2^29, so 32 bits do.
+        self.start = start.astype(np.int32)
         self.width = np.diff(self.start)
         self.slots = None
 
@@ -73,8 +75,8 @@ class _Predictor:
         self.tally[:] = 0
         rate = self.outcomes / self.outcomes.sum(axis=1, keepdims=True)
         size = 1 << _CHOICE
-        self.first = np.clip((rate[:, 0] * size).astype(np.int64), 1, size - 66)
-        self.second = np.clip((rate[:, 1] * size).astype(np.int64), 1, size - 64 - self.first)
+        self.first = np.clip((rate[:, 0] * size).astype(np.int32), 1, size - 66)
+        self.second = np.clip((rate[:, 1] * size).astype(np.int32), 1, size - 64 - self.first)
 
     def predict(self) -> None:
         self.at = ((self.before_two * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 7) & ((1 << _HASH) - 1)
@@ -94,7 +96,7 @@ class _Predictor:
         np.copyto(size, self.f1 << _ZERO, where=one)
         np.copyto(start, 0, where=two)
         np.copyto(size, self.f2 << _ZERO, where=two)
-        return start.view(np.uint64), size.view(np.uint64)
+        return start.astype(np.uint64), size.astype(np.uint64)
 
     def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
         small = ids.astype(np.int32)
@@ -131,7 +133,7 @@ def _settled(low: np.ndarray, span: np.ndarray, shift) -> None:
 def encode_ids(ids: np.ndarray) -> bytes:
     """Code ids (below 65536) as the payload of a block."""
     lanes = max(1, -(-len(ids) // STEPS))
-    grid = np.zeros(lanes * STEPS, np.int64)
+    grid = np.zeros(lanes * STEPS, np.uint16)
     grid[:len(ids)] = ids
     steps = min(STEPS, len(ids)) if lanes == 1 else STEPS
     grid = np.ascontiguousarray(grid.reshape(lanes, STEPS).T)
@@ -144,7 +146,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
         used[rows] += 1
 
     for t in range(steps):
-        now = grid[t]
+        now = grid[t].astype(np.int64)
         model.predict()
         two = model.p2 == now
         one = (model.p1 == now) & ~two
@@ -178,11 +180,11 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
         at[rows] += 1
 
     model = _Predictor(lanes)
-    grid = np.zeros((STEPS, lanes), np.int64)
+    grid = np.zeros((STEPS, lanes), np.uint16)
     for t in range(steps):
         model.predict()
         if model.slots is None:
-            model.slots = np.repeat(np.arange(IDS), model.width)
+            model.slots = np.repeat(np.arange(IDS, dtype=np.uint16), model.width)
         span >>= _BITS
         value = np.minimum(_quotient(code - low, span), (1 << (_CHOICE + _ZERO)) - 1)
         choice = value >> _ZERO
@@ -190,7 +192,7 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
         one = (choice < model.both) & ~two
         # Exact: both numbers are far below 2^53.
         slot = ((value - (model.both << _ZERO)) / ((1 << _CHOICE) - model.both)).astype(np.int64)
-        now = model.slots[np.maximum(slot, 0)]
+        now = model.slots[np.maximum(slot, 0)].astype(np.int64)
         np.copyto(now, model.p1, where=one)
         np.copyto(now, model.p2, where=two)
         start, size = model.interval(now, two, one)
