@@ -4,7 +4,7 @@ Both kinds of tokenizer files in use (byte-level with the usual word pattern, an
 case with word ends) never join characters across a border in front of a space that
 follows a character other than white space or precedes one. So a text is the
 concatenation of its space-led units, and a worker keeps the ids of the units it has
-seen. Beyond ``MAX_UNITS`` only the units of the last portion stay, so memory is bounded.
+met of late, ``MAX_UNITS`` at about most, so memory is bounded.
 A file with another pre-tokenizer is used on whole texts.
 
 A lower-case file that drops white space joins nothing across it or between a letter and
@@ -46,26 +46,36 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
-class _Words(dict):
-    """Ids of lower-case words, asked for when a word is first met."""
+class _Units(dict):
+    """Ids of units, asked for when a unit is first met. Units not met again while half as many
+    as are kept came in are let go."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, ask):
         super().__init__()
-        self.tokenizer, self.merges, self.chars = tokenizer, tokenizer.model, 0
-
-    def __missing__(self, word: str) -> bytes:
-        self.chars += len(word)
-        body = word.rstrip(_MARKS)
-        if body != word and body[-1:].isalpha():
-            ids = self[body] + self[word[len(body):]]
-        elif word.isalpha():
-            tokens = self.merges.tokenize(word if word.isascii() else word.translate(_BYTES))
-            ids = array("I", [t.id for t in tokens]).tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        self.ask, self.chars, self.older = ask, 0, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.ask(unit)
+            if len(unit) > MAX_UNIT_CHARS or "\n" in unit:
+                # Long units, and pairs of words across a line feed, hardly come again.
+                return ids
+        self.chars += len(unit)
+        self[unit] = ids
         return ids
 
+    def bounded(self) -> None:
+        if len(self) > MAX_UNITS // 2 or self.chars > MAX_CHARS // 2:
+            self.older = dict(self)
+            self.clear()
+            self.chars = 0
+
+
+def _common(body: str) -> bool:
+    """Whether these are letters only, all of them below U+0250."""
+    return body.isalpha() and (body.isascii() or (max(body) < "\u0250" and "\u0130" not in body))
+
 
 class Encoder:
     """``encode`` returns one bytes object per text: its ids, little-endian uint32."""
@@ -80,51 +90,55 @@ class Encoder:
             spec = json.load(f)
         self.by_unit = _splits_at_spaces(spec)
         self.lower = '"type": "Lowercase"' in json.dumps(spec.get("normalizer"))
+        self.merges = self.tokenizer.model.tokenize
         self.marks: dict[str, bytes] = {}
+        self.led = _Units(lambda u: self._unit_ids(u, " "))
+        self.bare = _Units(lambda u: self._unit_ids(u, ""))
         self.direct = self.by_unit and array("I").itemsize == 4 and sys.byteorder == "little"
         if self.direct:
             probes = ["a", "Word", "word,", "élan!!", "Straße.\nÜBER", "ñandú,###", "a\nb"]
-            self.direct = all(self._word_ids(probes, x) == self._ids([x + p for p in probes]) for x in ("", " "))
-        self.led: dict[str, bytes] = {}
-        self.led_chars = 0
-        self.bare: dict[str, bytes] = {}
+            self.fronts = {x: "" if self.lower else x.translate(_BYTES) for x in ("", " ")}
+            self.direct = all([self._unit_ids(p, x) for p in probes] == self._ids([x + p for p in probes]) for x in ("", " "))
+            self.led.clear()
+            self.bare.clear()
         self.added = [t["content"].lower() for t in spec["added_tokens"]]
         self.apart = self.direct and self.lower and _drops_white_space(spec) and not any(re.search(r"\s", a) for a in self.added)
-        self.words = _Words(self.tokenizer)
+        self.words = _Units(self._lower_ids)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, units: list[str], lead: str) -> list[bytes]:
-        """Ids of units. A run of common letters is one word to the tokenizer, so its ids are
+    def _unit_ids(self, unit: str, lead: str) -> bytes:
+        """Ids of a unit. A run of common letters is one word to the tokenizer, so its ids are
         asked of the merges alone; marks behind it, and a single line feed between two such
         runs, are words of their own."""
-        if not self.direct:
-            return self._ids([lead + u for u in units])
-        front = "" if self.lower else lead.translate(_BYTES)
-        out: list[bytes | None] = []
-        odd = []
-        for u in units:
-            if "\n" in u:
-                head, *tail = u.split("\n")
-                lines = [self._simple(head, front), *[self._simple(x, "") for x in tail]]
-                ids = None if None in lines else self._mark_ids("\n").join(lines)
-            else:
-                ids = self._simple(u, front)
-            out.append(ids)
-            if ids is None:
-                odd.append(lead + u)
-        rest = iter(self._ids(odd))
-        return [next(rest) if x is None else x for x in out]
-
-    def _simple(self, unit: str, front: str) -> bytes | None:
-        """Ids of common letters and the marks behind them; None for anything else."""
-        body = unit.rstrip(_MARKS)
-        if not body.isalpha() or max(body) >= "\u0250" or "\u0130" in body:
-            return None
-        word = front + (body.lower() if self.lower else body).translate(_BYTES)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-        return ids if len(body) == len(unit) else ids + self._mark_ids(unit[len(body):])
+        if self.direct:
+            body = unit.rstrip(_MARKS)
+            if _common(body):
+                store = self.led if lead else self.bare
+                return self._merged(self.fronts[lead], body) if len(body) == len(unit) else store[body] + self._mark_ids(unit[len(body):])
+            if "\n" in unit:
+                head, *tail = unit.split("\n")
+                if all(_common(x.rstrip(_MARKS)) for x in (head, *tail)):
+                    return self._mark_ids("\n").join([self.led[head] if lead else self.bare[head], *map(self.bare.__getitem__, tail)])
+        return self._ids([lead + unit])[0]
+
+    def _merged(self, front: str, body: str) -> bytes:
+        """Ids of common letters."""
+        if self.lower:
+            body = body.lower()
+        tokens = self.merges(front + (body if body.isascii() else body.translate(_BYTES)))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _lower_ids(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 characters in lower case, with or without marks."""
+        if word.isalpha():
+            tokens = self.merges(word if word.isascii() else word.translate(_BYTES))
+            return array("I", [t.id for t in tokens]).tobytes()
+        body = word.rstrip(_MARKS)
+        if body.isalpha() and len(body) < len(word):
+            return self.words[body] + self._mark_ids(word[len(body):])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _mark_ids(self, marks: str) -> bytes:
         if marks not in self.marks:
@@ -133,14 +147,6 @@ class Encoder:
             self.marks[marks] = self._ids([marks])[0]
         return self.marks[marks]
 
-    def _learn(self, store: dict, units: set[str], lead: str) -> list[str]:
-        """Adds the units that the store lacks, and returns them."""
-        # Not difference_update: that walks through the whole store.
-        new = list(units.difference(store))
-        if new:
-            store.update(zip(new, self._word_ids(new, lead)))
-        return new
-
     def _lower_words(self, text: str) -> list[str] | None:
         """What lies between white space; None if there are other than Latin-1 characters or
         what may be an added token."""
@@ -162,14 +168,7 @@ class Encoder:
         others = iter(self._by_unit([t for t, p in zip(texts, parts) if p is None]))
         ids = self.words.__getitem__
         out = [next(others) if p is None else b"".join(map(ids, p)) for p in parts]
-        if len(self.words) > MAX_UNITS or self.words.chars > MAX_CHARS:
-            # Words with marks are soon put together again, so they go first.
-            kept = {w: i for w, i in self.words.items() if w.isalpha() and len(w) <= MAX_UNIT_CHARS}
-            if len(kept) > MAX_UNITS * 3 // 4 or sum(map(len, kept)) > MAX_CHARS * 3 // 4:
-                kept = {w: ids(w) for p in parts if p for w in p if len(w) <= MAX_UNIT_CHARS}
-            self.words.clear()
-            self.words.update(kept)
-            self.words.chars = sum(map(len, kept))
+        self.words.bounded()
         return out
 
     def _by_unit(self, texts: list[str]) -> list[bytes]:
@@ -183,16 +182,10 @@ class Encoder:
                 head, *rest = text.split(" ")
                 heads.append(head)
                 tails.append(rest)
-        self._learn(self.bare, set(heads), "")
-        new = self._learn(self.led, set().union(*tails), " ")
         led, bare = self.led.__getitem__, self.bare.__getitem__
         out = [b"".join([bare(h), *map(led, t)]) for h, t in zip(heads, tails)]
-        # Very long units are not kept.
-        self.led_chars += sum(map(len, new))
-        if len(self.led) + len(self.bare) > MAX_UNITS or self.led_chars > MAX_CHARS:
-            self.bare.clear()
-            self.led = {u: self.led[u] for t in tails for u in t if len(u) <= MAX_UNIT_CHARS}
-            self.led_chars = sum(map(len, self.led))
+        self.led.bounded()
+        self.bare.bounded()
         return out
 
 

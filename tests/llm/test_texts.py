@@ -291,6 +291,36 @@ def test_words_are_encoded_once_in_either_case_and_with_marks(monkeypatch):
     assert len(own.words) <= 1000
 
 
+def test_common_words_are_asked_for_once(monkeypatch):
+    """A word with marks or beside a line feed is its letters' ids and theirs; words met of late stay."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        plain, own, asked = Tokenizer.from_file(path), tokens.Encoder(path, special_as_text=False), []
+        own.merges = lambda word, merges=own.merges: asked.append(word) or merges(word)
+        monkeypatch.setattr(tokens, "MAX_UNITS", 40)
+        texts = [f"x Straße Straße, Straße. Straße!!\nStraße Straße.\nStraße {''.join(chr(97 + int(c)) for c in str(i))}" for i in range(1, 200)]
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert [own.encode([t])[0] for t in texts] == want
+        often = [w for w in asked if "tra" in w]
+        assert len(often) == len(set(often)) <= 2
+
+
+def test_pieces_of_many_texts_at_once(sp, monkeypatch):
+    codec, rng = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(11)
+    made = []
+    codec.segments.make = lambda s, make=codec.by_table: made.append(s) or make(s)
+    texts = ["".join(rng.choice(["the", "word", "é", " ", " ", "▁", "\n", ".", "🙂", "ñ", "<s>"]) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    assert codec.encode_all(texts) == [sp.encode(t) for t in texts] and len(made) == len(set(made))
+    assert codec.encode_all([]) == [] and codec.encode_all(["", "", "a", ""]) == [[], [], sp.encode("a"), []]
+
+    monkeypatch.setattr(pieces, "MAX_KEPT", 40)
+    made.clear()
+    for i in range(300):
+        text = "often " + "".join(chr(97 + int(c)) for c in str(i))
+        assert codec.encode(text) == sp.encode(text)
+    assert made.count("▁often") <= 1 and len(codec.segments) + len(codec.segments.older) < 2 * 40 + 60
+
+
 def test_packing_covers_every_token(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [*ODD, *ODD, *("some words of text " * k for k in range(1, 300, 3))]
