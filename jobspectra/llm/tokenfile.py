@@ -38,6 +38,8 @@ _BITS = np.uint64(_CHOICE + _ZERO)
 _WORD = np.uint64(32)
 _LOW = np.uint64(1 << 32)
 _HASH = 20
+#: What a table entry changes by, by its confidence: halved if it was wrong (below 2 it is replaced), one more if right.
+_CHANGE = np.array([(c >> 1) - c for c in range(8)] + [int(c < 7) for c in range(8)], np.int32)
 
 
 class _Predictor:
@@ -80,18 +82,20 @@ class _Predictor:
 
     def predict(self) -> None:
         self.at = ((self.before_two * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 7) & ((1 << _HASH) - 1)
-        self.v2, self.v1 = self.two[self.at], self.one[self.before]
+        self.v2, self.v1 = self.two.take(self.at), self.one.take(self.before)
         self.p2, self.p1 = self.v2 >> 3, self.v1 >> 3
         self.mixed = ((self.v2 & 7) << 3) | (self.v1 & 7)
-        self.f2, self.f1 = self.first[self.mixed], self.second[self.mixed]
+        self.f2, self.f1 = self.first.take(self.mixed), self.second.take(self.mixed)
         self.f1 *= self.p1 != self.p2
         self.both = self.f2 + self.f1
 
     def interval(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids within 2^29, given which prediction holds."""
         rest = (1 << _CHOICE) - self.both
-        start = (self.both << _ZERO) + self.start[ids] * rest
-        size = self.width[ids] * rest
+        start = self.both << _ZERO
+        start += self.start.take(ids) * rest
+        size = self.width.take(ids)
+        size *= rest
         np.copyto(start, self.f2 << _ZERO, where=one)
         np.copyto(size, self.f1 << _ZERO, where=one)
         np.copyto(start, 0, where=two)
@@ -102,9 +106,17 @@ class _Predictor:
         small = ids.astype(np.int32)
         fresh = small << 3
         for table, at, v, right in ((self.two, self.at, self.v2, two), (self.one, self.before, self.v1, self.p1 == small)):
-            c = v & 7
-            table[at] = np.where(right, v + (c < 7), np.where(c < 2, fresh, v - c + (c >> 1)))
-        self.tally += np.bincount(self.mixed * 3 + 2 - 2 * two - one, minlength=192)
+            state = v & 7
+            state += right.view(np.int8) << 3
+            now = _CHANGE.take(state)
+            now += v
+            np.copyto(now, fresh, where=state < 2)
+            table[at] = now
+        outcome = self.mixed * 3
+        outcome += 2
+        outcome -= two.view(np.int8) << 1
+        outcome -= one.view(np.int8)
+        self.tally += np.bincount(outcome, minlength=192)
         self.before_two, self.before = self.before, ids
         self.new.append(ids)
         self.step += 1
@@ -119,9 +131,12 @@ class _Predictor:
 def _settled(low: np.ndarray, span: np.ndarray, shift) -> None:
     """Move lanes on by 32 bits whose upper bits are settled, or whose range has become
     narrow (it is cut at the border it lies across); ``shift`` sees them first."""
-    rows = np.flatnonzero(((low ^ (low + span)) < _LOW) | (span < _LOW))
+    top = low + span
+    top ^= low
+    np.minimum(top, span, out=top)
+    rows = np.flatnonzero(top < _LOW)
     if len(rows):
-        a, b = low[rows], span[rows]
+        a, b = low.take(rows), span.take(rows)
         across = (a ^ (a + b)) >= _LOW
         if across.any():
             b[across] = (~a[across] + np.uint64(1)) & (_LOW - np.uint64(1))
@@ -141,9 +156,12 @@ def encode_ids(ids: np.ndarray) -> bytes:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     words, used = np.zeros((lanes, STEPS + 8), np.uint32), np.zeros(lanes, np.int64)
 
+    flat = words.reshape(-1)
+
     def emit(rows: np.ndarray, lows: np.ndarray) -> None:
-        words[rows, used[rows]] = lows >> _WORD
-        used[rows] += 1
+        at = used.take(rows)
+        flat[rows * words.shape[1] + at] = lows >> _WORD
+        used[rows] = at + 1
 
     for t in range(steps):
         now = grid[t].astype(np.int64)
@@ -176,8 +194,9 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
     at += 2
 
     def refill(rows: np.ndarray, lows: np.ndarray) -> None:
-        code[rows] = (code[rows] << _WORD) | stream[np.minimum(at[rows], len(stream) - 1)]
-        at[rows] += 1
+        here = at.take(rows)
+        code[rows] = (code.take(rows) << _WORD) | stream.take(here, mode="clip")
+        at[rows] = here + 1
 
     model = _Predictor(lanes)
     grid = np.zeros((STEPS, lanes), np.uint16)
@@ -192,7 +211,7 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
         one = (choice < model.both) & ~two
         # Exact: both numbers are far below 2^53.
         slot = ((value - (model.both << _ZERO)) / ((1 << _CHOICE) - model.both)).astype(np.int64)
-        now = model.slots[np.maximum(slot, 0)].astype(np.int64)
+        now = model.slots.take(np.maximum(slot, 0)).astype(np.int64)
         np.copyto(now, model.p1, where=one)
         np.copyto(now, model.p2, where=two)
         start, size = model.interval(now, two, one)

@@ -4,7 +4,7 @@ Both kinds of tokenizer files in use (byte-level with the usual word pattern, an
 case with word ends) never join characters across a border in front of a space that
 follows a character other than white space or precedes one. So a text is the
 concatenation of its space-led units, and a worker keeps the ids of the units it has
-met of late, ``MAX_UNITS`` at about most, so memory is bounded.
+seen, up to ``MAX_UNITS`` from one portion to the next, so memory is bounded.
 A file with another pre-tokenizer is used on whole texts.
 
 A lower-case file that drops white space joins nothing across it or between a letter and
@@ -47,29 +47,51 @@ _BYTES = _byte_letters()
 
 
 class _Units(dict):
-    """Ids of units, asked for when a unit is first met. Units not met again while half as many
-    as are kept came in are let go."""
+    """Ids of units, asked for when a unit is first met."""
 
     def __init__(self, ask):
         super().__init__()
-        self.ask, self.chars, self.older = ask, 0, {}
+        self.ask, self.chars = ask, 0
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.older.get(unit)
-        if ids is None:
-            ids = self.ask(unit)
-            if len(unit) > MAX_UNIT_CHARS or "\n" in unit:
-                # Long units, and pairs of words across a line feed, hardly come again.
-                return ids
-        self.chars += len(unit)
-        self[unit] = ids
+        ids = self.ask(unit)
+        # Pairs of words across a line feed hardly come again.
+        if "\n" not in unit:
+            self.chars += len(unit)
+            self[unit] = ids
         return ids
 
-    def bounded(self) -> None:
-        if len(self) > MAX_UNITS // 2 or self.chars > MAX_CHARS // 2:
-            self.older = dict(self)
-            self.clear()
-            self.chars = 0
+    def bounded(self, latest) -> None:
+        """Lets go of units if there are too many: of those with marks first, as they are soon put
+        together again, then of all but the latest ones. Very long units are not kept."""
+        if len(self) <= MAX_UNITS and self.chars <= MAX_CHARS:
+            return
+        kept = {u: i for u, i in self.items() if u.isalpha() and len(u) <= MAX_UNIT_CHARS}
+        if len(kept) > MAX_UNITS * 3 // 4 or sum(map(len, kept)) > MAX_CHARS * 3 // 4:
+            latest = {u for units in latest for u in units if len(u) <= MAX_UNIT_CHARS}
+            kept = {u: i for u, i in self.items() if u in latest}
+        self.clear()
+        self.update(kept)
+        self.chars = sum(map(len, kept))
+
+
+class _Words(_Units):
+    """Ids of words of Latin-1 characters in lower case, with or without marks."""
+
+    def __init__(self, encoder):
+        super().__init__(None)
+        self.merges, self.encoder = encoder.merges, encoder
+
+    def __missing__(self, word: str) -> bytes:
+        self.chars += len(word)
+        if word.isalpha():
+            ids = array("I", [t.id for t in self.merges(word if word.isascii() else word.translate(_BYTES))]).tobytes()
+        else:
+            body = word.rstrip(_MARKS)
+            marked = len(body) < len(word) and body.isalpha()
+            ids = self[body] + self.encoder._mark_ids(word[len(body):]) if marked else self.encoder._ids([word])[0]
+        self[word] = ids
+        return ids
 
 
 def _common(body: str) -> bool:
@@ -103,7 +125,7 @@ class Encoder:
             self.bare.clear()
         self.added = [t["content"].lower() for t in spec["added_tokens"]]
         self.apart = self.direct and self.lower and _drops_white_space(spec) and not any(re.search(r"\s", a) for a in self.added)
-        self.words = _Units(self._lower_ids)
+        self.words = _Words(self)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,16 +152,6 @@ class Encoder:
         tokens = self.merges(front + (body if body.isascii() else body.translate(_BYTES)))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def _lower_ids(self, word: str) -> bytes:
-        """Ids of a word of Latin-1 characters in lower case, with or without marks."""
-        if word.isalpha():
-            tokens = self.merges(word if word.isascii() else word.translate(_BYTES))
-            return array("I", [t.id for t in tokens]).tobytes()
-        body = word.rstrip(_MARKS)
-        if body.isalpha() and len(body) < len(word):
-            return self.words[body] + self._mark_ids(word[len(body):])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _mark_ids(self, marks: str) -> bytes:
         if marks not in self.marks:
             if len(self.marks) > 1000 or len(marks) > 20:
@@ -168,7 +180,7 @@ class Encoder:
         others = iter(self._by_unit([t for t, p in zip(texts, parts) if p is None]))
         ids = self.words.__getitem__
         out = [next(others) if p is None else b"".join(map(ids, p)) for p in parts]
-        self.words.bounded()
+        self.words.bounded(p for p in parts if p)
         return out
 
     def _by_unit(self, texts: list[str]) -> list[bytes]:
@@ -184,8 +196,8 @@ class Encoder:
                 tails.append(rest)
         led, bare = self.led.__getitem__, self.bare.__getitem__
         out = [b"".join([bare(h), *map(led, t)]) for h, t in zip(heads, tails)]
-        self.led.bounded()
-        self.bare.bounded()
+        self.led.bounded(tails)
+        self.bare.bounded([heads])
         return out
 
 

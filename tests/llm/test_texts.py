@@ -292,17 +292,18 @@ def test_words_are_encoded_once_in_either_case_and_with_marks(monkeypatch):
 
 
 def test_common_words_are_asked_for_once(monkeypatch):
-    """A word with marks or beside a line feed is its letters' ids and theirs; words met of late stay."""
+    """A word with marks or beside a line feed is its letters' ids and theirs."""
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
         plain, own, asked = Tokenizer.from_file(path), tokens.Encoder(path, special_as_text=False), []
-        own.merges = lambda word, merges=own.merges: asked.append(word) or merges(word)
-        monkeypatch.setattr(tokens, "MAX_UNITS", 40)
+        own.merges = own.words.merges = lambda word, merges=own.merges: asked.append(word) or merges(word)
         texts = [f"x Straße Straße, Straße. Straße!!\nStraße Straße.\nStraße {''.join(chr(97 + int(c)) for c in str(i))}" for i in range(1, 200)]
         want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        assert [own.encode([t])[0] for t in texts] == want
+        assert [own.encode([t])[0] for t in texts] == want and not any("\n" in u for u in [*own.led, *own.bare])
         often = [w for w in asked if "tra" in w]
         assert len(often) == len(set(often)) <= 2
+        monkeypatch.setattr(tokens, "MAX_UNITS", 40)
+        assert [own.encode([t])[0] for t in texts] == want and len(own.led) <= 60 and len(own.words) <= 60
 
 
 def test_pieces_of_many_texts_at_once(sp, monkeypatch):
