@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobspectra.llm.words import Block, annotate, blocks, mix, tabulate
+from jobspectra.llm.words import Block, annotate, blocks, hand_back, mix, tabulate
 
 MAX_TOXIC = 2_000
 MAX_UNLABELLED = 6_000
@@ -88,7 +88,7 @@ def originals(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, l1: float = 1e-4) -> Model:
-    """``rows``: distinct features of each text; ``toxic``: whether it is a toxic example."""
+    """``rows``: distinct features of each text in ascending order; ``toxic``: whether it is a toxic example."""
     none = np.zeros(0, np.int64)
     if not toxic.any() or toxic.all():
         return Model(none, np.zeros(0, np.float32), -30.0 if not toxic.any() else 0.0)
@@ -104,9 +104,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 25
     for i, r in enumerate(rows):
         at = np.searchsorted(some, r)
         at = at[(at < len(some)) & (some[np.minimum(at, len(some) - 1)] == r)] if len(some) else none
-        row.append(np.full(len(at), i))
+        row.append(np.full(len(at), i, np.int32))
         column.append(at)
-    row, column = np.concatenate(row), np.concatenate(column)
+    row, column, n = np.concatenate(row), np.concatenate(column), len(rows)
+    del rows, r, seen, times
     # A feature counts if it is clearly more frequent in toxic examples, and if by the prior
     # most unlabelled texts that have it are toxic.
     share_p = np.bincount(column[toxic[row]], minlength=len(some)) / n_p
@@ -117,7 +118,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 25
     used = telling[column]
     known = some[telling]
     row, column = row[used], (np.cumsum(telling) - 1)[column[used]]
-    n, p, u = len(rows), toxic, ~toxic
+    p, u = toxic, ~toxic
     w, bias = np.zeros(len(known)), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m = v = np.zeros(len(known) + 1)
     for step in range(1, steps + 1):
@@ -174,7 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField("toxic", T.BooleanType()), T.StructField("features", T.BinaryType())])
     found = tabulate(texts.select("toxic", "text"), schema, extract).toArrow()
     flags = np.array(found.column("toxic").to_pylist(), bool)
-    return fit([np.frombuffer(b, "<u4").astype(np.int64) for b in found.column("features").to_pylist()], flags, prior)
+    # Views of the table: the features are held once, and let go of before the driver goes on.
+    model = fit([np.frombuffer(b.as_buffer(), "<u4") for b in found.column("features")], flags, prior)
+    del found
+    hand_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

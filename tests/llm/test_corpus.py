@@ -214,6 +214,18 @@ def test_toxicity_learns_and_stays_calm(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_training_holds_its_features_once(spark):
+    word = "translate(substr(md5(concat(id, ' ', x)), 1, 12), '0123456789', 'ghijklmnop')"
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, 1500), x -> {word}), ' ')").alias("text"))
+    labels = spark.range(500).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    resident = lambda kind: int(re.search(rf"Vm{kind}:\s+(\d+)", open("/proc/self/status").read())[1]) / 1e3
+    toxicity.train(docs.limit(20), labels)
+    before = resident("RSS")
+    open("/proc/self/clear_refs", "w").write("5")  # the peak counts from here
+    toxicity.train(docs, labels)  # 60 MB of features
+    assert resident("HWM") - before < 270 and resident("RSS") - before < 40
+
+
 def brute_nearest(ids, x, q, k=10):
     d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
     order = [i for i in np.lexsort((ids, d)) if i != q][:k]
