@@ -8,8 +8,8 @@ text leaves exactly these two. Ids are recovered backwards from the end. The tim
 linear in the length of the text whatever it looks like.
 
 Borders that no vocabulary piece spans (in front of a space mark, around characters the
-vocabulary does not have, and so on) separate independent segments; a worker keeps the
-ids of segments it has met, up to ``MAX_KEPT``. Characters outside the vocabulary become
+vocabulary does not have, and so on) separate independent segments, which are found for
+many texts at once; a worker keeps the ids of segments it has met of late, ``MAX_KEPT`` at about most. Characters outside the vocabulary become
 byte tokens. The model must have identity normalization, byte fallback, a dummy space in
 front and no removal of spaces; ``Model`` raises otherwise.
 
@@ -19,11 +19,11 @@ A null text counts as empty: the end id only, decoded to an empty text.
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,7 +34,6 @@ MARK = "▁"
 MAX_KEPT = 300_000
 MAX_KEPT_CHARS = 40
 MAX_PAIRS = 400_000
-_LED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Model:
@@ -77,6 +76,26 @@ class Model:
         return parts
 
 
+class _Segments(dict):
+    """Ids of segments, made when a segment is first met. Segments not met again while half as
+    many as are kept came in are let go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        ids = self.older.get(segment) or self.make(segment)
+        if len(segment) <= MAX_KEPT_CHARS:
+            self[segment] = ids
+        return ids
+
+    def bounded(self) -> None:
+        if len(self) > MAX_KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -88,8 +107,16 @@ class Codec:
         self.automaton.make_automaton()
         self.decimal = [str(i) for i in range(len(m.pieces))]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.segments: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.segments = _Segments(self.by_table)
+        # Characters by number, 0 for those in no pair; pairs in a table whose accidental hits, if
+        # there are very many characters, only leave a border out.
+        letters = sorted({c for pair in m.joined for c in pair})
+        self.kinds = np.zeros(0x110000, np.int64)
+        self.kinds[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.joined = np.zeros(min(self.width ** 2, 1 << 25), bool)
+        first, second = (self.kinds[[ord(pair[k]) for pair in m.joined]] for k in (0, 1))
+        self.joined[(first * self.width + second) % len(self.joined)] = True
 
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
@@ -120,43 +147,34 @@ class Codec:
             at -= length
         return tuple(reversed(out))
 
-    def _cut(self, unit: str) -> list[str]:
-        joined = self.model.joined
-        borders = [k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in joined]
-        return [unit[a:b] for a, b in zip([0, *borders], [*borders, len(unit)])]
-
-    def unit(self, unit: str) -> tuple[int, ...]:
-        found: list[int] = []
-        for segment in self._cut(unit):
-            ids = self.segments.get(segment)
-            if ids is None:
-                ids = self.by_table(segment)
-                if len(segment) <= MAX_KEPT_CHARS:
-                    self.segments[segment] = ids
-            found += ids
-        return tuple(found)
+    def _cuts(self, text: str, ends: np.ndarray) -> np.ndarray:
+        """Borders of segments: between characters that no piece holds side by side, and at ``ends``."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        border = np.zeros(len(codes) + 1, bool)
+        border[0] = border[ends] = True
+        for lo in range(0, len(codes), 1 << 20):
+            kinds = self.kinds[codes[lo:lo + (1 << 20) + 1]]
+            left, right = kinds[:-1], kinds[1:]
+            joined = self.joined[(left * self.width + right) % len(self.joined)] & (left > 0) & (right > 0)
+            border[lo + 1:lo + 1 + len(joined)] |= ~joined
+        return np.flatnonzero(border)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, without end id."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        joined = "".join(marked)
+        ends = np.cumsum([len(t) for t in marked], dtype=np.int64)
+        cuts = self._cuts(joined, ends)
+        names = [joined[a:b] for a, b in pairwise(cuts.tolist())]
+        self.segments.bounded()
+        known, out, at = self.segments.__getitem__, [], 0
+        for end in np.searchsorted(cuts, ends).tolist():
+            out.append(list(chain.from_iterable(map(known, names[at:end]))))
+            at = end
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            names = _LED.findall(MARK + text.replace(" ", MARK))
-        else:
-            names = [MARK + p for p in text.split(" ")]
-        units = self.units
-        fresh = {n for n in names if n not in units}
-        if fresh:
-            if len(units) + len(fresh) > MAX_KEPT:
-                keep = set(names)
-                units = self.units = {k: v for k, v in units.items() if k in keep}
-                self.segments.clear()
-            for n in fresh:
-                units[n] = self.unit(n)
-        ids = list(chain.from_iterable(map(units.__getitem__, names)))
-        for n in fresh:
-            if len(n) > MAX_KEPT_CHARS:
-                del units[n]
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.model.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -177,7 +195,8 @@ def encode(docs: DataFrame, model_path: str, end_id: int | None = 2, text_col: s
 
     def run(values: list) -> list[list]:
         c, tail = codec(model_path), [] if end_id is None else [end_id]
-        return [[c.encode(v or "") + tail for v in values]]
+        texts = [v or "" for v in values]
+        return [[ids + tail for lo, hi in portions(texts) for ids in c.encode_all(texts[lo:hi])]]
 
     return annotate(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], run)
 
@@ -202,8 +221,8 @@ def digests(docs: DataFrame, model_path: str, end_id: int = 2, text_col: str = "
         out: list[list] = [[], [], []]
         texts = [v or "" for v in values]
         for lo, hi in portions(texts):
-            for text in texts[lo:hi]:
-                ids = [*c.encode(text), end_id]
+            for ids in c.encode_all(texts[lo:hi]):
+                ids.append(end_id)
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
