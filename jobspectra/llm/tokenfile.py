@@ -268,23 +268,28 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
     """
 
     def run(batches):
-        encode, part, before = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        encode, part, before = encoder(tokenizer_path).encode_flat, TaskContext.get().partitionId(), 0
+        end = np.array([end_id], np.uint32)
         names: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        lengths: list[int] = []
         size = 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in portions(texts):
-                for doc_id, raw in zip(doc_ids[lo:hi], encode(texts[lo:hi])):
+                ids, sizes = encode(texts[lo:hi])
+                at = 0
+                for doc_id, n in zip(doc_ids[lo:hi], sizes.tolist()):
                     names.append(doc_id)
-                    held.append(raw + end)
-                    size += len(raw) // 4 + 1
+                    held += (ids[at:at + n], end)
+                    lengths.append(n + 1)
+                    at += n
+                    size += n + 1
                     if size >= BLOCK_TOKENS:
-                        yield _row(part, before, names, held, size)
-                        before, names, held, size = before + size, [], [], 0
+                        yield _row(part, before, names, lengths, held, size)
+                        before, names, lengths, held, size = before + size, [], [], [], 0
         if names:
-            yield _row(part, before, names, held, size)
+            yield _row(part, before, names, lengths, held, size)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
@@ -292,9 +297,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
     tabulate(ordered, BLOCKS, run).write.parquet(path)
 
 
-def _row(part: int, before: int, names: list, held: list[bytes], size: int) -> dict:
-    ids = np.frombuffer(b"".join(held), "<u4")
-    return {"part": [part], "before": [before], "tokens": [size], "block": [write_block(names, [len(h) // 4 for h in held], ids)]}
+def _row(part: int, before: int, names: list, lengths: list[int], held: list[np.ndarray], size: int) -> dict:
+    return {"part": [part], "before": [before], "tokens": [size], "block": [write_block(names, lengths, np.concatenate(held))]}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -306,6 +306,30 @@ def test_common_words_are_asked_for_once(monkeypatch):
         assert [own.encode([t])[0] for t in texts] == want and len(own.led) <= 60 and len(own.words) <= 60
 
 
+def test_new_words_are_asked_for_together(monkeypatch):
+    """Letters, digits and marks of a block of texts go to the library in one call, whatever they stand beside."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    plain, own, asked = Tokenizer.from_file(path), tokens.Encoder(path, special_as_text=False), []
+    own.words.ask = lambda words, common, ask=own.words.ask: asked.append((words, common)) or ask(words, common)
+    wanted = lambda texts: [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts = ["Nord,Süd (ÉTÉ) 12.5 nord", "", "süd--été!! it's 2×3", "7÷2 \xbfqué? nord,süd"]
+    assert own.encode(texts) == wanted(texts) and own.encode(texts[::-1]) == wanted(texts[::-1])
+    assert [(sorted(words[:n]), sorted(words[n:])) for words, n in asked] == [
+        (sorted(["nord", ",", "süd", "(", "été", ")", "1", "2", ".", "5", "--", "!!"]), sorted(["it's", "2×3", "7÷2", "¿qué?"]))]
+
+    parts = [*"abzAZéÉßÿÞ×÷ªºµ¿²¼0189.,!-'’\"<>/|_", " ", " ", "\n", "\t", "\r", "\x00", "\x0b", "\x7f", "\x85", "\xa0", "'s", "'LL", "</w>", "<|", "<|endoftext|>", "œ", "word"]
+    texts = ["".join(rng.choice(parts[:k]) for _ in range(rng.randint(0, 20))) for k in (12, 33, len(parts)) for _ in range(1500)]
+    ids, sizes = own.encode_flat(texts)
+    assert ids.astype("<u4").tobytes() == b"".join(wanted(texts)) and (4 * sizes).tolist() == [len(w) for w in wanted(texts)]
+    assert [len(x) for x in own.encode_flat([])] == [0, 0]
+
+    monkeypatch.setattr(tokens, "MAX_UNITS", 40)
+    asked.clear()
+    texts = [f"often {''.join(chr(97 + int(c)) for c in str(i))} {'x' * 300}" for i in range(200)]
+    assert [own.encode([t])[0] for t in texts] == wanted(texts) and len(own.words) <= 60
+    assert sum("often" in words for words, _ in asked) == 1 and own.words.chars == sum(map(len, own.words))
+
+
 def test_pieces_of_many_texts_at_once(sp, monkeypatch):
     codec, rng = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(11)
     made = []
